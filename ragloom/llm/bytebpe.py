@@ -14,6 +14,7 @@ Repeated rows are encoded each; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import sys
 import unicodedata
@@ -163,7 +164,7 @@ class Vocabulary:
         merged = self.merger.merge_pieces(list(pieces - whole), self.single, self.single)
         decimal = self.decimal
         for p in pieces:
-            ids = (self.ranks[p],) if p in whole else tuple(merged[p].tolist()) if p in merged else tuple(self.merge_long(p))
+            ids = (self.ranks[p],) if p in whole else tuple(merged[p]) if p in merged else tuple(self.merge_long(p))
             self.known[p] = ids, ",".join([decimal[i] for i in ids])
 
 
@@ -218,6 +219,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """Ids of every text with the byte offsets of its pre-tokens: (doc_id, ids, piece_offsets)."""
 
     def run(batch_iter):
+        gc.disable()  # nothing here has cycles, and the remembered pieces are many to visit
         vocab = vocabulary(path)
         for batch in work.batches(batch_iter, 128):
             ids, at = [], []
@@ -233,6 +235,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Texts of encoded rows (doc_id, ids): (doc_id, data binary)."""
 
     def run(batch_iter):
+        gc.disable()  # nothing here has cycles, and the remembered pieces are many to visit
         vocab = vocabulary(path)
         for batch in work.batches(batch_iter, 128):
             data = [b"".join([vocab.bytes[i] for i in ids or ()]) for ids in batch.column(1).to_pylist()]
@@ -245,6 +248,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """Encode and decode every text in one pass, keeping counts and digests only."""
 
     def run(batch_iter):
+        gc.disable()  # nothing here has cycles, and the remembered pieces are many to visit
         vocab = vocabulary(path)
         for batch in work.batches(batch_iter):
             rows = []

@@ -12,9 +12,11 @@ Only the key and the text of the input are read.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from ragloom.llm import work
 from ragloom.llm.pairs import PairMerger
 
-CACHE = 400_000  # words whose ids a worker remembers
+CACHE = 1_500_000  # words whose ids a worker remembers
+LONG = 1 << 22  # characters from which a text is encoded in parts
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words that need no Unicode normalisation: printable ASCII and the Latin-1 letters, which have one simple lower case.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -63,19 +66,22 @@ class WordEncoder:
         self.final = np.array([vocab[c + end] for c in letters], np.int32)
 
     def learn_plain(self, words: list[str]) -> None:
-        cut = [[p.encode() for p in PRE_TOKEN.findall(w.lower())] for w in words]
-        ids = {p: v.astype("<u4").tobytes() for p, v in self.merger.merge_pieces(list({p for c in cut for p in c}), self.inner, self.final).items()}
+        cut = [PRE_TOKEN.findall(w) for w in "\n".join(words).lower().split("\n")]
+        names = {p: p.encode() for c in cut for p in c}
+        data = self.merger.merge_pieces(list(set(names.values())), self.inner, self.final)
+        ids = {p: struct.pack(f"<{len(v)}I", *v) for p, b in names.items() if (v := data.get(b))}
         for word, parts in zip(words, cut):
-            got = [ids.get(p) for p in parts]
-            self.known[word] = self.single(word) if None in got else b"".join(got)
+            try:
+                self.known[word] = b"".join([ids[p] for p in parts])
+            except KeyError:  # longer than the merger takes
+                self.known[word] = self.single(word)
 
     def learn(self, words: list[str]) -> None:
         """Encode the words as one text and cut its ids back into words by their offsets."""
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
         if self.merger:
-            self.learn_plain([w for w in words if PLAIN.fullmatch(w)])
-            words = [w for w in words if not PLAIN.fullmatch(w)]
+            plain = [w for w in words if PLAIN.fullmatch(w)]
+            self.learn_plain(plain)
+            words = list(set(words).difference(plain))
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -87,22 +93,25 @@ class WordEncoder:
             for k, word in enumerate(part):
                 self.known[word] = ids[cuts[k] : cuts[k + 1]].tobytes()
 
-    def encode(self, texts: list[str], step: int = 1 << 20) -> list[np.ndarray]:
-        """Ids of each text; longer texts go in steps of words."""
-        out = []
-        for text in texts:
-            words, parts = text.replace("\n", " ").split(" "), []
-            for at in range(0, len(words), step):
-                part = words[at : at + step]
-                known = self.known
-                try:
-                    parts.append(b"".join([known[w] for w in part]))
-                except KeyError:
-                    self.learn(list(set(part) - known.keys()))
-                    known = self.known
-                    parts.append(b"".join([known[w] if w in known else self.single(w) for w in part]))
-            out.append(np.frombuffer(b"".join(parts), "<u4"))
-        return out
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the texts together are small, or one long text is cut at spaces first."""
+        words = [text.replace("\n", " ").split(" ") for text in texts]
+        if len(self.known) > CACHE:
+            self.known = {"": b""}
+        if new := set().union(*words) - self.known.keys():
+            self.learn(list(new))
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, w)), "<u4") for w in words]
+
+    def encode_long(self, text: str, step: int = 1 << 22) -> np.ndarray:
+        """Ids of a text of any length, cut at its spaces every `step` characters or more."""
+        at, parts = 0, []
+        while at < len(text):
+            to = text.find(" ", at + step)
+            to = len(text) if to < 0 else to
+            parts += self.encode([text[at:to]])
+            at = to
+        return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
     def single(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -123,14 +132,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, ke
     """One row per piece of every document."""
 
     def encode(batch_iter):
+        gc.disable()  # nothing here has cycles, and the remembered words are many to visit
         own, end = encoder(path), np.array([end_id], "<u4")
         for batch in work.batches(batch_iter):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            # the words of a batch are learnt together, which costs one call
             rows = []
-            if new := {w for t in texts for w in t.replace("\n", " ").split(" ")} - own.known.keys():
-                own.learn(list(new))
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(texts)):
+            whole = iter(own.encode([t for t in texts if len(t) <= LONG]))
+            for doc, text in zip(batch.column(0).to_pylist(), texts):
+                ids = next(whole) if len(text) <= LONG else own.encode_long(text)
                 ids = np.concatenate([ids, end])
                 rows += [(doc, a, n, c, len(ids)) for a, n, c in cut(ids, capacity)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

@@ -24,19 +24,17 @@ class PairMerger:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.made[at], NONE)
 
-    def merge(self, ids: np.ndarray) -> list[np.ndarray]:
-        """The merged ids of each row; all rows are pieces of one length."""
-        out: list = [None] * len(ids)
+    def merge(self, ids: np.ndarray):
+        """(row numbers, merged ids of those rows) in groups of equal length; all rows are pieces of one length."""
         rows, ranks = np.arange(len(ids)), self.rank(ids[:, :-1], ids[:, 1:])
         while True:
             low = ranks.min(axis=1) if ranks.shape[1] else np.full(len(ids), NONE)
             live = low < NONE
             if not live.all():
-                for k in np.flatnonzero(~live).tolist():
-                    out[rows[k]] = ids[k]
+                yield rows[~live], ids[~live]
                 rows, ids, ranks, low = rows[live], ids[live], ranks[live], low[live]
             if not len(rows):
-                return out
+                return
             n, width = ids.shape
             at, every = ranks.argmin(axis=1), np.arange(n)
             ids[every, at] = low
@@ -51,7 +49,7 @@ class PairMerger:
                 some = np.flatnonzero(at > 0)
                 ranks[some, at[some] - 1] = self.rank(ids[some, at[some] - 1], ids[some, at[some]])
 
-    def merge_pieces(self, pieces: list[bytes], first: np.ndarray, last: np.ndarray, longest: int = 48, block: int = 20_000) -> dict[bytes, np.ndarray]:
+    def merge_pieces(self, pieces: list[bytes], first: np.ndarray, last: np.ndarray, longest: int = 48, block: int = 20_000) -> dict[bytes, list[int]]:
         """piece -> ids for the pieces of up to `longest` bytes; first and last give the ids of inner and final bytes."""
         out, by_length = {}, {}
         for p in pieces:
@@ -63,5 +61,6 @@ class PairMerger:
                 raw = np.frombuffer(b"".join(part), np.uint8).reshape(-1, n)
                 ids = first[raw]
                 ids[:, -1] = last[raw[:, -1]]
-                out.update(zip(part, self.merge(ids)))
+                for rows, merged in self.merge(ids):
+                    out.update(zip([part[k] for k in rows.tolist()], merged.tolist()))
         return out
