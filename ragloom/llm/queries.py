@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import bytebpe, language, multiset, packing, sharding, urls
+from ragloom.llm import bytebpe, language, multiset, packing, sharding, simhash, urls
 
 #: The URL rules of the contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -21,6 +21,10 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).drop("fps")
+
+
 def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.with_edits(read(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_multiset_hash, op4_feistel_shards, op5_host_reputation, op6_cross_parsing, op9_byte_bpe, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_multiset_hash, op4_feistel_shards, op5_host_reputation, op6_cross_parsing, op9_byte_bpe, op10_pack)}
 ORACLES: dict[str, str] = {}
