@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import bytebpe, language, multiset, packing, sharding, simhash, urls
+from ragloom.llm import ann, bytebpe, html, language, multiset, packing, sharding, simhash, urls
 
 #: The URL rules of the contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -25,6 +25,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).drop("fps")
 
 
+def op2_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
 def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.with_edits(read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,10 @@ def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op8_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 
@@ -52,5 +60,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_multiset_hash, op4_feistel_shards, op5_host_reputation, op6_cross_parsing, op9_byte_bpe, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_anisotropic_search, op3_multiset_hash, op4_feistel_shards, op5_host_reputation, op6_cross_parsing, op8_dom_model, op9_byte_bpe, op10_pack)}
 ORACLES: dict[str, str] = {}
