@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import ann, bytebpe, html, language, multiset, packing, sharding, simhash, urls
+from ragloom.llm import ann, bytebpe, html, language, multiset, packing, sharding, simhash, spans, urls
 
 #: The URL rules of the contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -48,6 +48,10 @@ def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_report(read(spark, sf_dir, "documents"))
+
+
 def op8_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -60,5 +64,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_anisotropic_search, op3_multiset_hash, op4_feistel_shards, op5_host_reputation, op6_cross_parsing, op8_dom_model, op9_byte_bpe, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_anisotropic_search, op3_multiset_hash, op4_feistel_shards, op5_host_reputation, op6_cross_parsing, op7_suffix_spans, op8_dom_model, op9_byte_bpe, op10_pack)}
 ORACLES: dict[str, str] = {}
