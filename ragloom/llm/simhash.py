@@ -119,9 +119,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, views: int = 1, key: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id", "fps")
 
 
-def keep_one(docs: DataFrame, words: int = 5, views: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with one document of each group left: that of the smallest key. Rows with a null key stay."""
-    groups = work.table(near_duplicates(docs, words, views, key, text).select("doc_id", "component_id"), "groups")
+def first_of_groups(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs that are their class's smallest key, one each; rows with a null key stay. classes: (doc_id, component_id)."""
+    groups = work.table(classes.select("doc_id", "component_id"), "groups")
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     out = docs.join(kept, docs[key] == kept["__kept"], "left_semi")
     again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
@@ -129,3 +129,8 @@ def keep_one(docs: DataFrame, words: int = 5, views: int = 8, key: str = "doc_id
         once = out.join(again, out[key] == again["__again"], "left_anti")
         out = once.unionByName(out.join(again, out[key] == again["__again"], "left_semi").dropDuplicates([key]))
     return out.unionByName(docs.where(F.col(key).isNull()))
+
+
+def keep_one(docs: DataFrame, words: int = 5, views: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with one document of each group left: that of the smallest key. Rows with a null key stay."""
+    return first_of_groups(docs, near_duplicates(docs, words, views, key, text), key)
