@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ragloom.llm import ann, bytebpe, html, language, multiset, packing, queries, sharding, simhash, spans, urls
+from ragloom.llm import ann, bytebpe, html, language, multiset, packing, queries, sharding, similar, simhash, spans, urls
 from ragloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -104,6 +104,42 @@ def test_op1_odd_rows(odd, empty):
     assert simhash.keep_one(odd.where("doc_id = 4")).count() == 1
 
 
+def shingle_set(text, k=5):
+    w = words_of(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_similar_pairs_of_known_similarity(spark, crowd):
+    """Copies with a stretch of words replaced: classes by clear similarity, apart by clear difference."""
+    rng, rows, base = np.random.default_rng(5), [], []
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+        base.append(words)
+        for j, change in enumerate([0, 0, 20, 40, 50] if k else [0] * 3 + [20] * 40):
+            at = int(rng.integers(0, 600 - max(change, 1)))
+            rows.append((100 * k + j, " ".join(words[:at] + [f"n{k}x{j}x{i}" for i in range(change)] + words[at + change :])))
+        rows.append((100 * k + 90, " ".join(words[:300] + [f"far{k}x{i}" for i in range(300)])))
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    for k in range(12):
+        for i in (i for i in sets if i // 100 == k):
+            s = len(sets[i] & sets[100 * k]) / len(sets[i] | sets[100 * k])
+            if s > 0.83 or s < 0.6:
+                assert (got[i] == 100 * k) == (s > 0.83), (i, s)
+
+
+def test_similar_odd_rows(odd, empty):
+    got = similar.near_duplicates(odd).collect()
+    assert len(got) == len(ODD)
+    assert {r.component_id for r in got if r.doc_id in (1, 2, 6)} == {1}
+    assert {r.component_id for r in got if r.doc_id in (0, 4)} == {0}
+    assert similar.near_duplicates(empty).count() == 0
+    kept = similar.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "1", "3", "5", "7", "None"]
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(pairs).collect()} == {0}
