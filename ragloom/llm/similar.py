@@ -9,10 +9,12 @@ its distance d gives the cosine cos(pi d / BITS), and with the two shingle count
 standard error of about 0.015 at 0.8.
 
 A bucket of more than CROWD members would make pairs by the square of its size. There, members and probes first meet
-about ANCHORS members (those of smallest hash), and components are formed. What is not yet in its bucket's largest
-component is then compared with every member of another component, in rounds of growing size, until nothing is left;
-so no match is dropped, and groups of copies cost rows in proportion to their size. A round's links are merged into
-the components found before, whose roots alone are worked on again.
+about ANCHORS members (those of smallest hash), and components are formed. Then, in rounds of growing size, further
+members meet the probes of another component: those in the bucket's largest component the probes outside it, all
+others every probe. Components only grow, so after a round its members are settled for good with every probe of their
+bucket, whichever component is the largest later; the rounds end when all members are settled or all probes of the
+bucket are one component. No match is dropped, and groups of copies cost rows in proportion to their size. A round's
+links are merged into the components found before, whose roots alone are worked on again.
 
 Texts without words (null, empty) form one class of their own. Null keys get a class but never name it unless it has
 no other key. Repeated rows each get their row; an empty table gives no rows; other columns are ignored.
@@ -94,7 +96,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
 
 
 def meet(anchors: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of anchors (key, node, n) with others (key, node) of their key; a crowd of n is dealt to n / SHARE tasks."""
+    """Pairs of anchors (key, node, n) with others (key, node, n) of their key; a crowd of n is dealt to n / SHARE tasks."""
     parts = F.ceil(F.col("n") / SHARE).cast("int")
     left = anchors.select("key", F.col("node").alias("x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     right = others.select("key", F.col("node").alias("y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
@@ -130,16 +132,19 @@ def linked_roots(nodes: DataFrame, similarity: float, crowd: int = CROWD) -> Dat
     hot = meet(members.where(spot < ANCHORS / F.col("n")), visitors)
     roots = merged(None, work.table(verified(cold.unionByName(hot).distinct(), real, similarity), "verified"))
     share = ANCHORS
-    while True:  # what is outside its bucket's largest component meets every member of the others
-        placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    while True:  # members below the share are settled: linked to, or compared with, every visitor of another component
+        kin = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+        placed = visitors.where(F.col("n") > share).join(kin("node"), "node", "left").select("key", "node", "n", F.coalesce("root_node", "node").alias("root"))
         sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-        apart = work.table(placed.join(main, "key").where("root <> main").where(spot >= share / F.col("n")), "apart")
-        if apart.isEmpty():
+        rest = members.where(spot >= share / F.col("n")).join(main, "key").join(kin("node"), "node", "left")
+        rest = work.table(rest.select("key", "node", "n", (F.coalesce("root_node", "node") != F.col("main")).alias("apart")), "rest")
+        if rest.isEmpty():
             return roots
         share *= 16
-        more = meet(apart.where(spot < share / F.col("n")), visitors)
-        kin = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+        now = rest.where(spot < share / F.col("n"))
+        others = work.table(placed.join(main, "key").where("root <> main").select("key", "node", "n"), "others")
+        more = meet(now.where("apart"), visitors).unionByName(meet(now.where("not apart"), others)).distinct()
         fresh = more.join(kin("a"), "a", "left").join(kin("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
         roots = merged(roots, work.table(verified(fresh, real, similarity), "verified"))
 

@@ -129,6 +129,32 @@ def test_similar_pairs_of_known_similarity(spark, crowd):
                 assert (got[i] == 100 * k) == (s > 0.83), (i, s)
 
 
+def crowd_rows(seed, groups=16):
+    """Groups of copies with texts near 0.8 to single copies, and second groups at the ends of such chains."""
+    rng, rows = np.random.default_rng(seed), []
+
+    def changed(words, n, tag):
+        at = int(rng.integers(0, len(words) - n))
+        return words[:at] + [f"{tag}x{i}" for i in range(n)] + words[at + n :]
+
+    for k in range(groups):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+        copies = [changed(base, 1, f"c{k}x{j}") for j in range(24)]
+        links = [changed(w, int(rng.integers(48, 64)), f"z{k}x{j}") for j, w in enumerate(copies[:12])]
+        ends = [changed(w, int(rng.integers(48, 64)), f"e{k}x{j}") for j, w in enumerate(links)]
+        more = [changed(w, 1, f"d{k}x{j}x{i}") for j, w in enumerate(ends[:2]) for i in range(12)]
+        rows += [(1000 * k + j, " ".join(w)) for j, w in enumerate(copies + links + ends + more)]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_crowded_buckets_lose_no_chain(spark, seed):
+    """Chains between crowded groups at the default CROWD: the classes without any crowded bucket."""
+    frame = spark.createDataFrame(crowd_rows(seed), "doc_id long, text string")
+    found = [{r.doc_id: r.component_id for r in similar.near_duplicates(frame, crowd=c).collect()} for c in (similar.CROWD, 10**9)]
+    assert found[0] == found[1]
+
+
 def test_similar_odd_rows(odd, empty):
     got = similar.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
