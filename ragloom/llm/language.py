@@ -1,7 +1,7 @@
 """Language identification by cross-parsing against suffix automata.
 
-For each language a suffix automaton is built over a bounded sample of labelled text (TRAIN_CHARS characters, whole
-documents of at most SAMPLE_CHARS characters in the order of a hash of their ids). A text is parsed greedily into
+For each language a suffix automaton is built over a bounded sample of labelled text (TRAIN_CHARS characters, excerpts
+of at most SAMPLE_CHARS characters, each from its document's first letter on, in the order of a hash of their ids). A text is parsed greedily into
 the longest phrases that occur in the sample; few phrases mean that the sample predicts the text well. Phrase counts
 are normalised to bits per character, phrases x log2(sample length) / text length; the lowest wins, ties go to the
 smaller language name.
@@ -10,7 +10,8 @@ All automata share one transition table, in which a missing transition leads to
 carries a flag, so all segments of a batch of texts advance in step for all languages. Texts are cut into segments
 of SEGMENT characters, the phrase count of a text is the sum over its segments: the whole text is read.
 
-Null text, or text without a letter: language `und`, score 0. Without any learned language every text is `und`.
+Null text, or text without a letter: language `und`, score 0. Without any learned language every text is `und`; the
+pipeline's stage keeps the lettered ones all the same.
 Empty tables give no rows; repeated rows are judged each; other columns are ignored. Rows with null key are held in.
 """
 
@@ -40,11 +41,15 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def lettered(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def training_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
     """Labelled text by language, at most TRAIN_CHARS characters each: the bounded sample that the models learn from."""
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang"))
-    usable = own.where(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("k")) & (F.length("t") <= SAMPLE_CHARS) & F.col("t").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("k", "t"), "k")
+    own = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("k"), F.xxhash64(key, text).alias("h"), F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS - 1}}}", 0).alias("t"), F.col(lang).alias("lang"))
+    usable = own.where("t <> ''")
+    first = Window.partitionBy("lang").orderBy("h", "k")
     chosen = usable.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
     out: dict[str, str] = {}
     for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["n"])):
@@ -147,14 +152,14 @@ class CrossParser:
         """(languages, scores, bits per character) of the texts."""
         counts, lengths = self.phrases([t or "" for t in texts])
         bits = counts * np.array(self.bits or [0.0] * counts.shape[1]) / np.maximum(lengths, 1)[:, None]
-        lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
+        has = np.array([lettered(t) for t in texts], bool)
         if not self.names:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         best = bits.argmin(axis=1)
         low = bits[np.arange(len(texts)), best]
         second = np.partition(bits, 1, axis=1)[:, 1] if len(self.names) > 1 else low + 1
-        score = np.where(lettered, np.clip(1 - low / np.maximum(second, 1e-9), 0, 1), 0.0)
-        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], score, low
+        score = np.where(has, np.clip(1 - low / np.maximum(second, 1e-9), 0, 1), 0.0)
+        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has.tolist())], score, low
 
 
 def parser(sample: dict[str, str]) -> CrossParser:
@@ -185,7 +190,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows whose text has a language, all columns as they are: rows judged `und` go.
+    """The rows whose text has a letter, and so a language, all columns as they are: rows judged `und` for want of one go.
 
     Works row by row beside the other columns, so repeated and null keys need no join.
     """
@@ -195,7 +200,8 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     def run(batch_iter):
         own = parser(sample)
         for batch in work.batches(batch_iter, 2048):
-            found = own.judge(batch.column(at).to_pylist())[0]
-            yield batch.filter(pa.array([f != UNKNOWN for f in found]))
+            texts = batch.column(at).to_pylist()
+            found = own.judge(texts)[0] if own.names else [UNKNOWN if not lettered(t) else "" for t in texts]
+            yield batch.filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -272,6 +272,20 @@ def test_op6_held_out_accuracy(docs, odd, empty):
     assert language.identify(empty).count() == 0 and language.keep_identified(odd).count() == len(ODD) - 3
 
 
+def test_op6_learns_from_long_documents(spark):
+    """Languages whose labelled rows are all longer than an excerpt are learnt; without labels lettered rows stay."""
+    rng = np.random.default_rng(3)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    pools = {"aa": [word("abcdefg") for _ in range(60)], "bb": [word("nopqrst") for _ in range(60)]}
+    size = {"aa": 3000, "bb": 40}
+    rows = [(100 * k + j, "1 " * 9000 * (lang == "aa") + " ".join(rng.choice(pools[lang], size[lang])), lang) for k, lang in enumerate(pools) for j in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [(r.doc_id, r.lang_pred) for r in language.identify(frame).orderBy("doc_id").collect()] == [(i, lang) for i, _, lang in sorted(rows)]
+    plain = spark.createDataFrame([(1, "words", None), (2, "12", None), (3, None, None)], frame.schema)
+    assert [r.doc_id for r in language.keep_identified(plain).collect()] == [1]
+    assert {r.lang_pred for r in language.identify(plain).collect()} == {"und"}
+
+
 def test_op6_cross_parsing_counts():
     own = language.CrossParser({"a": "abcabcabd", "b": "xyzxyzabc"})
     counts, _ = own.phrases(["abcabd", "", "zzz"])
