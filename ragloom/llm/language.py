@@ -6,8 +6,10 @@ the longest phrases that occur in the sample; few phrases mean that the sample p
 are normalised to bits per character, phrases x log2(sample length) / text length; the lowest wins, ties go to the
 smaller language name.
 
-All automata share one transition table, in which a missing transition leads to where the next phrase begins and
-carries a flag, so all segments of a batch of texts advance in step for all languages. Texts are cut into segments
+All letters of the samples, of whatever script, are symbols of their own; all other characters are symbol 0. The
+automata's transitions lie in one sparse table by row displacement: a state is its offset, and the slot at offset +
+symbol names the state it belongs to. A missing transition ends the phrase and leads to where the next one begins, so all
+segments of a batch of texts advance in step for all languages. Texts are cut into segments
 of SEGMENT characters, the phrase count of a text is the sum over its segments: the whole text is read.
 
 Null text, or text without a letter: language `und`, score 0. Without any learned language every text is `und`; the
@@ -18,6 +20,7 @@ Empty tables give no rows; repeated rows are judged each; other columns are igno
 from __future__ import annotations
 
 import math
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,6 @@ TRAIN_CHARS = 40_000
 SAMPLE_CHARS = 8_192
 SAMPLE_DOCS = 200
 SEGMENT = 512
-LETTERS = 64  # symbols of the shared alphabet; rarer characters share symbol 0
-FLAG = 1 << 30
 UNKNOWN = "und"
 _models: dict = {}
 
@@ -88,40 +89,69 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def displaced(automata: list[list[dict[int, int]]], width: int) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    """(offset of each state, owner of each slot, next state's offset in each slot); no two states share an offset."""
+    taken, used, spots = bytearray(b"\1" * width + b"\0" * width), set(), []
+    order = sorted(((-len(edges), k, s) for k, own in enumerate(automata) for s, edges in enumerate(own)))
+    at = [[0] * len(own) for own in automata]
+    low, degree = width, 0
+    for d, k, s in order:
+        symbols = sorted(automata[k][s])
+        if not symbols:  # owns no slot
+            at[k][s] = 0
+            continue
+        if d != degree:
+            low, degree = width, d
+        slot, tries = low, 0
+        while True:
+            slot = taken.find(0, slot)
+            if slot < 0 or slot + width >= len(taken):
+                slot = len(taken) - width if slot < 0 else slot
+                taken.extend(bytes(len(taken)))
+                continue
+            offset = slot - symbols[0]
+            if offset not in used and not any(taken[offset + c] for c in symbols):
+                break
+            slot, tries = slot + 1, tries + 1
+        if tries > 64 or len(symbols) == 1 and not tries:
+            low = slot
+        at[k][s] = offset
+        used.add(offset)
+        for c in symbols:
+            taken[offset + c] = 1
+    owner, to = np.full(len(taken), -1, np.int32), np.zeros(len(taken), np.int32)
+    for own, places in zip(automata, at):
+        for s, edges in enumerate(own):
+            for c, t in edges.items():
+                owner[places[s] + c] = places[s]
+                to[places[s] + c] = places[t]
+    return at, owner, to
+
+
 class CrossParser:
-    """The automata of all languages in one table of (state, symbol) -> next state x LETTERS, flagged at phrase ends."""
+    """The automata of all languages in one sparse table; `begin` holds each language's state after a phrase's first symbol."""
 
     def __init__(self, sample: dict[str, str]):
         self.names = sorted(sample)
         texts = {k: v.lower() for k, v in sample.items()}
-        counts: dict[str, int] = {}
-        for t in texts.values():
-            for c in t:
-                counts[c] = counts.get(c, 0) + 1
-        common = sorted((c for c in counts if c.isalpha() or c == " "), key=lambda c: (-counts[c], c))[: LETTERS - 2]
-        self.symbols = np.zeros(1 << 16, np.uint8)
-        for k, c in enumerate(common):
-            self.symbols[ord(c) & 0xFFFF] = k + 1
+        letters = sorted({c for t in texts.values() for c in t if c.isalpha() or c == " " or unicodedata.category(c)[0] == "M"})
+        self.symbols = np.zeros(0x110000, np.int32)
+        self.symbols[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.symbols[10] = self.symbols[32]
-        rows, self.starts, self.bits = [], [], []
-        for name in self.names:
-            codes = self.codes(texts[name]).tolist()
-            automaton = suffix_automaton(codes)
-            base = sum(map(len, rows))
-            table = np.full((len(automaton), LETTERS), -1, np.int64)
-            for s, edges in enumerate(automaton):
-                for c, to in edges.items():
-                    table[s, c] = to
-            begin = np.where(table[0] >= 0, table[0], 0)
-            table = np.where(table >= 0, (table + base) * LETTERS, ((begin + base) * LETTERS) | FLAG)
-            rows.append(table.astype(np.int32))
-            self.starts.append(base * LETTERS)
-            self.bits.append(math.log2(len(codes) + 2))
-        self.table = np.concatenate(rows).ravel() if rows else np.empty(0, np.int32)
+        coded = [self.codes(texts[name]).tolist() for name in self.names]
+        self.bits = [math.log2(len(codes) + 2) for codes in coded]
+        automata = [suffix_automaton(codes) for codes in coded]
+        width = len(letters) + 1
+        at, self.owner, self.to = displaced(automata, width)
+        self.starts = [places[0] for places in at]
+        self.begin = np.repeat(np.array(self.starts, np.int32)[:, None], width, 1)
+        for k, own in enumerate(automata):
+            for c, t in own[0].items():
+                self.begin[k, c] = at[k][t]
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        return self.symbols[np.where(points < 1 << 16, points, 0)]
+        return self.symbols[points]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages phrase counts, text lengths)."""
@@ -141,9 +171,11 @@ class CrossParser:
         state = np.repeat(np.array(self.starts, np.int32)[:, None], len(owner), 1)
         count = np.ones(state.shape, np.int32)
         for j, n in enumerate(running.tolist()):
-            got = self.table.take(state[:, :n] + flat.take(begin[:n] + j))
-            count[:, :n] += got >> 30
-            state[:, :n] = got & (FLAG - 1)
+            symbol = flat.take(begin[:n] + j)
+            slot = state[:, :n] + symbol
+            missing = self.owner.take(slot) != state[:, :n]
+            count[:, :n] += missing
+            state[:, :n] = np.where(missing, self.begin[:, symbol], self.to.take(slot))
         for k in range(len(self.names)):
             out[:, k] = np.bincount(owner, count[k], len(texts))
         return out, lengths

@@ -301,6 +301,19 @@ def test_op6_cross_parsing_counts():
                 assert got == n
 
 
+def test_op6_tells_languages_of_one_script_apart():
+    """Beside 90 more frequent Latin and Cyrillic letters, two languages of each of some other scripts."""
+    rng = np.random.default_rng(4)
+    letters = [chr(c) for c in range(0x61, 0x17F) if chr(c).isalpha() and chr(c).islower()][:58] + [chr(c) for c in range(0x430, 0x450)]
+    pools = {"wide": ["".join(rng.choice(letters, 6)) for _ in range(500)]}
+    for script, (low, n) in {"han": (0x4E00, 2000), "thai": (0x0E01, 46), "greek": (0x3B1, 24), "beyond": (0x20000, 2000)}.items():
+        for k in "12":
+            pools[script + k] = ["".join(chr(low + int(x)) for x in rng.integers(0, n, 3)) for _ in range(200)]
+    own = language.CrossParser({name: " ".join(rng.choice(pool, 6000 if name == "wide" else 400)) for name, pool in pools.items()})
+    names = [name for name in pools for _ in range(10)]
+    assert own.judge([" ".join(rng.choice(pools[name], 30)) for name in names])[0] == names
+
+
 def brute_spans(own):
     first, out = {}, {}
     for d, data in sorted(own, key=lambda x: x[0]):
