@@ -1,19 +1,16 @@
-"""Near-duplicates of five-word shingles at a similarity of 0.8, by multi-index hashing of long SimHash fingerprints.
+"""Near-duplicates of five-word shingles at a Jaccard similarity of 0.8, by banded minima and exact comparison.
 
-A text's fingerprint has BITS majority bits over its distinct shingles, cut into segments of WIDTH bits. Two texts of
-Jaccard similarity 0.8 differ in about 15 % of the bits, so no radius round 64 bits finds them; but in one of the
-segments they are likely to differ by none or by those bits alone whose majority is least certain. Each segment is
-therefore a table key, and its probes are a small Hamming ball: the segment itself, the two least certain bits
-flipped one at a time, and the likelier of flipping both or the third. Matches are verified by the whole fingerprint:
-its distance d gives the cosine cos(pi d / BITS), and with the two shingle counts the Jaccard similarity, with a
-standard error of about 0.015 at 0.8.
+A text's key in each of BANDS bands is made of ROWS minima of its distinct shingles' hashes, each under another
+multiplier. Two texts of similarity J agree in one minimum with probability J and in a band with J^ROWS, so at 0.8 they
+share no key with probability (1 - 0.8^6)^40 = 5e-6. Texts that share a key are compared by their exact shingle sets (of
+64-bit hashes), which are made again for those texts alone.
 
-A bucket of more than CROWD members would make pairs by the square of its size. There, members and probes first meet
+A bucket of more than CROWD members would make pairs by the square of its size. There, members first meet
 about ANCHORS members (those of smallest hash), and components are formed. Then, in rounds of growing size, further
-members meet the probes of another component: those in the bucket's largest component the probes outside it, all
-others every probe. Components only grow, so after a round its members are settled for good with every probe of their
-bucket, whichever component is the largest later; the rounds end when all members are settled or all probes of the
-bucket are one component. No match is dropped, and groups of copies cost rows in proportion to their size. A round's
+members meet those of other components: members of the bucket's largest component meet those outside it, all others
+every member. Components only grow, so after a round its members are settled for good with every member of their
+bucket, whichever component is the largest later; the rounds end when all members are settled or the bucket is one
+component. No match is dropped, and groups of copies cost rows in proportion to their size. A round's
 links are merged into the components found before, whose roots alone are worked on again.
 
 Texts without words (null, empty) form one class of their own. Null keys get a class but never name it unless it has
@@ -22,85 +19,93 @@ no other key. Repeated rows each get their row; an empty table gives no rows; ot
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ragloom.llm import simhash, work
 from ragloom.llm.components import components
 
-WIDTH, SEGMENTS, VIEWS = 28, 73, 32
-BITS = WIDTH * SEGMENTS
+ROWS, BANDS = 6, 40
 CROWD, ANCHORS, SHARE = 4, 2, 4096
-#: Odd multipliers, one per view.
-VIEW = np.array([0x9E3779B97F4A7C15 * (2 * v + 1) % (1 << 64) for v in range(VIEWS)], np.uint64)
-PLACE = np.int64(1) << np.arange(WIDTH, dtype=np.int64)
+#: Odd multipliers, one per minimum; those that mix a band's minima into its key are others.
+FACTOR, MIX = (np.array([xxh64_intdigest(f"{s} {k}".encode(), 42) | 1 for k in range(BANDS * ROWS)], np.uint64) for s in ("factor", "mix"))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The key of each band, for one hash at least."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (FACTOR[:, None] * hashes[at : at + 512]).min(axis=1), out=least)
+    mixed = (least ^ (least >> np.uint64(29))) * MIX
+    key = (mixed ^ (mixed >> np.uint64(32))).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) * MIX[:BANDS]
+    return (key ^ (key >> np.uint64(31))).view(np.int64)
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """Twice the number of set bits less the number of hashes, for each of BITS bits."""
-    total = np.zeros(VIEWS * 64, np.int64)
-    for at in range(0, len(hashes), 255):  # sums of bytes, which hold 255 at most
-        h = hashes[at : at + 255, None] * VIEW
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        total += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return (2 * total - len(hashes))[:BITS]
+def shingle_set(text: str | None, words: int) -> tuple[np.ndarray, int]:
+    """(distinct shingle hashes, their digest: the node)."""
+    h = np.unique(simhash.shingle_hashes(text or "", words))
+    return h, int(np.uint64(xxh64_intdigest(h.tobytes(), 7)).view(np.int64))
 
 
-def segment_codes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of the segments, three masks of each segment's ball)."""
-    margin = majority(hashes).reshape(SEGMENTS, WIDTH)
-    codes = (margin > 0) @ PLACE
-    doubt = np.abs(margin)
-    order = np.argsort(doubt, axis=1, kind="stable")[:, :3]
-    cost = np.take_along_axis(doubt, order, 1).astype(np.float64) ** 2
-    one, two, three = PLACE[order].T
-    last = np.where(cost[:, 0] + cost[:, 1] < cost[:, 2], one | two, three)
-    return codes.astype(np.int32), np.stack([one, two, last], axis=1).astype(np.int32).ravel()
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
 
 
-def fingerprints(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(doc_id, shingles, codes, masks) of every row."""
+def keyed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(doc_id, node, shingles, keys) of every row."""
 
     def run(batch_iter):
         for batch in work.batches(batch_iter):
-            sizes, codes, masks = [], [], []
+            sizes, marks, keys = [], [], []
             for t in batch.column(1).to_pylist():
-                h = np.unique(simhash.shingle_hashes(t or "", words))
-                c, m = segment_codes(h)
-                sizes.append(len(h)), codes.append(c), masks.append(m)
-            lists = [pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * len(x[0]), np.concatenate(x)) for x in (codes, masks)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "shingles", "codes", "masks"])
+                h, node = shingle_set(t, words)
+                sizes.append(len(h)), marks.append(node), keys.append(band_keys(h) if len(h) else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), lists(keys)], names=["doc_id", "node", "shingles", "keys"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, shingles long, codes array<int>, masks array<int>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, node long, shingles long, keys array<long>")
 
 
-def segment_key(code, segment):
-    return F.shiftleft(segment.cast("long"), WIDTH).bitwiseOR(code.cast("long"))
+def shingle_sets(docs: DataFrame, words: int, text: str, needed: DataFrame) -> DataFrame:
+    """(node, hashes) of the needed nodes."""
+
+    def run(batch_iter):
+        for batch in work.batches(batch_iter):
+            made = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for _, n in made], pa.int64()), lists([h.view(np.int64) for h, _ in made])], names=["node", "hashes"])
+
+    sets = docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, hashes array<long>")
+    return sets.join(needed, "node", "left_semi").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
 
 
 def pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole fingerprints give at least that similarity."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("codes").alias(f"codes_{s}"), F.col("shingles").alias(f"n_{s}"))
-    bits = F.aggregate(F.zip_with("codes_a", "codes_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    common = F.cos(bits * math.pi / BITS) * F.sqrt(F.col("n_a") * F.col("n_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(common >= similarity * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+def alike(similarity: float):
+    """Sizes of x and y that allow that similarity."""
+    return F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"hashes_{s}"))
+    common = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), (F.size("hashes_a") + F.size("hashes_b")).alias("total"))
+    return both.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b")
+
+
 
 
-def meet(anchors: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of anchors (key, node, n) with others (key, node, n) of their key; a crowd of n is dealt to n / SHARE tasks."""
+def meet(anchors: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of anchors with others (key, node, size, n) of their key; a crowd of n is dealt to n / SHARE tasks."""
     parts = F.ceil(F.col("n") / SHARE).cast("int")
-    left = anchors.select("key", F.col("node").alias("x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = others.select("key", F.col("node").alias("y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    return left.join(right, ["key", "part"]).where("x <> y").select(*pair("x", "y")).distinct()
+    left = anchors.select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = others.select("key", F.col("node").alias("y"), F.col("size").alias("size_y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    return left.join(right, ["key", "part"]).where((F.col("x") != F.col("y")) & alike(similarity)).select(*pair("x", "y")).distinct()
 
 
 def merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -114,46 +119,44 @@ def merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
     return work.table(old.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
-def linked_roots(nodes: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """(node, root) of every node with a verified link that the probes match. nodes: (node, shingles, codes, masks)."""
-    real = nodes.where("shingles > 0")
-    own = F.transform("codes", segment_key)
-    flipped = F.transform("masks", lambda m, i: segment_key(F.get("codes", F.floor(i / 3).cast("int")).bitwiseXOR(m), F.floor(i / 3)))
-    table = real.select(F.explode(own).alias("key"), "node")
-    probes = real.select(F.explode(F.concat(own, flipped)).alias("key"), "node")
-    full = work.table(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowded")
+def linked_roots(table: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
+    """(node, root) of every node with a verified link. table: (key, node, size); counts: (key, n) with n > 1; sets: (node, hashes)."""
+    few = table.join(counts.where(F.col("n") <= crowd), "key").select("key", "node", "size")
+    left, right = (few.select("key", F.col("node").alias(s), F.col("size").alias(f"size_{s}")) for s in "xy")
+    cold = left.join(right, "key").where((F.col("x") < F.col("y")) & alike(similarity)).select(*pair("x", "y")).distinct()
+    full = counts.where(F.col("n") > crowd)
     if full.isEmpty():
-        found = table.join(probes.select("key", F.col("node").alias("y")), "key").where("node <> y").select(*pair("node", "y")).distinct()
-        return merged(None, work.table(verified(found, real, similarity), "verified"))
-    cold = table.join(full, "key", "left_anti").join(probes.select("key", F.col("node").alias("y")), "key").where("node <> y").select(*pair("node", "y"))
+        return merged(None, work.table(verified(cold, sets, similarity), "verified"))
     members = work.table(table.join(full, "key"), "members")
-    visitors = work.table(probes.join(full, "key"), "visitors")
     spot = F.shiftrightunsigned(F.xxhash64(F.lit(7), "node"), 11) / F.lit(float(1 << 53))
-    hot = meet(members.where(spot < ANCHORS / F.col("n")), visitors)
-    roots = merged(None, work.table(verified(cold.unionByName(hot).distinct(), real, similarity), "verified"))
+    hot = meet(members.where(spot < ANCHORS / F.col("n")), members, similarity)
+    roots = merged(None, work.table(verified(cold.unionByName(hot).distinct(), sets, similarity), "verified"))
     share = ANCHORS
-    while True:  # members below the share are settled: linked to, or compared with, every visitor of another component
+    while True:  # members below the share are settled: linked to, or compared with, every member of another component
         kin = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-        placed = visitors.where(F.col("n") > share).join(kin("node"), "node", "left").select("key", "node", "n", F.coalesce("root_node", "node").alias("root"))
-        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-        rest = members.where(spot >= share / F.col("n")).join(main, "key").join(kin("node"), "node", "left")
-        rest = work.table(rest.select("key", "node", "n", (F.coalesce("root_node", "node") != F.col("main")).alias("apart")), "rest")
+        placed = members.where(F.col("n") > share).join(kin("node"), "node", "left").select("key", "node", "size", "n", F.coalesce("root_node", "node").alias("root"))
+        main = placed.groupBy("key", "root").agg(F.count("*").alias("here")).groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("kinds"))
+        parted = work.table(placed.join(main.where("kinds > 1"), "key").select("key", "node", "size", "n", (F.col("root") != F.col("main")).alias("apart")), "parted")
+        rest = parted.where(spot >= share / F.col("n"))
         if rest.isEmpty():
             return roots
         share *= 16
         now = rest.where(spot < share / F.col("n"))
-        others = work.table(placed.join(main, "key").where("root <> main").select("key", "node", "n"), "others")
-        more = meet(now.where("apart"), visitors).unionByName(meet(now.where("not apart"), others)).distinct()
+        more = meet(now.where("apart"), parted, similarity).unionByName(meet(now.where("not apart"), parted.where("apart"), similarity)).distinct()
         fresh = more.join(kin("a"), "a", "left").join(kin("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        roots = merged(roots, work.table(verified(fresh, real, similarity), "verified"))
+        roots = merged(roots, work.table(verified(fresh, sets, similarity), "verified"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id) of every row; component_id is the smallest key reachable by links."""
-    own = work.table(fingerprints(docs, words, key, text).withColumn("node", F.xxhash64("codes", F.col("shingles") == 0)), "fingerprints")
-    nodes = work.table(own.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("shingles", "codes", "masks")]), "nodes")
-    roots = linked_roots(nodes, similarity, crowd)
+    own = work.table(keyed(docs, words, key, text), "keyed")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("shingles").alias("size"), F.any_value("keys").alias("keys"))
+    nodes = work.table(nodes, "nodes")
+    table = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    counts = work.table(table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    table = work.table(table.join(counts, "key", "left_semi"), "shared")
+    sets = work.table(shingle_sets(docs, words, text, table.select("node").distinct()), "sets")
+    roots = linked_roots(table, counts, sets, similarity, crowd)
     firsts = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(firsts, "root").select("node", "component_id")
     classes = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))

@@ -155,6 +155,39 @@ def test_similar_crowded_buckets_lose_no_chain(spark, seed):
     assert found[0] == found[1]
 
 
+def exact_classes(rows, similarity=0.8):
+    """The smallest key of each text's component, over all pairs by exact Jaccard similarity."""
+    sets, where, root = {i: shingle_set(t) for i, t in rows}, {}, {i: i for i, _ in rows}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        for j, common in Counter(j for x in s for j in where[x] if j > i).items():
+            if common / (len(s) + len(sets[j]) - common) >= similarity:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_equals_exact_jaccard(spark, seed):
+    """All similarities about the threshold, texts of few words, and chains between crowded groups."""
+    rng, rows = np.random.default_rng(seed), crowd_rows(seed, 4)
+    for k in range(400):
+        words = [f"v{x}" for x in rng.integers(0, 5000, int(rng.integers(1, 40)) if k % 2 else 300)]
+        at, n = int(rng.integers(0, len(words))), int(len(words) * rng.uniform(0, 0.3))
+        other = words[:at] + [f"y{k}x{i}" for i in range(n)] + words[at + n :]
+        rows += [(10**6 + 10 * k + j, " ".join(w)) for j, w in enumerate([words, other, words + [f"z{k}"]])]
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == exact_classes(rows)
+
+
 def test_similar_odd_rows(odd, empty):
     got = similar.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
