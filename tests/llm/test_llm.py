@@ -155,6 +155,26 @@ def test_similar_crowded_buckets_lose_no_chain(spark, seed):
     assert found[0] == found[1]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_similar_links_survive_a_change_of_main_component(spark, seed):
+    """One bucket of nine groups with chains of single links, some of whose members also share smaller buckets."""
+    rng = np.random.default_rng(seed)
+    sets = {100 * g + j: list(range(1000 * g, 1000 * g + 100)) for g in range(9) for j in range(20)}
+    for a, b in [(0, 1), (1, 2), (3, 4), (4, 5), (2, 6), (5, 7)]:  # a text at 0.82 to group a, and one at 0.82 to that text alone
+        sets[100 * b + 50 + a] = sets[100 * a][:90] + [10**6 + 100 * a + x for x in range(10)]
+        sets[100 * b + 70 + a] = sets[100 * a][:80] + [10**6 + 100 * a + x for x in range(10)] + [10**7 + 100 * a + x for x in range(10)]
+    name = {n: int(rng.integers(1, 1 << 60)) for n in sets}
+    table = spark.createDataFrame([(0, name[n], 100) for n in sets] + [(1 + n // 40, name[n], 100) for n in sets if n % 100 < 3], "key long, node long, size long")
+    counts = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    frame = spark.createDataFrame([(name[n], s) for n, s in sets.items()], "node long, hashes array<long>")
+    got = {r.node: r.root for r in similar.linked_roots(table, counts, frame, 0.8).collect()}
+    for x in sets:
+        for y in sets:
+            common = len(set(sets[x]) & set(sets[y]))
+            if common / (200 - common) >= 0.8:
+                assert got.get(name[x], x) == got.get(name[y], y)
+
+
 def exact_classes(rows, similarity=0.8):
     """The smallest key of each text's component, over all pairs by exact Jaccard similarity."""
     sets, where, root = {i: shingle_set(t) for i, t in rows}, {}, {i: i for i, _ in rows}
