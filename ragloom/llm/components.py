@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ragloom.llm import work
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node of its component.
 
     edges: two long columns, in any direction, repeated or not. Every round rewires each node's neighbours to their
     smallest; the table shrinks to stars in a number of rounds that grows with the logarithm of the longest chain.
     Minima are pre-aggregated before the shuffle and hubs meet their one minimum in a join that may be split. Each
-    round is a written table, so a lost executor costs one round at most.
+    round is a written table, so a lost executor costs one round at most. An unfinished search raises.
     """
     spark = edges.sparkSession
     a, b = edges.columns
@@ -34,4 +34,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(pairs.alias("p")).select("p.u", "p.v").where("u <> v").distinct()
         before, links = links, work.table(small, "links")
         work.remove(spark, before)
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select("v", F.col("v").alias("root")).distinct().withColumnRenamed("v", "node"))

@@ -22,7 +22,7 @@ def vocabulary_path(name: str) -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read(spark, sf_dir, "documents")).drop("fps")
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op2_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:

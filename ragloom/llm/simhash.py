@@ -68,17 +68,18 @@ def fingerprint(hashes: np.ndarray, view: int = 0) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int, views: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fps array<long>): one fingerprint per view."""
+    """(doc_id, mark, fps array<long>): the text's xxhash64 and one fingerprint per view."""
 
     def run(batch_iter):
         for batch in work.batches(batch_iter):
             rows = []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 h = shingle_hashes(t or "", words)
                 rows.append([fingerprint(h, v) for v in range(views)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "mark", "fps"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, fps array<long>")
 
 
 def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -105,32 +106,41 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, views: int = 1, key: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fingerprint, component_id, fps) of every row; component_id is the smallest key reachable by links."""
-    own = fingerprints(docs, words, views, key, text)
-    node = F.col("fps")[0] if views == 1 else F.xxhash64("fps")
-    own = work.table(own.withColumn("node", node), "fingerprints")
-    nodes = work.table(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps")), "nodes")
-    seen = nodes.select("node", F.posexplode("fps").alias("view", "fp")).where(F.lit(True))
-    roots = components(links(seen, crowd))
-    firsts = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = roots.join(firsts, "root").select("node", "component_id")
-    classes = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    out = own.join(classes, "node", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id", "fps")
-
-
-def first_of_groups(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs that are their class's smallest key, one each; rows with a null key stay. classes: (doc_id, component_id)."""
-    groups = work.table(classes.select("doc_id", "component_id"), "groups")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, docs[key] == kept["__kept"], "left_semi")
-    again = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
-    if not again.isEmpty():  # repeated keys: one row of each
-        once = out.join(again, out[key] == again["__again"], "left_anti")
-        out = once.unionByName(out.join(again, out[key] == again["__again"], "left_semi").dropDuplicates([key]))
+    """(doc_id, fingerprint, component_id, fps, mark, root) of every row: the smallest key reachable by links, the text's xxhash64, the class."""
+    with work.scratch(docs.sparkSession):
+        own = fingerprints(docs, words, views, key, text)
+        node = F.col("fps")[0] if views == 1 else F.xxhash64("fps")
+        own = work.table(own.withColumn("node", node), "fingerprints", stays=True)
+        nodes = work.table(own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fps").alias("fps")), "nodes")
+        seen = nodes.select("node", F.posexplode("fps").alias("view", "fp")).where(F.lit(True))
+        roots = components(links(seen, crowd))
+        placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+        firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+        classes = work.table(placed.join(firsts, "root").select("node", "root", "component_id"), "classes", stays=True)
+    out = own.join(classes, "node")
+    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id", "fps", "mark", "root")
+
+
+def first_of_groups(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each class: that of the smallest key; rows with a null key stay. classes: (doc_id, mark, root).
+
+    Rows that share a key are told apart by their texts' hashes (mark). Of rows equal in both, the one whose other
+    columns are least as JSON stays.
+    """
+    known = classes.where(F.col("doc_id").isNotNull())
+    best = known.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("best")).select("best.*").distinct()
+    kept = best.select(F.col("doc_id").alias("__kept"), F.col("mark").alias("__mark"))
+    own = (F.col(key) == F.col("__kept")) & (F.xxhash64(docs[text]) == F.col("__mark"))
+    out = docs.join(kept, own, "left_semi")
+    again = known.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__kept"), F.col("mark").alias("__mark"))
+    if not again.isEmpty():
+        once = out.join(again, own, "left_anti")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = out.join(again, own, "left_semi").groupBy(key, F.xxhash64(docs[text])).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+        out = once.unionByName(one.select("__row.*"))
     return out.unionByName(docs.where(F.col(key).isNull()))
 
 
 def keep_one(docs: DataFrame, words: int = 5, views: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with one document of each group left: that of the smallest key. Rows with a null key stay."""
-    return first_of_groups(docs, near_duplicates(docs, words, views, key, text), key)
+    return first_of_groups(docs, near_duplicates(docs, words, views, key, text), key, text)

@@ -1,17 +1,26 @@
-"""Near-duplicates of five-word shingles at a Jaccard similarity of 0.8, by banded minima and exact comparison.
-
-A text's key in each of BANDS bands is made of ROWS minima of its distinct shingles' hashes, each under another
-multiplier. Two texts of similarity J agree in one minimum with probability J and in a band with J^ROWS, so at 0.8 they
-share no key with probability (1 - 0.8^6)^40 = 5e-6. Texts that share a key are compared by their exact shingle sets (of
-64-bit hashes), which are made again for those texts alone.
-
-A bucket of more than CROWD members would make pairs by the square of its size. There, members first meet
-about ANCHORS members (those of smallest hash), and components are formed. Then, in rounds of growing size, further
-members meet those of other components: members of the bucket's largest component meet those outside it, all others
-every member. Components only grow, so after a round its members are settled for good with every member of their
-bucket, whichever component is the largest later; the rounds end when all members are settled or the bucket is one
-component. No match is dropped, and groups of copies cost rows in proportion to their size. A round's
-links are merged into the components found before, whose roots alone are worked on again.
+"""Near-duplicates of five-word shingles at a Jaccard similarity of 0.8, by multi-index hashing of SimHash fingerprints.
+
+A text's fingerprint has 64 * VIEWS majority bits over its distinct shingles' hashes. TABLES segments of WIDTH bits each
+are the keys of one table of the index; a text enters each table under its segment's small Hamming ball: the segment
+itself and the segment with one of its FLIPS least certain bits flipped. Two texts of similarity 0.8 differ in 15 % of
+their bits, so their balls meet in a segment with probability 0.61; short segments alone would make chance matches that
+grow with the square of the corpus, and segments long enough for it would need hundreds of tables. So each table is
+partitioned by MINIMA minima of the shingle hashes, which agree with probability 0.8 each: a key is (table, minima,
+segment), chance matches do not grow, and a pair at 0.8 is missed by all tables with probability 0.69^18 = 0.001 (by
+simulation; texts of four or five shingles 0.015; less at higher similarity).
+
+Texts that meet are verified by the distance of their complete fingerprints (MOST of 256 bits is Jaccard 0.4, five
+standard deviations from what 0.8 gives) and then by their exact shingle sets (of 64-bit hashes), which are made again
+for those texts alone.
+
+Groups of copies would make pairs by the square of their size. So, first, the members of a segment's own bucket meet
+that bucket's member of least hash, and those linked take its label. Then only buckets with several labels are worked
+on, and only pairs of different labels are made. In a bucket of more than CROWD members, these first meet about ANCHORS
+members, and components are formed. Then, in rounds of growing size, further members meet those of other components:
+members of the bucket's largest component meet those outside it, all others every member. Components only grow, so
+after a round its members are settled for good with every member of their bucket, whichever component is the largest
+later; the rounds end when all members are settled or the bucket is one component. No match is dropped, and groups of
+copies cost rows in proportion to their size.
 
 Texts without words (null, empty) form one class of their own. Null keys get a class but never name it unless it has
 no other key. Repeated rows each get their row; an empty table gives no rows; other columns are ignored.
@@ -28,20 +37,50 @@ from xxhash import xxh64_intdigest
 from ragloom.llm import simhash, work
 from ragloom.llm.components import components
 
-ROWS, BANDS = 6, 40
-CROWD, ANCHORS, SHARE = 4, 2, 4096
-#: Odd multipliers, one per minimum; those that mix a band's minima into its key are others.
-FACTOR, MIX = (np.array([xxh64_intdigest(f"{s} {k}".encode(), 42) | 1 for k in range(BANDS * ROWS)], np.uint64) for s in ("factor", "mix"))
+TABLES, WIDTH, FLIPS, MINIMA = 18, 12, 3, 3
+VIEWS, MOST = 4, 80
+CROWD, ANCHORS, SHARE = 8, 2, 4096
+
+
+def odd(what: str, n: int) -> np.ndarray:
+    """n odd multipliers."""
+    return np.array([xxh64_intdigest(f"{what} {k}".encode(), 42) | 1 for k in range(n)], np.uint64)
+
+
+FACTOR, MIX, VIEW = odd("factor", TABLES * MINIMA), odd("mix", TABLES * MINIMA), odd("view", VIEWS)
+PLACE = np.int64(1) << np.arange(WIDTH, dtype=np.int64)
+
 
+def margins(hashes: np.ndarray) -> np.ndarray:
+    """Twice the number of set bits less the number of hashes, for each of the fingerprint's bits."""
+    total = np.zeros(64 * VIEWS, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of bytes, which hold 255 at most
+        h = hashes[at : at + 255, None] * VIEW
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        total += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return 2 * total - len(hashes)
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The key of each band, for one hash at least."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+
+def folded(margin: np.ndarray) -> np.ndarray:
+    """The fingerprint as VIEWS signed integers."""
+    return np.packbits(margin > 0).view(np.int64)
+
+
+def segment_keys(hashes: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """For each table the key of the segment, then those of its ball; for one hash at least."""
+    least = np.full(TABLES * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 512):
         np.minimum(least, (FACTOR[:, None] * hashes[at : at + 512]).min(axis=1), out=least)
-    mixed = (least ^ (least >> np.uint64(29))) * MIX
-    key = (mixed ^ (mixed >> np.uint64(32))).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) * MIX[:BANDS]
-    return (key ^ (key >> np.uint64(31))).view(np.int64)
+    least = (least ^ (least >> np.uint64(29))) * MIX
+    salt = (least ^ (least >> np.uint64(32))).reshape(TABLES, MINIMA).sum(axis=1, dtype=np.uint64)
+    own = margin[: TABLES * WIDTH].reshape(TABLES, WIDTH)
+    code = (own > 0) @ PLACE
+    doubt = np.argsort(np.abs(own), axis=1, kind="stable")[:, :FLIPS]
+    codes = np.concatenate([code[:, None], code[:, None] ^ PLACE[doubt]], axis=1).astype(np.uint64)
+    key = (salt[:, None] + codes) * MIX[:TABLES, None]
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
 def shingle_set(text: str | None, words: int) -> tuple[np.ndarray, int]:
@@ -56,56 +95,84 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def keyed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(doc_id, node, shingles, keys) of every row."""
+    """(doc_id, mark, node, own, ball) of every row: the text's hash, its shingle set's, and its keys."""
 
     def run(batch_iter):
         for batch in work.batches(batch_iter):
-            sizes, marks, keys = [], [], []
-            for t in batch.column(1).to_pylist():
+            marks, own, ball = [], [], []
+            for t in batch.column(2).to_pylist():
                 h, node = shingle_set(t, words)
-                sizes.append(len(h)), marks.append(node), keys.append(band_keys(h) if len(h) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), lists(keys)], names=["doc_id", "node", "shingles", "keys"])
+                keys = segment_keys(h, margins(h)) if len(h) else np.empty((0, 2), np.int64)
+                marks.append(node), own.append(keys[:, 0]), ball.append(keys[:, 1:].ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), lists(own), lists(ball)], names=["doc_id", "mark", "node", "own", "ball"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, node long, shingles long, keys array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, node long, own array<long>, ball array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int, text: str, needed: DataFrame) -> DataFrame:
-    """(node, hashes) of the needed nodes."""
+    """(node, fp, hashes) of the needed nodes."""
 
     def run(batch_iter):
         for batch in work.batches(batch_iter):
             made = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([n for _, n in made], pa.int64()), lists([h.view(np.int64) for h, _ in made])], names=["node", "hashes"])
+            fps = lists([folded(margins(h)) for h, _ in made])
+            yield pa.RecordBatch.from_arrays([pa.array([n for _, n in made], pa.int64()), fps, lists([h.view(np.int64) for h, _ in made])], names=["node", "fp", "hashes"])
 
-    sets = docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, hashes array<long>")
-    return sets.join(needed, "node", "left_semi").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+    sets = docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, fp array<long>, hashes array<long>")
+    return sets.join(needed, "node", "left_semi").groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("hashes").alias("hashes"))
 
 
 def pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def alike(similarity: float):
-    """Sizes of x and y that allow that similarity."""
-    return F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y") - 1e-6
-
-
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"hashes_{s}"))
+    """The pairs (a, b) of near complete fingerprints whose shingle sets have at least that Jaccard similarity."""
+    side = lambda s: sets.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in sets.columns if c != "node"])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    if "fp" in sets.columns:
+        far = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        both = both.where(far <= MOST)
     common = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), (F.size("hashes_a") + F.size("hashes_b")).alias("total"))
-    return both.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b")
+    sized = both.select("a", "b", common.alias("common"), (F.size("hashes_a") + F.size("hashes_b")).alias("total"))
+    return sized.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b")
 
 
+def place() -> F.Column:
+    """A node's place among others, by its hash: 0 to 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(7), "node"), 11) / F.lit(float(1 << 53))
 
 
-def meet(anchors: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of anchors with others (key, node, size, n) of their key; a crowd of n is dealt to n / SHARE tasks."""
+def labelled(frame: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """frame with each node's root: the node itself where it has none."""
+    if roots is None:
+        return frame.withColumn("root", F.col("node"))
+    kin = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    return frame.join(kin, frame["node"] == kin["__node"], "left").withColumn("root", F.coalesce("__root", "node")).drop("__node", "__root")
+
+
+def first_links(nodes: DataFrame, docs: DataFrame, words: int, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of verified links to the first member of an own segment's bucket, (node, root) labels after them)."""
+    own = nodes.select(F.explode("own").alias("key"), "node")
+    first = own.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(place().alias("place"), "node")).alias("first")).where("n > 1").select("key", F.col("first.node").alias("first"))
+    met = work.table(own.join(first, "key").where("node <> first").select("node", "first").distinct(), "met")
+    needed = met.select("node").unionByName(met.select(F.col("first").alias("node"))).distinct()
+    sets = work.table(shingle_sets(docs, words, text, needed), "sets")
+    links = work.table(verified(met.select(F.col("node").alias("a"), F.col("first").alias("b")), sets, similarity), "verified")
+    up = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64(F.lit(7), "b").alias("h"), "b")).alias("up")).select("node", F.col("up.b").alias("root"))
+    for _ in range(2):  # to the first member's own first member
+        above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        up = work.table(up.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+    return links, up
+
+
+def meet(anchors: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of anchors with others (key, node, root, n) of their key and another root; a crowd of n is dealt to n / SHARE tasks."""
     parts = F.ceil(F.col("n") / SHARE).cast("int")
-    left = anchors.select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = others.select("key", F.col("node").alias("y"), F.col("size").alias("size_y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    return left.join(right, ["key", "part"]).where((F.col("x") != F.col("y")) & alike(similarity)).select(*pair("x", "y")).distinct()
+    left = anchors.select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = others.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    return left.join(right, ["key", "part"]).where("root_x <> root_y").select(*pair("x", "y")).distinct()
 
 
 def merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -119,50 +186,53 @@ def merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
     return work.table(old.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
-def linked_roots(table: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """(node, root) of every node with a verified link. table: (key, node, size); counts: (key, n) with n > 1; sets: (node, hashes)."""
-    few = table.join(counts.where(F.col("n") <= crowd), "key").select("key", "node", "size")
-    left, right = (few.select("key", F.col("node").alias(s), F.col("size").alias(f"size_{s}")) for s in "xy")
-    cold = left.join(right, "key").where((F.col("x") < F.col("y")) & alike(similarity)).select(*pair("x", "y")).distinct()
-    full = counts.where(F.col("n") > crowd)
-    if full.isEmpty():
-        return merged(None, work.table(verified(cold, sets, similarity), "verified"))
-    members = work.table(table.join(full, "key"), "members")
-    spot = F.shiftrightunsigned(F.xxhash64(F.lit(7), "node"), 11) / F.lit(float(1 << 53))
-    hot = meet(members.where(spot < ANCHORS / F.col("n")), members, similarity)
-    roots = merged(None, work.table(verified(cold.unionByName(hot).distinct(), sets, similarity), "verified"))
+def linked_roots(table: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD, known: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """(node, root) of every node with a verified link.
+
+    table: (key, node, ...) of the buckets; counts: (key, n) with n > 1; sets: (node, hashes), perhaps with fp. known:
+    (a, b) links verified before; labels: (node, root) of nodes that these connect, which need not meet again.
+    """
+    members = work.table(labelled(table.select("key", "node").join(counts.select("key", "n"), "key"), labels).select("key", "node", "root", "n"), "members")
+    few, full = members.where(F.col("n") <= crowd), members.where(F.col("n") > crowd)
+    left, right = (few.select("key", F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "xy")
+    met = left.join(right, "key").where("x < y and root_x <> root_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    crowded = not full.isEmpty()
+    if crowded:
+        met = met.unionByName(meet(full.where(place() < ANCHORS / F.col("n")), full))
+    found = verified(met.distinct(), sets, similarity)
+    roots = merged(None, work.table(found if known is None else found.unionByName(known), "verified"))
     share = ANCHORS
-    while True:  # members below the share are settled: linked to, or compared with, every member of another component
-        kin = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-        placed = members.where(F.col("n") > share).join(kin("node"), "node", "left").select("key", "node", "size", "n", F.coalesce("root_node", "node").alias("root"))
+    while crowded:  # members below the share are settled: linked to, or compared with, every member of another component
+        placed = labelled(full.where(F.col("n") > share).drop("root"), roots)
         main = placed.groupBy("key", "root").agg(F.count("*").alias("here")).groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("kinds"))
-        parted = work.table(placed.join(main.where("kinds > 1"), "key").select("key", "node", "size", "n", (F.col("root") != F.col("main")).alias("apart")), "parted")
-        rest = parted.where(spot >= share / F.col("n"))
+        parted = work.table(placed.join(main.where("kinds > 1"), "key").select("key", "node", "root", "n", (F.col("root") != F.col("main")).alias("apart")), "parted")
+        rest = parted.where(place() >= share / F.col("n"))
         if rest.isEmpty():
-            return roots
+            break
         share *= 16
-        now = rest.where(spot < share / F.col("n"))
-        more = meet(now.where("apart"), parted, similarity).unionByName(meet(now.where("not apart"), parted.where("apart"), similarity)).distinct()
-        fresh = more.join(kin("a"), "a", "left").join(kin("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        roots = merged(roots, work.table(verified(fresh, sets, similarity), "verified"))
+        now = rest.where(place() < share / F.col("n"))
+        more = meet(now.where("apart"), parted).unionByName(meet(now.where("not apart"), parted.where("apart"))).distinct()
+        roots = merged(roots, work.table(verified(more, sets, similarity), "verified"))
+    return roots
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """(doc_id, component_id) of every row; component_id is the smallest key reachable by links."""
-    own = work.table(keyed(docs, words, key, text), "keyed")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("shingles").alias("size"), F.any_value("keys").alias("keys"))
-    nodes = work.table(nodes, "nodes")
-    table = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    counts = work.table(table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    table = work.table(table.join(counts, "key", "left_semi"), "shared")
-    sets = work.table(shingle_sets(docs, words, text, table.select("node").distinct()), "sets")
-    roots = linked_roots(table, counts, sets, similarity, crowd)
-    firsts = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = roots.join(firsts, "root").select("node", "component_id")
-    classes = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return own.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "component_id")
+    """(doc_id, component_id, mark, root) of every row: the smallest key reachable by links, the text's xxhash64, the class."""
+    with work.scratch(docs.sparkSession):
+        rows = work.table(keyed(docs, words, key, text), "keyed")
+        nodes = work.table(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("own").alias("own"), F.any_value("ball").alias("ball")), "nodes")
+        known, labels = first_links(nodes, docs, words, text, similarity)
+        table = labelled(nodes, labels).select(F.explode(F.concat("own", "ball")).alias("key"), "node", "root")
+        counts = table.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+        table = work.table(table.join(counts, "key").select("key", "node", "n"), "shared")
+        sets = work.table(shingle_sets(docs, words, text, table.select("node").distinct()), "sets")
+        roots = linked_roots(table, table.select("key", "n").distinct(), sets, similarity, crowd, known, labels)
+        placed = labelled(nodes.select("node", "first"), roots)
+        firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+        classes = placed.join(firsts, "root").select("node", "root", "component_id")
+        return work.table(rows.select("doc_id", "mark", "node").join(classes, "node").select("doc_id", "component_id", "mark", "root"), "classes", stays=True)
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with one document of each group left: that of the smallest key. Rows with a null key stay."""
-    return simhash.first_of_groups(docs, near_duplicates(docs, words, similarity, key, text), key)
+    return simhash.first_of_groups(docs, near_duplicates(docs, words, similarity, key, text), key, text)

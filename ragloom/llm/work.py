@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; others raise."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ragloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -21,19 +26,38 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/ragloom/{tag}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, tag: str) -> DataFrame:
-    """df written as a Parquet work table and read again: it cuts lineage and survives lost executors."""
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table(df: DataFrame, tag: str, stays: bool = False) -> DataFrame:
+    """df written as a Parquet work table and read again: it cuts lineage and survives lost executors.
+
+    Inside a scratch() scope the table goes with the scope, unless it stays.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    if _scopes and not stays:
+        _scopes[-1].append(path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Work tables made inside are deleted at the end; what is returned from inside must be a table that stays."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
 def remove(spark: SparkSession, frame: DataFrame) -> None:
     """Delete a work table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()[:1]}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, folder)
 
 
 def partitions(spark: SparkSession) -> int:
