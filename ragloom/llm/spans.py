@@ -15,8 +15,12 @@ exact, and no step holds more than one unit of documents or one bucket of suffix
    multiples of 13, so suffixes of one bucket have the same residue and the same samples. Neighbours that are equal
    in all keys are equal in 50 bytes; each group's smallest document id says which of its strings go.
 
-Equal runs of one unit are sent once, so a passage that many documents share costs one row per unit inside it; the
-runs at its edges differ from document to document and are sent each.
+Equal runs of one unit are sent once, so a passage that many documents share costs one row per unit inside it. The runs
+at its edges differ from document to document and share an anchor: strings of an anchor that HOT units have are dealt
+by the bytes beside the anchor too, which every such string holds on one side or the other, so they spread.
+
+The number of buckets follows the bytes of the texts (one bucket per BUCKET bytes), so a bucket's size does not grow
+with the corpus, but for a string that very many units hold alike (one entry per unit).
 
 Null text counts as empty. A null id counts as larger than any other. Rows of one id never remove each other's bytes;
 repeated rows are each treated alike. Empty tables give no rows. Other columns travel with their rows.
@@ -31,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ragloom.llm import work
 
@@ -38,6 +43,9 @@ DEPTH = 50
 ANCHOR = 24
 SPREAD = DEPTH - ANCHOR + 1  # windows that one anchor position can serve
 UNIT = 4 << 20  # bytes of text in a unit
+BUCKET = 32 << 20  # bytes of text per bucket
+HOT = 16  # units
+BLOCK = 1 << 22  # strings whose anchors are sought at once
 PERIOD, COVER, SAMPLE = 13, (0, 1, 3, 9), 26
 STRIDE = 104  # bytes of the bucket's text per run, a multiple of PERIOD
 NO_ID = (1 << 63) - 1
@@ -50,9 +58,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of 50-byte strings with one anchor: (first start, last start, anchor position, anchor hash)."""
-    n = len(data)
-    if n < DEPTH:
+    """Runs of 50-byte strings with one anchor: (first start, last start, anchor position, anchor hash).
+
+    The anchor is the window of least hash (its upper 40 bits), leftmost of equals: hash and position are one number.
+    """
+    parts = [_anchors(data[at : at + BLOCK + DEPTH - 1], at) for at in range(0, max(1, len(data) - DEPTH + 1), BLOCK)]
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _anchors(data: bytes, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if len(data) < DEPTH:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64)
     h1 = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
@@ -63,13 +78,14 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     h16 = h8[:-8] * np.uint64(0x27D4EB2F165667C5) + h8[8:]
     h16 ^= h16 >> np.uint64(31)
     h = mix(h16[:-8] * np.uint64(0x85EBCA77C2B2AE63) + h8[16:])
-    low, at = h, np.arange(len(h), dtype=np.int32)
+    low = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
     for step in (1, 2, 4, 8, SPREAD - 16):
-        less = low[step:] < low[:-step]
-        low, at = np.where(less, low[step:], low[:-step]), np.where(less, at[step:], at[:-step])
+        low = np.minimum(low[step:], low[:-step])
+    at = (low & np.uint64(0xFFFFFF)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    return first, last, at[first].astype(np.int64), h[at[first]]
+    where = at[first]
+    return first + begin, last + begin, where + begin, h[where]
 
 
 def grouped(runs: np.ndarray, begins: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -110,6 +126,15 @@ def grouped(runs: np.ndarray, begins: np.ndarray, ends: np.ndarray, ids: np.ndar
     return masks
 
 
+def halves(text: bytes, a: int, b: int, p: int, mark: int):
+    """The runs of strings a to b with the anchor at p, dealt by the 13 bytes that they all hold left or right of it."""
+    middle = p - PERIOD  # strings up to here hold the 13 bytes left of the anchor, later ones those right of it
+    if a <= middle:
+        yield a, min(b, middle), mark ^ xxh64_intdigest(text[middle:p], 1)
+    if b > middle:
+        yield max(a, middle + 1), b, mark ^ xxh64_intdigest(text[p + ANCHOR : p + ANCHOR + PERIOD], 2)
+
+
 class Unit:
     """The documents of one unit and what the rounds have told about them."""
 
@@ -181,68 +206,78 @@ class Unit:
                 yield b, short + np.packbits(self.shared_here[mine]).tobytes()
 
     def hear_anchors(self, answers: dict[int, bytes]) -> None:
+        """Entries: a bucket's name, distance and bytes of a run; places: where this unit has them."""
         self.find()
-        shared = np.zeros(len(self.known), bool)
+        shared, hot = np.zeros(len(self.known), bool), np.zeros(len(self.known), bool)
         for b, data in answers.items():
             mine = self.by_home[self.cuts[b] : self.cuts[b + 1]]
-            shared[mine] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(mine)).astype(bool)
-        keep = self.known[shared]
-        self.entries: dict[tuple, int] = {}  # (anchor, distance, run's bytes) -> entry
-        self.least: list[int] = []
-        self.places: list[tuple[int, int, int, int, int]] = []  # document, first start, last start, anchor position, entry
+            flags = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * len(mine)).astype(bool)
+            shared[mine], hot[mine] = flags[: len(mine)], flags[len(mine) :]
+        keep, heat = self.known[shared], hot[shared]
+        entries: dict[tuple, int] = {}
+        least: list[int] = []
+        places: list[tuple[int, int, int, int, int]] = []  # document, first start, last start, anchor position, entry
         for k, marks in self.marks.items():
             if not len(keep):
                 break
             at = np.minimum(np.searchsorted(keep, marks), len(keep) - 1)
             first, last, pos, _ = self.runs[k]
             text, own = self.texts[k], self.ids[k]
-            for j in np.flatnonzero(keep[at] == marks).tolist():
-                a, b, p = int(first[j]), int(last[j]), int(pos[j])
-                name = (int(marks[j]), p - a, text[a : b + DEPTH])
-                e = self.entries.setdefault(name, len(self.least))
-                if e == len(self.least):
-                    self.least.append(own)
-                elif own < self.least[e]:
-                    self.least[e] = own
-                self.places.append((k, a, b, p, e))
+            mine = np.flatnonzero(keep[at] == marks)
+            for a, b, p, mark, many in zip(first[mine].tolist(), last[mine].tolist(), pos[mine].tolist(), marks[mine].tolist(), heat[at[mine]].tolist()):
+                for a, b, mark in halves(text, a, b, p, mark) if many else ((a, b, mark),):
+                    name = (mark, p - a, text[a : b + DEPTH])
+                    e = entries.setdefault(name, len(least))
+                    if e == len(least):
+                        least.append(own)
+                    elif own < least[e]:
+                        least[e] = own
+                    places.append((k, a, b, p, e))
+        self.names, self.least = list(entries), np.array(least, np.int64)
+        self.places = np.array(places, np.int64).reshape(-1, 5)
 
     # runs
-    def sorted_entries(self) -> dict[int, list[int]]:
-        homes = self.spread(np.fromiter((n[0] for n in self.entries), np.uint64, len(self.entries))) if self.entries else []
-        out: dict[int, list[int]] = {}
-        for e, b in enumerate(homes):
-            out.setdefault(int(b), []).append(e)
-        names = list(self.entries)
-        for mine in out.values():
-            mine.sort(key=lambda e: names[e])
-        return out
-
-    def send_runs(self):
-        names = list(self.entries)
-        for b, mine in self.sorted_entries().items():
-            size = np.array([len(names[e][2]) for e in mine], np.uint8)
-            lead = np.array([names[e][1] for e in mine], np.uint8)
-            ids = np.array([self.least[e] for e in mine], "<i8")
-            yield b, len(mine).to_bytes(4, "little") + size.tobytes() + lead.tobytes() + ids.tobytes() + b"".join(names[e][2] for e in mine)
-
-    def hear_runs(self, answers: dict[int, bytes]) -> None:
-        self.masks = [0] * len(self.least)
-        for b, mine in self.sorted_entries().items():
-            for e, m in zip(mine, np.frombuffer(answers[b], "<u4").tolist()):
-                self.masks[e] = m
+    def sorted_entries(self) -> dict[int, np.ndarray]:
+        homes = self.spread(np.fromiter((n[0] for n in self.names), np.uint64, len(self.names)))
+        order = np.array(sorted(range(len(self.names)), key=self.names.__getitem__), np.int64)
+        order = order[np.argsort(homes[order], kind="stable")]
+        found, at = np.unique(homes[order], return_index=True)
+        return dict(zip(found.tolist(), np.split(order, at[1:])))
+
+    def placed(self) -> tuple[bytes, list[tuple[int, bytes]]]:
+        """(what a later round needs to know, what is sent to the buckets)."""
+        names, parts, sends = self.names, self.sorted_entries() if self.names else {}, []
+        for b, mine in parts.items():
+            own = [names[e] for e in mine.tolist()]
+            size, lead = np.array([len(n[2]) for n in own], np.uint8), np.array([n[1] for n in own], np.uint8)
+            sends.append((b, len(own).to_bytes(4, "little") + size.tobytes() + lead.tobytes() + self.least[mine].astype("<i8").tobytes() + b"".join(n[2] for n in own)))
+        sizes = np.array([[b, len(mine)] for b, mine in parts.items()], np.int64).reshape(-1, 2)
+        order = np.concatenate([*parts.values(), np.empty(0, np.int64)])
+        counts = np.array([len(self.first), len(self.least), len(self.places), len(sizes)], np.int64)
+        return b"".join(x.astype(np.int64).tobytes() for x in (counts, np.array(self.first, np.int64), self.least, self.places, sizes, order)), sends
+
+    def recall(self, state: bytes, answers: dict[int, bytes]) -> None:
+        """What placed() told, and the buckets' answers."""
+        whole = np.frombuffer(state, np.int64)
+        n, m, k, j = whole[:4].tolist()
+        self.first, self.least, self.places, sizes, order = np.split(whole[4:], np.cumsum([n, m, 5 * k, 2 * j]))
+        self.places, self.masks, at = self.places.reshape(-1, 5), np.zeros(m, np.uint32), 0
+        for b, size in sizes.reshape(-1, 2).tolist():
+            self.masks[order[at : at + size]] = np.frombuffer(answers[b], "<u4")
+            at += size
 
     def kept(self) -> list[tuple[bytes, int, int]]:
         """(what is left, bytes removed, spans removed) of every document."""
         gone: dict[int, list[tuple[int, int]]] = {}
-        for k, a, b, p, e in self.places:
-            whole = self.ids[k] > self.least[e]
-            if not whole and not self.masks[e]:
-                continue
+        whose, entry = self.places[:, 0], self.places[:, 4]
+        whole = np.array(self.ids, np.int64)[whose] > self.least[entry]
+        some = np.flatnonzero(whole | (self.masks[entry] != 0))
+        for (k, a, b, p, _), every, mask in zip(self.places[some].tolist(), whole[some].tolist(), self.masks[entry[some]].tolist()):
             ranges = gone.setdefault(k, [])
-            if whole:
+            if every:
                 ranges.append((a, b + DEPTH))
             else:
-                ranges += [(q, q + DEPTH) for q in range(a, b + 1) if self.masks[e] >> (p - q) & 1]
+                ranges += [(q, q + DEPTH) for q in range(a, b + 1) if mask >> (p - q) & 1]
         out = []
         for k, text in enumerate(self.texts):
             if not self.first[k] and len(text) >= DEPTH:
@@ -287,17 +322,17 @@ def answer_anchors(payloads: list[bytes]) -> list[bytes]:
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
-    same = np.zeros(len(ranked), bool)
-    same[1:] = ranked[1:] == ranked[:-1]
-    same[:-1] |= same[1:]
-    shared = np.empty(len(ranked), bool)
-    shared[order] = same
-    # an anchor that a unit has in several documents is shared for every unit
-    here = np.unique(every[np.concatenate(flags)])
-    shared |= np.isin(every, here)
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    units = np.diff(np.append(np.flatnonzero(new), len(ranked)))
+    here = np.add.reduceat(np.concatenate(flags)[order].astype(np.int64), np.flatnonzero(new)) if len(ranked) else units
+    group = np.cumsum(new) - 1
+    # shared: several units have the anchor, or one has it in several documents
+    shared, hot = np.empty(len(ranked), bool), np.empty(len(ranked), bool)
+    shared[order], hot[order] = ((units > 1) | (here > 0))[group], (units >= HOT)[group]
     out, at = [], 0
     for k in keys:
-        out.append(np.packbits(shared[at : at + len(k)]).tobytes())
+        out.append(np.packbits(np.concatenate([shared[at : at + len(k)], hot[at : at + len(k)]])).tobytes())
         at += len(k)
     return out
 
@@ -323,8 +358,22 @@ def answer_runs(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
+SENT = "bucket int, unit long, payload binary"
+
+
+def _reply(sent: DataFrame, answer, tag: str) -> DataFrame:
+    """The buckets' answers to (bucket, unit, payload): (unit, array<struct<bucket, payload>>), written."""
+
+    def reply(table: pa.Table) -> pa.Table:
+        table = table.sort_by("unit")
+        return pa.table([table.column("bucket"), table.column("unit"), pa.array(answer(table.column("payload").to_pylist()), pa.binary())], names=["bucket", "unit", "payload"])
+
+    answers = sent.groupBy("bucket").applyInArrow(reply, SENT)
+    return work.table(answers.groupBy("unit").agg(F.collect_list(F.struct("bucket", "payload")).alias(tag)), tag)
+
+
 def _ask(frame: DataFrame, rounds: list[str], send: str, answer, key: str, text: str, buckets: int) -> DataFrame:
-    """Units send to buckets and get their answers back: (unit, answers array<struct<bucket, payload>>)."""
+    """Units send to buckets and get their answers back."""
 
     def tell(batch_iter):
         for batch in batch_iter:
@@ -334,24 +383,30 @@ def _ask(frame: DataFrame, rounds: list[str], send: str, answer, key: str, text:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "unit", "payload"])
 
-    def reply(table: pa.Table) -> pa.Table:
-        table = table.sort_by("unit")
-        return pa.table([table.column("bucket"), table.column("unit"), pa.array(answer(table.column("payload").to_pylist()), pa.binary())], names=["bucket", "unit", "payload"])
+    return _reply(frame.mapInArrow(tell, SENT), answer, send)
+
 
-    kind = "bucket int, unit long, payload binary"
-    answers = frame.mapInArrow(tell, kind).groupBy("bucket").applyInArrow(reply, kind)
-    return work.table(answers.groupBy("unit").agg(F.collect_list(F.struct("bucket", "payload")).alias(send)), send)
+def answers_of(row: dict, name: str) -> dict[int, bytes]:
+    return {a["bucket"]: a["payload"] for a in row[name] or ()}
 
 
 def opened(row: dict, rounds: list[str], key: str, text: str, buckets: int) -> Unit:
     """A unit that has heard the answers of the given rounds."""
     unit = Unit(row["data"], key, text, buckets)
     for r in rounds:
-        getattr(unit, r.replace("send", "hear"))({a["bucket"]: a["payload"] for a in row[r] or ()})
+        getattr(unit, r.replace("send", "hear"))(answers_of(row, r))
     return unit
 
 
-def _units(docs: DataFrame, text: str, buckets: int) -> DataFrame:
+def finished(row: dict, key: str, text: str, buckets: int) -> Unit:
+    """A unit that knows what goes."""
+    unit = Unit(row["data"], key, text, buckets)
+    unit.recall(row["state"], answers_of(row, "runs"))
+    return unit
+
+
+def _units(docs: DataFrame, text: str) -> DataFrame:
+    """(unit, data): documents packed into units, as a table bucketed by unit. Its name goes, its files stay."""
     at = docs.columns.index(text)
 
     def pack(batch_iter):
@@ -379,30 +434,46 @@ def _units(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
     spark, name, path = docs.sparkSession, "ragloom_units_" + work.new_path(docs.sparkSession, "u")[-32:], work.new_path(docs.sparkSession, "units")
     packed = docs.mapInArrow(pack, "unit long, data binary")
-    packed.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "unit").saveAsTable(name)
-    return spark.table(name)
+    packed.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(work.partitions(spark), "unit").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return out
+
 
+def _rounds(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """(units with all they need to know, number of buckets)."""
+    units = _units(docs, text)
+    buckets = max(work.partitions(docs.sparkSession), -(-units.count() * UNIT // BUCKET))
+    frame, rounds = units, []
+    with work.scratch(docs.sparkSession):
+        for send, answer in (("send_copies", answer_copies), ("send_anchors", answer_anchors)):
+            told = _ask(frame, list(rounds), send, answer, key, text, buckets)
+            frame = frame.join(told.hint("shuffle_hash"), "unit", "left")
+            rounds.append(send)
 
-def _rounds(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, list[str], int]:
-    spark = docs.sparkSession
-    buckets = work.partitions(spark)
-    frame, rounds = _units(docs, text, buckets), []
-    for send, answer in (("send_copies", answer_copies), ("send_anchors", answer_anchors), ("send_runs", answer_runs)):
-        told = _ask(frame, list(rounds), send, answer, key, text, buckets)
-        frame = frame.join(told.hint("shuffle_hash"), "unit", "left")
-        rounds.append(send)
-    return frame, rounds, buckets
+        def place(batch_iter):
+            kind = pa.list_(pa.struct([("bucket", pa.int32()), ("payload", pa.binary())]))
+            for batch in batch_iter:
+                for row in batch.to_pylist():
+                    state, sends = opened(row, rounds, key, text, buckets).placed()
+                    yield pa.RecordBatch.from_arrays([pa.array([row["unit"]], pa.int64()), pa.array([state], pa.binary()), pa.array([[{"bucket": b, "payload": p} for b, p in sends]], kind)], names=["unit", "state", "sends"])
+
+        placed = work.table(frame.mapInArrow(place, "unit long, state binary, sends array<struct<bucket:int,payload:binary>>"), "placed")
+        sent = placed.select("unit", F.explode("sends").alias("s")).select("s.bucket", "unit", "s.payload")
+        runs = _reply(sent, answer_runs, "runs")
+        known = work.table(placed.select("unit", "state").join(runs, "unit", "left"), "known", stays=True)
+    return units.join(known.hint("shuffle_hash"), "unit", "left"), buckets
 
 
 def span_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    frame, rounds, buckets = _rounds(own, "doc_id", "text")
+    frame, buckets = _rounds(own, "doc_id", "text")
 
     def report(batch_iter):
         for batch in batch_iter:
             for row in batch.to_pylist():
-                unit = opened(row, rounds, "doc_id", "text", buckets)
+                unit = finished(row, "doc_id", "text", buckets)
                 left = unit.kept()
                 yield pa.RecordBatch.from_arrays(
                     [unit.batch.column(0), pa.array([len(t) for t in unit.texts], pa.int64()), pa.array([x[1] for x in left], pa.int64()), pa.array([x[2] for x in left], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in left], pa.string())],
@@ -417,13 +488,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
 
     Bytes of a character that is cut in two go with the passage; `chars`, if there is such a column, is the new length.
     """
-    frame, rounds, buckets = _rounds(docs, key, text)
+    frame, buckets = _rounds(docs, key, text)
     names = docs.columns
 
     def cut(batch_iter):
         for batch in batch_iter:
             for row in batch.to_pylist():
-                unit = opened(row, rounds, key, text, buckets)
+                unit = finished(row, key, text, buckets)
                 left = [x[0].decode(errors="ignore") for x in unit.kept()]
                 columns = list(unit.batch.columns)
                 old = columns[names.index(text)]
