@@ -11,16 +11,19 @@ simulation; texts of four or five shingles 0.015; less at higher similarity).
 
 Texts that meet are verified by the distance of their complete fingerprints (MOST of 256 bits is Jaccard 0.4, five
 standard deviations from what 0.8 gives) and then by their exact shingle sets (of 64-bit hashes), which are made again
-for those texts alone.
+for those texts alone: their rows are found by the text's hash before any shingle is.
 
 Groups of copies would make pairs by the square of their size. So, first, the members of a segment's own bucket meet
 that bucket's member of least hash, and those linked take its label. Then only buckets with several labels are worked
-on, and only pairs of different labels are made. In a bucket of more than CROWD members, these first meet about ANCHORS
-members, and components are formed. Then, in rounds of growing size, further members meet those of other components:
-members of the bucket's largest component meet those outside it, all others every member. Components only grow, so
-after a round its members are settled for good with every member of their bucket, whichever component is the largest
-later; the rounds end when all members are settled or the bucket is one component. No match is dropped, and groups of
-copies cost rows in proportion to their size.
+on, and only pairs of different labels are made. For buckets of more than CROWD members, the shingles that at most RARE
+of all such members have are counted. Members that share a rare shingle meet by it. Two that share none have no more in
+common than their other shingles, a bound on their similarity; members whose bound is too low leave the crowd, and
+pairs whose bound is too low are not made. The members left first meet about ANCHORS members, and components are formed.
+Then, in rounds of growing size, further members meet those of other components: members of the bucket's largest
+component meet those outside it, all others every member. Components only grow, so after a round its members are
+settled for good with every member of their bucket, whichever component is the largest later; the rounds end when all
+members are settled or the bucket is one component. No match is dropped, and groups of copies cost rows in proportion
+to their size.
 
 Texts without words (null, empty) form one class of their own. Null keys get a class but never name it unless it has
 no other key. Repeated rows each get their row; an empty table gives no rows; other columns are ignored.
@@ -39,7 +42,8 @@ from ragloom.llm.components import components
 
 TABLES, WIDTH, FLIPS, MINIMA = 18, 12, 3, 3
 VIEWS, MOST = 4, 80
-CROWD, ANCHORS, SHARE = 8, 2, 4096
+CROWD, ANCHORS, SHARE, RARE = 8, 2, 4096, 8
+NEEDED = 2_000_000  # rows of eight bytes that may be broadcast; more are shuffled
 
 
 def odd(what: str, n: int) -> np.ndarray:
@@ -95,48 +99,54 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def keyed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(doc_id, mark, node, own, ball) of every row: the text's hash, its shingle set's, and its keys."""
+    """(doc_id, mark, node, size, fp, own, ball) of every row: the text's hash, its shingle set's hash and size, fingerprint and keys."""
 
     def run(batch_iter):
         for batch in work.batches(batch_iter):
-            marks, own, ball = [], [], []
+            nodes, sizes, fps, own, ball = [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 h, node = shingle_set(t, words)
-                keys = segment_keys(h, margins(h)) if len(h) else np.empty((0, 2), np.int64)
-                marks.append(node), own.append(keys[:, 0]), ball.append(keys[:, 1:].ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64()), lists(own), lists(ball)], names=["doc_id", "mark", "node", "own", "ball"])
+                margin = margins(h)
+                keys = segment_keys(h, margin) if len(h) else np.empty((0, 2), np.int64)
+                nodes.append(node), sizes.append(len(h)), fps.append(folded(margin)), own.append(keys[:, 0]), ball.append(keys[:, 1:].ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists(fps), lists(own), lists(ball)], names=["doc_id", "mark", "node", "size", "fp", "own", "ball"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, node long, own array<long>, ball array<long>")
+    return rows.mapInArrow(run, "doc_id long, mark long, node long, size long, fp array<long>, own array<long>, ball array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int, text: str, needed: DataFrame) -> DataFrame:
-    """(node, fp, hashes) of the needed nodes."""
+    """(node, hashes) of the needed texts. needed: (mark, one row per node); few are broadcast, more shuffle the texts."""
 
     def run(batch_iter):
         for batch in work.batches(batch_iter):
             made = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
-            fps = lists([folded(margins(h)) for h, _ in made])
-            yield pa.RecordBatch.from_arrays([pa.array([n for _, n in made], pa.int64()), fps, lists([h.view(np.int64) for h, _ in made])], names=["node", "fp", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([n for _, n in made], pa.int64()), lists([h.view(np.int64) for h, _ in made])], names=["node", "hashes"])
 
-    sets = docs.select(F.col(text).alias("text")).mapInArrow(run, "node long, fp array<long>, hashes array<long>")
-    return sets.join(needed, "node", "left_semi").groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("hashes").alias("hashes"))
+    wanted = needed.select(F.col("mark").alias("__mark"))
+    wanted = F.broadcast(wanted) if wanted.count() <= NEEDED else wanted
+    chosen = docs.select(F.col(text).alias("text")).join(wanted, F.xxhash64("text") == F.col("__mark"), "left_semi")
+    return chosen.mapInArrow(run, "node long, hashes array<long>").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
 
 
 def pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes allow that similarity and whose complete fingerprints are near."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("size").alias(f"size_{s}"))
+    far = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (far <= MOST)).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of near complete fingerprints whose shingle sets have at least that Jaccard similarity."""
-    side = lambda s: sets.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in sets.columns if c != "node"])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    if "fp" in sets.columns:
-        far = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        both = both.where(far <= MOST)
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"hashes_{s}"))
     common = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    sized = both.select("a", "b", common.alias("common"), (F.size("hashes_a") + F.size("hashes_b")).alias("total"))
-    return sized.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), (F.size("hashes_a") + F.size("hashes_b")).alias("total"))
+    return both.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b")
 
 
 def place() -> F.Column:
@@ -156,10 +166,11 @@ def first_links(nodes: DataFrame, docs: DataFrame, words: int, text: str, simila
     """((a, b) of verified links to the first member of an own segment's bucket, (node, root) labels after them)."""
     own = nodes.select(F.explode("own").alias("key"), "node")
     first = own.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(place().alias("place"), "node")).alias("first")).where("n > 1").select("key", F.col("first.node").alias("first"))
-    met = work.table(own.join(first, "key").where("node <> first").select("node", "first").distinct(), "met")
-    needed = met.select("node").unionByName(met.select(F.col("first").alias("node"))).distinct()
-    sets = work.table(shingle_sets(docs, words, text, needed), "sets")
-    links = work.table(verified(met.select(F.col("node").alias("a"), F.col("first").alias("b")), sets, similarity), "verified")
+    met = own.join(first, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    met = work.table(near(met, nodes, similarity), "met")
+    needed = met.select("a").unionByName(met.select(F.col("b").alias("a"))).distinct()
+    sets = work.table(shingle_sets(docs, words, text, nodes.join(needed, nodes["node"] == needed["a"], "left_semi")), "sets")
+    links = work.table(verified(met, sets, similarity), "verified")
     up = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64(F.lit(7), "b").alias("h"), "b")).alias("up")).select("node", F.col("up.b").alias("root"))
     for _ in range(2):  # to the first member's own first member
         above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
@@ -167,12 +178,31 @@ def first_links(nodes: DataFrame, docs: DataFrame, words: int, text: str, simila
     return links, up
 
 
-def meet(anchors: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of anchors with others (key, node, root, n) of their key and another root; a crowd of n is dealt to n / SHARE tasks."""
+def reachable(similarity: float):
+    """Whether x and y can be that similar without a rare shingle in common: rest_ counts their other shingles."""
+    most = F.least("rest_x", "rest_y")
+    return most >= similarity * (F.col("size_x") + F.col("size_y") - most) - 1e-6
+
+
+def meet(anchors: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of anchors with others (key, node, root, n, size, rest) of their key and another root; a crowd of n is dealt to n / SHARE tasks."""
     parts = F.ceil(F.col("n") / SHARE).cast("int")
-    left = anchors.select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = others.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    return left.join(right, ["key", "part"]).where("root_x <> root_y").select(*pair("x", "y")).distinct()
+    side = lambda s: [F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("root", "size", "rest")]]
+    left = anchors.select("key", *side("x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = others.select("key", *side("y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    return left.join(right, ["key", "part"]).where((F.col("root_x") != F.col("root_y")) & reachable(similarity)).select(*pair("x", "y")).distinct()
+
+
+def by_rare(full: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of different roots that share a rare shingle, (node, size, rest) of all members of crowded buckets)."""
+    held = work.table(full.select("node", "root").distinct().join(sets.select("node", "hashes"), "node"), "crowds")
+    shingles = held.select("node", "root", F.explode("hashes").alias("shingle"))
+    counts = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("n") <= RARE)
+    rare = work.table(shingles.join(counts, "shingle").select("shingle", "node", "root", (F.col("low") < F.col("high")).alias("parted")), "rare")
+    left, right = (rare.where("parted").select("shingle", F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "xy")
+    met = left.join(right, "shingle").where("x < y and root_x <> root_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    own = held.select("node", F.size("hashes").alias("size")).join(rare.groupBy("node").agg(F.count("*").alias("r")), "node", "left")
+    return met, own.select("node", "size", (F.col("size") - F.coalesce("r", F.lit(0))).alias("rest"))
 
 
 def merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -186,33 +216,37 @@ def merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
     return work.table(old.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
-def linked_roots(table: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD, known: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+def linked_roots(table: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD, known: DataFrame | None = None, labels: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(node, root) of every node with a verified link.
 
-    table: (key, node, ...) of the buckets; counts: (key, n) with n > 1; sets: (node, hashes), perhaps with fp. known:
-    (a, b) links verified before; labels: (node, root) of nodes that these connect, which need not meet again.
+    table: (key, node, ...) of the buckets; counts: (key, n) with n > 1; sets: (node, hashes). known: (a, b) links
+    verified before; labels: (node, root) of nodes that these connect, which need not meet again. nodes: (node, size, fp).
     """
+    checked = lambda pairs: verified(pairs if nodes is None else near(pairs, nodes, similarity), sets, similarity)
     members = work.table(labelled(table.select("key", "node").join(counts.select("key", "n"), "key"), labels).select("key", "node", "root", "n"), "members")
     few, full = members.where(F.col("n") <= crowd), members.where(F.col("n") > crowd)
     left, right = (few.select("key", F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "xy")
-    met = left.join(right, "key").where("x < y and root_x <> root_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    met = left.join(right, "key").where("x < y and root_x <> root_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     crowded = not full.isEmpty()
     if crowded:
-        met = met.unionByName(meet(full.where(place() < ANCHORS / F.col("n")), full))
-    found = verified(met.distinct(), sets, similarity)
+        paired, rests = by_rare(full, sets)
+        full = full.drop("n").join(rests.where(F.col("rest") >= similarity * F.col("size") - 1e-6), "node")
+        full = work.table(full.join(full.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "crowded")
+        met = met.unionByName(paired).unionByName(meet(full.where(place() < ANCHORS / F.col("n")), full, similarity))
+    found = checked(met.distinct())
     roots = merged(None, work.table(found if known is None else found.unionByName(known), "verified"))
     share = ANCHORS
     while crowded:  # members below the share are settled: linked to, or compared with, every member of another component
         placed = labelled(full.where(F.col("n") > share).drop("root"), roots)
         main = placed.groupBy("key", "root").agg(F.count("*").alias("here")).groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("kinds"))
-        parted = work.table(placed.join(main.where("kinds > 1"), "key").select("key", "node", "root", "n", (F.col("root") != F.col("main")).alias("apart")), "parted")
+        parted = work.table(placed.join(main.where("kinds > 1"), "key").select("key", "node", "root", "n", "size", "rest", (F.col("root") != F.col("main")).alias("apart")), "parted")
         rest = parted.where(place() >= share / F.col("n"))
         if rest.isEmpty():
             break
         share *= 16
         now = rest.where(place() < share / F.col("n"))
-        more = meet(now.where("apart"), parted).unionByName(meet(now.where("not apart"), parted.where("apart"))).distinct()
-        roots = merged(roots, work.table(verified(more, sets, similarity), "verified"))
+        more = meet(now.where("apart"), parted, similarity).unionByName(meet(now.where("not apart"), parted.where("apart"), similarity)).distinct()
+        roots = merged(roots, work.table(checked(more), "verified"))
     return roots
 
 
@@ -220,13 +254,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
     """(doc_id, component_id, mark, root) of every row: the smallest key reachable by links, the text's xxhash64, the class."""
     with work.scratch(docs.sparkSession):
         rows = work.table(keyed(docs, words, key, text), "keyed")
-        nodes = work.table(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("own").alias("own"), F.any_value("ball").alias("ball")), "nodes")
+        some = [F.any_value(c).alias(c) for c in ("mark", "size", "fp", "own", "ball")]
+        nodes = work.table(rows.groupBy("node").agg(F.min("doc_id").alias("first"), *some), "nodes")
         known, labels = first_links(nodes, docs, words, text, similarity)
         table = labelled(nodes, labels).select(F.explode(F.concat("own", "ball")).alias("key"), "node", "root")
         counts = table.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
         table = work.table(table.join(counts, "key").select("key", "node", "n"), "shared")
-        sets = work.table(shingle_sets(docs, words, text, table.select("node").distinct()), "sets")
-        roots = linked_roots(table, table.select("key", "n").distinct(), sets, similarity, crowd, known, labels)
+        sets = work.table(shingle_sets(docs, words, text, nodes.join(table.select("node").distinct(), "node", "left_semi")), "sets")
+        roots = linked_roots(table, table.select("key", "n").distinct(), sets, similarity, crowd, known, labels, nodes)
         placed = labelled(nodes.select("node", "first"), roots)
         firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
         classes = placed.join(firsts, "root").select("node", "root", "component_id")
