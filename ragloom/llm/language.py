@@ -6,19 +6,25 @@ the longest phrases that occur in the sample; few phrases mean that the sample p
 are normalised to bits per character, phrases x log2(sample length) / text length; the lowest wins, ties go to the
 smaller language name.
 
-All letters of the samples, of whatever script, are symbols of their own; all other characters are symbol 0. The
+All letters of the samples, of whatever script, are symbols of their own; letters that no sample has are one more, which
+no phrase holds, and all other characters are symbol 0. The
 automata's transitions lie in one sparse table by row displacement: a state is its offset, and the slot at offset +
-symbol names the state it belongs to. A missing transition ends the phrase and leads to where the next one begins, so all
-segments of a batch of texts advance in step for all languages. Texts are cut into segments
-of SEGMENT characters, the phrase count of a text is the sum over its segments: the whole text is read.
+symbol names the state it belongs to. A missing transition ends the phrase and leads to where the next one begins. So
+that all parts of a batch of texts advance in step for all languages, texts are first parsed in segments of SEGMENT
+characters, each as if a phrase began there. Then the phrase that really runs into a segment is carried on from the
+state in which the one before ended, until it ends where the segment's own parse has an end too; from there on both
+agree. The counts are those of one greedy parse of the whole text, whatever SEGMENT is.
 
 Null text, or text without a letter: language `und`, score 0. Without any learned language every text is `und`; the
-pipeline's stage keeps the lettered ones all the same.
+pipeline's stage keeps the lettered ones all the same. The pipeline's stage also rejects texts of JUDGED letters or more
+that no learned language predicts: the best language needs more than LOOSE times the bits per character that pieces of
+labelled text need which are held out from a first automaton (the worst of its pieces counts).
 Empty tables give no rows; repeated rows are judged each; other columns are ignored. Rows with null key are held in.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import unicodedata
 
@@ -34,6 +40,9 @@ TRAIN_CHARS = 40_000
 SAMPLE_CHARS = 8_192
 SAMPLE_DOCS = 200
 SEGMENT = 512
+JUDGED, LOOSE = 200, 1.5
+PIECE = 400  # characters of a held-out piece
+GROUP = 1 << 22  # characters parsed at once; one longer text is parsed alone
 UNKNOWN = "und"
 _models: dict = {}
 
@@ -128,6 +137,12 @@ def displaced(automata: list[list[dict[int, int]]], width: int) -> tuple[list[li
     return at, owner, to
 
 
+@functools.cache
+def alphabetic() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 class CrossParser:
     """The automata of all languages in one sparse table; `begin` holds each language's state after a phrase's first symbol."""
 
@@ -135,16 +150,18 @@ class CrossParser:
         self.names = sorted(sample)
         texts = {k: v.lower() for k, v in sample.items()}
         letters = sorted({c for t in texts.values() for c in t if c.isalpha() or c == " " or unicodedata.category(c)[0] == "M"})
-        self.symbols = np.zeros(0x110000, np.int32)
+        width = len(letters) + 2  # symbol 0: no letter; the last one: a letter that no sample has
+        self.symbols = np.where(alphabetic(), np.int32(width - 1), np.int32(0))
         self.symbols[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.symbols[10] = self.symbols[32]
         coded = [self.codes(texts[name]).tolist() for name in self.names]
         self.bits = [math.log2(len(codes) + 2) for codes in coded]
         automata = [suffix_automaton(codes) for codes in coded]
-        width = len(letters) + 1
         at, self.owner, self.to = displaced(automata, width)
         self.starts = [places[0] for places in at]
-        self.begin = np.repeat(np.array(self.starts, np.int32)[:, None], width, 1)
+        dead = len(self.owner)  # the state after a character that a sample lacks: nothing goes on from there
+        self.owner, self.to = np.append(self.owner, np.full(width, -1, np.int32)), np.append(self.to, np.zeros(width, np.int32))
+        self.begin = np.full((len(automata), width), dead, np.int32)
         for k, own in enumerate(automata):
             for c, t in own[0].items():
                 self.begin[k, c] = at[k][t]
@@ -157,28 +174,61 @@ class CrossParser:
         """(texts x languages phrase counts, text lengths)."""
         coded = [self.codes(t.lower()) for t in texts]
         lengths = np.array([len(c) for c in coded], np.int64)
-        per_text = -(-lengths // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), per_text)
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        if not len(owner) or not self.names:
-            return out, lengths
-        sizes = np.full(len(owner), SEGMENT)
-        sizes[np.cumsum(per_text)[per_text > 0] - 1] = (lengths - (per_text - 1) * SEGMENT)[per_text > 0]
+        if self.names:
+            group = np.cumsum(lengths) // GROUP
+            for g in np.unique(group[lengths > 0]).tolist():
+                mine = np.flatnonzero((group == g) & (lengths > 0))
+                out[mine] = self.parsed([coded[i] for i in mine.tolist()], lengths[mine])
+        return out, lengths
+
+    def parsed(self, coded: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        """Phrase counts of non-empty texts in every language."""
+        per_text = -(-lengths // SEGMENT)
+        owner, flat = np.repeat(np.arange(len(coded)), per_text), np.concatenate(coded)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)  # of the segment in its text
+        begin = np.repeat(np.cumsum(lengths) - lengths, per_text) + number * SEGMENT
+        sizes = np.minimum(SEGMENT, np.repeat(lengths, per_text) - number * SEGMENT)
+        many, langs = len(owner), len(self.names)
         order = np.argsort(-sizes, kind="stable")  # segments that are still running come first
-        begin = (np.concatenate([[0], np.cumsum(lengths)[:-1]]).repeat(per_text) + (np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)) * SEGMENT)[order]
-        sizes, owner, flat = sizes[order], owner[order], np.concatenate(coded)
-        running = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")
-        state = np.repeat(np.array(self.starts, np.int32)[:, None], len(owner), 1)
-        count = np.ones(state.shape, np.int32)
+        at = begin[order]
+        running = np.searchsorted(-sizes[order], -np.arange(1, sizes.max() + 1), "right")
+        state = np.repeat(np.array(self.starts, np.int32)[:, None], many, 1)
+        count = np.zeros(state.shape, np.int64)
+        ends = np.zeros((langs, len(flat)), bool)  # where a phrase of the segments' own parse begins
         for j, n in enumerate(running.tolist()):
-            symbol = flat.take(begin[:n] + j)
+            symbol = flat.take(at[:n] + j)
             slot = state[:, :n] + symbol
-            missing = self.owner.take(slot) != state[:, :n]
+            missing = self.owner.take(slot) != state[:, :n] if j else np.ones((langs, n), bool)
             count[:, :n] += missing
+            ends[:, at[:n] + j] = missing
             state[:, :n] = np.where(missing, self.begin[:, symbol], self.to.take(slot))
-        for k in range(len(self.names)):
-            out[:, k] = np.bincount(owner, count[k], len(texts))
-        return out, lengths
+        back = np.argsort(order)
+        count, own, last = count[:, back], state[:, back], state[:, back].copy()
+        whose, seg = np.nonzero(np.broadcast_to(number > 0, (langs, many)))
+        change = np.zeros((langs, many), np.int64)
+        while len(seg):  # pairs of language and segment whose entering state is new
+            lane, here, fixed, step = last[whose, seg - 1], np.arange(len(seg)), np.zeros(len(seg), np.int64), 0
+            leaves = own[whose, seg]
+            while len(here):
+                k, spot = whose[here], begin[seg[here]] + step
+                symbol = flat[spot]
+                slot = lane + symbol
+                missing, theirs = self.owner[slot] != lane, ends[k, spot]
+                fixed[here] += missing.astype(np.int64) - theirs
+                lane = np.where(missing, self.begin[k, symbol], self.to[slot])
+                over = step + 1 == sizes[seg[here]]
+                leaves[here[over & ~(missing & theirs)]] = lane[over & ~(missing & theirs)]
+                stay = ~(missing & theirs) & ~over
+                here, lane, step = here[stay], lane[stay], step + 1
+            change[whose, seg] = fixed
+            new = leaves != last[whose, seg]
+            last[whose, seg] = leaves
+            follow = new & (seg + 1 < many)
+            follow[follow] &= number[seg[follow] + 1] > 0
+            whose, seg = whose[follow], seg[follow] + 1
+        total = count + change
+        return np.stack([np.bincount(owner, total[k], len(coded)) for k in range(langs)], 1).astype(np.int64)
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(languages, scores, bits per character) of the texts."""
@@ -221,19 +271,36 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
 
 
+def loosest(sample: dict[str, str]) -> float:
+    """The bits per character that the hardest held-out piece of any language needs, parsed by the rest of its sample."""
+    worst = 0.0
+    for name, text in sample.items():
+        cut = max(len(text) * 4 // 5, len(text) - 25 * PIECE)
+        pieces = [text[at : at + PIECE] for at in range(cut, len(text) - PIECE + 1, PIECE)]
+        if pieces and cut > PIECE:
+            worst = max(worst, float(CrossParser({name: text[:cut]}).judge(pieces)[2].max()))
+    return worst
+
+
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows whose text has a letter, and so a language, all columns as they are: rows judged `und` for want of one go.
+    """The rows whose text is in a learned language, all columns as they are.
 
-    Works row by row beside the other columns, so repeated and null keys need no join.
+    Text without a letter goes (`und`), and text of JUDGED letters or more that no learned language predicts; shorter
+    text is too short to reject. Where nothing was learnt all lettered rows stay. Works row by row beside the other
+    columns, so repeated and null keys need no join.
     """
     sample, names = training_sample(docs, key, text, lang), docs.columns
-    at = names.index(text)
+    at, limit = names.index(text), LOOSE * loosest(sample)
 
     def run(batch_iter):
         own = parser(sample)
         for batch in work.batches(batch_iter, 2048):
             texts = batch.column(at).to_pylist()
-            found = own.judge(texts)[0] if own.names else [UNKNOWN if not lettered(t) else "" for t in texts]
-            yield batch.filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
+            if not own.names:
+                keep = [lettered(t) for t in texts]
+            else:
+                found, _, bits = own.judge(texts)
+                keep = [f != UNKNOWN and (not limit or b <= limit or sum(map(str.isalpha, t)) < JUDGED) for f, b, t in zip(found, bits.tolist(), texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
