@@ -2,7 +2,7 @@
 
 A tolerant tokeniser builds the tree of block elements; inline markup stays inside its block. Every node has one of
 three hidden states: content, boilerplate, or frame (a container whose children differ). Node potentials come from its
-tag, its class and id words, the length of its own text and the share of it inside links; pair potentials couple
+tag, its class and id words, the length of its own text and, with the tag, the share of it inside links; pair potentials couple
 parent and child. Both are estimated from labelled pages by smoothed counts. One upward and one downward sum-product
 pass give exact marginals; a node's own text belongs to the article where content is its likeliest state.
 
@@ -35,7 +35,11 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 DROPPED = set("script style noscript template svg math head title iframe object canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = set("ul ol dl table tbody thead tfoot tr select div section article main aside nav body".split())
-TOKEN = re.compile(r"<!--[\s\S]*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|title|iframe|textarea|select)\b[^>]*>[\s\S]*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.I)
+#: Elements whose inside is not markup; the first three take the rest of the page where they do not end.
+RAW = set("script style title textarea noscript template svg math iframe select".split())
+ENDLESS = {"script", "style", "title"}
+OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+MORE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")  # attributes; a quote counts after an equals sign only
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _models: dict = {}
 
@@ -47,10 +51,97 @@ class Node:
         self.tag, self.names, self.parent, self.label, self.chars, self.linked = tag, names, parent, label, 0, 0
 
 
+def tokens(html: str):
+    """(text before, tag name or None, is an end tag, attributes) of the page in order; every character is read once.
+
+    A tag, comment or script that does not end takes the rest of the page with it.
+    """
+    at, begin, unended = 0, 0, set()
+    while True:
+        at = html.find("<", at)
+        if at < 0:
+            yield html[begin:], None, False, ""
+            return
+        m = OPEN.match(html, at)
+        if not m:
+            if html.startswith(("<!", "<?", "</"), at):
+                comment = html.startswith("<!--", at)
+                stop = html.find("-->" if comment else ">", at + (4 if comment else 2))
+                yield html[begin:at], None, False, ""
+                if stop < 0:
+                    return
+                begin = at = stop + (3 if comment else 1)
+            else:  # a plain less-than sign
+                at += 1
+            continue
+        more = MORE.match(html, m.end())
+        stop = more.end()
+        yield html[begin:at], None, False, ""
+        if stop >= len(html):
+            return
+        tag, end = m[1].lower(), html[at + 1] == "/"
+        begin = at = stop + 1
+        if tag in RAW and not end:
+            inside = None if tag in unended else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            if inside:
+                close = html.find(">", inside.end())
+                begin = at = close + 1 if close >= 0 else len(html)
+                continue
+            unended.add(tag)
+            if tag in ENDLESS:
+                return
+            continue
+        yield "", tag, end, more[0]
+
+
+class Stack:
+    """Open elements. Each knows the nearest one at or below it that matters to closing, so no search walks the others."""
+
+    def __init__(self):
+        self.items, self.count = [("body", 0, 0)], {}
+
+    def __getitem__(self, k):
+        return self.items[k]
+
+    def push(self, tag: str, node: int) -> None:
+        k = len(self.items)
+        matters = tag == "p" or tag in LIMITS or tag in CLOSES
+        self.items.append((tag, node, k if matters else self.items[-1][2]))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def cut(self, k: int) -> None:
+        while len(self.items) > k:
+            tag = self.items.pop()[0]
+            self.count[tag] -= 1
+
+    def close(self, tag: str) -> bool:
+        """End the innermost element of that tag, and all inside it."""
+        if not self.count.get(tag):
+            return False
+        k = len(self.items) - 1
+        while self.items[k][0] != tag:
+            k -= 1
+        self.cut(k)
+        return True
+
+    def make_room(self, tag: str) -> None:
+        """A list item, cell or the like ends its open sibling; any other block ends an open paragraph."""
+        ends = CLOSES.get(tag, {"p"})
+        k = self.items[-1][2]
+        while k > 0:
+            have = self.items[k][0]
+            if have in ends:
+                self.cut(k)
+                return
+            if have in LIMITS or tag not in CLOSES:
+                return
+            k = self.items[k - 1][2]
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(block nodes in page order, runs of text as (node, text))."""
     nodes, runs = [Node("body", (), -1)], []
-    stack = [("body", 0)]  # open elements: (tag, block node)
+    stack = Stack()
     piece: list[str] = []
     links = dropped = 0
 
@@ -61,65 +152,41 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             runs.append((stack[-1][1], text))
             nodes[stack[-1][1]].chars += len(text)
 
-    def take(text):
-        nonlocal piece
+    for text, tag, end, more in tokens(html):
         if text and not dropped:
             piece.append(text)
             if links:
                 nodes[stack[-1][1]].linked += len(text.strip())
-
-    at = 0
-    for m in TOKEN.finditer(html):
-        take(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
         if not tag:
             continue
-        tag = tag.lower()
         if tag in DROPPED:  # head, and elements of this kind that are not raw text
-            dropped = max(0, dropped + (-1 if m["end"] else 1)) if tag not in VOID and not m["more"].endswith("/") else dropped
+            dropped = max(0, dropped + (-1 if end else 1)) if tag not in VOID and not more.endswith("/") else dropped
             continue
         if tag in ("html", "body"):
             dropped = 0
             continue
-        if m["end"]:
+        if end:
             if tag in INLINE:
                 links = max(0, links - (tag == "a"))
-                continue
-            if any(t == tag for t, _ in stack[1:]):
+            elif stack.count.get(tag):
                 flush()
                 links = 0
-                while stack.pop()[0] != tag:
-                    pass
+                stack.close(tag)
             continue
         if tag in INLINE:
-            if tag == "br":
-                take(" ")
+            if tag == "br" and not dropped:
+                piece.append(" ")
             links += tag == "a"
             continue
         flush()
         links = 0
         if tag in VOID:
             continue
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in LIMITS:
-                    break
-        else:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in LIMITS or stack[k][0] in CLOSES:
-                    break
-        names = tuple(w for g in NAMES.findall(m["more"]) for w in re.findall("[a-z]+", (g[0] or g[1] or g[2]).lower()))
-        label = next((int(w[-1]) for w in re.findall(r"data-y=.\d", m["more"])), None)
+        stack.make_room(tag)
+        names = tuple(w for g in NAMES.findall(more) for w in re.findall("[a-z]+", (g[0] or g[1] or g[2]).lower()))
+        label = next((int(w[-1]) for w in re.findall(r"data-y=.\d", more)), None)
         nodes.append(Node(tag, names, stack[-1][1], label))
-        stack.append((tag, len(nodes) - 1))
-    take(html[at:])
+        stack.push(tag, len(nodes) - 1)
     flush()
     return nodes, runs
 
@@ -127,7 +194,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
 def features(node: Node) -> list[str]:
     size = min(int(math.log2(node.chars + 1)) // 2, 5)
     share = 0 if not node.chars else 1 + min(3, 4 * node.linked // max(node.chars, 1))
-    return [f"tag {node.tag}", f"size {size}", f"links {share}", *{f"name {w}" for w in node.names}]
+    return [f"tag {node.tag}", f"size {size}", f"links {share}", f"{node.tag} links {share}", *{f"name {w}" for w in node.names}]
 
 
 def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
@@ -199,6 +266,12 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
             main = block("main", 2, main + (noise() if rng.random() < 0.4 else ""), ("main", "content"))
         parts = [noise() for _ in range(rng.randint(0, 4))] + [main] + [noise() for _ in range(rng.randint(0, 4))]
         inside = "".join(parts)
+        if rng.random() < 0.15:  # laid out by a table: a row of links above and below, a column of links beside the text
+            cell = lambda: block("td", 1, rng.choice([" ", " | ", "<br>"]).join(link() for _ in range(rng.randint(1, 8))))
+            rows = [block("tr", 2, cell()) for _ in range(rng.randint(0, 2))]
+            text = block("td", 0, body())
+            rows.insert(rng.randint(0, len(rows)), block("tr", 2, text + cell() if rng.random() < 0.3 else cell() + text if rng.random() < 0.6 else text))
+            inside = block("table", 2, "".join(rows))
         if rng.random() < 0.4:
             inside = block("div", 2, inside, ("page", "wrapper", "container", "layout", "row", "site", "wrap"))
         pages.append(f"<html><body>{inside}</body></html>")
