@@ -65,4 +65,42 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_anisotropic_search, op3_multiset_hash, op4_feistel_shards, op5_host_reputation, op6_cross_parsing, op7_suffix_spans, op8_dom_model, op9_byte_bpe, op10_pack)}
-ORACLES: dict[str, str] = {}
+
+
+def _reputation_sql() -> str:
+    """op5 as one DuckDB statement: counts per host, three levels of prior strength, posterior bound, rules."""
+    lower = f"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}')"
+    path = r"coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '')"
+    second = ", ".join(f"'{x}'" for x in urls.SECOND_LEVEL)
+    tail = "array_to_string(list_slice(l, greatest(1, len(l) - {0}), len(l)), '.')"
+
+    def strength(groups: str, n: str, k: str, p: str, out: str) -> str:
+        clipped = f"least(greatest({p}, 1e-6), 1 - 1e-6)"
+        sums = f"select sum({n} * pow({k}::double / {n} - {clipped}, 2) / ({clipped} * (1 - {clipped}))) as q, count(*) as g, sum({n} - 1) as w from {groups} where {n} > 0"
+        return f"{out} as (select case when coalesce(w, 0) = 0 then 10.0::double else round((1 - rho) / rho, 6) end as s from (select w, least(greatest((q - g) / nullif(w, 0)::double, 0.001), 0.5) as rho from ({sums})))"
+
+    rule, verdict = "null::varchar", "null::varchar"
+    for kind, text in sorted(URL_RULES, key=lambda r: (len(r[1]), r[1])):
+        own, _, rest = text.partition("/")
+        fits = f"(host = '{own}' or ends_with(host, '.{own}')) and starts_with(path, '/{rest}')"
+        rule, verdict = f"case when {fits} then '{text}' else {rule} end", f"case when {fits} then '{kind}' else {verdict} end"
+    return (
+        f"with pg as (select page_id, {lower} as host, {path} as path from pages), mk as (select doc_id as page_id, max(case when toxic = 1 or quality = 0 then 1 else 0 end)::bigint as bad from labels group by doc_id), "
+        "h0 as (select host, count(bad) as n_h, coalesce(sum(bad), 0)::bigint as k_h from pg left join mk using (page_id) group by host), "
+        r"h1 as (select *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') as name from h0), h2 as (select *, string_split(name, '.') as l, regexp_matches(name, '^[0-9]+(\.[0-9]+){3}$') or starts_with(name, '[') as numeric_address from h1), "
+        f"h3 as (select *, len(l) >= 3 and length(l[len(l)]) = 2 and coalesce(l[len(l) - 1] in ({second}), false) as two from h2), "
+        f"hosts as (select host, n_h, k_h, case when numeric_address then '' when two then {tail.format(1)} else {tail.format(0)} end as suffix, case when numeric_address then name when two then {tail.format(2)} else {tail.format(1)} end as domain from h3), "
+        "tot as (select (coalesce(sum(k_h), 0) + 0.5::double) / (coalesce(sum(n_h), 0) + 10.0::double) as rate from hosts), "
+        "su0 as (select suffix, sum(n_h) as n_s, sum(k_h) as k_s, any_value(rate) as p0 from hosts cross join tot group by suffix), "
+        + strength("su0", "n_s", "k_s", "p0", "s1")
+        + ", su as (select suffix, (k_s + s * p0) / (n_s + s) as p_s from su0 cross join s1), do0 as (select suffix, domain, sum(n_h) as n_d, sum(k_h) as k_d, any_value(p_s) as p_s from hosts join su using (suffix) group by suffix, domain), "
+        + strength("do0", "n_d", "k_d", "p_s", "s2")
+        + ", dm as (select domain, (k_d + s * p_s) / (n_d + s) as p_d from do0 cross join s2), hd as (select hosts.*, p_d from hosts join dm using (domain)), "
+        + strength("hd", "n_h", "k_h", "p_d", "s3")
+        + ", ab as (select host, k_h + s * p_d as a, n_h - k_h + s * (1 - p_d) as b from hd cross join s3), sc as (select host, a / (a + b) as bad_rate, a / (a + b) - 1.645::double * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) as bad_rate_low from ab) "
+        f"select page_id, host, path, {rule} as rule, coalesce({verdict}, case when bad_rate_low > 0.5 then 'block' else 'allow' end) as verdict, bad_rate, bad_rate_low from pg join sc using (host)"
+    )
+
+
+#: The other nine need hash functions, models, tokenizers or iterations that SQL does not have; tests/llm compares them with brute force.
+ORACLES: dict[str, str] = {"op5_host_reputation": _reputation_sql()}

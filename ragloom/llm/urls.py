@@ -6,6 +6,8 @@ the whole table's rate. The prior strength of each level is the method-of-moment
 the groups below it. A host is blocked where the lower posterior bound of its bad rate exceeds the threshold, so a
 host with few or no outcomes follows its domain and suffix and needs strong evidence to be blocked.
 
+User names and ports do not part domains; a numeric address is a domain of its own, under the suffix ''.
+
 A null url, or one without "://", has empty host and path, fits no rule and shares one reputation entry. Repeated
 pages count once per row; a page whose outcomes disagree counts as bad. Without any outcome all rates are the
 prior's (below the threshold), so everything is allowed. Other columns are ignored.
@@ -49,9 +51,12 @@ def suffix_of(host: Column) -> Column:
 
 
 def _top(host: Column) -> tuple[Column, Column]:
-    suffix = suffix_of(host)
-    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    return suffix, F.when(F.instr(suffix, ".") > 0, three).otherwise(two)
+    """(suffix, registered domain) of a host."""
+    name = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+    suffix = suffix_of(name)
+    two, three = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
+    address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$") | name.startswith("[")
+    return F.when(address, "").otherwise(suffix), F.when(address, name).when(F.instr(suffix, ".") > 0, three).otherwise(two)
 
 
 def _strength(groups: DataFrame, n: str, k: str, parent: str) -> float:

@@ -504,3 +504,205 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage on its own input: the rule of the language stage, all pairs, all 50-byte strings, the library's ids."""
+    import corpus_pipeline
+
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "1234 -- 5678", "en", "s", 12), (9003, "漢字かな" * 200, None, "s", 800)], docs.schema)
+    docs = docs.unionByName(extra)
+    kept = stages["language"](spark, docs, SF)
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {9001, 9002, 9003}
+    own = texts(kept)
+    alone = stages["near_dedup"](spark, kept, SF)
+    classes = exact_classes(own)
+    assert sorted(r.doc_id for r in alone.collect()) == sorted(set(classes.values()))
+    own = texts(alone)
+    cut = stages["passages"](spark, alone, SF)
+    want = brute_spans([(d, t.encode()) for d, t in own])
+    got = {r.doc_id: r for r in cut.collect()}
+    assert sorted(got) == sorted(d for d, _ in own) and all(got[d].n_chars == len(got[d].text) for d in got)
+    for d, t in own:
+        if t.isascii():
+            assert hashlib.sha256(got[d].text.encode()).hexdigest() == want[d][3]
+    tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = Counter()
+    for r in stages["packing"](spark, cut, SF).collect():
+        sizes[r.doc_id] += r.length
+        assert r.start + r.length <= r.doc_tokens
+    assert sizes == {d: len(tokens.encode(r.text, add_special_tokens=False).ids) + 1 for d, r in got.items()}
+
+
+def test_keep_one_of_repeated_ids_loses_no_text(spark):
+    """Distinct texts that share an id stay; of copies one row stays, of rows equal in id and text one."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(3, a, 1), (5, a, 1), (5, b, 1), (7, c, 1), (7, d, 1), (7, c, 2), (None, a, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    for keep in (similar.keep_one, simhash.keep_one):
+        assert sorted(map(tuple, keep(frame).collect()), key=str) == sorted([(3, a, 1), (5, b, 1), (7, c, 1), (7, d, 1), (None, a, 1)], key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_similar_visitors_of_a_hub(spark, seed):
+    """A text that is near one copy of a hub alone is linked, however crowded the hub's buckets are."""
+    rng, rows = np.random.default_rng(seed), []
+    for k in range(6):
+        hub = [f"h{k}x{i}" for i in rng.integers(0, 9000, 120)]
+        for j in range(13):
+            copy = hub if not j else hub[: 5 * j] + [f"c{k}x{j}"] + hub[5 * j + 1 :]
+            rows.append((100 * k + j, " ".join(copy)))
+        tail = [f"v{k}x{i}" for i in range(int(rng.integers(8, 14)))]
+        rows.append((100 * k + 50, " ".join(copy[: -len(tail)] + tail)))
+    got = [{r.doc_id: r.component_id for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd=c).collect()} for c in (4, 10**6)]
+    assert got[0] == got[1] == exact_classes(rows)
+
+
+def test_similar_recall_near_the_threshold(spark):
+    """600 pairs of similarity 0.8 to 0.85, texts of 5 to 400 shingles: at least 0.99 are linked."""
+    rng, rows, pairs = np.random.default_rng(8), [], 0
+    while pairs < 600:
+        n = int(rng.integers(4, 400))
+        common, extra = [f"w{pairs}x{i}" for i in range(n + 4)], int(n * rng.uniform(0.17, 0.25))
+        left = int(rng.integers(0, extra + 1))
+        one = [f"l{pairs}x{i}" for i in range(left)] + common
+        two = common + [f"r{pairs}x{i}" for i in range(extra - left)]
+        a, b = shingle_set(" ".join(one)), shingle_set(" ".join(two))
+        if a != b and 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(2 * pairs, " ".join(one)), (2 * pairs + 1, " ".join(two))]
+            pairs += 1
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(pairs)) >= 0.99 * pairs
+
+
+def greedy(text, sample):
+    at, n = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+def test_op6_parses_whole_texts():
+    """Texts of several segments, copies of the sample among them, Han and letters beyond the BMP: one greedy parse each."""
+    rng = np.random.default_rng(6)
+    pools = {"en": "abcdefgh ", "zh": "".join(chr(0x4E00 + i) for i in range(60)), "xx": "".join(chr(0x20000 + i) for i in range(60))}
+    sample = {k: "".join(rng.choice(list(v), 3000)) for k, v in pools.items()}
+    own = language.CrossParser(sample)
+    many = ["".join(rng.choice(list(pools[k]), 2400)) for k in pools] + [sample[k][17:2600] for k in pools] + [sample["en"][5:1500] + sample["zh"][40:900] + sample["en"][700:1900], "a", sample["en"][:512] * 3]
+    counts, lengths = own.phrases(many)
+    for text, row, n in zip(many, counts.tolist(), lengths.tolist()):
+        assert n == len(text) and row == [greedy(text, sample[k]) for k in own.names]
+    assert own.judge(many[:6])[0] == ["en", "zh", "xx"] * 2
+
+
+def test_op7_hot_anchors_and_many_units(monkeypatch):
+    """Units of few bytes with every shared anchor hot: strings dealt by what lies beside their anchor."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(spans, "HOT", 2)
+    rng = np.random.default_rng(9)
+    shared = ["".join(rng.choice(list("abcd "), int(n))) for n in rng.integers(30, 160, 6)]
+    own = [(k, "".join(rng.choice(list("xyz "), int(rng.integers(0, 90)))) + shared[k % 6] + "".join(rng.choice(list("uvw "), int(rng.integers(0, 90))))) for k in range(60)] + [(70, "a" * 300), (71, "b" + "a" * 200)]
+
+    def unit(rows):
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        return spans.Unit(sink.getvalue().to_pybytes(), "doc_id", "text", 5)
+
+    units = [unit(own[at : at + 4]) for at in range(0, len(own), 4)]
+
+    def exchange(sent, answer):
+        back = [{} for _ in units]
+        for b in range(5):
+            who = [k for k, s in enumerate(sent) if b in s]
+            for k, reply in zip(who, answer([sent[k][b] for k in who]) if who else []):
+                back[k][b] = reply
+        return back
+
+    for u, a in zip(units, exchange([dict(u.send_copies()) for u in units], spans.answer_copies)):
+        u.hear_copies(a)
+    for u, a in zip(units, exchange([dict(u.send_anchors()) for u in units], spans.answer_anchors)):
+        u.hear_anchors(a)
+    told = [u.placed() for u in units]
+    got = {}
+    for u, (state, _), a in zip(units, told, exchange([dict(s) for _, s in told], spans.answer_runs)):
+        u.recall(state, a)
+        for i, (left, gone, n) in zip(u.ids, u.kept()):
+            got[i] = (len(dict(own)[i]), gone, n, hashlib.sha256(left).hexdigest())
+    assert got == brute_spans([(i, t.encode()) for i, t in own])
+
+
+def test_op7_anchors_by_blocks(monkeypatch):
+    """Blocks of few strings give each string the anchor that one block gives it."""
+    rng = np.random.default_rng(2)
+    data = b"a" * 300 + bytes(rng.integers(97, 100, 1000).astype(np.uint8))
+    flat = lambda runs: [(s, p, h) for a, b, p, h in zip(*(x.tolist() for x in runs)) for s in range(a, b + 1)]
+    whole = flat(spans.anchors(data))
+    monkeypatch.setattr(spans, "BLOCK", 64)
+    assert flat(spans.anchors(data)) == whole and [s for s, _, _ in whole] == list(range(len(data) - 49))
+
+
+def test_op8_bad_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ('<a "' * 250_000, "<div>" * 20_000 + "</section>" * 20_000, '<a ="' * 200_000, "<select>" * 100_000, "<h1>" * 20_000 + "<center>" * 20_000):
+        html.parse(page)
+    assert time.time() - began < 5
+
+
+def labelled(name):
+    """A hand-written page: its source without marks, and the texts that are marked as the article's."""
+    from pathlib import Path
+
+    page = (Path(__file__).parent / "labelled" / name).read_text()
+    return page
+
+
+@pytest.mark.parametrize("name", ["news", "blog", "docs", "forum", "shop", "table"])
+def test_op8_hand_labelled_pages(name):
+    """Layouts and class names that the training pages do not have; data-y="0" marks what belongs to the article."""
+    page = labelled(f"{name}.html")
+    nodes, runs = html.parse(page)
+    want = [text for k, text in runs if nodes[k].label == 0]
+    source = re.sub(r' data-y="\d"', "", page)
+    got = html.main_text(source, html.model()).split("\n\n")
+    good = sum(len(t) for t in got if t in want)
+    assert want and good >= 0.9 * sum(map(len, want)) and good >= 0.9 * sum(map(len, got)), (name, [t for t in want if t not in got], [t for t in got if t not in want])
+
+
+def test_op3_fingerprint_by_hand(docs):
+    """Fingerprints from the definition alone: a Counter of passages, one hash each, sums in Python integers."""
+    for _, text in sorted(texts(docs))[:60]:
+        wide, narrow = [0] * 4, [0] * 128
+        for passage, n in Counter(multiset.passages(text)).items():
+            raw = hashlib.blake2b(passage.encode(), digest_size=48).digest()
+            wide = [(w + n * int.from_bytes(raw[8 * k : 8 * k + 8], "little")) % (1 << 64) for k, w in enumerate(wide)]
+            narrow = [(v + n * (1 if raw[32 + k // 8] >> (7 - k % 8) & 1 else -1) + 32768) % 65536 - 32768 for k, v in enumerate(narrow)]
+        f = multiset.fingerprint(text)
+        assert f[0].tolist() == wide and f[1].tolist() == narrow
+
+
+def test_op5_equals_sql(spark):
+    """The registered SQL, whole, over several small tables; repeated pages whose outcomes disagree; clashing names."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = con.execute(queries.ORACLES["op5_host_reputation"])
+    names = [d[0] for d in found.description]
+    want = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in dict(zip(names, r)).values()) for r in found.fetchall())
+    got = queries.op5_host_reputation(spark, SF).select(*names).collect()
+    assert sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in got) == want
+    pages = spark.createDataFrame([(1, "a://h.org/1"), (1, "a://h.org/1"), (2, "a://h.org:80/2"), (3, "a://10.0.0.1/x"), (4, "a://10.0.0.2/x")], "page_id long, url string").withColumn("bad", F.lit("x"))
+    marks = spark.createDataFrame([(1, 0), (1, 1), (2, None)], "page_id long, bad int").withColumn("host", F.lit(1)).withColumn("url", F.lit("z"))
+    hosts = {r.host: r for r in urls.reputation(pages, marks).collect()}
+    assert (hosts["h.org"].n_h, hosts["h.org"].k_h, hosts["h.org:80"].n_h) == (2, 2, 0)
+    assert len(urls.judge_urls(pages, marks, []).collect()) == 5
