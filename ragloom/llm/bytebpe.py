@@ -14,7 +14,7 @@ Repeated rows are encoded each; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import base64
-import gc
+import functools
 import hashlib
 import sys
 import unicodedata
@@ -36,26 +36,24 @@ STATES = 11
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 #: \x1c to \x1f are white space to str.isspace() but not to the Unicode property that the pattern's \s stands for.
 WHITE = "".join(c for c in WHITE if not "\x1c" <= c <= "\x1f")
-_loaded: dict = {}
 
 
+@functools.cache
 def symbol_table() -> np.ndarray:
     """The symbol of every code point."""
-    if "symbols" not in _loaded:
-        out = np.full(sys.maxunicode + 1, O, np.uint8)
-        for code in range(sys.maxunicode + 1):
-            kind = unicodedata.category(chr(code))[0]
-            if kind == "L":
-                out[code] = L
-            elif kind == "N":
-                out[code] = N
-        for c in WHITE:
-            out[ord(c)] = WS
-        out[ord(" ")], out[ord("'")] = SP, AP
-        for c, k in (("s", S_), ("t", S_), ("m", S_), ("d", S_), ("r", R_), ("v", V_), ("l", LL_), ("e", E_)):
-            out[ord(c)] = k
-        _loaded["symbols"] = out
-    return _loaded["symbols"]
+    out = np.full(sys.maxunicode + 1, O, np.uint8)
+    for code in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(code))[0]
+        if kind == "L":
+            out[code] = L
+        elif kind == "N":
+            out[code] = N
+    for c in WHITE:
+        out[ord(c)] = WS
+    out[ord(" ")], out[ord("'")] = SP, AP
+    for c, k in (("s", S_), ("t", S_), ("m", S_), ("d", S_), ("r", R_), ("v", V_), ("l", LL_), ("e", E_)):
+        out[ord(c)] = k
+    return out
 
 
 def transitions() -> np.ndarray:
@@ -169,9 +167,7 @@ class Vocabulary:
 
 
 def vocabulary(path: str) -> Vocabulary:
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    return work.held(("vocabulary", path), lambda: Vocabulary(path))
 
 
 def slices(texts: list[str]) -> list[tuple[bytes, list[int]]]:
@@ -219,7 +215,6 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """Ids of every text with the byte offsets of its pre-tokens: (doc_id, ids, piece_offsets)."""
 
     def run(batch_iter):
-        gc.disable()  # nothing here has cycles, and the remembered pieces are many to visit
         vocab = vocabulary(path)
         for batch in work.batches(batch_iter, 128):
             ids, at = [], []
@@ -228,27 +223,25 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 at.append(offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int64()))], names=["doc_id", "ids", "piece_offsets"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, piece_offsets array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work.without_collector(run), "doc_id long, ids array<int>, piece_offsets array<long>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Texts of encoded rows (doc_id, ids): (doc_id, data binary)."""
 
     def run(batch_iter):
-        gc.disable()  # nothing here has cycles, and the remembered pieces are many to visit
         vocab = vocabulary(path)
         for batch in work.batches(batch_iter, 128):
             data = [b"".join([vocab.bytes[i] for i in ids or ()]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return encoded.select("doc_id", "ids").mapInArrow(work.without_collector(run), "doc_id long, data binary")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every text in one pass, keeping counts and digests only."""
 
     def run(batch_iter):
-        gc.disable()  # nothing here has cycles, and the remembered pieces are many to visit
         vocab = vocabulary(path)
         for batch in work.batches(batch_iter):
             rows = []
@@ -259,4 +252,4 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             n, a, b = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work.without_collector(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -41,7 +41,6 @@ ENDLESS = {"script", "style", "title"}
 OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 MORE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")  # attributes; a quote counts after an equals sign only
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_models: dict = {}
 
 
 class Node:
@@ -338,9 +337,7 @@ class TreeModel:
 
 
 def model(pages: int = PAGES) -> TreeModel:
-    if pages not in _models:
-        _models[pages] = TreeModel(labelled_pages(pages))
-    return _models[pages]
+    return work.held(("tree", pages), lambda: TreeModel(labelled_pages(pages)))
 
 
 def main_text(html: str | None, own: TreeModel) -> str:

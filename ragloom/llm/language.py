@@ -40,11 +40,10 @@ TRAIN_CHARS = 40_000
 SAMPLE_CHARS = 8_192
 SAMPLE_DOCS = 200
 SEGMENT = 512
-JUDGED, LOOSE = 200, 1.5
+JUDGED, LOOSE = 200, 2.0
 PIECE = 400  # characters of a held-out piece
 GROUP = 1 << 22  # characters parsed at once; one longer text is parsed alone
 UNKNOWN = "und"
-_models: dict = {}
 
 
 def held_out(key: Column) -> Column:
@@ -246,11 +245,7 @@ class CrossParser:
 
 def parser(sample: dict[str, str]) -> CrossParser:
     """The parser of a sample, built once in each worker."""
-    name = hash(tuple(sorted(sample.items())))
-    if name not in _models:
-        _models.clear()
-        _models[name] = CrossParser(sample)
-    return _models[name]
+    return work.held(("parser", hash(tuple(sorted(sample.items())))), lambda: CrossParser(sample))
 
 
 def predict(docs: DataFrame, sample: dict[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:

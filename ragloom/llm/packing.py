@@ -12,7 +12,6 @@ Only the key and the text of the input are read.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import json
 import re
@@ -34,7 +33,6 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The tokenizer's own pre-token pattern, for lower-cased plain words.
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_loaded: dict = {}
 
 
 def byte_letters() -> list[str]:
@@ -118,9 +116,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    return _loaded[path]
+    return work.held(("words", path), lambda: WordEncoder(path))
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int]]:
@@ -132,7 +128,6 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, ke
     """One row per piece of every document."""
 
     def encode(batch_iter):
-        gc.disable()  # nothing here has cycles, and the remembered words are many to visit
         own, end = encoder(path), np.array([end_id], "<u4")
         for batch in work.batches(batch_iter):
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -144,7 +139,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, ke
                 rows += [(doc, a, n, c, len(ids)) for a, n, c in cut(ids, capacity)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, PIECES)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work.without_collector(encode), PIECES)
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:

@@ -102,6 +102,7 @@ def keyed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """(doc_id, mark, node, size, fp, own, ball) of every row: the text's hash, its shingle set's hash and size, fingerprint and keys."""
 
     def run(batch_iter):
+        work.forget()
         for batch in work.batches(batch_iter):
             nodes, sizes, fps, own, ball = [], [], [], [], []
             for t in batch.column(2).to_pylist():
@@ -119,6 +120,7 @@ def shingle_sets(docs: DataFrame, words: int, text: str, needed: DataFrame) -> D
     """(node, hashes) of the needed texts. needed: (mark, one row per node); few are broadcast, more shuffle the texts."""
 
     def run(batch_iter):
+        work.forget()
         for batch in work.batches(batch_iter):
             made = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([n for _, n in made], pa.int64()), lists([h.view(np.int64) for h, _ in made])], names=["node", "hashes"])

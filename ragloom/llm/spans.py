@@ -376,6 +376,7 @@ def _ask(frame: DataFrame, rounds: list[str], send: str, answer, key: str, text:
     """Units send to buckets and get their answers back."""
 
     def tell(batch_iter):
+        work.forget()
         for batch in batch_iter:
             for row in batch.to_pylist():
                 unit = opened(row, rounds, key, text, buckets)
@@ -410,6 +411,7 @@ def _units(docs: DataFrame, text: str) -> DataFrame:
     at = docs.columns.index(text)
 
     def pack(batch_iter):
+        work.forget()
         from pyspark import TaskContext
 
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -452,6 +454,7 @@ def _rounds(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
             rounds.append(send)
 
         def place(batch_iter):
+            work.forget()
             kind = pa.list_(pa.struct([("bucket", pa.int32()), ("payload", pa.binary())]))
             for batch in batch_iter:
                 for row in batch.to_pylist():

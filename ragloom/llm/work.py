@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -9,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _scopes: list[list[str]] = []
+_model: list = [None, None]  # name and value of the one model that a Python worker holds
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,3 +71,29 @@ def batches(batch_iter, size: int = 512):
     for batch in batch_iter:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+
+
+def without_collector(run):
+    """run with Python's cyclic collector off until it ends: for code that makes no cycles but keeps many objects."""
+
+    def quiet(batch_iter):
+        gc.disable()
+        try:
+            yield from run(batch_iter)
+        finally:
+            gc.enable()
+
+    return quiet
+
+
+def held(name, make):
+    """The named model of this worker, made once. A worker holds one: that of another operator goes, with its caches."""
+    if _model[0] != name:
+        _model[:] = [None, None]
+        _model[:] = [name, make()]
+    return _model[1]
+
+
+def forget() -> None:
+    """Let go of the model of an operator that ran in this worker before."""
+    _model[:] = [None, None]
