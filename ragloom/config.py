@@ -20,6 +20,7 @@ class Settings:
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     bm25_epsilon: float = 0.25
+    embedding_dim: int = 16
 
 
 DEFAULTS = Settings()

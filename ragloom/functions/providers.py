@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ PROMPTS = {
     "grouping": "Group the numbered statements by topic; every number belongs to one group with a short title. Answer with JSON.\n\n{propositions}",
     "generation": "Answer in a few words from the context alone.\n\n{context_string}\n\nQuestion: {question}",
     "judge": "Does the passage hold what is needed to answer? Reply YES or NO.\n\nQuestion: {question}\nAnswer: {short_answer}\n\n{chunk_text}",
+    "faithfulness": "Which share of the answer's statements follows from the context? Reply with a number from 0 to 1.\n\nAnswer: {answer}\n\n{context}",
+    "factual_correctness": "How far do the answer's facts agree with the truth? Reply with a number from 0 to 1.\n\nAnswer: {answer}\nTruth: {truth}",
 }
 PROPOSITIONS = "propositions array<struct<statement: string>>"
 GROUPS = "groups array<struct<group_indices: array<int>, title: string>>"
@@ -64,6 +67,14 @@ def ask(frame: DataFrame, prompt: Column, make: Callable[[], Batch], out: str =
     return frame.withColumn("__prompt", prompt).mapInPandas(run, f"{kept}, `{out}` string, status string")
 
 
+def prompt(name: str, **parts: Column) -> Column:
+    """The named prompt with its places filled by columns."""
+    out = F.lit(PROMPTS[name])
+    for place, part in parts.items():
+        out = F.replace(out, F.lit("{" + place + "}"), F.coalesce(part.cast("string"), F.lit("")))
+    return out
+
+
 def propositions(text: Column) -> Column:
     """Default: the sentences."""
     return T.sentences(text)
@@ -80,6 +91,11 @@ def parse_judgement(answer: Column) -> Column:
     return F.coalesce(F.upper(F.regexp_replace(answer, r"^\s+|\s+$", "")) == "YES", F.lit(False))
 
 
+def parsed_share(answer: Column) -> Column:
+    """A number from 0 to 1; 0 where there is none."""
+    return F.coalesce(F.least(F.greatest(F.trim(answer).try_cast("double"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+
+
 def safe_json(text: str | None, fallback=None):
     """The JSON value of a provider's answer without its fence, or the fallback."""
     try:
@@ -92,10 +108,82 @@ def safe_json(text: str | None, fallback=None):
         return fallback
 
 
-def hashed_terms(frame: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """Default embedding as (key, bucket, weight): term counts by md5 bucket, of unit length."""
-    terms = frame.select(key, F.explode(T.tokens(F.col(text))).alias("term"))
-    bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    counts = terms.groupBy(key, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+def parsed_propositions(answer: Column) -> Column:
+    """The non-empty statements of a provider's JSON answer; null where it is not of that form."""
+    found = F.from_json(T.json_repair(answer), PROPOSITIONS)["propositions"]
+    return F.filter(F.transform(found, lambda p: p["statement"]), lambda t: F.coalesce(t, F.lit("")) != "")
+
+
+def parsed_groups(answer: Column) -> Column:
+    """The groups (group_indices, title) of a provider's JSON answer; null where it is not of that form."""
+    found = F.from_json(T.json_repair(answer), GROUPS)["groups"]
+    title = lambda g: F.coalesce(g["title"], F.lit("Untitled"))
+    return F.transform(found, lambda g: F.struct(F.coalesce(g["group_indices"], F.array().cast("array<int>")).alias("group_indices"), title(g).alias("title")))
+
+
+class Embedder(Protocol):
+    """Texts in, one vector per text out."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]: ...
+
+
+def hashed_vector(text: Column, dim: int) -> Column:
+    """Default embedding: term counts by md5 bucket, of unit length (all zero for a text without terms)."""
+    bucket = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    zero = F.array_repeat(F.lit(0.0), dim)
+    add = lambda v, b: F.transform(v, lambda x, i: F.when(i == b, x + 1.0).otherwise(x))
+    unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-300)))
+    return F.aggregate(F.transform(T.tokens(F.coalesce(text, F.lit(""))), bucket), zero, add, unit)
+
+
+def embed(frame: DataFrame, texts: str, make: Callable[[], Embedder], out: str = "vectors") -> DataFrame:
+    """frame with the vectors of an array of texts, one provider call per Arrow batch; null for the rows of a failed call."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = retrying(make())
+        for part in parts:
+            rows = part.column(part.schema.get_field_index(texts)).to_pylist()
+            flat = [t or "" for row in rows for t in row or ()]
+            try:
+                made = iter([[float(x) for x in v] for v in call(flat)] if flat else [])
+                vectors = [None if row is None else [next(made) for _ in row] for row in rows]
+            except Exception:  # noqa: BLE001  a null vector tells
+                vectors = [None] * len(rows)
+            kind = pa.list_(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, kind)], names=[*part.schema.names, out])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+    return frame.mapInArrow(run, f"{kept}, `{out}` array<array<double>>")
+
+
+def answer(context: Column) -> Column:
+    """Default answer: the first sentence of the context's first document."""
+    first = F.regexp_extract(context, r'^<document index="1">\n([\s\S]*?)\n</document>', 1)
+    return F.coalesce(F.get(T.sentences(first), F.lit(0)), F.lit(""))
+
+
+def faithfulness(said: Column, context: Column) -> Column:
+    """Default: the share of an answer's sentences that its context holds."""
+    parts = T.sentences(said)
+    held = F.size(F.filter(parts, lambda s: F.contains(F.lower(context), F.lower(s))))
+    return F.coalesce(F.when(F.size(parts) > 0, held.cast("double") / F.size(parts)), F.lit(0.0))
+
+
+def factual_correctness(said: Column, truth: Column) -> Column:
+    """Default: F1 of the claims of both sides; a claim, here a sentence, holds where the other side contains it."""
+    a, b = T.sentences(said), T.sentences(truth)
+    held = lambda parts, whole: F.size(F.filter(parts, lambda s: F.contains(F.lower(whole), F.lower(s)))).cast("double")
+    precision, recall = held(a, truth) / F.size(a), held(b, said) / F.size(b)
+    return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0) & (precision + recall > 0), 2 * precision * recall / (precision + recall)), F.lit(0.0))
+
+
+def token_counter(path: str) -> Callable[[], Callable[[str], int]]:
+    """Makes counters of the tokens of a text under a tokenizer file (JSON), for chunk sizes; one per partition."""
+
+    def make():
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        return lambda text: len(own.encode(text, add_special_tokens=False).ids)
+
+    return make

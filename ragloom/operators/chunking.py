@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,25 +41,36 @@ def macro_split(frame: DataFrame, key: str, text: str) -> DataFrame:
 
 def split_sentences(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, pos, sentence)."""
-    return frame.select(*keys, F.posexplode(T.sentences(F.col(text))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
+    return numbered(frame, keys, T.sentences(F.col(text)), "pos", "sentence")
 
 
-def _joined(frame: DataFrame, keys: list[str], group: str, text: str, out: str) -> DataFrame:
-    """The rows of each group joined by a space in the order of pos."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", F.col(text).alias("t"))))
-    return frame.groupBy(*keys, group).agg(F.array_join(F.transform(ordered, lambda s: s["t"]), " ").alias(out))
+def numbered(frame: DataFrame, keys: list[str], parts: Column, pos: str, out: str) -> DataFrame:
+    """(keys, pos, out): the elements of an array, one row each."""
+    return frame.select(*keys, F.posexplode(parts).alias(pos, out)).withColumn(pos, F.col(pos).cast("long"))
 
 
-def merge_short(sentences: DataFrame, keys: list[str], least: int = DEFAULTS.min_sentence_chars) -> DataFrame:
-    """(keys, pos, sentence): a sentence under `least` characters joins the one before it; a first one stays."""
-    opens = ((F.length("sentence") >= least) | (F.col("pos") == 0)).cast("long")
-    runs = sentences.withColumn("g", F.sum(opens).over(Window.partitionBy(*keys).orderBy("pos")) - 1)
-    return _joined(runs, keys, "g", "sentence", "sentence").withColumnRenamed("g", "pos")
+def merged_short(sentences: Column, least: int = DEFAULTS.min_sentence_chars) -> Column:
+    """A sentence under `least` characters joins the one before it; a first one stays. One pass: join, then cut at marks."""
+    marked = F.transform(sentences, lambda s, i: F.concat(F.when(i == 0, F.lit("")).when(F.length(s) >= least, F.lit(HEAD)).otherwise(F.lit(" ")), s))
+    return F.when(F.size(sentences) > 0, F.split(F.array_join(marked, ""), HEAD)).otherwise(F.array().cast("array<string>"))
 
 
-def sentence_windows(sentences: DataFrame, keys: list[str], size: int = DEFAULTS.window_sentences) -> DataFrame:
-    """(keys, win, window): tumbling windows of `size` sentences, the last may be short."""
-    return _joined(sentences.withColumn("win", F.floor(F.col("pos") / size).cast("long")), keys, "win", "sentence", "window")
+def windowed(sentences: Column, size: int = DEFAULTS.window_sentences) -> Column:
+    """Tumbling windows of `size` sentences joined by a space, the last may be short."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(sentences) - 1) / size).cast("int"))
+    joined = F.transform(starts, lambda w: F.array_join(F.slice(sentences, w * size + 1, F.lit(size)), " "))
+    return F.when(F.size(sentences) > 0, joined).otherwise(F.array().cast("array<string>"))
+
+
+def merge_short(frame: DataFrame, keys: list[str], text: str, least: int = DEFAULTS.min_sentence_chars) -> DataFrame:
+    """(keys, pos, sentence) after merging, without a shuffle."""
+    return numbered(frame, keys, merged_short(T.sentences(F.col(text)), least), "pos", "sentence")
+
+
+def sentence_windows(frame: DataFrame, keys: list[str], text: str, size: int = DEFAULTS.window_sentences) -> DataFrame:
+    """(keys, win, window) over merged sentences, without a shuffle."""
+    merged = frame.select(*keys, merged_short(T.sentences(F.col(text))).alias("__m"))
+    return numbered(merged, keys, windowed(F.col("__m"), size), "win", "window")
 
 
 def token_windows(frame: DataFrame, key: str, text: str, size: int = DEFAULTS.chunk_tokens, overlap: int = DEFAULTS.overlap_tokens) -> DataFrame:
@@ -70,81 +83,99 @@ def token_windows(frame: DataFrame, key: str, text: str, size: int = DEFAULTS.ch
     return cut.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(part, " ").alias("text"), F.size(part).cast("long").alias("token_count"))
 
 
-def heuristic_units(units: list[tuple[str, int]], size: int, overlap: int) -> list[tuple[str, int]]:
-    """Chunks of (text, tokens): units are gathered until `size` is reached, then carried over backwards."""
-    chunks: list[tuple[str, int]] = []
-    current: list[tuple[str, int]] = []
-    total = 0
-    for k, unit in enumerate(units):
-        current.append(unit)
-        total += unit[1]
-        if total >= size and k + 1 < len(units):
-            chunks.append((" ".join(u for u, _ in current), total))
-            carried: list[tuple[str, int]] = []
-            room = overlap
-            for u, n in reversed(current):
-                if n > room:
-                    words = u.split(" ")[-room:] if room > 0 else []
-                    if words:
-                        carried.append((" ".join(words), len(words)))
-                    break
-                carried.append((u, n))
-                room -= n
-            current = carried[::-1]
-            total = sum(n for _, n in current)
-    if current:
-        chunks.append((" ".join(u for u, _ in current), total))
+def heuristic_units(units: list[tuple[str, int]], size: int, overlap: int, count: Callable[[str], int] = lambda s: len(s.split())) -> list[tuple[str, int]]:
+    """Chunks of (text, tokens) from units of (text, tokens), by any token counter.
+
+    A chunk ends with the unit that fills `size`. The next one starts with the longest tail of whole units within
+    `overlap` tokens and, if room is left, that many of the last words of the unit before, counted anew.
+    """
+    chunks, lead, start = [], [], 0  # lead: the carried text and its tokens; start: the first fresh unit
+    ends = list(accumulate((n for _, n in units), initial=0))
+    while start < len(units):
+        need = size - sum(n for _, n in lead)
+        stop = min(max(bisect_left(ends, ends[start] + need), start + 1), len(units))
+        body = [*lead, *units[start:stop]]
+        chunks.append((" ".join(t for t, _ in body), sum(n for _, n in body)))
+        tail = list(accumulate((n for _, n in reversed(body)), initial=0))
+        whole = bisect_right(tail, overlap) - 1
+        lead, room = body[len(body) - whole :], overlap - tail[whole]
+        if whole < len(body) and room > 0:
+            rest = " ".join(body[-whole - 1][0].split(" ")[-room:])
+            lead = [(rest, count(rest)), *lead]
+        start = stop
     return chunks
 
 
-def heuristic_chunks(frame: DataFrame, key: str, text: str, settings: Settings = DEFAULTS, count=None) -> DataFrame:
+def heuristic_chunks(frame: DataFrame, key: str, text: str, settings: Settings = DEFAULTS, make_count: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
     """(key, chunk_index, text, token_count): sentences gathered to a token size, with overlap.
 
-    The carried overlap depends on all earlier chunks of a document, which expressions cannot fold cheaply, so each
-    document is cut in an Arrow batch. count: tokens of a text; white-space tokens by default.
+    Tokens are white-space words by default. Then a chunk is a run of words that ends with a sentence and starts
+    `overlap` words before the last one's end, so cuts are a fold over the sentences' ends and all stays in
+    expressions. make_count: makes another token counter per partition, which cuts documents in Arrow batches.
     """
-    count = count or (lambda s: len(s.split()))
     size, overlap = settings.chunk_tokens, settings.overlap_tokens
+    sentences = F.transform(T.sentences(F.col(text)), lambda s: F.trim(F.translate(s, "\n", " ")))
+    if make_count is None:
+        words = lambda s: F.filter(F.split(s, " "), lambda w: w != "")
+        own = frame.select(key, sentences.alias("s")).select(key, F.flatten(F.transform("s", words)).alias("w"), F.transform("s", lambda s: F.size(words(s))).alias("n"))
+        own = own.where(F.size("w") > 0)
+        empty = F.struct(F.lit(0).alias("start"), F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts"))
+
+        def step(s, n):
+            """A short sentence that fills the chunk ends it; a sentence longer than a chunk ends chunks wherever they are full."""
+            end, stride = s["at"] + n, size - overlap
+            single = (n <= size) & (end - s["start"] >= size) & (end < F.size("w"))
+            first = s["start"] + size
+            spots = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((end - first) / stride).cast("int")))
+            many = F.filter(F.transform(spots, lambda k: F.struct((first - size + k * stride).alias("a"), (first + k * stride).alias("b"))), lambda c: (c["b"] <= end) & (c["b"] < F.size("w")))
+            long = (n > size) & (F.size(many) > 0)
+            start = F.when(single, end - overlap).when(long, F.try_element_at(many, F.lit(-1))["b"] - overlap).otherwise(s["start"])
+            cuts = F.when(single, F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), end.alias("b"))))).when(long, F.concat(s["cuts"], many)).otherwise(s["cuts"])
+            return F.struct(start.alias("start"), end.alias("at"), cuts.alias("cuts"))
+
+        cut = own.select(key, "w", F.aggregate("n", empty, step, lambda s: F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), F.size("w").alias("b"))))).alias("cuts"))
+        one = cut.select(key, "w", F.posexplode("cuts").alias("chunk_index", "c"))
+        return one.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(F.slice("w", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")), " ").alias("text"), (F.col("c.b") - F.col("c.a")).cast("long").alias("token_count"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = make_count()
         for b in batches:
             rows = []
             for k, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 units = []
-                for s in (p.replace("\n", " ").strip() for p in parts or ()):
+                for s in parts or ():
                     n = count(s)
                     units += [(s, n)] if n <= size else [(w, count(w)) for w in s.split(" ") if w]
-                rows += [(k, i, t, n) for i, (t, n) in enumerate(heuristic_units([u for u in units if u[0]], size, overlap))]
+                rows += [(k, i, t, n) for i, (t, n) in enumerate(heuristic_units([u for u in units if u[0]], size, overlap, count))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (b.schema.types[0], pa.int64(), pa.string(), pa.int64()))], names=[key, "chunk_index", "text", "token_count"])
 
-    own = frame.select(key, T.sentences(F.col(text)).alias("parts"))
+    own = frame.select(key, sentences.alias("parts"))
     return own.mapInArrow(run, f"{key} {frame.schema[key].dataType.simpleString()}, chunk_index long, text string, token_count long")
 
 
-def semantic_chunks(frame: DataFrame, key: str, text: str, settings: Settings = DEFAULTS, dim: int = 64) -> DataFrame:
+def semantic_chunks(frame: DataFrame, key: str, text: str, settings: Settings = DEFAULTS, dim: int = 64, embedder: Callable[[], P.Embedder] | None = None) -> DataFrame:
     """(key, chunk_index, header, text): sections break where neighbouring sentence windows differ.
 
-    Sections of one sentence or one window are one chunk with the raw body. Windows are embedded by the hashing
-    default and compared relationally: one row per window and bucket.
+    Sections of one window, or whose embedding failed, are one chunk with the raw body. A document stays in its row:
+    sentences, windows, vectors and cuts are arrays, so nothing is shuffled. embedder: makes another embedding.
     """
-    keys = [key, "section"]
-    sections = split_headers(frame, key, text).where("body <> ''")
-    merged = merge_short(split_sentences(sections, keys, "body"), keys, settings.min_sentence_chars)
     size = settings.window_sentences
-    windows = sentence_windows(merged, keys, size).withColumn("w", F.struct(*keys, "win"))
-    vectors = P.hashed_terms(windows, "w", "window", dim)
-    here = vectors.select("w", "bucket", "weight")
-    after = vectors.select(F.struct(*[F.col(f"w.{k}").alias(k) for k in keys], (F.col("w.win") - 1).alias("win")).alias("w"), "bucket", F.col("weight").alias("other"))
-    close = here.join(after, ["w", "bucket"]).groupBy("w").agg(F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("sim")).where(F.col("sim") >= settings.similarity_threshold)
-    joined = close.select(*[F.col(f"w.{k}").alias(k) for k in keys], ((F.col("w.win") + 1) * size).alias("pos"), F.lit(True).alias("joins"))
-    breaks = ((F.col("pos") % size == 0) & (F.col("pos") > 0) & F.col("joins").isNull()).cast("long")
-    runs = merged.join(joined, [*keys, "pos"], "left").withColumn("g", F.sum(breaks).over(Window.partitionBy(*keys).orderBy("pos")))
-    counts = merged.groupBy(*keys).agg(F.count("*").alias("n"))
-    parts = _joined(runs, keys, "g", "sentence", "cut").join(counts, keys).join(sections, keys)
-    whole = F.col("n") <= size
-    chunks = parts.where(~whole | (F.col("g") == 0)).select(*keys, "g", "header", F.when(whole, F.col("body")).otherwise(F.col("cut")).alias("text"))
-    return chunks.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("section", "g")) - 1).cast("long").alias("chunk_index"), "header", "text")
+    sections = split_headers(frame, key, text).where("body <> ''")
+    own = sections.withColumn("m", merged_short(T.sentences(F.col("body")), settings.min_sentence_chars))
+    own = own.withColumn("windows", windowed(F.col("m"), size))
+    if embedder is None:
+        own = own.withColumn("vectors", F.transform("windows", lambda t: P.hashed_vector(t, dim)))
+    else:
+        own = P.embed(own, "windows", embedder)
+    n = F.size("windows")
+    near = F.zip_with(F.slice("vectors", 1, n - 1), F.slice("vectors", 2, n - 1), lambda a, b: F.round(T.cosine(a, b), 6))
+    own = own.withColumn("sims", F.when((n > 1) & F.col("vectors").isNotNull(), near))
+    mark = lambda i: F.when(i == 0, F.lit("")).when((i % size == 0) & (F.get(F.col("sims"), (i / size).cast("int") - 1) < settings.similarity_threshold), F.lit(HEAD)).otherwise(F.lit(" "))
+    cut = F.split(F.array_join(F.transform("m", lambda s, i: F.concat(mark(i), s)), ""), HEAD)
+    parts = own.select(key, "section", "header", F.posexplode(F.when(F.col("sims").isNull(), F.array("body")).otherwise(cut)).alias("g", "text"))
+    order = Window.partitionBy(key).orderBy("section", "g")
+    return parts.select(key, (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), "header", "text")
 
 
 def repaired_groups(groups: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
@@ -162,31 +193,57 @@ def repaired_groups(groups: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return kept.withColumn("group_pos", F.col("group_pos").cast("long")).unionByName(rest)
 
 
-def agentic_chunks(frame: DataFrame, key: str, text: str, status: Column | None = None, group: int = MAX_GROUP) -> DataFrame:
-    """(key, chunk_index, group_title, text, fallback): propositions grouped per section, by the default providers.
+def agentic_chunks(frame: DataFrame, key: str, text: str, status: Column | None = None, group: int = MAX_GROUP, propose: Callable[[], P.Batch] | None = None, arrange: Callable[[], P.Batch] | None = None) -> DataFrame:
+    """(key, chunk_index, group_title, text, fallback): propositions grouped per section.
 
-    Groups are runs of `group` propositions; a section of one is "Single Topic". Documents whose status is not `ok`
-    become one chunk with the whole text.
+    propose and arrange make providers that answer the prompts for propositions and for groups with JSON; answers are
+    repaired (repaired_groups). By default propositions are sentences and groups runs of `group` of them; a section of
+    one is "Single Topic". Documents whose status is not `ok`, or one of whose answers failed or was not of the asked
+    form, become one chunk with the whole text.
     """
     own = frame.select(key, F.col(text).alias("__t"), (F.lit("ok") if status is None else status).alias("__s"))
     sections = macro_split(own.where("__s = 'ok'"), key, "__t")
-    props = sections.select(key, "section", F.posexplode(P.propositions(F.col("text"))).alias("pos", "statement"))
-    counts = props.groupBy(key, "section").agg(F.count("*").alias("n"))
-    grouped = props.join(counts, [key, "section"]).withColumn("g", F.floor(F.col("pos") / group).cast("long"))
-    title = F.when(F.max("n") <= 1, F.lit("Single Topic")).otherwise(F.concat(F.lit("Part "), (F.col("g") + 1).cast("string")))
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "statement"))), lambda s: s["statement"]), " ")
-    made = grouped.groupBy(key, "section", "g").agg(title.alias("group_title"), ordered.alias("body"))
-    made = made.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("section", "g")) - 1).cast("long").alias("chunk_index"), "group_title", F.concat_ws("\n", "group_title", "body").alias("text"), F.lit(False).alias("fallback"))
-    failed = own.where("__s <> 'ok'").select(key, F.lit(0).cast("long").alias("chunk_index"), F.lit(None).cast("string").alias("group_title"), F.col("__t").alias("text"), F.lit(True).alias("fallback"))
+    if propose is None:
+        listed = sections.select(key, "section", P.propositions(F.col("text")).alias("props"))
+    else:
+        asked = P.ask(sections, P.prompt("propositions", text=F.col("text")), propose)
+        listed = asked.select(key, "section", F.when(F.col("status") == "ok", P.parsed_propositions(F.col("answer"))).alias("props"))
+    if arrange is None:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("props") - 1) / group).cast("int")), lambda g: F.struct(F.concat(F.lit("Part "), (g + 1).cast("string")).alias("title"), F.slice("props", g * group + 1, F.lit(group)).alias("said")))
+        single = F.array(F.struct(F.lit("Single Topic").alias("title"), F.col("props").alias("said")))
+        grouped = listed.select(key, "section", F.when(F.size("props") > 1, runs).when(F.size("props") == 1, single).when(F.col("props").isNotNull(), F.slice(single, 1, 0)).alias("groups"))
+    else:
+        numbers = F.array_join(F.transform("props", lambda p, i: F.concat(i.cast("string"), F.lit(": "), p)), "\n")
+        asked = P.ask(listed.where(F.size("props") > 1), P.prompt("grouping", propositions=numbers), arrange)
+        named = asked.select(key, "section", "props", F.when(F.col("status") == "ok", P.parsed_groups(F.col("answer"))).alias("made"))
+        alone = listed.where(F.coalesce(F.size("props"), F.lit(-1)) <= 1).withColumn("made", F.when(F.col("props").isNotNull(), F.array().cast("array<struct<group_indices:array<int>,title:string>>")))
+        both = named.unionByName(alone).withColumn("__id", F.struct(key, "section"))
+        usable = both.where(F.col("made").isNotNull())
+        groups = usable.select("__id", F.posexplode("made").alias("group_pos", "g")).select("__id", "group_pos", "g.title", "g.group_indices")
+        placed = repaired_groups(groups, usable.select("__id", F.size("props").alias("n")), "__id")
+        said = placed.join(usable.select("__id", "props"), "__id").select("__id", "group_pos", "title", F.struct("idx", F.get("props", F.col("idx")).alias("p")).alias("s"))
+        body = said.groupBy("__id", "group_pos", "title").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["p"]).alias("said"))
+        lists = body.groupBy("__id").agg(F.transform(F.sort_array(F.collect_list(F.struct("group_pos", "title", "said"))), lambda g: F.struct(g["title"].alias("title"), g["said"].alias("said"))).alias("groups"))
+        none = F.array().cast(lists.schema["groups"].dataType)
+        grouped = both.join(lists, "__id", "left").select(key, "section", F.when(F.col("made").isNotNull(), F.coalesce("groups", none)).alias("groups"))
+    merged = grouped.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("section", "groups"))).alias("s"))
+    broken = F.exists("s", lambda s: s["groups"].isNull())
+    every = F.flatten(F.transform("s", lambda s: s["groups"]))
+    made = merged.where(~broken).select(key, F.posexplode(every).alias("chunk_index", "g"))
+    made = made.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.col("g.title").alias("group_title"), F.concat_ws("\n", "g.title", F.array_join("g.said", " ")).alias("text"), F.lit(False).alias("fallback"))
+    failed = own.where("__s <> 'ok'")
+    if propose is not None or arrange is not None:
+        failed = failed.unionByName(own.join(merged.where(broken).select(key), key, "left_semi"))
+    failed = failed.select(key, F.lit(0).cast("long").alias("chunk_index"), F.lit(None).cast("string").alias("group_title"), F.col("__t").alias("text"), F.lit(True).alias("fallback"))
     return made.unionByName(failed)
 
 
 STRATEGIES = {"heuristic": heuristic_chunks, "semantic": semantic_chunks, "agentic": agentic_chunks}
 
 
-def chunk(strategy: str, frame: DataFrame, key: str, text: str) -> DataFrame:
+def chunk(strategy: str, frame: DataFrame, key: str, text: str, **knobs) -> DataFrame:
     """(chunk_id, strategy, source_id, chunk_index, text) by any strategy; ValueError for an unknown one."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
-    own = STRATEGIES[strategy](frame, key, text)
+    own = STRATEGIES[strategy](frame, key, text, **knobs)
     return own.select(T.chunk_id(F.lit(strategy), F.col(key), F.col("chunk_index")).alias("chunk_id"), F.lit(strategy).alias("strategy"), F.col(key).cast("string").alias("source_id"), "chunk_index", "text")

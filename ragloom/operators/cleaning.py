@@ -137,8 +137,24 @@ def document_id(url: Column, title: Column, example: Column) -> Column:
     return F.coalesce(F.nullif(url, F.lit("")), F.nullif(title, F.lit("")), example.cast("string"), F.lit("unknown"))
 
 
-def validate_clean(cleaned: DataFrame, rows: int, settings: Settings = DEFAULTS, strict: bool = False) -> DataFrame:
-    """One row: n_rows, rows_ok, lengths_ok; strict raises where a check fails."""
+def transform(examples: DataFrame) -> DataFrame:
+    """(ID, Question, DocumentID, Document_text, Documentlength, short_answer) of filtered examples, texts cleaned."""
+    row = F.struct(
+        F.coalesce(F.col("example_id").cast("string"), F.lit("")).alias("ID"), F.coalesce("question_text", F.lit("")).alias("Question"),
+        document_id(F.col("document_url"), F.col("document_title"), F.col("example_id")).alias("DocumentID"), F.coalesce("short_answer", F.lit("")).alias("short_answer"),
+    )
+    made = process_documents(examples.select(row.alias("row"), "document_text"), "row", "document_text")
+    text = F.coalesce("document_text", F.lit(""))
+    return made.select("row.ID", "row.Question", "row.DocumentID", text.alias("Document_text"), F.length(text).alias("Documentlength"), "row.short_answer")
+
+
+CLEANED = ["ID", "Question", "DocumentID", "Document_text", "Documentlength", "short_answer"]
+
+
+def validate_clean(cleaned: DataFrame, rows: int, settings: Settings = DEFAULTS, strict: bool = False, required: tuple = ("short_answer",)) -> DataFrame:
+    """One row: n_rows, rows_ok, lengths_ok; strict raises where a check fails. ValueError where a required column is missing."""
+    if missing := [c for c in required if c not in cleaned.columns]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
     length = F.length(F.trim("short_answer"))
     out = cleaned.agg(
         F.count("*").alias("n_rows"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.functions import providers as P
+from ragloom.functions import text as T
+
 METRICS = ["relative_recall_at_k", "mrr_at_k", "ndcg_at_k", "f1_score", "faithfulness", "factual_correctness"]
 
 
@@ -37,12 +40,23 @@ def joined_with_zeros(results: DataFrame, metrics: DataFrame, keys: list[str]) -
     return results.join(metrics, keys, "left").fillna(0.0, [c for c in metrics.columns if c not in keys])
 
 
+def answer_metrics(results: DataFrame, answer: str, truth: str, context: str, judge=None) -> DataFrame:
+    """results with f1_score, faithfulness and factual_correctness.
+
+    judge: makes a provider whose answers to the metric prompts are numbers from 0 to 1; what cannot be read is 0.
+    """
+    own = results.withColumn("f1_score", F.round(T.token_f1(F.col(answer), F.col(truth)), 6))
+    if judge is None:
+        return own.withColumn("faithfulness", F.round(P.faithfulness(F.col(answer), F.col(context)), 6)).withColumn("factual_correctness", F.round(P.factual_correctness(F.col(answer), F.col(truth)), 6))
+    for metric, parts in (("faithfulness", {"answer": answer, "context": context}), ("factual_correctness", {"answer": answer, "truth": truth})):
+        asked = P.ask(own, P.prompt(metric, **{p: F.col(c) for p, c in parts.items()}), judge, "__said")
+        own = asked.withColumn(metric, F.round(P.parsed_share(F.col("__said")), 6)).drop("__said", "status")
+    return own
+
+
 def summary(results: DataFrame, strategy: str, method: str, metrics: list[str]) -> DataFrame:
     """Means by strategy, by method and by both, in one pass; NaN counts as missing."""
-    view = "ragloom_results"
-    results.createOrReplaceTempView(view)
-    means = ", ".join(f"round(avg(nanvl({m}, null)), 6) as mean_{m}" for m in metrics)
-    return results.sparkSession.sql(
-        f"select case grouping_id({strategy}, {method}) when 0 then 'combination' when 1 then 'strategy' else 'method' end as grouping_name, "
-        f"{strategy}, {method}, {means} from {view} group by grouping sets (({strategy}), ({method}), ({strategy}, {method}))"
-    )
+    means = [F.round(F.avg(F.nanvl(F.col(m), F.lit(None).cast("double"))), 6).alias(f"mean_{m}") for m in metrics]
+    kind = F.when(F.grouping_id() == 0, "combination").when(F.grouping_id() == 1, "strategy").otherwise("method")
+    sets = results.groupingSets([[F.col(strategy)], [F.col(method)], [F.col(strategy), F.col(method)]], F.col(strategy), F.col(method))
+    return sets.agg(kind.alias("grouping_name"), *means).select("grouping_name", strategy, method, *[f"mean_{m}" for m in metrics])

@@ -1,12 +1,18 @@
 """Inverted index, BM25, vector top-k and rank fusion, all questions at once.
 
-Postings meet the questions' terms in a hash join, so only matching (term, chunk) pairs are scored; questions are a
-stated set against all chunks. Scores are rounded before ranking and ties go to the smaller chunk position.
+Only postings of the questions' terms are scored; questions are a stated set against all chunks. Scores are rounded
+before ranking and ties go to the smaller chunk position. An index may be built for a call, or written once and read
+back (sources.index).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -14,21 +20,37 @@ from ragloom.config import DEFAULTS, Settings
 from ragloom.functions import text as T
 
 
+class Index(NamedTuple):
+    """The tables of a sparse index; the chunk's key column has one name in all of them."""
+
+    postings: DataFrame  # key, term, tf, dl
+    vocabulary: DataFrame  # term, df, idf
+    chunks: DataFrame  # key, dl: every chunk, those without terms too
+
+
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf)."""
     return chunks.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    return chunks.select(key, F.size(T.tokens(F.col(text))).cast("long").alias("dl"))
+    return chunks.select(key, F.coalesce(F.size(T.tokens(F.col(text))), F.lit(0)).cast("long").alias("dl"))
 
 
-def idf(index: DataFrame, n: int, epsilon: float = DEFAULTS.bm25_epsilon) -> DataFrame:
-    """(term, df, idf): negative values become epsilon times the vocabulary's mean."""
-    own = index.groupBy("term").agg(F.count("*").alias("df"))
-    own = own.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = own.agg(F.avg("raw")).first()[0] or 0.0
-    return own.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * mean)).otherwise(F.col("raw")).alias("idf"))
+def vocabulary(chunks: DataFrame, text: str, epsilon: float = DEFAULTS.bm25_epsilon) -> DataFrame:
+    """(term, df, idf): negative values become epsilon times the vocabulary's mean. One plan, no action."""
+    n = chunks.agg(F.count("*").cast("double")).scalar()
+    own = chunks.select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = own.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw")).scalar()
+    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * mean).otherwise(F.col("raw")).alias("idf"))
+
+
+def build(chunks: DataFrame, key: str, text: str, settings: Settings = DEFAULTS) -> Index:
+    """The index of chunks, lazily."""
+    own = chunks.select(key, T.tokens(F.col(text)).alias("__w"), F.size(T.tokens(F.col(text))).cast("long").alias("dl"))
+    entries = own.select(key, "dl", F.explode("__w").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    return Index(entries, vocabulary(chunks, text, settings.bm25_epsilon), lengths(chunks, key, text))
 
 
 def index_stats(chunks: DataFrame, strategy: str = "strategy", source: str = "source_id", text: str = "text") -> DataFrame:
@@ -40,37 +62,83 @@ def index_stats(chunks: DataFrame, strategy: str = "strategy", source: str = "so
     )
 
 
+def stats_of(chunks: DataFrame, strategies: list[str], model: str, **columns: str) -> DataFrame:
+    """index_stats with a row of zeros for every strategy without chunks, the embedding's name and the time."""
+    every = chunks.sparkSession.createDataFrame([(s,) for s in strategies], "strategy string")
+    own = index_stats(chunks, **columns)
+    return every.join(own, "strategy", "left").fillna(0).withColumn("embedding_model", F.lit(model)).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def sparse(questions: DataFrame, chunks: DataFrame, qkey: str, qtext: str, key: str, text: str, k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS) -> DataFrame:
-    """(qkey, key, score, rank): BM25 top-k; questions with fewer matches are filled with zero scores in key order."""
-    sized = lengths(chunks, key, text)
-    n, avgdl = sized.agg(F.count("*"), F.avg("dl")).first()
-    index = postings(chunks, key, text)
+    """(qkey, key, score, rank): BM25 top-k over chunks, whose index is built within the plan."""
+    return sparse_search(questions, build(chunks, key, text, settings), qkey, qtext, key, k, settings)
+
+
+def sparse_search(questions: DataFrame, index: Index, qkey: str, qtext: str, key: str, k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS) -> DataFrame:
+    """(qkey, key, score, rank): BM25 top-k; questions with fewer matches are filled with zero scores in key order.
+
+    The questions' terms prune the postings before anything is grouped.
+    """
     asked = questions.select(qkey, F.explode(T.tokens(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count("*").alias("qf"))
-    weights = idf(index, n, settings.bm25_epsilon).join(asked, "term").select(qkey, "term", (F.col("qf") * F.col("idf")).alias("w"))
+    weights = index.vocabulary.join(asked, "term").select(qkey, "term", (F.col("qf") * F.col("idf")).alias("w"))
     k1, b = settings.bm25_k1, settings.bm25_b
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl or 1.0))))
-    scored = index.join(weights, "term").join(sized, key).groupBy(qkey, key).agg(F.round(F.sum(part), 6).alias("score"))
-    spare = chunks.select(key).orderBy(key).limit(2 * k)  # k at least of them are not among a question's k best
-    blank = questions.select(qkey).withColumn("__j", F.lit(0)).join(F.broadcast(spare.withColumn("__j", F.lit(0))), "__j").drop("__j")
+    avgdl = F.coalesce(F.nullif(index.chunks.agg(F.avg("dl")).scalar(), F.lit(0.0)), F.lit(1.0))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    scored = wanted.join(weights, "term").groupBy(qkey, key).agg(F.round(F.sum(part), 6).alias("score"))
+    spare = index.chunks.select(key).orderBy(key).limit(2 * k).agg(F.collect_list(key).alias("__spare"))  # 2 k keys: k at least are not among a question's k best
+    blank = questions.select(qkey, F.explode(spare.scalar()).alias(key))
     filled = scored.unionByName(blank.withColumn("score", F.lit(0.0))).groupBy(qkey, key).agg(F.max(F.when(F.col("score") != 0, F.col("score"))).alias("s"))
-    best = Window.partitionBy(qkey).orderBy(F.desc("score"), key)
-    return filled.select(qkey, key, F.coalesce("s", F.lit(0.0)).alias("score")).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+    return ranked(filled.select(qkey, key, F.coalesce("s", F.lit(0.0)).alias("score")), qkey, key, k)
 
 
-def dense(questions: DataFrame, chunks: DataFrame, qkey: str, qvec: str, key: str, vec: str, k: int = DEFAULTS.top_k) -> DataFrame:
-    """(qkey, key, score, rank): exact cosine top-k of array vectors; the smaller side is repeated per block of the other."""
-    unit = lambda c: F.transform(F.col(c).cast("array<double>"), lambda x: x)
-    q, d = questions.select(qkey, unit(qvec).alias("__q")), chunks.select(key, unit(vec).alias("__d"))
-    scored = d.crossJoin(q).select(qkey, key, F.round(T.cosine(F.col("__q"), F.col("__d")), 6).alias("score"))
-    best = Window.partitionBy(qkey).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+def ranked(hits: DataFrame, qkey: str, key: str, k: int, order: list[Column] | None = None) -> DataFrame:
+    """(qkey, key, score, rank) of the k best of each question."""
+    best = Window.partitionBy(qkey).orderBy(*(order or [F.desc("score"), F.col(key)]))
+    return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select(qkey, key, "score", "rank")
 
 
-def dense_terms(question_vectors: DataFrame, chunk_vectors: DataFrame, qkey: str, key: str, k: int = DEFAULTS.top_k) -> DataFrame:
-    """The same over (key, bucket, weight) vectors of unit length: an equi-join on buckets."""
-    scored = chunk_vectors.select(key, "bucket", F.col("weight").alias("w")).join(question_vectors, "bucket").groupBy(qkey, key).agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
-    best = Window.partitionBy(qkey).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+ROWS, QUESTIONS = 8192, 1024  # of a block
+
+
+def dense(questions: DataFrame, chunks: DataFrame, qkey: str, qvec: str, key: str, vec: str, k: int = DEFAULTS.top_k) -> DataFrame:
+    """(qkey, key, score, rank): exact cosine top-k of array vectors.
+
+    Both sides are dealt to blocks of about ROWS and QUESTIONS rows; each pair of blocks meets once, in a matrix product
+    that keeps 2 k per question, so no pair of rows is ever written. Null vectors take no part; a zero one scores 0.
+    """
+    asked = questions.select(F.col(qkey).alias("__q"), F.col(qvec).cast("array<double>").alias("__v")).where("__v is not null")
+    own = chunks.select(F.col(key).alias("__k"), F.col(vec).cast("array<double>").alias("__v")).where("__v is not null")
+    blocks = lambda frame, n: max(1, -(-frame.count() // n))
+    na, nb = blocks(asked, QUESTIONS), blocks(own, ROWS)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("__a", deal("__q", na)).withColumn("__b", every(nb))
+    own = own.withColumn("__b", deal("__k", nb)).withColumn("__a", every(na))
+    kinds = [f"`{qkey}` {questions.schema[qkey].dataType.simpleString()}", f"`{key}` {chunks.schema[key].dataType.simpleString()}", "score double"]
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        rows = np.array(column.to_pylist(), float).reshape(len(column), -1)
+        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.sort_by("__q"), b.sort_by("__k")
+        out: list = [[], [], []]
+        if a.num_rows and b.num_rows:
+            left, right, many = unit(a["__v"]), unit(b["__v"]), min(2 * k, b.num_rows)
+            for at in range(0, len(left), 128):
+                scores = left[at : at + 128] @ right.T
+                grid = np.floor(scores * 1e6 + 0.5)
+                line = -np.partition(-grid, many - 1, axis=1)[:, many - 1]
+                for j in range(len(scores)):
+                    above, even = np.flatnonzero(grid[j] > line[j]), np.flatnonzero(grid[j] == line[j])
+                    near = np.concatenate([above, even[: many - len(above)]])
+                    out[0].append(np.full(len(near), at + j)), out[1].append(near), out[2].append(scores[j, near])
+        rows = [np.concatenate(o) if o else np.empty(0, np.int64) for o in out]
+        return pa.table([pc.take(a["__q"], pa.array(rows[0], pa.int64())), pc.take(b["__k"], pa.array(rows[1], pa.int64())), pa.array(rows[2], pa.float64())], names=[qkey, key, "score"])
+
+    met = asked.groupBy("__a", "__b").cogroup(own.groupBy("__a", "__b")).applyInArrow(meet, ", ".join(kinds))
+    return ranked(met.withColumn("score", F.round("score", 6)), qkey, key, k)
 
 
 def hybrid(sparse_hits: DataFrame, dense_hits: DataFrame, qkey: str, key: str, k: int = DEFAULTS.top_k, rrf_k: int = DEFAULTS.rrf_k) -> DataFrame:
@@ -79,8 +147,7 @@ def hybrid(sparse_hits: DataFrame, dense_hits: DataFrame, qkey: str, key: str, k
     both = mark(sparse_hits, "s", "d").unionByName(mark(dense_hits, "d", "s")).groupBy(qkey, key).agg(F.max("s").alias("s"), F.max("d").alias("d"))
     part = lambda c: F.coalesce(1.0 / (rrf_k + F.col(c)), F.lit(0.0))
     fused = both.withColumn("score", F.round(part("s") + part("d"), 9))
-    best = Window.partitionBy(qkey).orderBy(F.desc("score"), F.coalesce("s", F.lit(1_000_000) + F.col("d")))
-    return fused.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select(qkey, key, "score", "rank")
+    return ranked(fused, qkey, key, k, [F.desc("score"), F.coalesce("s", F.lit(1_000_000) + F.col("d"))])
 
 
 def retrieve(method: str, hits: dict[str, DataFrame]) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ragloom.config import METHODS, STRATEGIES
+from ragloom.config import METHODS, STRATEGIES, Settings
 from ragloom.functions import providers as P
 from ragloom.functions import text as T
-from ragloom.operators import chunking, cleaning, evaluation, retrieval, sampling
+from ragloom.operators import chunking, cleaning, evaluation, experiment, retrieval, sampling
 from ragloom.sources import io
+from ragloom.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,7 +89,7 @@ def q_clean_text(spark, sf_dir):
 
 
 @query(
-    r"select page_id, " + strip(r"regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')") + " as body from pages"
+    r"select page_id, " + strip(r"""regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')""") + " as body from pages"
 )
 def q_html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", cleaning.html_to_text(F.col("html")).alias("body"))
@@ -150,9 +151,21 @@ def q_sample_hash(spark, sf_dir):
 
 @query()
 def q_sample_reservoir(spark, sf_dir):
+    """Sequential draws of a seeded generator, which SQL cannot express; a test holds them against the plain loop."""
     return sampling.reservoir_sample(read(spark, sf_dir, "documents"), "doc_id", 100).select("doc_id", "slot")
 
 
+@query("with n as (select doc_id, row_number() over (order by doc_id) as seen from documents), d as (select *, case when seen <= 100 then seen - 1 else ('0x' || substr(md5('42:' || seen::varchar), 1, 15))::bigint % seen end as slot from n) select slot::int as slot, max_by(doc_id, seen) as doc_id from d where slot < 100 group by slot")
+def q_sample_reservoir_hash(spark, sf_dir):
+    """The same reservoir with draws by hash: distributed, no loop on the driver."""
+    return sampling.reservoir_sample(read(spark, sf_dir, "documents"), "doc_id", 100, sequential=False).select("doc_id", "slot")
+
+
+@query("with n as (select doc_id, row_number() over (order by doc_id) as scanned, length(text) > 200 as ok from documents), m as (select *, sum(ok::int) over (order by doc_id) as seen from n) select doc_id, seen::bigint as seen from m where ok and scanned <= 150 and seen <= 100")
+def q_scan_early_stop(spark, sf_dir):
+    return sampling.scanned(read(spark, sf_dir, "documents"), "doc_id", F.length("text") > 200, Settings(max_scan=150, sample_size=1))
+
+
 # ---- chunking
 
 HEADED = "concat('intro ', source, chr(10), '# ', lang, chr(10), text, chr(10), '## Tail', chr(10), 'last words here.', chr(10), '### Empty', chr(10))"
@@ -181,24 +194,19 @@ SENTENCES = f"with l as (select doc_id, {SENT.format('text')} as l from document
 MERGED = SENTENCES + ", g as (select *, sum(case when length(sentence) >= 50 or pos = 0 then 1 else 0 end) over (partition by doc_id order by pos) - 1 as g from s), m as (select doc_id, g::bigint as pos, string_agg(sentence, ' ' order by pos) as sentence from g group by doc_id, g)"
 
 
-def sentences(spark, sf_dir):
-    return chunking.split_sentences(read(spark, sf_dir, "documents"), ["doc_id"], "text")
-
-
 @query(SENTENCES + " select doc_id, pos, sentence from s")
 def q_split_sentences(spark, sf_dir):
-    return sentences(spark, sf_dir)
+    return chunking.split_sentences(read(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
 @query(MERGED + " select doc_id, pos, sentence from m")
 def q_merge_short(spark, sf_dir):
-    return chunking.merge_short(sentences(spark, sf_dir), ["doc_id"]).select("doc_id", "pos", "sentence")
+    return chunking.merge_short(read(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
 @query(MERGED + ' select doc_id, (pos // 2)::bigint as win, string_agg(sentence, \' \' order by pos) as "window" from m group by doc_id, pos // 2')
 def q_sentence_windows(spark, sf_dir):
-    merged = chunking.merge_short(sentences(spark, sf_dir), ["doc_id"])
-    return chunking.sentence_windows(merged, ["doc_id"])
+    return chunking.sentence_windows(read(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
 @query(f"with w as (select doc_id, {WORDS.format('text')} as w from documents), c as (select doc_id, w, unnest(range(greatest(1, ceil((len(w) - 51) / 461.0)::bigint))) as k from w where len(w) > 0) select doc_id, k as chunk_index, array_to_string(list_slice(w, k * 461 + 1, k * 461 + 512), ' ') as text, len(list_slice(w, k * 461 + 1, k * 461 + 512))::bigint as token_count from c")
@@ -206,12 +214,37 @@ def q_chunk_token_window(spark, sf_dir):
     return chunking.token_windows(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+HEURISTIC = (
+    f"with recursive se as (select doc_id, l, {WORDS.format('text')} as w from (select doc_id, text, {SENT.format('text')} as l from documents)), "
+    f"un as (select doc_id, unnest(l) as sentence, unnest(range(len(l))) as pos from se), ws as (select doc_id, pos, len({WORDS.format('sentence')}) as n from un), "
+    "cu as (select *, sum(n) over (partition by doc_id order by pos)::bigint as e from ws), en as (select doc_id, list(e) as e from (select doc_id, unnest(case when n <= 512 then [e] else range(e - n + 1, e + 1) end) as e from cu) group by doc_id), "
+    "co as (select doc_id, 0::bigint as k, 0::bigint as a, coalesce(list_min(list_filter(en.e, lambda x: x >= 512)), len(w))::bigint as b, len(w)::bigint as n, en.e as e from se join en using (doc_id) "
+    "union all select doc_id, k + 1, b - 51, coalesce(list_min(list_filter(e, lambda x: x >= b - 51 + 512)), n)::bigint, n, e from co where b < n) "
+    "select doc_id, k as chunk_index, array_to_string(list_slice(w, a + 1, b), ' ') as text, b - a as token_count from co join se using (doc_id)"
+)
+
+
+@query(HEURISTIC)
 def q_chunk_heuristic(spark, sf_dir):
     return chunking.heuristic_chunks(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+def semantic_sql(expr: str) -> str:
+    """Semantic chunks of documents whose text is `expr`: sections, merged sentences, windows, hashed vectors, breaks."""
+    return (
+        PARTS.replace(HEADED, expr) + f", l as (select doc_id, section, header, body, {SENT.format('body')} as l from s where body <> ''), se as (select doc_id, section, unnest(l) as sentence, unnest(range(len(l))) as pos from l), "
+        "g as (select *, sum(case when length(sentence) >= 50 or pos = 0 then 1 else 0 end) over (partition by doc_id, section order by pos) - 1 as g from se), m as (select doc_id, section, g::bigint as pos, string_agg(sentence, ' ' order by pos) as sentence from g group by doc_id, section, g), "
+        "c as (select doc_id, section, count(*) as n from m group by doc_id, section), w as (select doc_id, section, pos // 2 as win, string_agg(sentence, ' ' order by pos) as t from m group by doc_id, section, pos // 2), "
+        f"h as (select doc_id, section, win, b, count(*)::double as n from (select doc_id, section, win, ('0x' || substr(md5(term), 1, 8))::bigint % 64 as b from (select doc_id, section, win, unnest({TOK.format('t')}) as term from w)) group by all), "
+        "nv as (select doc_id, section, win, b, n / sqrt(sum(n * n) over (partition by doc_id, section, win)) as x from h), si as (select p.doc_id, p.section, p.win, round(sum(p.x * q.x), 6) as sim from nv p join nv q on p.doc_id = q.doc_id and p.section = q.section and q.win = p.win + 1 and p.b = q.b group by all), "
+        "br as (select m.*, case when pos > 0 and pos % 2 = 0 and coalesce(sim, 0) < 0.6 then 1 else 0 end as br from m left join si on m.doc_id = si.doc_id and m.section = si.section and si.win = m.pos // 2 - 1), "
+        "gg as (select *, sum(br) over (partition by doc_id, section order by pos) as k from br), cu as (select doc_id, section, k, string_agg(sentence, ' ' order by pos) as cut from gg group by all), "
+        "ch as (select doc_id, section, k, header, case when n <= 2 then body else cut end as text from cu join c using (doc_id, section) join s using (doc_id, section) where n > 2 or k = 0) "
+        "select doc_id, row_number() over (partition by doc_id order by section, k) - 1 as chunk_index, header, text from ch"
+    )
+
+
+@query(semantic_sql(HEADED))
 def q_chunk_semantic(spark, sf_dir):
     return chunking.semantic_chunks(headed(spark, sf_dir), "doc_id", "text")
 
@@ -262,12 +295,12 @@ def q_index_stats(spark, sf_dir):
 BM25 = (
     f"with dl as (select doc_id, len({TOK.format('text')})::bigint as dl from documents), n as (select count(*)::double as n, avg(dl) as avgdl from dl), "
     f"po as (select doc_id, term, count(*) as tf from (select doc_id, unnest({TOK.format('text')}) as term from documents) group by all), "
-    "raw as (select term, count(*) as df, ln((select n from n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from po group by term), "
-    "idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"
+    "raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from (select term, count(*) as df from po group by term) cross join n), mu as (select avg(raw) as mu from raw), "
+    "idf as (select term, df, case when raw < 0 then 0.25 * mu else raw end as idf from raw cross join mu)"
 )
 SPARSE = (
     BM25 + f", qt as (select item_id, term, count(*) as qf from (select item_id, unnest({TOK.format('text')}) as term from benchmark) group by all), "
-    "sc as (select item_id, po.doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (select avgdl from n)))), 6) as score from po join qt using (term) join idf using (term) join dl using (doc_id) group by all), "
+    "sc as (select item_id, po.doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from po join qt using (term) join idf using (term) join dl using (doc_id) cross join n group by all), "
     "al as (select item_id, d.doc_id, coalesce(sc.score, 0) as score from (select item_id, doc_id from benchmark, documents) d left join sc using (item_id, doc_id)), "
     "sp as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from al qualify rank <= 10)"
 )
@@ -275,8 +308,7 @@ SPARSE = (
 
 @query(BM25 + " select term, df, round(idf, 6) as idf from idf")
 def q_bm25_idf(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return retrieval.idf(retrieval.postings(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.vocabulary(read(spark, sf_dir, "documents"), "text").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def sparse_hits(spark, sf_dir):
@@ -301,9 +333,11 @@ DENSE = VEC + ", de as (select q.vec_id as query_id, d.vec_id, d.label = q.label
 
 @query(VEC + ", nx as (select vec_id, e, l, lead(e) over (order by vec_id) as e2, lead(l) over (order by vec_id) as l2 from n) select vec_id, round(list_dot_product(e, e2) / (l * l2), 6) as cosine from nx where e2 is not null")
 def q_cosine_pairs(spark, sf_dir):
+    """Each vector and its successor by id: rows are numbered by partitions, so gaps in ids do not matter."""
     own = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    after = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
-    return own.join(after, "vec_id").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
+    numbered = own.join(sampling.ordinals(own, "vec_id").select("vec_id", "scanned"), "vec_id")
+    after = numbered.select((F.col("scanned") - 1).alias("scanned"), F.col("embedding").alias("next"))
+    return numbered.join(after, "scanned").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
 
 
 @query(DENSE + " select query_id, vec_id, score, rank from dr")
@@ -323,9 +357,11 @@ HYBRID = (
 
 
 def all_hits(spark, sf_dir) -> dict[str, DataFrame]:
+    """The hits of every method; the two lists that the third fuses are written once."""
     asked, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    first = sparse_hits(spark, sf_dir)
-    second = retrieval.dense_terms(P.hashed_terms(asked, "item_id", "text", DIM), P.hashed_terms(docs, "doc_id", "text", DIM), "item_id", "doc_id")
+    vector = lambda frame, key: frame.select(key, P.hashed_vector(F.col("text"), DIM).alias("vector"))
+    first = staged(sparse_hits(spark, sf_dir), "sparse")
+    second = staged(retrieval.dense(vector(asked, "item_id"), vector(docs, "doc_id"), "item_id", "vector", "doc_id", "vector"), "dense")
     return {"sparse": first, "dense": second, "hybrid": retrieval.hybrid(first, second, "item_id", "doc_id")}
 
 
@@ -364,7 +400,7 @@ UNION = "al3 as (select 'sparse' as method, item_id, doc_id, rank from sp union
 
 def factorial(spark, sf_dir) -> DataFrame:
     frames = [h.select(F.lit(m).alias("method"), "item_id", "doc_id", "rank") for m, h in all_hits(spark, sf_dir).items()]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return staged(frames[0].unionByName(frames[1]).unionByName(frames[2]), "factorial")
 
 
 @query(HYBRID + f", {UNION} select method, item_id, string_agg(doc_id::varchar, ',' order by rank) as chunks from al3 group by all")
@@ -451,10 +487,16 @@ def q_token_f1(spark, sf_dir):
 @query(f"with t as ({TURNS}), s as (select conv_id, turn, truth, {SENT.format('answer')} as l from t where role = 'assistant' and truth is not null) select conv_id, turn, round(coalesce(len(list_filter(l, lambda x: contains(lower(truth), lower(x))))::double / nullif(len(l), 0), 0), 6) as faithfulness from s")
 def q_faithfulness_stub(spark, sf_dir):
     """The default: the share of an answer's sentences that its context holds."""
-    said = T.sentences(F.col("answer"))
-    held = F.size(F.filter(said, lambda s: F.contains(F.lower("truth"), F.lower(s))))
-    share = F.when(F.size(said) > 0, held.cast("double") / F.size(said)).otherwise(F.lit(0.0))
-    return turns(spark, sf_dir).select("conv_id", "turn", F.round(share, 6).alias("faithfulness"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.round(P.faithfulness(F.col("answer"), F.col("truth")), 6).alias("faithfulness"))
+
+
+CLAIMS = "len(list_filter({0}, lambda x: contains(lower({1}), lower(x))))::double"
+
+
+@query(f"with t as ({TURNS}), s as (select conv_id, turn, answer, truth, {SENT.format('answer')} as a, {SENT.format('truth')} as b from t where role = 'assistant' and truth is not null), h as (select conv_id, turn, {CLAIMS.format('a', 'truth')} / nullif(len(a), 0) as p, {CLAIMS.format('b', 'answer')} / nullif(len(b), 0) as r from s) select conv_id, turn, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as factual_correctness from h")
+def q_factual_correctness_stub(spark, sf_dir):
+    """The default: F1 of the sentences that the other side holds."""
+    return turns(spark, sf_dir).select("conv_id", "turn", F.round(P.factual_correctness(F.col("answer"), F.col("truth")), 6).alias("factual_correctness"))
 
 
 @query("select d.doc_id, coalesce(l.quality, 0)::double as quality from documents d left join labels l using (doc_id)")
@@ -475,3 +517,51 @@ def q_eval_wide(spark, sf_dir):
 def q_summary_grouping_sets(spark, sf_dir):
     own = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("strategy"), F.col("l_linestatus").alias("method"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     return evaluation.summary(own, "strategy", "method", ["discount", "tax"])
+
+
+# ---- the whole experiment: three strategies x three methods over the chunks of all documents
+
+EXPERIMENT = (
+    "with ch as materialized (select strategy, strategy || ':' || doc_id::varchar || ':' || chunk_index::varchar as cid, text from ("
+    f"select 'heuristic' as strategy, doc_id, chunk_index, text from ({HEURISTIC}) union all select 'semantic', doc_id, chunk_index, text from ({semantic_sql('text')}) "
+    f"union all select 'agentic', doc_id, chunk_index, text from ({(MACRO + AGENTIC).replace(HEADED, 'text')} select doc_id, row_number() over (partition by doc_id order by section, g) - 1 as chunk_index, group_title || chr(10) || body as text from gr))), "
+    f"dl as (select strategy, cid, len({TOK.format('text')}) as dl from ch), st as (select strategy, count(*)::double as n, avg(dl) as avgdl from dl group by strategy), "
+    f"po as materialized (select strategy, cid, term, count(*) as tf from (select strategy, cid, unnest({TOK.format('text')}) as term from ch) group by all), "
+    "raw as (select strategy, term, ln(n - df + 0.5) - ln(df + 0.5) as raw from (select strategy, term, count(*) as df from po group by all) join st using (strategy)), mu as (select strategy, avg(raw) as mu from raw group by strategy), "
+    "idf as (select strategy, term, case when raw < 0 then 0.25 * mu else raw end as idf from raw join mu using (strategy)), "
+    f"qt as (select item_id, term, count(*) as qf from (select item_id, unnest({TOK.format('text')}) as term from benchmark) group by all), "
+    "sc as (select item_id, strategy, po.cid, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from po join qt using (term) join idf using (strategy, term) join dl using (strategy, cid) join st using (strategy) group by all), "
+    "sp as (select item_id, strategy, cid, row_number() over (partition by item_id, strategy order by coalesce(sc.score, 0) desc, cid) as rank from (select item_id, strategy, cid from benchmark, ch) left join sc using (item_id, strategy, cid) qualify rank <= 10), "
+    f"hd as (select strategy, cid, b, n / sqrt(sum(n * n) over (partition by strategy, cid)) as w from (select strategy, cid, ('0x' || substr(md5(term), 1, 8))::bigint % 16 as b, sum(tf)::double as n from po group by all)), hq as ({HASHED.format(k='item_id', t='benchmark')}), "
+    "hr as (select item_id, strategy, cid, row_number() over (partition by item_id, strategy order by score desc, cid) as rank from (select item_id, strategy, cid, round(sum(hd.w * hq.w), 6) as score from hd join hq using (b) group by all) qualify rank <= 10), "
+    "fu as (select item_id, strategy, cid, sp.rank as s, hr.rank as d, round(coalesce(1.0::double / (60 + sp.rank), 0) + coalesce(1.0::double / (60 + hr.rank), 0), 9) as score from sp full join hr using (item_id, strategy, cid)), "
+    "hy as (select item_id, strategy, cid, row_number() over (partition by item_id, strategy order by score desc, coalesce(s, 1000000 + d)) as rank from fu qualify rank <= 10), "
+    "al as (select 'sparse' as method, item_id, strategy, cid, rank from sp union all select 'dense', item_id, strategy, cid, rank from hr union all select 'hybrid', item_id, strategy, cid, rank from hy), "
+    "ju as (select p.item_id, p.strategy, p.cid, trim(q.text) <> '' and contains(regexp_replace(lower(ch.text), '\\s+', ' ', 'g'), regexp_replace(lower(q.text), '\\s+', ' ', 'g')) as relevant from (select distinct item_id, strategy, cid from al) p join benchmark q using (item_id) join ch using (strategy, cid)), "
+    "me as (select item_id, strategy, method, sum(relevant::int) as found, min(case when relevant then rank end) as first, count(*) as k, sum(case when relevant then 1.0::double / log2(rank + 1) else 0 end) as dcg, string_agg(text, chr(10) || chr(10) order by rank) as context, "
+    f"coalesce(list_extract({SENT.format('max(case when rank = 1 then text end)')}, 1), '') as answer from al join ju using (item_id, strategy, cid) join ch using (strategy, cid) group by item_id, strategy, method), "
+    "tt as (select item_id, strategy, sum(relevant::int) as total from ju group by all), "
+    f"av as (select me.*, total, q.text as truth, list_distinct({TOK.format('answer')}) as ta, list_distinct({TOK.format('q.text')}) as tb, {SENT.format('answer')} as sa, {SENT.format('q.text')} as sb from me join tt using (item_id, strategy) join benchmark q using (item_id)), "
+    f"pr as (select *, {CLAIMS.format('sa', 'truth')} / nullif(len(sa), 0) as p, {CLAIMS.format('sb', 'answer')} / nullif(len(sb), 0) as r from av), "
+    "ev as (select item_id::varchar as question_id, strategy as chunking_strategy, method as retrieval_method, round(case when total = 0 then 0 else found::double / total end, 6) as relative_recall_at_k, round(coalesce(1.0::double / first, 0), 6) as mrr_at_k, "
+    "round(case when total = 0 then 0 else dcg / list_sum(list_transform(range(1, greatest(1, least(k, total))::bigint + 1), lambda i: 1.0::double / log2(i + 1))) end, 6) as ndcg_at_k, round(coalesce(2.0::double * len(list_intersect(ta, tb)) / nullif(len(ta) + len(tb), 0), 0), 6) as f1_score, "
+    f"round(coalesce({CLAIMS.format('sa', 'context')} / nullif(len(sa), 0), 0), 6) as faithfulness, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as factual_correctness from pr)"
+)
+
+
+def experiment_rows(spark, sf_dir) -> DataFrame:
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.lit("").alias("document_id"), F.col("text").alias("question"), F.col("text").alias("short_answer"))
+    return experiment.run(read(spark, sf_dir, "documents"), asked)
+
+
+@query(EXPERIMENT + " select * from ev")
+def q_experiment(spark, sf_dir):
+    return experiment_rows(spark, sf_dir).select(*experiment.KEYS, *evaluation.METRICS)
+
+
+MEANS = ", ".join(f"round(avg({m}), 6) as mean_{m}" for m in evaluation.METRICS)
+
+
+@query(EXPERIMENT + f" select case grouping_id(chunking_strategy, retrieval_method) when 0 then 'combination' when 1 then 'strategy' else 'method' end as grouping_name, chunking_strategy, retrieval_method, {MEANS} from ev group by grouping sets ((chunking_strategy), (retrieval_method), (chunking_strategy, retrieval_method))")
+def q_experiment_summary(spark, sf_dir):
+    return evaluation.summary(experiment_rows(spark, sf_dir), "chunking_strategy", "retrieval_method", evaluation.METRICS)

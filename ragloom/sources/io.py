@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,20 +26,28 @@ def write_csv(frame: DataFrame, path: str) -> None:
     frame.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_index(frame: DataFrame, path: str) -> None:
-    """Chunks, postings or vectors: full refresh, one folder per strategy, so reads are pruned to one."""
-    frame.write.mode("overwrite").partitionBy("strategy").parquet(path)
+RESULTS = "chunking_strategy string, retrieval_method string, question_id string, document_id string, question string, short_answer string, generated_answer string, retrieved_chunks_json string, token_json string"
+CHUNKS = "array<struct<rank: bigint, chunk_id: string, source_id: string, chunk_text: string, chunk_length: bigint, score: double>>"
+TOKENS = "struct<input_tokens: bigint, output_tokens: bigint, total_tokens: bigint>"
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Results with their chunks and token counts as JSON columns."""
+    flat = results.withColumnsRenamed({"retrieved_chunks": "retrieved_chunks_json", "tokens": "token_json"})
+    write_csv(flat, path)
 
 
-def read_index(spark: SparkSession, path: str, strategy: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("strategy") == strategy)
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    own = read_csv(spark, path, RESULTS)
+    parsed = own.withColumn("retrieved_chunks", F.from_json("retrieved_chunks_json", CHUNKS)).withColumn("tokens", F.from_json("token_json", TOKENS))
+    return parsed.drop("retrieved_chunks_json", "token_json")
 
 
-def lookup(ids: DataFrame, chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Texts of chunk ids; an unknown id has the empty text."""
-    return ids.join(chunks.select(key, text), key, "left").withColumn(text, F.coalesce(text, F.lit("")))
+def lookup(ids: DataFrame, chunks: DataFrame, key: str = "chunk_id", text: str = "text", metadata: tuple = ()) -> DataFrame:
+    """Texts and metadata columns of chunk ids; an unknown id has the empty text and null metadata."""
+    return ids.join(chunks.select(key, text, *metadata), key, "left").withColumn(text, F.coalesce(text, F.lit("")))
 
 
-def write_summary(frame: DataFrame, path: str) -> None:
-    """A few rows of grouped means as one JSON file."""
-    frame.coalesce(1).write.mode("overwrite").json(path)
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One nested object as one JSON file."""
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ragloom.operators import chunking
-from ragloom.sources import io
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, strategy: str = "heuristic", key: str = "doc_id", text: str = "text"):
@@ -21,5 +20,3 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-__all__ = ["ingest", "io"]

@@ -1,16 +1,19 @@
 """Core operators: every query against its SQL, and hand-computed edges."""
 
+import gzip
 import json
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from ragloom.functions import providers as P
 from ragloom.functions import text as T
-from ragloom.operators import chunking, cleaning, retrieval, sampling
+from ragloom.operators import chunking, cleaning, evaluation, experiment, retrieval, sampling
+from ragloom.config import Settings
 from ragloom.plans import queries as core
-from ragloom.sources import io
+from ragloom.sources import index, io
 
 SF = "/root/testdata/sf0.001"
 TABLES = "benchmark conversations documents embeddings events labels lineitem pages".split()
@@ -134,3 +137,184 @@ def test_streaming_ingest(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     ingest(spark, str(tmp_path / "in"), docs.schema.simpleString()[7:-1].replace(":", " "), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("source_id").distinct().count() == docs.where("text <> ''").count()
+
+
+def test_html_text_decodes_quotes(spark):
+    frame = spark.createDataFrame([("<p>a &quot;b&quot; &amp;lt; c</p><script>x</script>",)], "h string")
+    assert frame.select(cleaning.html_to_text(frame.h)).first()[0] == 'a "b" &lt; c'
+
+
+def loop_chunks(sentences, size, overlap):
+    """Sentences gathered one by one, in words; the reference result for both forms."""
+    units = [(w,) for s in sentences for w in ([s] if len(s.split()) <= size else s.split())]
+    units = [u[0].split() for u in units]
+    out, current = [], []
+    for k, u in enumerate(units):
+        current = current + u
+        if len(current) >= size and k + 1 < len(units):
+            out.append(" ".join(current))
+            current = current[-overlap:] if overlap else []
+    return out + ([" ".join(current)] if current else [])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_heuristic_forms_agree(spark, seed):
+    """Expressions, the general form and the plain loop, with sentences longer than a chunk among them."""
+    rng, texts = random.Random(seed), []
+    for _ in range(12):
+        texts.append(" ".join(" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.choice([1, 3, 8, 20, 31, 90]))) + "." for _ in range(rng.randint(0, 14))))
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id int, t string")
+    settings = Settings(chunk_tokens=30, overlap_tokens=7)
+    native = chunking.heuristic_chunks(frame, "id", "t", settings).orderBy("id", "chunk_index").collect()
+    general = chunking.heuristic_chunks(frame, "id", "t", settings, make_count=lambda: lambda s: len(s.split())).orderBy("id", "chunk_index").collect()
+    assert [tuple(r) for r in native] == [tuple(r) for r in general]
+    for k, t in enumerate(texts):
+        want = loop_chunks([s + "." for s in t.split(". ")] if t else [], 30, 7)
+        assert [" ".join(r.text.split()).replace("..", ".") for r in native if r.id == k] == [w.replace("..", ".") for w in want]
+
+
+def test_heuristic_counts_the_carried_words():
+    """A counter that gives two tokens a word: carried words are counted, not numbered."""
+    count = lambda s: 2 * len(s.split())
+    units = [("a b c d", 8), ("e f g h", 8), ("i j", 4)]
+    chunks = chunking.heuristic_units(units, 16, 5, count)
+    assert chunks[0] == ("a b c d e f g h", 16)
+    assert chunks[1] == ("e f g h i j", 12)
+
+
+def test_semantic_with_an_embedder(spark):
+    text = "# H\n" + " ".join(f"Sentence {k} about {'cats' if k < 4 else 'dogs'} which is long enough to be one of its own." for k in range(8))
+    frame = spark.createDataFrame([(1, text)], "id int, text string")
+    topic = lambda: lambda texts: [[1.0, 0.0] if "cats" in t else [0.0, 1.0] for t in texts]
+    got = chunking.semantic_chunks(frame, "id", "text", embedder=topic).orderBy("chunk_index").collect()
+    assert [("cats" in r.text, "dogs" in r.text) for r in got] == [(True, False), (False, True)] and {r.header for r in got} == {"# H"}
+
+    def broken():
+        def call(texts):
+            raise ValueError("no service")
+
+        return call
+
+    whole = chunking.semantic_chunks(frame, "id", "text", embedder=broken).collect()
+    assert len(whole) == 1 and whole[0].text == text.split("\n")[1]
+
+
+def test_agentic_with_providers(spark):
+    def propose():
+        return lambda prompts: ["```json\n" + json.dumps({"propositions": [{"statement": s.strip()} for s in p.split("\n\n", 1)[1].split(".") if s.strip()]}) + "\n```" if "bad" not in p else "no json" for p in prompts]
+
+    def arrange():
+        return lambda prompts: [json.dumps({"groups": [{"group_indices": [2, 0, 9, -1], "title": "First"}, {"group_indices": [0], "title": "Second"}]}) for _ in prompts]
+
+    frame = spark.createDataFrame([(1, "a is a. b is b. c is c. d is d."), (2, "one only."), (3, "bad text. here."), (4, "")], "id int, text string")
+    got = {}
+    for r in chunking.agentic_chunks(frame, "id", "text", propose=propose, arrange=arrange).collect():
+        got.setdefault(r.id, []).append((r.chunk_index, r.text, r.fallback))
+    assert sorted(got[1]) == [(0, "First\na is a c is c", False), (1, "Miscellaneous\nb is b d is d", False)]
+    assert got[2] == [(0, "Single Topic\none only", False)]
+    assert got[3] == [(0, "bad text. here.", True)] and 4 not in got
+
+
+def test_dense_equals_numpy(spark):
+    rng = np.random.default_rng(0)
+    own, asked = rng.normal(size=(300, 8)), rng.normal(size=(7, 8))
+    own[10] = own[11] = own[12]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(own)] + [(900, None), (901, [0.0] * 8)], "id int, v array<double>")
+    got = retrieval.dense(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(asked)], "q int, w array<double>"), rows, "q", "w", "id", "v").collect()
+    for q in range(7):
+        s = np.append(np.round(own @ asked[q] / np.linalg.norm(own, axis=1) / np.linalg.norm(asked[q]), 6), 0.0)
+        want = np.lexsort((np.append(np.arange(300), 901), -s))[:10]
+        assert [r.id for r in sorted((r for r in got if r.q == q), key=lambda r: r["rank"])] == [int(i) if i < 300 else 901 for i in want]
+
+
+def test_plans_have_no_cross_product(spark):
+    frame = core.QUERIES["q_retrieve_sparse"](spark, SF)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_index_round_trip_equals_fresh_search(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    chunks = chunking.chunk("heuristic", docs, "doc_id", "text")
+    index.write(chunks, str(tmp_path), "heuristic")
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet")
+    sparse, vectors = index.read(spark, str(tmp_path), "heuristic")
+    key = lambda rows: sorted((r.item_id, r["rank"], r.chunk_id, r.score) for r in rows)
+    assert key(retrieval.sparse_search(asked, sparse, "item_id", "text", "chunk_id").collect()) == key(retrieval.sparse(asked, chunks, "item_id", "text", "chunk_id", "text").collect())
+    assert vectors.count() == chunks.count()
+    stats = json.loads(next((tmp_path / "stats" / "heuristic").glob("part*")).read_text())
+    assert stats["num_chunks"] == chunks.count() and stats["created_at"] and stats["embedding_model"] == "hashing"
+    none = retrieval.stats_of(chunks.withColumn("strategy", F_lit("x")), ["heuristic"], "m").first()
+    assert (none.num_chunks, none.tokens_mean) == (0, 0.0)
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
+def test_experiment_failure_rows_and_providers(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    asked = spark.createDataFrame([("1", "d", "the and", "the"), ("2", "d", "fails", "x")], "question_id string, document_id string, question string, short_answer string")
+
+    def generate():
+        def call(prompts):
+            if any("Question: fails" in p for p in prompts):
+                raise RuntimeError("down")
+            return ["the answer"] * len(prompts)
+
+        return call
+
+    experiment.index_documents(docs, str(tmp_path), "doc_id", "text")
+    hits = experiment.all_hits(asked, str(tmp_path))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        rows = experiment.answered(asked, hits, str(tmp_path), generate=generate).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 18
+    for r in rows:
+        failed = r.question_id == "2"
+        assert (r.generated_answer == experiment.FAILED) == failed and len(r.retrieved_chunks) == (0 if failed else 10) and (r.tokens.total_tokens == 0) == failed
+    made = spark.createDataFrame(rows)
+    assert experiment.validate(made, 2).first().asDict() == {"n_rows": 18, "rows_ok": True, "chunks_ok": False}
+    judged = experiment.evaluated(made, judge=lambda: lambda prompts: [" yes" if k % 2 else "no" for k in range(len(prompts))], metric=lambda: lambda prompts: ["0.5" if k % 2 else "none" for k in range(len(prompts))])
+    wide = judged.collect()
+    assert len(wide) == 18 and {r.faithfulness for r in wide} <= {0.0, 0.5} and all(0 <= r[m] <= 1 for r in wide for m in evaluation.METRICS)
+    nested = experiment.summary_json(judged)
+    assert (len(nested["by_strategy"]), len(nested["by_method"]), len(nested["by_combination"])) == (3, 3, 9)
+
+
+def test_step_runner(spark, tmp_path):
+    from ragloom import __main__ as runner
+
+    note = [{"short_answers": [{"start_token": 2, "end_token": 6}]}]
+    with gzip.open(tmp_path / "raw.jsonl.gz", "wt") as f:
+        for k in range(12):
+            text = f"<p>Document number {k} tells of rivers and bridges in some detail.</p> <p>It goes on about topic {k}.</p>"
+            f.write(json.dumps({"example_id": k, "question_text": f"what of topic {k}", "document_text": text, "document_url": f"u{k}" if k % 2 else "", "document_title": "", "annotations": note if k < 10 else []}) + "\n")
+        f.write("broken\n")
+    out = str(tmp_path / "out")
+    settings = Settings(sample_size=6)
+    assert runner.main(["--raw", str(tmp_path / "raw.jsonl.gz"), "--out", out], spark, settings) == [1, 2, 3, 4]
+    assert runner.read_cleaned(spark, out).count() == 6
+    assert io.read_results(spark, f"{out}/results").count() == 54
+    summary = json.loads("".join(p.read_text() for p in (tmp_path / "out" / "summary").glob("part*")))
+    assert len(summary["by_combination"]) == 9 and 0 <= summary["by_method"]["hybrid"]["mean_mrr_at_k"] <= 1
+    with pytest.raises(SystemExit):
+        runner.main(["--out", out], spark, settings)
+
+
+def test_validation_names_missing_columns(spark):
+    with pytest.raises(ValueError, match="Question"):
+        cleaning.validate_clean(spark.range(1).withColumn("short_answer", F_lit("x" * 20)), 1, required=tuple(cleaning.CLEANED))
+
+
+def test_chunks_by_a_tokenizers_count(spark):
+    public = pytest.importorskip("public_tokenizers")
+    make = P.token_counter(public.path("word_bpe_49k.json"))
+    frame = spark.createDataFrame([(1, "One unbelievably long-winded sentence stands here. " * 12)], "id int, t string")
+    got = chunking.heuristic_chunks(frame, "id", "t", Settings(chunk_tokens=40, overlap_tokens=6), make_count=make).collect()
+    assert len(got) > 2 and sum(r.token_count for r in got) >= make()(frame.first().t)
+    assert all(r.token_count < 60 for r in got)
