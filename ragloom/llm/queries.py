@@ -102,5 +102,16 @@ def _reputation_sql() -> str:
     )
 
 
-#: The other nine need hash functions, models, tokenizers or iterations that SQL does not have; tests/llm compares them with brute force.
-ORACLES: dict[str, str] = {"op5_host_reputation": _reputation_sql()}
+#: op7 as DuckDB SQL: all 50-byte strings, the smallest id that has each, islands of those that go, what lies between.
+SPANS_SQL = (
+    "with b as materialized (select doc_id, encode(coalesce(text, '')) as d from documents), n as (select doc_id, d, octet_length(d) as n from b), "
+    "s as materialized (select doc_id, p, array_slice(d, p, p + 49) as w from (select doc_id, d, unnest(range(1, n - 48)) as p from n where n >= 50)), "
+    "f as (select w, min(doc_id) as first from s group by w), m as (select doc_id, p from s join f using (w) where first < doc_id), "
+    "g as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as fresh from m)), "
+    "r as (select doc_id, min(p) as a, max(p) + 49 as z from g group by doc_id, run), "
+    "k as (select doc_id, a as spot, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 as lo, a - 1 as hi from r union all select n.doc_id, 9000000000000, coalesce(max(z), 0) + 1, any_value(n.n) from n left join r using (doc_id) group by n.doc_id), "
+    "j as (select k.doc_id, string_agg(case when hi >= lo then hex(array_slice(d, lo, hi)) else '' end, '' order by spot) as kept from k join n using (doc_id) group by k.doc_id) "
+    "select n.doc_id, n.n::bigint as n_bytes, coalesce(t.removed, 0)::bigint as n_removed, coalesce(t.spans, 0)::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from n join j using (doc_id) left join (select doc_id, sum(z - a + 1) as removed, count(*) as spans from r group by doc_id) t using (doc_id)"
+)
+#: The other eight need hash functions, models, tokenizers or iterations that SQL does not have; tests/llm compares them with brute force.
+ORACLES: dict[str, str] = {"op5_host_reputation": _reputation_sql(), "op7_suffix_spans": SPANS_SQL}

@@ -3,11 +3,11 @@
 A text's fingerprint has 64 * VIEWS majority bits over its distinct shingles' hashes. TABLES segments of WIDTH bits each
 are the keys of one table of the index; a text enters each table under its segment's small Hamming ball: the segment
 itself and the segment with one of its FLIPS least certain bits flipped. Two texts of similarity 0.8 differ in 15 % of
-their bits, so their balls meet in a segment with probability 0.61; short segments alone would make chance matches that
+their bits, so their balls meet in a segment with probability 0.76; short segments alone would make chance matches that
 grow with the square of the corpus, and segments long enough for it would need hundreds of tables. So each table is
 partitioned by MINIMA minima of the shingle hashes, which agree with probability 0.8 each: a key is (table, minima,
-segment), chance matches do not grow, and a pair at 0.8 is missed by all tables with probability 0.69^18 = 0.001 (by
-simulation; texts of four or five shingles 0.015; less at higher similarity).
+segment), chance matches do not grow, and a pair at 0.8 is missed by all tables with probability 0.69^20 = 0.0006 (by
+simulation; texts of four or five shingles 0.005; less at higher similarity).
 
 Texts that meet are verified by the distance of their complete fingerprints (MOST of 256 bits is Jaccard 0.4, five
 standard deviations from what 0.8 gives) and then by their exact shingle sets (of 64-bit hashes), which are made again
@@ -40,7 +40,7 @@ from xxhash import xxh64_intdigest
 from ragloom.llm import simhash, work
 from ragloom.llm.components import components
 
-TABLES, WIDTH, FLIPS, MINIMA = 18, 12, 3, 3
+TABLES, WIDTH, FLIPS, MINIMA = 20, 8, 2, 4
 VIEWS, MOST = 4, 80
 CROWD, ANCHORS, SHARE, RARE = 8, 2, 4096, 8
 NEEDED = 2_000_000  # rows of eight bytes that may be broadcast; more are shuffled
@@ -218,22 +218,23 @@ def merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
     return work.table(old.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
-def linked_roots(table: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD, known: DataFrame | None = None, labels: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def linked_roots(table: DataFrame, counts: DataFrame | None, sets: DataFrame, similarity: float, crowd: int = CROWD, known: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(node, root) of every node with a verified link.
 
-    table: (key, node, ...) of the buckets; counts: (key, n) with n > 1; sets: (node, hashes). known: (a, b) links
-    verified before; labels: (node, root) of nodes that these connect, which need not meet again. nodes: (node, size, fp).
+    table: (key, node) of the buckets, with counts: (key, n), n > 1; or (key, node, root, n), where nodes of one root
+    are connected by known: (a, b) links verified before. sets: (node, hashes). nodes: (node, size, fp).
     """
     checked = lambda pairs: verified(pairs if nodes is None else near(pairs, nodes, similarity), sets, similarity)
-    members = work.table(labelled(table.select("key", "node").join(counts.select("key", "n"), "key"), labels).select("key", "node", "root", "n"), "members")
+    members = table
+    if counts is not None:
+        members = work.table(labelled(table.select("key", "node").join(counts.select("key", "n"), "key"), None).select("key", "node", "root", "n"), "members")
     few, full = members.where(F.col("n") <= crowd), members.where(F.col("n") > crowd)
     left, right = (few.select("key", F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "xy")
     met = left.join(right, "key").where("x < y and root_x <> root_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     crowded = not full.isEmpty()
     if crowded:
         paired, rests = by_rare(full, sets)
-        full = full.drop("n").join(rests.where(F.col("rest") >= similarity * F.col("size") - 1e-6), "node")
-        full = work.table(full.join(full.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "crowded")
+        full = work.table(full.join(rests.where(F.col("rest") >= similarity * F.col("size") - 1e-6), "node"), "crowded")
         met = met.unionByName(paired).unionByName(meet(full.where(place() < ANCHORS / F.col("n")), full, similarity))
     found = checked(met.distinct())
     roots = merged(None, work.table(found if known is None else found.unionByName(known), "verified"))
@@ -261,9 +262,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
         known, labels = first_links(nodes, docs, words, text, similarity)
         table = labelled(nodes, labels).select(F.explode(F.concat("own", "ball")).alias("key"), "node", "root")
         counts = table.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
-        table = work.table(table.join(counts, "key").select("key", "node", "n"), "shared")
+        table = work.table(table.join(counts, "key").select("key", "node", "root", "n"), "shared")
         sets = work.table(shingle_sets(docs, words, text, nodes.join(table.select("node").distinct(), "node", "left_semi")), "sets")
-        roots = linked_roots(table, table.select("key", "n").distinct(), sets, similarity, crowd, known, labels, nodes)
+        roots = linked_roots(table, None, sets, similarity, crowd, known, nodes)
         placed = labelled(nodes.select("node", "first"), roots)
         firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
         classes = placed.join(firsts, "root").select("node", "root", "component_id")

@@ -414,6 +414,16 @@ def test_op7_periodic_and_shifted_texts(spark):
     assert got == brute_spans([(d, t.encode()) for d, t in rows])
 
 
+def test_op7_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    found = con.execute(queries.ORACLES["op7_suffix_spans"])
+    names = [d[0] for d in found.description]
+    assert sorted(found.fetchall()) == sorted(tuple(r) for r in queries.op7_suffix_spans(spark, SF).select(*names).collect())
+
+
 def test_op7_odd_rows(odd, empty):
     got = spans.span_report(odd).collect()
     assert len(got) == len(ODD) and {r.n_removed for r in got if r.doc_id == 4} == {len(ODD[0][1])}
