@@ -47,3 +47,14 @@ def token_f1(answer: Column, truth: Column) -> Column:
     a, b = F.array_distinct(tokens(answer)), F.array_distinct(tokens(truth))
     shared = F.size(F.array_intersect(a, b)).cast("double")
     return F.coalesce(F.when(shared > 0, 2 * shared / (F.size(a) + F.size(b))), F.lit(0.0))
+
+
+def metadata(**entries: Column) -> Column:
+    """A map of the entries that have a value, as text."""
+    pairs = [x for name, value in entries.items() for x in (F.lit(name), value.cast("string"))]
+    return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+
+
+def entry(values: Column, name: str, default: str = "") -> Column:
+    """A map's value, or the default."""
+    return F.coalesce(F.try_element_at(values, F.lit(name)), F.lit(default))

@@ -242,8 +242,13 @@ STRATEGIES = {"heuristic": heuristic_chunks, "semantic": semantic_chunks, "agent
 
 
 def chunk(strategy: str, frame: DataFrame, key: str, text: str, **knobs) -> DataFrame:
-    """(chunk_id, strategy, source_id, chunk_index, text) by any strategy; ValueError for an unknown one."""
+    """(chunk_id, strategy, source_id, chunk_index, text, metadata) by any strategy; ValueError for an unknown one.
+
+    metadata maps the names of what else the strategy tells of a chunk (token_count, header, group_title, fallback).
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     own = STRATEGIES[strategy](frame, key, text, **knobs)
-    return own.select(T.chunk_id(F.lit(strategy), F.col(key), F.col("chunk_index")).alias("chunk_id"), F.lit(strategy).alias("strategy"), F.col(key).cast("string").alias("source_id"), "chunk_index", "text")
+    told = {c: F.col(c) for c in own.columns if c not in (key, "chunk_index", "text")}
+    chunk_id = T.chunk_id(F.lit(strategy), F.col(key), F.col("chunk_index"))
+    return own.select(chunk_id.alias("chunk_id"), F.lit(strategy).alias("strategy"), F.col(key).cast("string").alias("source_id"), "chunk_index", "text", T.metadata(**told).alias("metadata"))

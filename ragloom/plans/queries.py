@@ -77,17 +77,33 @@ def q_scan_json(spark, sf_dir):
 MESSY = "concat('Jump to : navigation', chr(10), '## Contents', chr(10), '1 x', chr(10), '## Intro ( edit )', chr(10), text, chr(10), '  See also : other', chr(10), 'end (edit)', chr(10), chr(10), chr(10), chr(10), '## references', chr(10), source, chr(10), 'Categories : ', lang)"
 
 
-@query(
-    "with m as (select doc_id, " + MESSY + " as t from documents), a as (select doc_id, regexp_replace(t, '(?im)^(?:Jump to :|For other uses ,|Not to be confused with).*?$', '', 'g') as t from m), "
-    "b as (select doc_id, regexp_replace(t, '(?is)## Contents.*?(\\n## )', '\\1', 'g') as t from a), c as (select doc_id, regexp_replace(replace(t, ' ( edit )', ''), '(?i)\\s*\\(\\s*edit\\s*\\)', '', 'g') as t from b), "
-    "d as (select doc_id, regexp_replace(t, '(?im)^\\s*(?:Main article|Further information|See also)\\s*:.*?$', '', 'g') as t from c), e as (select doc_id, regexp_replace(t, '(?im)^##\\s*(?:References|External links|See also|Sources|Notes|Bibliography)\\s*$[\\s\\S]*', '') as t from d), "
-    "f as (select doc_id, regexp_replace(t, '(?s)Categories\\s*:.*', '') as t from e) select doc_id, " + strip("regexp_replace(t, '\\n{3,}', concat(chr(10), chr(10)), 'g')") + " as clean from f"
-)
+def clean_sql(expr: str) -> str:
+    return (
+        "with m as (select doc_id, " + expr + " as t from documents), a as (select doc_id, regexp_replace(t, '(?im)^(?:Jump to :|For other uses ,|Not to be confused with).*?$', '', 'g') as t from m), "
+        "b as (select doc_id, regexp_replace(t, '(?is)## Contents.*?(\\n## )', '\\1', 'g') as t from a), c as (select doc_id, regexp_replace(replace(t, ' ( edit )', ''), '(?i)\\s*\\(\\s*edit\\s*\\)', '', 'g') as t from b), "
+        "d as (select doc_id, regexp_replace(t, '(?im)^\\s*(?:Main article|Further information|See also)\\s*:.*?$', '', 'g') as t from c), e as (select doc_id, regexp_replace(t, '(?im)^##\\s*(?:References|External links|See also|Sources|Notes|Bibliography)\\s*$[\\s\\S]*', '') as t from d), "
+        "r as (select doc_id, regexp_replace(t, '(?s)Retrieved from `` https://en\\.wikipedia\\.org.*', '') as t from e), "
+        "f as (select doc_id, regexp_replace(t, '(?s)Categories\\s*:.*', '') as t from r) select doc_id, " + strip("regexp_replace(t, '\\n{3,}', concat(chr(10), chr(10)), 'g')") + " as clean from f"
+    )
+
+
+@query(clean_sql(MESSY))
 def q_clean_text(spark, sf_dir):
     messy = F.expr(MESSY.replace("chr(10)", "char(10)"))
     return read(spark, sf_dir, "documents").select("doc_id", cleaning.clean_text(messy).alias("clean"))
 
 
+TAIL = "concat(text, chr(10), case when doc_id % 2 = 0 then concat('Retrieved from `` https://en.wikipedia.org/w', chr(10), lang) else concat('Categories : ', source, chr(10), 'more') end)"
+
+
+@query(clean_sql(TAIL))
+def q_clean_tail(spark, sf_dir):
+    """Texts that end with a source line, or with categories but no reference list before them."""
+    tail = F.expr(TAIL.replace("chr(10)", "char(10)"))
+    return read(spark, sf_dir, "documents").select("doc_id", cleaning.clean_text(tail).alias("clean"))
+
+
+
 @query(
     r"select page_id, " + strip(r"""regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')""") + " as body from pages"
 )
@@ -95,6 +111,15 @@ def q_html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", cleaning.html_to_text(F.col("html")).alias("body"))
 
 
+@query("select doc_id, lang, source, '' as topic, (case when doc_id % 2 = 0 then 3 else 2 end)::int as entries, case when doc_id % 2 = 0 then 'yes' else 'no' end as even from documents")
+def q_metadata_maps(spark, sf_dir):
+    """Metadata as maps: merging, lookup with a default, entries without a value left out."""
+    base = T.metadata(lang=F.col("lang"), source=F.col("source"), none=F.lit(None).cast("string"))
+    both = F.map_concat(base, T.metadata(even=F.when(F.col("doc_id") % 2 == 0, F.lit("yes"))))
+    own = read(spark, sf_dir, "documents").select("doc_id", both.alias("m"))
+    return own.select("doc_id", T.entry(F.col("m"), "lang").alias("lang"), T.entry(F.col("m"), "source").alias("source"), T.entry(F.col("m"), "topic").alias("topic"), F.size("m").alias("entries"), T.entry(F.col("m"), "even", "no").alias("even"))
+
+
 @query()
 def q_html_to_markdown(spark, sf_dir):
     return cleaning.process_documents(read(spark, sf_dir, "pages"), "page_id", "html")

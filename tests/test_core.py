@@ -318,3 +318,14 @@ def test_chunks_by_a_tokenizers_count(spark):
     got = chunking.heuristic_chunks(frame, "id", "t", Settings(chunk_tokens=40, overlap_tokens=6), make_count=make).collect()
     assert len(got) > 2 and sum(r.token_count for r in got) >= make()(frame.first().t)
     assert all(r.token_count < 60 for r in got)
+
+
+def test_markdown_by_hand(spark):
+    page = '<h2>Head &amp; more</h2><p>A <b>bold</b> and <i>soft</i> <a href="u">link</a><a>none</a></p><ul><li>one<li>two</ul><table><tr><Th_colspan="2">H</th></tr><tr><td>x</td></tr></table><script>no()</script>'
+    frame = spark.createDataFrame([(1, page), (2, None), (3, "plain")], "id int, h string")
+    got = {r.id: r.markdown for r in cleaning.html_to_markdown(frame, "id", "h").collect()}
+    lines = [line.rstrip() for line in got[1].split("\n") if line.strip()]
+    assert lines == ["## Head & more", "A **bold** and *soft* [link](u)none", "* one", "* two", " | H", " | x"]
+    assert (got[2], got[3]) == ("", "plain")
+    whole = {r.id: r.document_text for r in cleaning.process_documents(spark.createDataFrame([(1, "<p>Jump to : top</p><p>Body ( edit ) text.</p><h2>References</h2><p>gone</p>")], "id int, h string"), "id", "h").collect()}
+    assert whole == {1: "Body text."}
