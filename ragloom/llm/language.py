@@ -39,6 +39,7 @@ from ragloom.llm import work
 TRAIN_CHARS = 40_000
 SAMPLE_CHARS = 8_192
 SAMPLE_DOCS = 200
+SPARE = 4  # times TRAIN_CHARS that may reach the driver for a language, since repeated excerpts are left out there
 SEGMENT = 512
 JUDGED, LOOSE = 200, 2.0
 PIECE = 400  # characters of a held-out piece
@@ -60,6 +61,8 @@ def training_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     usable = own.where("t <> ''")
     first = Window.partitionBy("lang").orderBy("h", "k")
     chosen = usable.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
+    so_far = F.sum(F.length("t")).over(first.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = chosen.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < SPARE * TRAIN_CHARS)
     out: dict[str, str] = {}
     for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["n"])):
         have = out.get(row["lang"], "")

@@ -6,8 +6,8 @@ itself and the segment with one of its FLIPS least certain bits flipped. Two tex
 their bits, so their balls meet in a segment with probability 0.76; short segments alone would make chance matches that
 grow with the square of the corpus, and segments long enough for it would need hundreds of tables. So each table is
 partitioned by MINIMA minima of the shingle hashes, which agree with probability 0.8 each: a key is (table, minima,
-segment), chance matches do not grow, and a pair at 0.8 is missed by all tables with probability 0.69^20 = 0.0006 (by
-simulation; texts of four or five shingles 0.005; less at higher similarity).
+segment), chance matches do not grow, and a pair at 0.8 is missed by all tables with probability 0.69^18 = 0.001 (by
+simulation; texts of four or five shingles 0.009; less at higher similarity).
 
 Texts that meet are verified by the distance of their complete fingerprints (MOST of 256 bits is Jaccard 0.4, five
 standard deviations from what 0.8 gives) and then by their exact shingle sets (of 64-bit hashes), which are made again
@@ -40,10 +40,10 @@ from xxhash import xxh64_intdigest
 from ragloom.llm import simhash, work
 from ragloom.llm.components import components
 
-TABLES, WIDTH, FLIPS, MINIMA = 20, 8, 2, 4
+TABLES, WIDTH, FLIPS, MINIMA = 18, 8, 2, 4
 VIEWS, MOST = 4, 80
 CROWD, ANCHORS, SHARE, RARE = 8, 2, 4096, 8
-NEEDED = 2_000_000  # rows of eight bytes that may be broadcast; more are shuffled
+NEEDED = 1_000_000  # rows of eight bytes that may be broadcast; more are shuffled
 
 
 def odd(what: str, n: int) -> np.ndarray:
@@ -240,13 +240,13 @@ def linked_roots(table: DataFrame, counts: DataFrame | None, sets: DataFrame, si
     roots = merged(None, work.table(found if known is None else found.unionByName(known), "verified"))
     share = ANCHORS
     while crowded:  # members below the share are settled: linked to, or compared with, every member of another component
-        placed = labelled(full.where(F.col("n") > share).drop("root"), roots)
+        placed = labelled(full.where(F.col("n") > share).select("key", "node", "n", "size", "rest"), roots)
         main = placed.groupBy("key", "root").agg(F.count("*").alias("here")).groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("kinds"))
         parted = work.table(placed.join(main.where("kinds > 1"), "key").select("key", "node", "root", "n", "size", "rest", (F.col("root") != F.col("main")).alias("apart")), "parted")
-        rest = parted.where(place() >= share / F.col("n"))
+        full, rest = parted, parted.where(place() >= share / F.col("n"))  # a bucket of one component stays one
         if rest.isEmpty():
             break
-        share *= 16
+        share *= 64
         now = rest.where(place() < share / F.col("n"))
         more = meet(now.where("apart"), parted, similarity).unionByName(meet(now.where("not apart"), parted.where("apart"), similarity)).distinct()
         roots = merged(roots, work.table(checked(more), "verified"))

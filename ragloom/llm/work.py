@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[str]] = []
+_own = threading.local()  # scopes: lists of the paths made in each open scratch() of this thread
 _model: list = [None, None]  # name and value of the one model that a Python worker holds
 
 
@@ -39,8 +40,8 @@ def table(df: DataFrame, tag: str, stays: bool = False) -> DataFrame:
     Inside a scratch() scope the table goes with the scope, unless it stays.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    if _scopes and not stays:
-        _scopes[-1].append(path)
+    if not stays and (scopes := getattr(_own, "scopes", None)):
+        scopes[-1].append(path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,11 +49,11 @@ def table(df: DataFrame, tag: str, stays: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession):
     """Work tables made inside are deleted at the end; what is returned from inside must be a table that stays."""
-    _scopes.append([])
+    _own.scopes = [*getattr(_own, "scopes", []), []]
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _own.scopes.pop():
             delete(spark, path)
 
 
