@@ -157,8 +157,9 @@ def heuristic_chunks(frame: DataFrame, key: str, text: str, settings: Settings =
 def semantic_chunks(frame: DataFrame, key: str, text: str, settings: Settings = DEFAULTS, dim: int = 64, embedder: Callable[[], P.Embedder] | None = None) -> DataFrame:
     """(key, chunk_index, header, text): sections break where neighbouring sentence windows differ.
 
-    Sections of one window, or whose embedding failed, are one chunk with the raw body. A document stays in its row:
-    sentences, windows, vectors and cuts are arrays, so nothing is shuffled. embedder: makes another embedding.
+    Sections of one window, or whose embedding failed, are one chunk with the raw body. A section stays in its row:
+    sentences, windows, vectors and cuts are arrays; only the numbering of a document's chunks needs a shuffle.
+    embedder: makes another embedding.
     """
     size = settings.window_sentences
     sections = split_headers(frame, key, text).where("body <> ''")
