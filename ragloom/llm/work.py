@@ -75,13 +75,17 @@ def batches(batch_iter, size: int = 512):
 
 
 def without_collector(run):
-    """run with Python's cyclic collector off until it ends: for code that makes no cycles but keeps many objects."""
+    """run with Python's cyclic collector off until it ends: for code that makes no cycles but keeps many objects.
+
+    What it keeps is then frozen, so that the collector does not visit it later; it still goes when nothing holds it.
+    """
 
     def quiet(batch_iter):
         gc.disable()
         try:
             yield from run(batch_iter)
         finally:
+            gc.freeze()
             gc.enable()
 
     return quiet
