@@ -9,9 +9,10 @@ partitioned by MINIMA minima of the shingle hashes, which agree with probability
 segment), chance matches do not grow, and a pair at 0.8 is missed by all tables with probability 0.69^18 = 0.001 (by
 simulation; texts of four or five shingles 0.009; less at higher similarity).
 
-Texts that meet are verified by the distance of their complete fingerprints (MOST of 256 bits is Jaccard 0.4, five
-standard deviations from what 0.8 gives) and then by their exact shingle sets (of 64-bit hashes), which are made again
-for those texts alone: their rows are found by the text's hash before any shingle is.
+Texts that meet are verified, where they meet, by the distance of their complete fingerprints: 0.8 gives 154 of 1,024
+bits with a standard deviation of 11.5, MOST is five of them more and leaves few pairs of 0.6. Then they are verified by
+their exact shingle sets (of 64-bit hashes), which are made again for those texts alone: their rows are found by the
+text's hash before any shingle is.
 
 Groups of copies would make pairs by the square of their size. So, first, the members of a segment's own bucket meet
 that bucket's member of least hash, and those linked take its label. Then only buckets with several labels are worked
@@ -41,7 +42,8 @@ from ragloom.llm import simhash, work
 from ragloom.llm.components import components
 
 TABLES, WIDTH, FLIPS, MINIMA = 18, 8, 2, 4
-VIEWS, MOST = 4, 80
+VIEWS, MOST = 16, 212  # words of a fingerprint, and the bits in which two of 0.8 may differ
+SHORT, SHORT_MOST = 8, 260  # sets of fewer shingles differ in more bits
 CROWD, ANCHORS, SHARE, RARE = 8, 2, 4096, 8
 NEEDED = 1_000_000  # rows of eight bytes that may be broadcast; more are shuffled
 
@@ -135,12 +137,17 @@ def pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def close(similarity: float, a: str = "a", b: str = "b"):
+    """Whether sizes allow that similarity and complete fingerprints are near, for columns size_ and fp_ of both."""
+    far = sum((F.bit_count(F.col(f"fp_{a}")[k].bitwiseXOR(F.col(f"fp_{b}")[k])) for k in range(1, VIEWS)), F.bit_count(F.col(f"fp_{a}")[0].bitwiseXOR(F.col(f"fp_{b}")[0])))
+    small, large = F.least(f"size_{a}", f"size_{b}"), F.greatest(f"size_{a}", f"size_{b}")
+    return (small >= similarity * large - 1e-6) & (far <= F.when(small < SHORT, SHORT_MOST).otherwise(MOST))
+
+
 def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sizes allow that similarity and whose complete fingerprints are near."""
+    """The pairs (a, b) that are close()."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}"), F.col("size").alias(f"size_{s}"))
-    far = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (far <= MOST)).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(close(similarity)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -187,12 +194,15 @@ def reachable(similarity: float):
 
 
 def meet(anchors: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of anchors with others (key, node, root, n, size, rest) of their key and another root; a crowd of n is dealt to n / SHARE tasks."""
-    parts = F.ceil(F.col("n") / SHARE).cast("int")
-    side = lambda s: [F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("root", "size", "rest")]]
+    """Pairs of anchors with others (key, node, root, n, size, rest, perhaps fp) of their key and another root, if they are
+    close and reachable; a crowd of n is dealt to n / SHARE tasks."""
+    parts, known = F.ceil(F.col("n") / SHARE).cast("int"), [c for c in ("root", "size", "rest", "fp") if c in anchors.columns]
+    side = lambda s: [F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in known]]
     left = anchors.select("key", *side("x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     right = others.select("key", *side("y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    return left.join(right, ["key", "part"]).where((F.col("root_x") != F.col("root_y")) & reachable(similarity)).select(*pair("x", "y")).distinct()
+    wanted = (F.col("root_x") != F.col("root_y")) & reachable(similarity)
+    wanted = wanted & close(similarity, "x", "y") if "fp" in known else wanted
+    return left.join(right, ["key", "part"]).where(wanted).select(*pair("x", "y")).distinct()
 
 
 def by_rare(full: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,32 +234,36 @@ def linked_roots(table: DataFrame, counts: DataFrame | None, sets: DataFrame, si
     table: (key, node) of the buckets, with counts: (key, n), n > 1; or (key, node, root, n), where nodes of one root
     are connected by known: (a, b) links verified before. sets: (node, hashes). nodes: (node, size, fp).
     """
-    checked = lambda pairs: verified(pairs if nodes is None else near(pairs, nodes, similarity), sets, similarity)
-    members = table
+    members, fp = table, [] if nodes is None else ["fp"]
     if counts is not None:
         members = work.table(labelled(table.select("key", "node").join(counts.select("key", "n"), "key"), None).select("key", "node", "root", "n"), "members")
+    if fp:
+        members = work.table(members.join(nodes.select("node", "size", "fp"), "node"), "printed")
     few, full = members.where(F.col("n") <= crowd), members.where(F.col("n") > crowd)
-    left, right = (few.select("key", F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "xy")
-    met = left.join(right, "key").where("x < y and root_x <> root_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    told = ["root", *(["size", "fp"] if fp else [])]
+    left, right = (few.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in told]) for s in "xy")
+    wanted = F.expr("x < y and root_x <> root_y")
+    wanted = wanted & close(similarity, "x", "y") if fp else wanted
+    met = left.join(right, "key").where(wanted).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     crowded = not full.isEmpty()
     if crowded:
         paired, rests = by_rare(full, sets)
-        full = work.table(full.join(rests.where(F.col("rest") >= similarity * F.col("size") - 1e-6), "node"), "crowded")
-        met = met.unionByName(paired).unionByName(meet(full.where(place() < ANCHORS / F.col("n")), full, similarity))
-    found = checked(met.distinct())
+        full = work.table(full.drop("size").join(rests.where(F.col("rest") >= similarity * F.col("size") - 1e-6), "node"), "crowded")
+        met = met.unionByName(near(paired, nodes, similarity) if fp else paired).unionByName(meet(full.where(place() < ANCHORS / F.col("n")), full, similarity))
+    found = verified(met.distinct(), sets, similarity)
     roots = merged(None, work.table(found if known is None else found.unionByName(known), "verified"))
     share = ANCHORS
     while crowded:  # members below the share are settled: linked to, or compared with, every member of another component
-        placed = labelled(full.where(F.col("n") > share).select("key", "node", "n", "size", "rest"), roots)
+        placed = labelled(full.where(F.col("n") > share).select("key", "node", "n", "size", "rest", *fp), roots)
         main = placed.groupBy("key", "root").agg(F.count("*").alias("here")).groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"), F.count("*").alias("kinds"))
-        parted = work.table(placed.join(main.where("kinds > 1"), "key").select("key", "node", "root", "n", "size", "rest", (F.col("root") != F.col("main")).alias("apart")), "parted")
+        parted = work.table(placed.join(main.where("kinds > 1"), "key").select("key", "node", "root", "n", "size", "rest", *fp, (F.col("root") != F.col("main")).alias("apart")), "parted")
         full, rest = parted, parted.where(place() >= share / F.col("n"))  # a bucket of one component stays one
         if rest.isEmpty():
             break
-        share *= 64
+        share *= 16
         now = rest.where(place() < share / F.col("n"))
         more = meet(now.where("apart"), parted, similarity).unionByName(meet(now.where("not apart"), parted.where("apart"), similarity)).distinct()
-        roots = merged(roots, work.table(checked(more), "verified"))
+        roots = merged(roots, work.table(verified(more, sets, similarity), "verified"))
     return roots
 
 
