@@ -44,7 +44,7 @@ from ragloom.llm.components import components
 TABLES, WIDTH, FLIPS, MINIMA = 18, 8, 2, 4
 VIEWS, MOST = 16, 212  # words of a fingerprint, and the bits in which two of 0.8 may differ
 SHORT, SHORT_MOST = 8, 260  # sets of fewer shingles differ in more bits
-CROWD, ANCHORS, SHARE, RARE = 8, 2, 4096, 8
+CROWD, ANCHORS, SHARE, RARE = 16, 2, 4096, 8
 NEEDED = 1_000_000  # rows of eight bytes that may be broadcast; more are shuffled
 
 
@@ -260,7 +260,7 @@ def linked_roots(table: DataFrame, counts: DataFrame | None, sets: DataFrame, si
         full, rest = parted, parted.where(place() >= share / F.col("n"))  # a bucket of one component stays one
         if rest.isEmpty():
             break
-        share *= 16
+        share *= 64
         now = rest.where(place() < share / F.col("n"))
         more = meet(now.where("apart"), parted, similarity).unionByName(meet(now.where("not apart"), parted.where("apart"), similarity)).distinct()
         roots = merged(roots, work.table(verified(more, sets, similarity), "verified"))
