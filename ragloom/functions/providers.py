@@ -6,11 +6,13 @@ created once per partition, called per Arrow batch, and must not rely on task re
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -136,6 +138,31 @@ def hashed_vector(text: Column, dim: int) -> Column:
     return F.aggregate(F.transform(T.tokens(F.coalesce(text, F.lit(""))), bucket), zero, add, unit)
 
 
+def hashed_vectors(frame: DataFrame, texts: str, dim: int, out: str = "vectors") -> DataFrame:
+    """frame with hashed_vector() of every element of an array of texts; buckets are counted in Arrow batches."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+
+        def vector(terms: list[str]) -> list[float]:
+            for t in terms:
+                if t not in known:
+                    known[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+            counts = np.bincount([known[t] for t in terms], minlength=dim).astype(float)
+            return (counts / max(float(np.sqrt(counts @ counts)), 1e-300)).tolist()
+
+        for part in parts:
+            if len(known) > 1_000_000:
+                known.clear()
+            rows = part.column(part.num_columns - 1).to_pylist()
+            made = pa.array([None if row is None else [vector(terms or []) for terms in row] for row in rows], pa.list_(pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*part.schema.names[:-1], out])
+
+    terms = F.transform(texts, lambda t: T.tokens(F.coalesce(t, F.lit(""))))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+    return frame.withColumn("__terms", terms).mapInArrow(run, f"{kept}, `{out}` array<array<double>>")
+
+
 def embed(frame: DataFrame, texts: str, make: Callable[[], Embedder], out: str = "vectors") -> DataFrame:
     """frame with the vectors of an array of texts, one provider call per Arrow batch; null for the rows of a failed call."""
 

@@ -166,7 +166,7 @@ def semantic_chunks(frame: DataFrame, key: str, text: str, settings: Settings =
     own = sections.withColumn("m", merged_short(T.sentences(F.col("body")), settings.min_sentence_chars))
     own = own.withColumn("windows", windowed(F.col("m"), size))
     if embedder is None:
-        own = own.withColumn("vectors", F.transform("windows", lambda t: P.hashed_vector(t, dim)))
+        own = P.hashed_vectors(own, "windows", dim)
     else:
         own = P.embed(own, "windows", embedder)
     n = F.size("windows")
