@@ -12,7 +12,7 @@ from ragloom.config import METHODS, STRATEGIES, Settings
 from ragloom.functions import providers as P
 from ragloom.functions import text as T
 from ragloom.operators import chunking, cleaning, evaluation, experiment, retrieval, sampling
-from ragloom.sources import io
+from ragloom.sources import index, io
 from ragloom.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,7 +384,7 @@ HYBRID = (
 def all_hits(spark, sf_dir) -> dict[str, DataFrame]:
     """The hits of every method; the two lists that the third fuses are written once."""
     asked, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    vector = lambda frame, key: frame.select(key, P.hashed_vector(F.col("text"), DIM).alias("vector"))
+    vector = lambda frame, key: index.vectors(frame, key, "text", DIM)
     first = staged(sparse_hits(spark, sf_dir), "sparse")
     second = staged(retrieval.dense(vector(asked, "item_id"), vector(docs, "doc_id"), "item_id", "vector", "doc_id", "vector"), "dense")
     return {"sparse": first, "dense": second, "hybrid": retrieval.hybrid(first, second, "item_id", "doc_id")}

@@ -36,9 +36,8 @@ def write(chunks: DataFrame, path: str, strategy: str, settings: Settings = DEFA
 
 def vectors(frame: DataFrame, key: str, text: str, dim: int, embedder=None) -> DataFrame:
     """(key, vector) of every text; a failed embedding is null."""
-    if embedder is None:
-        return frame.select(key, P.hashed_vector(F.col(text), dim).alias("vector"))
-    made = P.embed(frame.select(key, F.array(text).alias("__t")), "__t", embedder)
+    own = frame.select(key, F.array(text).alias("__t"))
+    made = P.hashed_vectors(own, "__t", dim) if embedder is None else P.embed(own, "__t", embedder)
     return made.select(key, F.get("vectors", F.lit(0)).alias("vector"))
 
 
