@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import ann, bytebpe, html, language, multiset, packing, sharding, simhash, spans, urls
+from ragloom.llm import ann, bytebpe, html, jaccard, language, lexical, multiset, packing, sharding, simhash, spans, urls, whitening
 
 #: The URL rules of the contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -64,7 +64,19 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_anisotropic_search, op3_multiset_hash, op4_feistel_shards, op5_host_reputation, op6_cross_parsing, op7_suffix_spans, op8_dom_model, op9_byte_bpe, op10_pack)}
+def op11_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(read(spark, sf_dir, "documents"))
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_anisotropic_search, op3_multiset_hash, op4_feistel_shards, op5_host_reputation, op6_cross_parsing, op7_suffix_spans, op8_dom_model, op9_byte_bpe, op10_pack, op11_heavy_light_join, op12_jacobi_whitening, op13_threshold_search)}
 
 
 def _reputation_sql() -> str:
@@ -113,5 +125,26 @@ SPANS_SQL = (
     "j as (select k.doc_id, string_agg(case when hi >= lo then hex(array_slice(d, lo, hi)) else '' end, '' order by spot) as kept from k join n using (doc_id) group by k.doc_id) "
     "select n.doc_id, n.n::bigint as n_bytes, coalesce(t.removed, 0)::bigint as n_removed, coalesce(t.spans, 0)::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from n join j using (doc_id) left join (select doc_id, sum(z - a + 1) as removed, count(*) as spans from r group by doc_id) t using (doc_id)"
 )
-#: The other eight need hash functions, models, tokenizers or iterations that SQL does not have; tests/llm compares them with brute force.
-ORACLES: dict[str, str] = {"op5_host_reputation": _reputation_sql(), "op7_suffix_spans": SPANS_SQL}
+#: op11 as DuckDB SQL: distinct shingles, common ones counted by pairs of distinct sets, closure over links, smallest id.
+JACCARD_SQL = (
+    f"with recursive w as materialized (select doc_id, list_filter(string_split_regex(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents), "
+    "s as materialized (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end)) as s from w where w is not null), "
+    "nd as materialized (select row_number() over () as node, s, len(s) as n, first from (select s, min(doc_id) as first from s where len(s) > 0 group by s)), "
+    "e as materialized (select node, n, hash(t) as t from (select node, n, unnest(s) as t from nd)), "
+    "c as (select x.node as a, y.node as b, any_value(x.n) + any_value(y.n) as total, count(*) as common from e x join e y on x.t = y.t and x.node <> y.node and x.n * 100 >= y.n * 85 and y.n * 100 >= x.n * 85 group by x.node, y.node), "
+    "l as materialized (select a, b from c where 100 * common >= 85 * (total - common)), "
+    "r as (select node, node as other from nd union select r.node, l.b from r join l on l.a = r.other), "
+    "k as (select r.node, min(o.first) as component_id from r join nd o on o.node = r.other group by r.node) "
+    "select d.doc_id, coalesce(nd.n, 0)::bigint as n_shingles, coalesce(k.component_id, d.doc_id) as component_id from documents d left join s using (doc_id) left join nd using (s) left join k using (node)"
+)
+#: op13 as DuckDB SQL: every document's score for every item.
+LEXICAL_SQL = (
+    r"with t as materialized (select doc_id, list_filter(string_split_regex(translate(text, '{u}', '{l}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents), "
+    "d as (select doc_id, w, len(w)::bigint as n from t where len(w) > 0), st as (select count(*)::bigint as nn, sum(n)::bigint as ll from d), "
+    "f as materialized (select doc_id, n, term, count(*)::bigint as tf from (select doc_id, n, unnest(w) as term from d) group by all), df as (select term, count(*)::bigint as df from f group by term), "
+    r"q as (select distinct item_id, unnest(list_filter(string_split_regex(translate(text, '{u}', '{l}'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) as term from benchmark), "
+    "sc as (select item_id, doc_id, sum(floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::bigint as score from q join f using (term) join df using (term) cross join st group by item_id, doc_id) "
+    "select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from sc where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 50"
+).replace("{u}", urls.UPPER).replace("{l}", urls.LOWER)
+#: The other nine need hash functions, models, tokenizers or iterations that SQL does not have; tests/llm compares them with brute force.
+ORACLES: dict[str, str] = {"op5_host_reputation": _reputation_sql(), "op7_suffix_spans": SPANS_SQL, "op11_heavy_light_join": JACCARD_SQL, "op13_threshold_search": LEXICAL_SQL}
