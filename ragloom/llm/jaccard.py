@@ -173,36 +173,52 @@ def light_links(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
     return rows.join(first, ["key", "c"]).where((F.col("node") != F.col("first.node")) & (needed <= F.col("c"))).select(F.col("node").alias("a"), F.col("first.node").alias("b"))
 
 
-def ordered_places(own: np.ndarray, common: dict[int, int], size: int, percent: int) -> np.ndarray | None:
-    """A node's first shingles in the order of all; None if it needs more hashes than `own`, its least ones."""
+def ordered_places(own: np.ndarray, hot: np.ndarray, counts: np.ndarray, size: int, percent: int) -> np.ndarray | None:
+    """A node's first shingles in the order of all; None if it needs more hashes than `own`, its least ones.
+
+    hot, counts: the common shingles, at least those among own, in rising order, and how many nodes have each.
+    """
     many = first_places(size, percent)[1]
-    if not common:
+    if not len(hot):
         return own[:many]
-    hot = np.isin(own, np.fromiter(common, np.int64, len(common)))
-    cold = own[~hot]
+    at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+    common = hot[at] == own
+    cold = own[~common]
     if len(cold) >= many:
         return cold[:many]
     if len(own) < size:
         return None
-    last = sorted(own[hot].tolist(), key=lambda k: (common[k], k))
-    return np.concatenate([cold, np.array(last, np.int64)])[:many]
+    last = own[common][np.lexsort((own[common], counts[at[common]]))]
+    return np.concatenate([cold, last])[:many]
 
 
-def list_rows(frame: DataFrame, hot: DataFrame, percent: int, hashes: str) -> DataFrame:
+def list_rows(frame: DataFrame, hot: DataFrame, percent: int, hashes: str, needed: int = NEEDED) -> DataFrame:
     """(node, size, mark, places) of every node in frame; places is null where its hashes do not suffice.
 
-    hot: (key, n) of the common shingles.
+    hot: (key, n) of the common shingles. Every task holds them if they are few; else each node gets its own by a join.
     """
-    found = frame.select("node", F.explode(hashes).alias("key")).join(hot, "key").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("common"))
+    if hot.count() <= needed:
+        table = hot.toArrow().sort_by("key")
+        every = frame.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["n"].to_numpy()))
+        rows = frame.select("node", "size", "mark", hashes, F.lit(None).cast("array<struct<key:bigint,n:bigint>>").alias("common"))
+    else:
+        every = None
+        found = frame.select("node", F.explode(hashes).alias("key")).join(hot, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("common"))
+        rows = frame.select("node", "size", "mark", hashes).join(found, "node", "left")
 
     def run(batch_iter):
+        keys, counts = every.value if every else (np.empty(0, np.int64), np.empty(0, np.int64))
         for batch in work.batches(batch_iter):
             made = []
-            for size, own, common in zip(batch.column(1).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
-                made.append(ordered_places(own.values.to_numpy(), dict(common or ()), size, percent))
+            for size, own, common in zip(batch.column(1).to_pylist(), batch.column(3), batch.column(4)):
+                if common.is_valid:
+                    keys, counts = common.values.field("key").to_numpy(), common.values.field("n").to_numpy()
+                elif not every:
+                    keys = keys[:0]
+                made.append(ordered_places(own.values.to_numpy(), keys, counts, size, percent))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(made, pa.list_(pa.int64()))], names=["node", "size", "mark", "places"])
 
-    return frame.select("node", "size", "mark", hashes).join(found, "node", "left").mapInArrow(run, "node long, size int, mark long, places array<long>")
+    return rows.mapInArrow(run, "node long, size int, mark long, places array<long>")
 
 
 def can_link(percent: int, a: str = "x", b: str = "y"):
@@ -261,7 +277,7 @@ def apart_pairs(rows: DataFrame, places: DataFrame, roots: DataFrame, percent: i
     return out.unionByName(met.select(*pair())).distinct()
 
 
-def linked(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", common: int = COMMON, reserve: float = RESERVE, boundary: int | None = None) -> DataFrame:
+def linked(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", common: int = COMMON, reserve: float = RESERVE, boundary: int | None = None, needed: int = NEEDED) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest key reachable by links."""
     spark = docs.sparkSession
     with work.scratch(spark):
@@ -272,24 +288,28 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_i
         counts = nodes.select(F.explode("reserve").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         counts = work.table(counts, "counts")
         hot = counts.where(F.col("n") > common)
-        hot = F.broadcast(hot) if hot.count() <= NEEDED else hot
         if boundary is None:
             sizes = {r["size"]: r["many"] for r in nodes.where(F.col("size") <= WHOLE).groupBy("size").agg(F.count("*").alias("many")).collect()}
             places, pairs = nodes.agg(F.sum(F.size("reserve"))).first()[0] or 1, counts.where(F.col("n") <= common).agg(F.sum(F.expr("n * (n - 1)"))).first()[0] or 0
             boundary = chosen_boundary(sizes, pairs / places, percent)
         heavy = nodes.where(F.lit(100) * F.col("size") >= percent * (boundary + 1))
-        placed = work.table(list_rows(heavy, hot, percent, "reserve"), "placed")
+        placed = work.table(list_rows(heavy, hot, percent, "reserve", needed), "placed")
         short = placed.where("places is null")
         placed = placed.where("places is not null")
         if not short.isEmpty():
             sets = whole_sets(docs, words, text, short).join(short.select("node", "size", "mark"), "node")
-            placed = placed.unionByName(work.table(list_rows(sets, hot, percent, "hashes"), "placed"))
+            placed = placed.unionByName(work.table(list_rows(sets, hot, percent, "hashes", needed), "placed"))
         alone = F.col("size") - F.ceil(F.lit(2 * percent) * F.col("size") / F.lit(100 + percent)) + 1  # places that serve for partners of this size and more
-        every = placed.select("node", "size", F.posexplode("places").alias("pos", "key")).withColumn("serves", F.col("pos") < alone).withColumn("h", F.xxhash64(F.lit(7), "node"))
-        shared = every.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("least")).where("n > 1").select("key", "least")
+        spot = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))  # two numbers in one column of what is shuffled
+        every = placed.select("node", "size", F.posexplode("places").alias("pos", "key")).select("key", "node", spot.alias("spot"))
+        shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         every = work.table(every.join(shared, "key"), "lists")
-        least = every.where("h = least").select("key", F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("pos").alias("pos_y"))
-        star = every.where("h > least").join(least, "key").select("node", "y", "size_y", "pos_y", F.col("size").alias("size_x"), F.col("pos").alias("pos_x")).where(can_link(percent))
+        every = every.select("key", "node", F.shiftright("spot", 32).alias("size"), F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+        every = every.withColumn("serves", F.col("pos") < alone).withColumn("h", F.xxhash64(F.lit(7), "node"))
+        least = every.groupBy("key").agg(F.min("h").alias("least"))
+        ahead = every.join(least, "key")
+        least = ahead.where("h = least").select("key", F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("pos").alias("pos_y"))
+        star = ahead.where("h > least").join(least, "key").select("node", "y", "size_y", "pos_y", F.col("size").alias("size_x"), F.col("pos").alias("pos_x")).where(can_link(percent))
         star = star.select(*pair("node", "y")).unionByName(light_links(nodes, boundary, percent).select(*pair("a", "b"))).distinct()
         first = compared(star, docs, nodes, words, text, percent)
         roots = work.table(components(first), "roots")

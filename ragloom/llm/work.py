@@ -34,6 +34,18 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def no_shuffle_left(spark: SparkSession):
+    """Shuffle files of the writes inside go when each is done, as nothing but the written table is read later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(df: DataFrame, tag: str, stays: bool = False) -> DataFrame:
     """df written as a Parquet work table and read again: it cuts lineage and survives lost executors.
 
@@ -42,7 +54,8 @@ def table(df: DataFrame, tag: str, stays: bool = False) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     if not stays and (scopes := getattr(_own, "scopes", None)):
         scopes[-1].append(path)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with no_shuffle_left(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
