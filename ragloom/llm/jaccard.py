@@ -19,10 +19,12 @@ The boundary is chosen by cost. A subset costs a row; a place in a list costs a
 mean over all lists is measured), the sets that a comparison moves. Light sizes are those for which subsets cost less.
 
 Lists are worked on in two passes, so that groups of copies make no pairs by the square of their size. First, all members
-of a list meet the one of least hash, and linked nodes become components. Then, where a list still has members of
-several components, members of different components meet, each pair only in the first list that both have in common, and
-if what follows in both suffices for a link; members of a long list's largest component meet only those outside it. All
-pairs are verified on the complete sets; sizes and places only leave out pairs that cannot link. No link is lost.
+of a list meet the most central one, that with the fewest rarer shingles, and linked nodes become components. Then, where
+a list still has members of several components, members of different components meet, in long lists each pair only in the
+first list that both have in common; members of a long list's largest component meet only those outside it. A pair is
+made only if sizes, places and parities leave room for a link: what follows a shared place in both must suffice, and the
+SKETCH parities of a set's hashes that differ number no more than the shingles that only one of two linked sets may have.
+The pairs that are left are verified on the complete sets. These bounds leave out what cannot link; no link is lost.
 
 Null texts and texts without words have no shingles: component_id is their own id. With fewer words than a shingle has,
 the whole sequence is one shingle. Null keys get rows but name a component only where it has no other key. Repeated rows
@@ -46,7 +48,8 @@ from ragloom.llm.components import components
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 RESERVE, WHOLE = 0.22, 32  # share of a set's hashes that a node keeps; small sets are kept whole
 COMMON = 32
-NEEDED = 1_000_000  # rows of eight bytes that may be broadcast; more are shuffled
+SKETCH = 512  # parities of a set, by the lowest bits of its hashes
+NEEDED = 1_000_000  # rows of sixteen bytes that may be broadcast; more are shuffled
 FACTOR = np.array([xxh64_intdigest(f"place {k}".encode(), 42) | 1 for k in range(16)], np.uint64)
 
 
@@ -93,26 +96,34 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *[p.view(np.int64) for p in parts]])))
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes has each of SKETCH remainders, as longs."""
+    return np.packbits(np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) % 2 == 1).view(np.int64)
+
+
 def kept(n: int, percent: int, reserve: float) -> int:
     return n if n <= WHOLE else min(n, max(int(reserve * n) + 1, first_places(n, percent)[1]))
 
 
 def keyed(docs: DataFrame, words: int, percent: int, reserve: float, key: str, text: str) -> DataFrame:
-    """(doc_id, mark, node, size, reserve) of every row: the text's hash, its set's hash, size and least hashes."""
+    """(doc_id, mark, node, size, sketch, reserve) of every row: the text's hash, its set's hash, size, parities and least hashes."""
 
     def run(batch_iter):
         known = WordHashes()
         for batch in work.batches(batch_iter):
             sets = [shingle_set(t, words, known) for t in batch.column(2).to_pylist()]
             nodes = np.array([xxh64_intdigest(h.tobytes(), 7) for h in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array([len(h) for h in sets], pa.int32()), lists([h[: kept(len(h), percent, reserve)] for h in sets])], names=["doc_id", "mark", "node", "size", "reserve"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array([len(h) for h in sets], pa.int32()), lists([parities(h) for h in sets]), lists([h[: kept(len(h), percent, reserve)] for h in sets])], names=["doc_id", "mark", "node", "size", "sketch", "reserve"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, node long, size int, reserve array<long>")
+    return rows.mapInArrow(run, "doc_id long, mark long, node long, size int, sketch array<long>, reserve array<long>")
 
 
-def whole_sets(docs: DataFrame, words: int, text: str, needed: DataFrame) -> DataFrame:
-    """(node, hashes) of the needed texts. needed: (mark), one row per node; few are broadcast, more shuffle the texts."""
+def whole_sets(docs: DataFrame, words: int, key: str, text: str, needed: DataFrame) -> DataFrame:
+    """(node, hashes) of the nodes in needed (first, mark), from the text of each one's first row; few are broadcast, more shuffle the texts.
+
+    A row that is repeated gives its node again.
+    """
 
     def run(batch_iter):
         known = WordHashes()
@@ -121,10 +132,11 @@ def whole_sets(docs: DataFrame, words: int, text: str, needed: DataFrame) -> Dat
             nodes = np.array([xxh64_intdigest(h.tobytes(), 7) for h in sets], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), lists(sets)], names=["node", "hashes"])
 
-    wanted = needed.select(F.col("mark").alias("__mark"))
+    wanted = needed.select(F.col("first").alias("__first"), F.col("mark").alias("__mark"))
     wanted = F.broadcast(wanted) if wanted.count() <= NEEDED else wanted
-    chosen = docs.select(F.col(text).alias("text")).join(wanted, F.xxhash64("text") == F.col("__mark"), "left_semi").select(F.col("text").cast("binary").alias("text"))
-    return chosen.mapInArrow(run, "node long, hashes array<long>").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+    own = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("text"))
+    chosen = own.join(wanted, (F.xxhash64("text") == F.col("__mark")) & F.col("__id").eqNullSafe(F.col("__first")), "left_semi").select(F.col("text").cast("binary").alias("text"))
+    return chosen.mapInArrow(run, "node long, hashes array<long>")
 
 
 def subset_sizes(n: int, boundary: int, percent: int) -> list[int]:
@@ -228,6 +240,13 @@ def can_link(percent: int, a: str = "x", b: str = "y"):
     return (F.lit(100) * small >= F.lit(percent) * large) & (F.lit(100 + percent) * most >= F.lit(percent) * (small + large))
 
 
+def near(percent: int, a: str = "x", b: str = "y"):
+    """Whether the parities of two sets allow a link; columns size_ and sketch_ of both."""
+    total = F.col(f"size_{a}") + F.col(f"size_{b}")
+    differ = sum((F.bit_count(F.col(f"sketch_{a}")[k].bitwiseXOR(F.col(f"sketch_{b}")[k])) for k in range(1, SKETCH // 64)), F.bit_count(F.col(f"sketch_{a}")[0].bitwiseXOR(F.col(f"sketch_{b}")[0])))
+    return differ * F.lit(100 + percent) <= F.lit(100 - percent) * total
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link by their complete sets."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"hashes_{s}"))
@@ -236,14 +255,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, text: str, percent: int) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, key: str, text: str, percent: int) -> DataFrame:
     """The links among pairs, as a table; the sets are made again from the texts of those nodes alone."""
     pairs = work.table(pairs, "pairs")
     ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    sets = work.table(whole_sets(docs, words, text, nodes.join(ends, nodes["node"] == ends["a"], "left_semi")), "sets")
+    sets = work.table(whole_sets(docs, words, key, text, nodes.join(ends, nodes["node"] == ends["a"], "left_semi")), "sets")
     return work.table(verified(pairs, sets, percent), "links")
 
 
+def allowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are near()."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near(percent, "a", "b")).select("a", "b")
+
+
 def labelled(frame: DataFrame, roots: DataFrame) -> DataFrame:
     kin = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     return frame.join(kin, frame["node"] == kin["__node"], "left").withColumn("root", F.coalesce("__root", "node")).drop("__node", "__root")
@@ -253,25 +278,25 @@ def pair(a: str = "x", b: str = "y") -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def apart_pairs(rows: DataFrame, places: DataFrame, roots: DataFrame, percent: int, common: int, share: int = 4096) -> DataFrame:
-    """Pairs of different components that may link, each from the first list both have. rows: (key, node, size, pos, serves)."""
+def apart_pairs(rows: DataFrame, nodes: DataFrame, places: DataFrame, roots: DataFrame, percent: int, common: int, share: int = 4096) -> DataFrame:
+    """Pairs of different components that may link. rows: (key, node, size, pos, serves)."""
     rows = labelled(rows, roots)
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
-    rows = work.table(rows.join(counts, "key"), "parted")
+    rows = work.table(rows.join(counts, "key").join(nodes.select("node", "sketch"), "node"), "parted")
     short, long = rows.where(F.col("n") <= common), rows.where(F.col("n") > common)
-    side = lambda frame, s: frame.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("size", "pos", "serves", "root")], F.col("node").alias(s))
+    told = ["size", "pos", "serves", "root", "sketch"]
+    side = lambda s, *more: [*[F.col(c).alias(f"{c}_{s}") for c in [*told, *more]], F.col("node").alias(s)]
     serves = F.expr("case when size_x < size_y then serves_x when size_x > size_y then serves_y else serves_x and serves_y end")
-    wanted = (F.col("root_x") != F.col("root_y")) & serves & can_link(percent)
-    out = side(short, "x").join(side(short, "y"), "key").where("x < y").where(wanted).select(*pair()).distinct()
+    wanted = (F.col("root_x") != F.col("root_y")) & serves & can_link(percent) & near(percent)
+    out = short.select("key", *side("x")).join(short.select("key", *side("y")), "key").where("x < y").where(wanted).select(*pair()).distinct()
     if long.isEmpty():
         return out
     main = long.groupBy("key", "root").agg(F.count("*").alias("here")).groupBy("key").agg(F.max_by("root", F.struct("here", "root")).alias("main"))
     held = long.join(main, "key").join(places.select("node", "places"), "node").withColumn("before", F.expr("slice(places, 1, pos)")).withColumn("apart", F.col("root") != F.col("main"))
     held = work.table(held.drop("places", "main"), "crowded")
     parts = F.ceil(F.col("n") / share).cast("int")
-    more = [F.col("apart"), F.col("before")]
-    left = held.where("apart").select("key", *[F.col(c).alias(f"{c}_x") for c in ("size", "pos", "serves", "root", "before")], F.col("node").alias("x"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    right = held.select("key", *[F.col(c).alias(f"{c}_y") for c in ("size", "pos", "serves", "root")], *[m.alias(f"{c}_y") for m, c in zip(more, ("apart", "before"))], F.col("node").alias("y"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    left = held.where("apart").select("key", *side("x", "before"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = held.select("key", *side("y", "apart", "before"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
     once = ~F.col("apart_y") | (F.col("x") < F.col("y"))
     met = left.join(right, ["key", "part"]).where(once & wanted & ~F.coalesce(F.arrays_overlap("before_x", "before_y"), F.lit(False)))
     return out.unionByName(met.select(*pair())).distinct()
@@ -283,7 +308,7 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_i
     with work.scratch(spark):
         rows = work.table(keyed(docs, words, percent, reserve, key, text), "keyed")
         members = work.table(rows.select("doc_id", "node", "size"), "members", stays=True)
-        nodes = work.table(rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("mark", "size", "reserve")]), "nodes")
+        nodes = work.table(rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min_by("mark", F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("mark"), *[F.any_value(c).alias(c) for c in ("size", "sketch", "reserve")]), "nodes")
         work.remove(spark, rows)
         counts = nodes.select(F.explode("reserve").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         counts = work.table(counts, "counts")
@@ -297,7 +322,8 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_i
         short = placed.where("places is null")
         placed = placed.where("places is not null")
         if not short.isEmpty():
-            sets = whole_sets(docs, words, text, short).join(short.select("node", "size", "mark"), "node")
+            asked = short.join(nodes.select("node", "first"), "node")
+            sets = whole_sets(docs, words, key, text, asked).dropDuplicates(["node"]).join(short.select("node", "size", "mark"), "node")
             placed = placed.unionByName(work.table(list_rows(sets, hot, percent, "hashes", needed), "placed"))
         alone = F.col("size") - F.ceil(F.lit(2 * percent) * F.col("size") / F.lit(100 + percent)) + 1  # places that serve for partners of this size and more
         spot = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))  # two numbers in one column of what is shuffled
@@ -305,16 +331,17 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_i
         shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         every = work.table(every.join(shared, "key"), "lists")
         every = every.select("key", "node", F.shiftright("spot", 32).alias("size"), F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
-        every = every.withColumn("serves", F.col("pos") < alone).withColumn("h", F.xxhash64(F.lit(7), "node"))
+        central = F.shiftleft("pos", 40).bitwiseOR(F.xxhash64(F.lit(7), "node").bitwiseAND(F.lit((1 << 40) - 1)))
+        every = every.withColumn("serves", F.col("pos") < alone).withColumn("h", central)
         least = every.groupBy("key").agg(F.min("h").alias("least"))
         ahead = every.join(least, "key")
         least = ahead.where("h = least").select("key", F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("pos").alias("pos_y"))
         star = ahead.where("h > least").join(least, "key").select("node", "y", "size_y", "pos_y", F.col("size").alias("size_x"), F.col("pos").alias("pos_x")).where(can_link(percent))
         star = star.select(*pair("node", "y")).unionByName(light_links(nodes, boundary, percent).select(*pair("a", "b"))).distinct()
-        first = compared(star, docs, nodes, words, text, percent)
+        first = compared(allowed(star, nodes, percent), docs, nodes, words, key, text, percent)
         roots = work.table(components(first), "roots")
-        pairs = apart_pairs(every.select("key", "node", "size", "pos", "serves"), placed, roots, percent, common)
-        found = compared(pairs, docs, nodes, words, text, percent)
+        pairs = apart_pairs(every.select("key", "node", "size", "pos", "serves"), nodes, placed, roots, percent, common)
+        found = compared(pairs, docs, nodes, words, key, text, percent)
         roots = work.table(components(first.unionByName(found)), "roots")
         classes = labelled(nodes.select("node", "first"), roots)
         firsts = classes.groupBy("root").agg(F.min("first").alias("component_id"))
