@@ -10,7 +10,8 @@ The labelled pages are drawn from layouts written for this purpose (labelled_pag
 other labelled pages may be passed instead.
 
 Null or empty html, and html without article text, give the empty text. Text outside any tag counts as text of the
-page's body. Unclosed, misnested and unknown tags are tolerated, scripts and styles end at their own end tag only.
+page's body. Unclosed, misnested and unknown tags are tolerated: a head ends where something begins that no head holds, an
+element whose inside is left out ends with its parent at the latest, scripts and styles end at their own end tag only.
 Repeated rows are extracted each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,6 +34,7 @@ PAGES = 400  # labelled pages that the model is trained on
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("script style noscript template svg math head title iframe object canvas audio video".split())
+HEAD = set("base link meta noscript script style template title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = set("ul ol dl table tbody thead tfoot tr select div section article main aside nav body".split())
 #: Elements whose inside is not markup; the first three take the rest of the page where they do not end.
@@ -142,7 +144,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes, runs = [Node("body", (), -1)], []
     stack = Stack()
     piece: list[str] = []
-    links = dropped = 0
+    links, dropped = 0, []  # open elements whose inside is left out, and how deep the stack was
 
     def flush():
         text = " ".join(unescape("".join(piece)).split())
@@ -152,6 +154,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[stack[-1][1]].chars += len(text)
 
     for text, tag, end, more in tokens(html):
+        if dropped and dropped[0][0] == "head" and (text.strip() or (tag and not end and tag not in HEAD)):
+            dropped.clear()
         if text and not dropped:
             piece.append(text)
             if links:
@@ -159,10 +163,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not tag:
             continue
         if tag in DROPPED:  # head, and elements of this kind that are not raw text
-            dropped = max(0, dropped + (-1 if end else 1)) if tag not in VOID and not more.endswith("/") else dropped
+            if not end and tag not in VOID and not more.endswith("/"):
+                dropped.append((tag, len(stack.items)))
+            elif end and any(tag == t for t, _ in dropped):
+                while dropped.pop()[0] != tag:
+                    pass
             continue
         if tag in ("html", "body"):
-            dropped = 0
+            dropped.clear()
             continue
         if end:
             if tag in INLINE:
@@ -171,6 +179,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 flush()
                 links = 0
                 stack.close(tag)
+                while dropped and dropped[-1][1] > len(stack.items):
+                    dropped.pop()
             continue
         if tag in INLINE:
             if tag == "br" and not dropped:
@@ -182,6 +192,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:
             continue
         stack.make_room(tag)
+        while dropped and dropped[-1][1] > len(stack.items):
+            dropped.pop()
         names = tuple(w for g in NAMES.findall(more) for w in re.findall("[a-z]+", (g[0] or g[1] or g[2]).lower()))
         label = next((int(w[-1]) for w in re.findall(r"data-y=.\d", more)), None)
         nodes.append(Node(tag, names, stack[-1][1], label))

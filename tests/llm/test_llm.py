@@ -260,6 +260,22 @@ def test_op2_recall_with_lists_and_a_small_rerank(spark):
     assert ann.needed_lists(sample, ann.centroids(sample, 16), 10) < 8
 
 
+def test_op2_score_aware_weight_lifts_recall():
+    """Clustered unit vectors: with subspaces of two dimensions the anisotropic loss finds more at equal depth."""
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(40, 64))
+    x = middle[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = x[:200] @ x.T
+    best = np.argsort(-true, axis=1)[:, :20]
+    found = {}
+    for eta in (1.0, ann.ETA):
+        model = ann.Quantiser(x, eta)
+        near = np.argsort(-model.scan(model.packed(model.encode(x)), model.tables(x[:200])).T, axis=1)[:, :40]
+        found[eta] = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(near, best)])
+    assert ann.WIDTH >= 2 and found[ann.ETA] > found[1.0] + 0.005, found
+
+
 def test_op2_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0])] + [(k, [1.0, 0.0, 0.0]) for k in range(1, 40)] + [(40, None), (41, [0.0, 0.0, 0.0]), (42, [nan, 1.0, 1.0]), (43, [inf, 1.0, 1.0]), (44, [None, 1.0, 1.0]), (45, [1.0]), (60, [0.0, 2.0, 0.0])]
@@ -678,6 +694,20 @@ def test_op7_anchors_by_blocks(monkeypatch):
     assert flat(spans.anchors(data)) == whole and [s for s, _, _ in whole] == list(range(len(data) - 49))
 
 
+def test_op8_tags_that_html_lets_out_lose_no_text():
+    """A head without its end, and media elements that are not closed."""
+    said = "It is an article of some words and more of them stand here. " * 4
+    body = f"<article><h1>A title of some words</h1><p>{said}</p><p>{said}</p></article>"
+    own = html.model()
+    whole = html.main_text(f"<html><head><title>t</title></head><body>{body}</body></html>", own)
+    assert len(whole) > 400
+    for head in ("<html><head><title>t</title>", '<head><meta charset="x"><title>t</title><link rel="a"><script>x</script>', "<head>"):
+        assert html.main_text(head + body, own) == whole
+    for media in ("<audio src=x>", "<video><source src=x>", "<canvas>", "<object><param name=x>", "<audio src=x>none</audio>", "<object>no<object>no</object></object>"):
+        assert html.main_text("<body>" + body.replace("</p><p>", f"{media}</p><p>"), own) == whole, media
+    assert html.main_text(f"<head>words in it{body}", own) != ""
+
+
 def test_op8_bad_markup_takes_linear_time():
     import time
 
@@ -736,3 +766,19 @@ def test_op5_equals_sql(spark):
     hosts = {r.host: r for r in urls.reputation(pages, marks).collect()}
     assert (hosts["h.org"].n_h, hosts["h.org"].k_h, hosts["h.org:80"].n_h) == (2, 2, 0)
     assert len(urls.judge_urls(pages, marks, []).collect()) == 5
+
+
+def test_tables_go_when_results_are_read(spark, docs):
+    """The shared folder holds nothing of an operator once its result is read inside until_read()."""
+    import os
+
+    from ragloom.llm import work
+
+    folder = work.shared_dir(spark).removeprefix("file://") + "/ragloom"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    few = docs.where("doc_id < 40")
+    with work.until_read(spark):
+        assert simhash.near_duplicates(few).count() == few.count() and set(os.listdir(folder)) - before
+    with work.until_read(spark):
+        assert similar.near_duplicates(few).count() == spans.span_report(few).count() == few.count()
+    assert set(os.listdir(folder)) == before
