@@ -40,6 +40,7 @@ from xxhash import xxh64_intdigest
 
 from ragloom.llm import simhash, work
 from ragloom.llm.components import components
+from ragloom.llm.jaccard import SKETCH, parities
 
 TABLES, WIDTH, FLIPS, MINIMA = 18, 8, 2, 4
 VIEWS, MOST = 16, 212  # words of a fingerprint, and the bits in which two of 0.8 may differ
@@ -111,7 +112,7 @@ def keyed(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 h, node = shingle_set(t, words)
                 margin = margins(h)
                 keys = segment_keys(h, margin) if len(h) else np.empty((0, 2), np.int64)
-                nodes.append(node), sizes.append(len(h)), fps.append(folded(margin)), own.append(keys[:, 0]), ball.append(keys[:, 1:].ravel())
+                nodes.append(node), sizes.append(len(h)), fps.append(np.concatenate([folded(margin), parities(h)])), own.append(keys[:, 0]), ball.append(keys[:, 1:].ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists(fps), lists(own), lists(ball)], names=["doc_id", "mark", "node", "size", "fp", "own", "ball"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
@@ -138,10 +139,12 @@ def pair(a: str, b: str) -> list:
 
 
 def close(similarity: float, a: str = "a", b: str = "b"):
-    """Whether sizes allow that similarity and complete fingerprints are near, for columns size_ and fp_ of both."""
+    """Whether sizes and parities allow that similarity and complete fingerprints are near, for columns size_ and fp_ of both."""
     far = sum((F.bit_count(F.col(f"fp_{a}")[k].bitwiseXOR(F.col(f"fp_{b}")[k])) for k in range(1, VIEWS)), F.bit_count(F.col(f"fp_{a}")[0].bitwiseXOR(F.col(f"fp_{b}")[0])))
     small, large = F.least(f"size_{a}", f"size_{b}"), F.greatest(f"size_{a}", f"size_{b}")
-    return (small >= similarity * large - 1e-6) & (far <= F.when(small < SHORT, SHORT_MOST).otherwise(MOST))
+    odd_ones = sum((F.bit_count(F.col(f"fp_{a}")[k].bitwiseXOR(F.col(f"fp_{b}")[k])) for k in range(VIEWS + 1, VIEWS + SKETCH // 64)), F.bit_count(F.col(f"fp_{a}")[VIEWS].bitwiseXOR(F.col(f"fp_{b}")[VIEWS])))
+    room = odd_ones <= (small + large) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return (small >= similarity * large - 1e-6) & room & (far <= F.when(small < SHORT, SHORT_MOST).otherwise(MOST))
 
 
 def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
