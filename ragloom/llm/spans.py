@@ -435,6 +435,7 @@ def _units(docs: DataFrame, text: str) -> DataFrame:
             yield closed()
 
     spark, name, path = docs.sparkSession, "ragloom_units_" + work.new_path(docs.sparkSession, "u")[-32:], work.new_path(docs.sparkSession, "units")
+    work.left_for_reader(path)
     packed = docs.mapInArrow(pack, "unit long, data binary")
     packed.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(work.partitions(spark), "unit").saveAsTable(name)
     out = spark.table(name)

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own = threading.local()  # scopes: lists of the paths made in each open scratch() of this thread
+_own = threading.local()  # scopes, readers: lists of the paths made in each open scratch() and until_read() of this thread
 _model: list = [None, None]  # name and value of the one model that a Python worker holds
 
 
@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; others raise."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ragloom-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -49,11 +49,14 @@ def no_shuffle_left(spark: SparkSession):
 def table(df: DataFrame, tag: str, stays: bool = False) -> DataFrame:
     """df written as a Parquet work table and read again: it cuts lineage and survives lost executors.
 
-    Inside a scratch() scope the table goes with the scope, unless it stays.
+    Inside a scratch() scope the table goes with the scope, unless it stays; one that stays goes with until_read().
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    if not stays and (scopes := getattr(_own, "scopes", None)):
+    scopes, readers = getattr(_own, "scopes", None), getattr(_own, "readers", None)
+    if scopes and not stays:
         scopes[-1].append(path)
+    elif readers:
+        left_for_reader(path)
     with no_shuffle_left(spark):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,6 +73,23 @@ def scratch(spark: SparkSession):
             delete(spark, path)
 
 
+def left_for_reader(path: str) -> None:
+    """The folder is needed until the result is read: the open until_read(), if there is one, deletes it."""
+    if readers := getattr(_own, "readers", None):
+        readers[-1].append(path)
+
+
+@contextmanager
+def until_read(spark: SparkSession):
+    """Tables that operators called inside leave for their results are deleted at the end: read or write the results inside."""
+    _own.readers = [*getattr(_own, "readers", []), []]
+    try:
+        yield
+    finally:
+        for path in _own.readers.pop():
+            delete(spark, path)
+
+
 def remove(spark: SparkSession, frame: DataFrame) -> None:
     """Delete a work table that no later plan reads."""
     for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()[:1]}:
