@@ -1,44 +1,96 @@
 """Providers of what needs a service elsewhere, each with a deterministic offline default.
 
-A provider is any object with the method of its protocol; batch providers run inside mapInPandas, so they are
-created once per partition, called per Arrow batch, and must not rely on task retries.
+A provider is any object with the method of its protocol, made once per partition. Answers are asked for in rounds that
+are written as tables, so an answer that was paid for is not asked for again when a later stage fails or reads it twice.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from typing import NamedTuple, Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
+from ragloom.sources.staging import staged
 
+#: (system, user) of every prompt; places in braces are filled by columns.
 PROMPTS = {
-    "propositions": "Split the text into self-contained statements, one fact each, with every pronoun resolved. Answer with JSON.\n\n{text}",
-    "grouping": "Group the numbered statements by topic; every number belongs to one group with a short title. Answer with JSON.\n\n{propositions}",
-    "generation": "Answer in a few words from the context alone.\n\n{context_string}\n\nQuestion: {question}",
-    "judge": "Does the passage hold what is needed to answer? Reply YES or NO.\n\nQuestion: {question}\nAnswer: {short_answer}\n\n{chunk_text}",
-    "faithfulness": "Which share of the answer's statements follows from the context? Reply with a number from 0 to 1.\n\nAnswer: {answer}\n\n{context}",
-    "factual_correctness": "How far do the answer's facts agree with the truth? Reply with a number from 0 to 1.\n\nAnswer: {answer}\nTruth: {truth}",
+    "propositions": (
+        "Split the text into self-contained statements: whole sentences of one fact each, with every pronoun resolved, each to be understood alone.\n"
+        'Answer with one JSON object and nothing else: {"propositions": [{"statement": "..."}, {"statement": "..."}]}',
+        "{text}",
+    ),
+    "grouping": (
+        "Group the numbered statements by topic, neighbours or not. Every number from 0 to the last belongs to exactly one group; a group has at most 15 numbers, larger topics become parts; each has a short title.\n"
+        'Answer with one JSON object and nothing else: {"groups": [{"group_indices": [0, 2], "title": "..."}, {"group_indices": [1], "title": "..."}]}',
+        "{propositions}",
+    ),
+    "generation": (
+        "Answer the question from the context alone, in a few words and no sentence. If the context does not hold the answer, say so.",
+        "Context:\n{context_string}\n\nQuestion: {question}",
+    ),
+    "judge": (
+        "Judge whether a passage holds what is needed to answer the question. The meaning of the true answer must be there, in whatever words; the topic alone does not do. Reply YES or NO only.",
+        "Question: {question}\nTrue answer: {short_answer}\n\nPassage:\n{chunk_text}\n\nDoes it hold the answer?",
+    ),
+    "statements": (
+        "Break the answer to the question down into statements that can be understood alone, without pronouns.\n"
+        'Answer with one JSON object and nothing else: {"statements": ["...", "..."]}',
+        "Question: {question}\nAnswer: {answer}",
+    ),
+    "verdict": (
+        "Decide whether the statement follows from the premise alone. Reply YES or NO only.",
+        "Premise:\n{premise}\n\nStatement: {statement}",
+    ),
 }
 PROPOSITIONS = "propositions array<struct<statement: string>>"
 GROUPS = "groups array<struct<group_indices: array<int>, title: string>>"
 
 
+class Message(NamedTuple):
+    """A prompt's two parts; str() joins them."""
+
+    system: str
+    user: str
+
+    def __str__(self) -> str:
+        return f"{self.system}\n\n{self.user}" if self.system else self.user
+
+
 class Batch(Protocol):
-    """Texts in, one answer per text out."""
+    """Prompts in, one answer per prompt out. With the attribute `messages` true it gets Message, else text."""
 
     def __call__(self, prompts: list[str]) -> list[str]: ...
 
 
-def retrying(call: Callable, attempts: int = 5, wait: float = 4.0, most: float = 60.0, on: tuple = (TimeoutError, ConnectionError)) -> Callable:
+@dataclass(frozen=True)
+class Budget:
+    """How a provider is called.
+
+    batch: prompts of a call; in_flight: calls of a task at once; per_second: calls of all tasks together (each task
+    gets its share of the slots), None for no limit; rounds: how often a row is asked at most.
+    """
+
+    batch: int = 16
+    in_flight: int = 8
+    per_second: float | None = None
+    rounds: int = 3
+
+
+ONCE = (TimeoutError, ConnectionError)  # what waiting may mend
+
+
+def retrying(call: Callable, attempts: int = 5, wait: float = 4.0, most: float = 60.0, on: tuple = ONCE) -> Callable:
     """call with exponential waits between attempts after the given errors."""
 
     def again(*args):
@@ -53,28 +105,98 @@ def retrying(call: Callable, attempts: int = 5, wait: float = 4.0, most: float =
     return again
 
 
-def ask(frame: DataFrame, prompt: Column, make: Callable[[], Batch], out: str = "answer") -> DataFrame:
-    """frame with a provider's answers and a status column; a failed batch gives null answers and status `failed`."""
+class Pace:
+    """Starts of calls at least `gap` seconds apart, whichever thread makes them."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = retrying(make())
-        for part in parts:
-            prompts = part.pop("__prompt").tolist()
-            try:
-                yield part.assign(**{out: call(prompts), "status": "ok"})
-            except Exception as error:  # noqa: BLE001  the row's status tells
-                yield part.assign(**{out: None, "status": f"failed: {type(error).__name__}"})
+    def __init__(self, gap: float):
+        self.gap, self.lock, self.next = gap, threading.Lock(), 0.0
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                now = time.monotonic()
+                start = max(now, self.next)
+                self.next = start + self.gap
+            time.sleep(max(0.0, start - now))
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return frame.withColumn("__prompt", prompt).mapInPandas(run, f"{kept}, `{out}` string, status string")
+
+def each_answer(call: Callable, prompts: list) -> list[tuple[str | None, str]]:
+    """(answer, status) of every prompt: a call that fails is split until the prompt at fault is alone.
+
+    An error that waiting may mend, and has not, fails the whole call at once: splitting would not help.
+    """
+    try:
+        said = list(call(prompts))
+        if len(said) != len(prompts):
+            raise ValueError(f"{len(said)} answers to {len(prompts)} prompts")
+        return [(None if a is None else str(a), "ok" if a is not None else "failed: none") for a in said]
+    except Exception as error:  # noqa: BLE001  the row's status tells
+        if len(prompts) > 1 and not isinstance(error, ONCE):
+            half = len(prompts) // 2
+            return each_answer(call, prompts[:half]) + each_answer(call, prompts[half:])
+        return [(None, f"failed: {type(error).__name__}")] * len(prompts)
+
+
+def asked_once(frame: DataFrame, make: Callable[[], Batch], out: str, status: str, budget: Budget) -> DataFrame:
+    """frame, whose last columns are __system and __user, with an answer and a status instead of these. Lazy."""
+    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    gap = tasks / budget.per_second if budget.per_second else 0.0
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider, pace = make(), Pace(gap)
+        whole = getattr(provider, "messages", False)
+
+        def paced(prompts: list):
+            pace.wait()
+            return provider(prompts)
+
+        call = retrying(paced)
+        with ThreadPoolExecutor(budget.in_flight) as pool:
+            for part in parts:
+                prompts = [Message(s or "", u or "") for s, u in zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist())]
+                prompts = prompts if whole else [str(p) for p in prompts]
+                calls = [prompts[at : at + budget.batch] for at in range(0, len(prompts), budget.batch)]
+                said = [pair for answers in pool.map(lambda c: each_answer(call, c), calls) for pair in answers]
+                made = [pa.array([a for a, _ in said], pa.string()), pa.array([s for _, s in said], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *made], names=[*part.schema.names[:-2], out, status])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-2]]
+    return frame.mapInArrow(run, ", ".join([*kept, f"`{out}` string", f"`{status}` string"]))
+
+
+def ask(frame: DataFrame, prompt: Column, make: Callable[[], Batch], out: str = "answer", status: str = "status", budget: Budget = Budget(), valid: Callable[[Column], Column] | None = None) -> DataFrame:
+    """frame with a provider's answers and a status column, as tables; frame has neither column yet.
+
+    prompt: text, or a struct (system, user). valid: whether an answer is of the asked form; others fail too. Rows that
+    failed are asked again, in calls of an eighth as many prompts each round; after the last round a row whose answer
+    failed has status `failed: ...`, and its answer is null unless only the form was wrong.
+    """
+    if clash := {out, status} & set(frame.columns):
+        raise ValueError(f"columns {sorted(clash)} exist; name others by out and status")
+    kind = frame.select(prompt.alias("p")).schema["p"].dataType.typeName()
+    system, user = (prompt["system"], prompt["user"]) if kind == "struct" else (F.lit(None).cast("string"), prompt)
+    asking, done, size = frame.withColumns({"__system": system, "__user": user}), None, budget.batch
+    for turn in range(max(1, budget.rounds)):
+        made = asked_once(asking, make, out, status, Budget(size, budget.in_flight, budget.per_second))
+        if valid is not None:
+            fine = (F.col(status) != "ok") | F.coalesce(valid(F.col(out)), F.lit(False))
+            made = made.withColumn(status, F.when(fine, F.col(status)).otherwise("failed: form"))
+        made = staged(made, "asked")
+        last = turn + 1 >= budget.rounds or made.where(F.col(status) != "ok").isEmpty()
+        own = made if last else made.where(F.col(status) == "ok")
+        done = own if done is None else done.unionByName(own)
+        if last:
+            break
+        asking, size = made.where(F.col(status) != "ok").drop(out, status).withColumns({"__system": system, "__user": user}), max(1, size // 8)
+    return done
 
 
 def prompt(name: str, **parts: Column) -> Column:
-    """The named prompt with its places filled by columns."""
-    out = F.lit(PROMPTS[name])
+    """(system, user) of the named prompt with its places filled by columns."""
+    system, out = PROMPTS[name][0], F.lit(PROMPTS[name][1])
     for place, part in parts.items():
         out = F.replace(out, F.lit("{" + place + "}"), F.coalesce(part.cast("string"), F.lit("")))
-    return out
+    return F.struct(F.lit(system).alias("system"), out.alias("user"))
 
 
 def propositions(text: Column) -> Column:
@@ -93,11 +215,6 @@ def parse_judgement(answer: Column) -> Column:
     return F.coalesce(F.upper(F.regexp_replace(answer, r"^\s+|\s+$", "")) == "YES", F.lit(False))
 
 
-def parsed_share(answer: Column) -> Column:
-    """A number from 0 to 1; 0 where there is none."""
-    return F.coalesce(F.least(F.greatest(F.trim(answer).try_cast("double"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-
-
 def safe_json(text: str | None, fallback=None):
     """The JSON value of a provider's answer without its fence, or the fallback."""
     try:
@@ -123,6 +240,12 @@ def parsed_groups(answer: Column) -> Column:
     return F.transform(found, lambda g: F.struct(F.coalesce(g["group_indices"], F.array().cast("array<int>")).alias("group_indices"), title(g).alias("title")))
 
 
+def parsed_statements(answer: Column) -> Column:
+    """The non-empty statements of a provider's JSON answer; null where it is not of that form."""
+    found = F.from_json(T.json_repair(answer), "statements array<string>")["statements"]
+    return F.filter(found, lambda t: F.coalesce(t, F.lit("")) != "")
+
+
 class Embedder(Protocol):
     """Texts in, one vector per text out."""
 
@@ -163,21 +286,34 @@ def hashed_vectors(frame: DataFrame, texts: str, dim: int, out: str = "vectors")
     return frame.withColumn("__terms", terms).mapInArrow(run, f"{kept}, `{out}` array<array<double>>")
 
 
-def embed(frame: DataFrame, texts: str, make: Callable[[], Embedder], out: str = "vectors") -> DataFrame:
-    """frame with the vectors of an array of texts, one provider call per Arrow batch; null for the rows of a failed call."""
+def embed(frame: DataFrame, texts: str, make: Callable[[], Embedder], out: str = "vectors", batch: int = 128, in_flight: int = 4) -> DataFrame:
+    """frame with the vectors of an array of texts; null for a row one of whose texts failed.
+
+    Texts are sent `batch` at a time, with `in_flight` calls at once; a call that fails is split, so one text that
+    cannot be embedded costs its own row.
+    """
+
+    def each(call: Callable, some: list[str]) -> list:
+        try:
+            made = [[float(x) for x in v] for v in call(some)]
+            if len(made) != len(some):
+                raise ValueError(f"{len(made)} vectors for {len(some)} texts")
+            return made
+        except Exception as error:  # noqa: BLE001  a null vector tells
+            if len(some) > 1 and not isinstance(error, ONCE):
+                return each(call, some[: len(some) // 2]) + each(call, some[len(some) // 2 :])
+            return [None] * len(some)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = retrying(make())
-        for part in parts:
-            rows = part.column(part.schema.get_field_index(texts)).to_pylist()
-            flat = [t or "" for row in rows for t in row or ()]
-            try:
-                made = iter([[float(x) for x in v] for v in call(flat)] if flat else [])
+        with ThreadPoolExecutor(in_flight) as pool:
+            for part in parts:
+                rows = part.column(part.schema.get_field_index(texts)).to_pylist()
+                flat = [t or "" for row in rows for t in row or ()]
+                made = iter([v for some in pool.map(lambda c: each(call, c), [flat[at : at + batch] for at in range(0, len(flat), batch)]) for v in some])
                 vectors = [None if row is None else [next(made) for _ in row] for row in rows]
-            except Exception:  # noqa: BLE001  a null vector tells
-                vectors = [None] * len(rows)
-            kind = pa.list_(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, kind)], names=[*part.schema.names, out])
+                vectors = [None if v is None or any(x is None for x in v) else v for v in vectors]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.list_(pa.float64())))], names=[*part.schema.names, out])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
     return frame.mapInArrow(run, f"{kept}, `{out}` array<array<double>>")

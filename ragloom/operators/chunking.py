@@ -76,11 +76,11 @@ def sentence_windows(frame: DataFrame, keys: list[str], text: str, size: int = D
 def token_windows(frame: DataFrame, key: str, text: str, size: int = DEFAULTS.chunk_tokens, overlap: int = DEFAULTS.overlap_tokens) -> DataFrame:
     """(key, chunk_index, text, token_count): windows of `size` tokens with stride size - overlap."""
     words, step = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""), size - overlap
-    own = frame.select(key, words.alias("w")).where(F.size("w") > 0)
+    own = frame.select(F.col(key).alias("__key"), words.alias("w")).where(F.size("w") > 0)
     count = F.greatest(F.lit(1), F.ceil((F.size("w") - F.lit(overlap)) / F.lit(float(step)))).cast("int")
-    cut = own.select(key, "w", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_index"))
+    cut = own.select("__key", "w", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_index"))
     part = F.slice("w", F.col("chunk_index") * step + 1, F.lit(size))
-    return cut.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(part, " ").alias("text"), F.size(part).cast("long").alias("token_count"))
+    return cut.select(F.col("__key").alias(key), F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(part, " ").alias("text"), F.size(part).cast("long").alias("token_count"))
 
 
 def heuristic_units(units: list[tuple[str, int]], size: int, overlap: int, count: Callable[[str], int] = lambda s: len(s.split())) -> list[tuple[str, int]]:
@@ -106,36 +106,48 @@ def heuristic_units(units: list[tuple[str, int]], size: int, overlap: int, count
     return chunks
 
 
-def heuristic_chunks(frame: DataFrame, key: str, text: str, settings: Settings = DEFAULTS, make_count: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+def cuts(lengths: Column, size: int, overlap: int) -> Column:
+    """(a, b) word ranges of chunks, from the numbers of words of a text's sentences; the text has one word at least."""
+    stride = size - overlap
+    empty = lambda total: F.struct(F.lit(0).alias("start"), F.lit(0).alias("at"), total.alias("total"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts"))
+
+    def step(s, n):
+        """A short sentence that fills the chunk ends it; a sentence longer than a chunk ends chunks wherever they are full."""
+        end = s["at"] + n
+        single = (n <= size) & (end - s["start"] >= size) & (end < s["total"])
+        full = s["start"] + size
+        last = F.least(end, s["total"] - 1)  # where a chunk that is not the last may end
+        long = (n > size) & (full <= last)
+        spots = F.transform(F.sequence(full, F.greatest(full, last), F.lit(stride)), lambda b: F.struct((b - size).alias("a"), b.alias("b")))
+        start = F.when(single, end - overlap).when(long, full + F.floor((last - full) / stride).cast("int") * stride - overlap).otherwise(s["start"])
+        made = F.when(single, F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), end.alias("b"))))).when(long, F.concat(s["cuts"], spots)).otherwise(s["cuts"])
+        return F.struct(start.alias("start"), end.alias("at"), s["total"].alias("total"), made.alias("cuts"))
+
+    ended = lambda s: F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), s["total"].alias("b"))))
+    return F.aggregate(lengths, empty(F.aggregate(lengths, F.lit(0), lambda t, n: t + n)), step, ended)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def heuristic_chunks(frame: DataFrame, key: str, text: str, settings: Settings = DEFAULTS, make_count: Callable[[], Callable[[str], int]] | None = None, parts: Column | None = None) -> DataFrame:
     """(key, chunk_index, text, token_count): sentences gathered to a token size, with overlap.
 
     Tokens are white-space words by default. Then a chunk is a run of words that ends with a sentence and starts
-    `overlap` words before the last one's end, so cuts are a fold over the sentences' ends and all stays in
+    `overlap` words before the last one's end, so cuts are a fold over the sentences' lengths and all stays in
     expressions. make_count: makes another token counter per partition, which cuts documents in Arrow batches.
+    parts: an array column of sentences, for example of a trained splitter; by default they end at . ! or ?.
     """
     size, overlap = settings.chunk_tokens, settings.overlap_tokens
-    sentences = F.transform(T.sentences(F.col(text)), lambda s: F.trim(F.translate(s, "\n", " ")))
+    sentences = F.transform(T.sentences(F.col(text)) if parts is None else parts, lambda s: F.trim(F.translate(s, "\n", " ")))
     if make_count is None:
-        words = lambda s: F.filter(F.split(s, " "), lambda w: w != "")
-        own = frame.select(key, sentences.alias("s")).select(key, F.flatten(F.transform("s", words)).alias("w"), F.transform("s", lambda s: F.size(words(s))).alias("n"))
-        own = own.where(F.size("w") > 0)
-        empty = F.struct(F.lit(0).alias("start"), F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts"))
-
-        def step(s, n):
-            """A short sentence that fills the chunk ends it; a sentence longer than a chunk ends chunks wherever they are full."""
-            end, stride = s["at"] + n, size - overlap
-            single = (n <= size) & (end - s["start"] >= size) & (end < F.size("w"))
-            first = s["start"] + size
-            spots = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((end - first) / stride).cast("int")))
-            many = F.filter(F.transform(spots, lambda k: F.struct((first - size + k * stride).alias("a"), (first + k * stride).alias("b"))), lambda c: (c["b"] <= end) & (c["b"] < F.size("w")))
-            long = (n > size) & (F.size(many) > 0)
-            start = F.when(single, end - overlap).when(long, F.try_element_at(many, F.lit(-1))["b"] - overlap).otherwise(s["start"])
-            cuts = F.when(single, F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), end.alias("b"))))).when(long, F.concat(s["cuts"], many)).otherwise(s["cuts"])
-            return F.struct(start.alias("start"), end.alias("at"), cuts.alias("cuts"))
-
-        cut = own.select(key, "w", F.aggregate("n", empty, step, lambda s: F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), F.size("w").alias("b"))))).alias("cuts"))
-        one = cut.select(key, "w", F.posexplode("cuts").alias("chunk_index", "c"))
-        return one.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(F.slice("w", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")), " ").alias("text"), (F.col("c.b") - F.col("c.a")).cast("long").alias("token_count"))
+        words = F.transform(sentences, lambda s: F.filter(F.split(s, " "), lambda w: w != ""))
+        told = bound(words, lambda ws: F.struct(F.flatten(ws).alias("w"), F.when(F.exists(ws, lambda w: F.size(w) > 0), bound(F.transform(ws, lambda w: F.size(w)), lambda n: cuts(n, size, overlap))).alias("cuts")))
+        one = frame.select(F.col(key).alias("__key"), told.alias("__t")).select("__key", "__t.w", F.posexplode("__t.cuts").alias("i", "c"))
+        text_of = F.array_join(F.slice("w", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")), " ")
+        return one.select(F.col("__key").alias(key), F.col("i").cast("long").alias("chunk_index"), text_of.alias("text"), (F.col("c.b") - F.col("c.a")).cast("long").alias("token_count"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = make_count()
@@ -151,7 +163,7 @@ def heuristic_chunks(frame: DataFrame, key: str, text: str, settings: Settings =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (b.schema.types[0], pa.int64(), pa.string(), pa.int64()))], names=[key, "chunk_index", "text", "token_count"])
 
     own = frame.select(key, sentences.alias("parts"))
-    return own.mapInArrow(run, f"{key} {frame.schema[key].dataType.simpleString()}, chunk_index long, text string, token_count long")
+    return own.mapInArrow(run, f"`{key}` {frame.schema[key].dataType.simpleString()}, chunk_index long, text string, token_count long")
 
 
 def semantic_chunks(frame: DataFrame, key: str, text: str, settings: Settings = DEFAULTS, dim: int = 64, embedder: Callable[[], P.Embedder] | None = None) -> DataFrame:
@@ -194,11 +206,11 @@ def repaired_groups(groups: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return kept.withColumn("group_pos", F.col("group_pos").cast("long")).unionByName(rest)
 
 
-def agentic_chunks(frame: DataFrame, key: str, text: str, status: Column | None = None, group: int = MAX_GROUP, propose: Callable[[], P.Batch] | None = None, arrange: Callable[[], P.Batch] | None = None) -> DataFrame:
+def agentic_chunks(frame: DataFrame, key: str, text: str, status: Column | None = None, group: int = MAX_GROUP, propose: Callable[[], P.Batch] | None = None, arrange: Callable[[], P.Batch] | None = None, budget: P.Budget = P.Budget()) -> DataFrame:
     """(key, chunk_index, group_title, text, fallback): propositions grouped per section.
 
-    propose and arrange make providers that answer the prompts for propositions and for groups with JSON; answers are
-    repaired (repaired_groups). By default propositions are sentences and groups runs of `group` of them; a section of
+    propose and arrange make providers that answer the prompts for propositions and for groups with JSON; a section whose
+    answer failed or was not of the asked form is asked again as the budget allows; answers are repaired (repaired_groups). By default propositions are sentences and groups runs of `group` of them; a section of
     one is "Single Topic". Documents whose status is not `ok`, or one of whose answers failed or was not of the asked
     form, become one chunk with the whole text.
     """
@@ -207,7 +219,7 @@ def agentic_chunks(frame: DataFrame, key: str, text: str, status: Column | None
     if propose is None:
         listed = sections.select(key, "section", P.propositions(F.col("text")).alias("props"))
     else:
-        asked = P.ask(sections, P.prompt("propositions", text=F.col("text")), propose)
+        asked = P.ask(sections, P.prompt("propositions", text=F.col("text")), propose, budget=budget, valid=lambda a: P.parsed_propositions(a).isNotNull())
         listed = asked.select(key, "section", F.when(F.col("status") == "ok", P.parsed_propositions(F.col("answer"))).alias("props"))
     if arrange is None:
         runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("props") - 1) / group).cast("int")), lambda g: F.struct(F.concat(F.lit("Part "), (g + 1).cast("string")).alias("title"), F.slice("props", g * group + 1, F.lit(group)).alias("said")))
@@ -215,7 +227,7 @@ def agentic_chunks(frame: DataFrame, key: str, text: str, status: Column | None
         grouped = listed.select(key, "section", F.when(F.size("props") > 1, runs).when(F.size("props") == 1, single).when(F.col("props").isNotNull(), F.slice(single, 1, 0)).alias("groups"))
     else:
         numbers = F.array_join(F.transform("props", lambda p, i: F.concat(i.cast("string"), F.lit(": "), p)), "\n")
-        asked = P.ask(listed.where(F.size("props") > 1), P.prompt("grouping", propositions=numbers), arrange)
+        asked = P.ask(listed.where(F.size("props") > 1), P.prompt("grouping", propositions=numbers), arrange, budget=budget, valid=lambda a: P.parsed_groups(a).isNotNull())
         named = asked.select(key, "section", "props", F.when(F.col("status") == "ok", P.parsed_groups(F.col("answer"))).alias("made"))
         alone = listed.where(F.coalesce(F.size("props"), F.lit(-1)) <= 1).withColumn("made", F.when(F.col("props").isNotNull(), F.array().cast("array<struct<group_indices:array<int>,title:string>>")))
         both = named.unionByName(alone).withColumn("__id", F.struct(key, "section"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ragloom.config import DEFAULTS, Settings
 from ragloom.functions import text as T
+from ragloom.functions.markdown import markdown
 
 # The patterns that results must follow, in the order in which they apply.
 NAVIGATION = r"(?dim)^(?:Jump to :|For other uses ,|Not to be confused with).*?$"
@@ -42,61 +42,12 @@ def html_to_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^\s+|\s+$", "")
 
 
-class _Markdown(HTMLParser):
-    """Writes headings, lists, links, emphasis and table cells as Markdown."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.skip, self.href = [], 0, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag == "li":
-            self.out.append("\n* ")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag in ("br", "tr"):
-            self.out.append("\n")
-        elif tag in ("td", "th"):
-            self.out.append(" | ")
-        elif tag == "a":
-            self.href = dict(attrs).get("href")
-            self.out.append("[" if self.href else "")
-        elif tag in ("p", "div", "ul", "ol", "table", "article", "section"):
-            self.out.append("\n\n")
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "a" and self.href:
-            self.out.append(f"]({self.href})")
-            self.href = None
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):
-            self.out.append("\n\n")
-
-    def handle_data(self, data):
-        if not self.skip:
-            self.out.append(data)
-
-
 def html_to_markdown(frame: DataFrame, key: str, html: str) -> DataFrame:
     """(key, markdown); html that cannot be parsed comes back unchanged."""
 
     def one(source):
-        parser = _Markdown()
         try:
-            parser.feed(source)
-            parser.close()
-            return "".join(parser.out).strip()
+            return markdown(source)
         except Exception:  # noqa: BLE001
             return source
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import providers as P
 from ragloom.functions import text as T
+from ragloom.sources.staging import staged
 
 METRICS = ["relative_recall_at_k", "mrr_at_k", "ndcg_at_k", "f1_score", "faithfulness", "factual_correctness"]
 
@@ -40,18 +41,43 @@ def joined_with_zeros(results: DataFrame, metrics: DataFrame, keys: list[str]) -
     return results.join(metrics, keys, "left").fillna(0.0, [c for c in metrics.columns if c not in keys])
 
 
-def answer_metrics(results: DataFrame, answer: str, truth: str, context: str, judge=None) -> DataFrame:
+def answer_metrics(results: DataFrame, answer: str, truth: str, context: str, judge=None, question: str | None = None, budget: P.Budget = P.Budget()) -> DataFrame:
     """results with f1_score, faithfulness and factual_correctness.
 
-    judge: makes a provider whose answers to the metric prompts are numbers from 0 to 1; what cannot be read is 0.
+    By default claims are sentences. judge: makes a provider that takes an answer apart into claims and then tells of each
+    claim whether it follows (claim_metrics).
     """
     own = results.withColumn("f1_score", F.round(T.token_f1(F.col(answer), F.col(truth)), 6))
     if judge is None:
         return own.withColumn("faithfulness", F.round(P.faithfulness(F.col(answer), F.col(context)), 6)).withColumn("factual_correctness", F.round(P.factual_correctness(F.col(answer), F.col(truth)), 6))
-    for metric, parts in (("faithfulness", {"answer": answer, "context": context}), ("factual_correctness", {"answer": answer, "truth": truth})):
-        asked = P.ask(own, P.prompt(metric, **{p: F.col(c) for p, c in parts.items()}), judge, "__said")
-        own = asked.withColumn(metric, F.round(P.parsed_share(F.col("__said")), 6)).drop("__said", "status")
-    return own
+    return claim_metrics(own, answer, truth, context, judge, question, budget)
+
+
+def claim_metrics(results: DataFrame, answer: str, truth: str, context: str, judge, question: str | None = None, budget: P.Budget = P.Budget()) -> DataFrame:
+    """results with faithfulness and factual_correctness from a model's verdicts on single claims.
+
+    First every different (question, text) is taken apart into claims, then every different (premise, claim) is judged:
+    the answer's claims by the context and by the truth, the truth's claims by the answer. faithfulness is the share of
+    the answer's claims that follow from the context; factual_correctness is F1 of the share of the answer's claims that
+    follow from the truth and of the truth's that follow from the answer. Without claims, or where the model failed to
+    name them, a share is 0; a verdict that failed counts as no.
+    """
+    asked = F.lit("") if question is None else F.coalesce(question, F.lit(""))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = staged(results.select("*", F.struct(asked.alias("q"), text(answer).alias("a"), text(truth).alias("t"), text(context).alias("c")).alias("__m")).withColumn("__id", F.monotonically_increasing_id()), "judged")
+    side = lambda s: rows.select(F.col("__m.q").alias("q"), F.col(f"__m.{s}").alias("text"))
+    texts = side("a").unionByName(side("t")).where(F.trim("text") != "").distinct()
+    said = P.ask(texts, P.prompt("statements", question=F.col("q"), answer=F.col("text")), judge, "__said", "__status", budget, lambda a: P.parsed_statements(a).isNotNull())
+    claims = staged(said.select("q", "text", F.explode(P.parsed_statements(F.col("__said"))).alias("claim")), "claims")
+    ways = F.explode(F.array(*[F.struct(F.lit(w).alias("way"), F.col(f"__m.{s}").alias("text"), F.col(f"__m.{p}").alias("premise")) for w, s, p in (("faithful", "a", "c"), ("precise", "a", "t"), ("complete", "t", "a"))]))
+    pairs = rows.select("__id", F.col("__m.q").alias("q"), ways.alias("w")).select("__id", "q", "w.*").join(claims, ["q", "text"]).select("__id", "way", "premise", "claim")
+    judged = P.ask(pairs.select("premise", "claim").distinct(), P.prompt("verdict", premise=F.col("premise"), statement=F.col("claim")), judge, "__said", "__status", budget)
+    holds = judged.select("premise", "claim", P.parse_judgement(F.col("__said")).alias("holds"))
+    shares = pairs.join(holds, ["premise", "claim"]).groupBy("__id").pivot("way", ["faithful", "precise", "complete"]).agg(F.avg(F.col("holds").cast("double")))
+    p, r = F.coalesce("precise", F.lit(0.0)), F.coalesce("complete", F.lit(0.0))
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    out = rows.join(shares, "__id", "left").withColumn("faithfulness", F.round(F.coalesce("faithful", F.lit(0.0)), 6)).withColumn("factual_correctness", F.round(f1, 6))
+    return out.drop("__id", "__m", "faithful", "precise", "complete")
 
 
 def summary(results: DataFrame, strategy: str, method: str, metrics: list[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ragloom.config import DEFAULTS, METHODS, STRATEGIES, Settings
 from ragloom.functions import providers as P
 from ragloom.operators import chunking, evaluation, retrieval
 from ragloom.sources import index as store
-from ragloom.sources.staging import shared_dir, staged
+from ragloom.sources.staging import new_path, staged
 
 #: Fixed value: the answer of a row whose generation failed.
 FAILED = "Fehler bei der Generierung"
@@ -47,6 +45,12 @@ def all_hits(questions: DataFrame, path: str, strategies: list[str] = STRATEGIES
     return staged(out, "hits")
 
 
+def design(questions: DataFrame, strategies: list[str] = STRATEGIES, methods: list[str] = METHODS) -> DataFrame:
+    """Every question under every strategy and method."""
+    place = lambda names, c: F.explode(F.array(*[F.lit(n) for n in names])).alias(c)
+    return questions.select("*", place(strategies, "chunking_strategy")).select("*", place(methods, "retrieval_method"))
+
+
 def answered(questions: DataFrame, hits: DataFrame, path: str, strategies: list[str] = STRATEGIES, methods: list[str] = METHODS, generate=None) -> DataFrame:
     """One row per question, strategy and method with the answer, its chunks and token counts.
 
@@ -62,8 +66,7 @@ def answered(questions: DataFrame, hits: DataFrame, path: str, strategies: list[
     found = hits.join(texts, ["chunking_strategy", store.KEY])
     one = F.struct("rank", store.KEY, "source_id", F.col("text").alias("chunk_text"), F.length("text").cast("long").alias("chunk_length"), "score")
     lists = found.groupBy(*KEYS).agg(F.sort_array(F.collect_list(one)).alias("retrieved_chunks"))
-    place = lambda names, c: F.explode(F.array(*[F.lit(n) for n in names])).alias(c)
-    every = questions.select("*", place(strategies, "chunking_strategy")).select("*", place(methods, "retrieval_method"))
+    every = design(questions, strategies, methods)
     line = lambda c: F.concat(F.lit('<document index="'), c["rank"].cast("string"), F.lit('">\n'), c["chunk_text"], F.lit("\n</document>"))
     rows = every.join(lists, KEYS, "left").withColumn("context", F.array_join(F.transform("retrieved_chunks", line), "\n\n"))
     prompt = P.prompt("generation", context_string=F.col("context"), question=F.col("question"))
@@ -73,7 +76,8 @@ def answered(questions: DataFrame, hits: DataFrame, path: str, strategies: list[
         made = P.ask(rows, prompt, generate)
     fine = (F.col("status") == "ok") & F.col("answer").isNotNull() & F.col("retrieved_chunks").isNotNull()
     count = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")).cast("long")
-    tokens = F.struct(count(prompt).alias("input_tokens"), count(F.col("answer")).alias("output_tokens"), (count(prompt) + count(F.col("answer"))).alias("total_tokens"))
+    told, said = count(prompt["system"]) + count(prompt["user"]), count(F.col("answer"))
+    tokens = F.struct(told.alias("input_tokens"), said.alias("output_tokens"), (told + said).alias("total_tokens"))
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")])
     return made.select(
         "chunking_strategy", "retrieval_method", "question_id", "document_id", "question", "short_answer",
@@ -93,11 +97,11 @@ def evaluated(results: DataFrame, judge=None, metric=None) -> DataFrame:
     """results with the six metrics.
 
     The chunks that any method found for a question and strategy are judged once. judge: makes a provider that replies
-    YES or NO; metric: one that replies with shares. A failed judgement counts as not relevant.
+    YES or NO; metric: one that names claims and judges them. A failed judgement counts as not relevant.
     """
     one = results.select(*KEYS, "question", "short_answer", F.explode("retrieved_chunks").alias("c")).select(*KEYS, "question", "short_answer", "c.chunk_id", "c.rank", "c.chunk_text")
     keys = ["question_id", "chunking_strategy"]
-    pool = one.groupBy(*keys, "chunk_id").agg(F.any_value("question").alias("question"), F.any_value("short_answer").alias("short_answer"), F.any_value("chunk_text").alias("chunk_text"))
+    pool = one.groupBy(*keys, "chunk_id").agg(*[F.min_by(c, F.struct("retrieval_method", "rank")).alias(c) for c in ("question", "short_answer", "chunk_text")])
     if judge is None:
         judged = pool.select(*keys, "chunk_id", P.judge(F.col("chunk_text"), F.col("short_answer")).alias("relevant"))
     else:
@@ -106,7 +110,7 @@ def evaluated(results: DataFrame, judge=None, metric=None) -> DataFrame:
     lists = evaluation.ranked_metrics(one.select(*KEYS, "chunk_id", "rank"), judged, keys, "chunk_id", ["retrieval_method"])
     wide = evaluation.joined_with_zeros(results, lists, KEYS)
     context = F.array_join(F.transform("retrieved_chunks", lambda c: c["chunk_text"]), "\n\n")
-    return evaluation.answer_metrics(wide.withColumn("__context", context), "generated_answer", "short_answer", "__context", metric).drop("__context")
+    return evaluation.answer_metrics(wide.withColumn("__context", context), "generated_answer", "short_answer", "__context", metric, "question").drop("__context")
 
 
 def summary_json(evaluated_rows: DataFrame, strategies: list[str] = STRATEGIES, methods: list[str] = METHODS) -> dict:
@@ -121,7 +125,7 @@ def summary_json(evaluated_rows: DataFrame, strategies: list[str] = STRATEGIES,
 
 def run(docs: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, settings: Settings = DEFAULTS, **providers) -> DataFrame:
     """Index, retrieve, answer and evaluate: one row per question, strategy and method."""
-    path = path or f"{shared_dir(docs.sparkSession)}/ragloom/index-{uuid.uuid4().hex}"
+    path = path or new_path(docs.sparkSession, "index")
     pick = lambda *names: {n: providers[n] for n in names if n in providers}
     index_documents(docs, path, key, text, settings, **pick("embedder", "propose", "arrange"))
     hits = all_hits(questions, path, settings=settings, **pick("embedder"))

@@ -1,12 +1,17 @@
 """Inverted index, BM25, vector top-k and rank fusion, all questions at once.
 
-Only postings of the questions' terms are scored; questions are a stated set against all chunks. Scores are rounded
-before ranking and ties go to the smaller chunk position. An index may be built for a call, or written once and read
-back (sources.index).
+The sparse index is dealt to blocks of chunks. A term's postings of one block are one row with the block's greatest
+frequency and least length, which bound what the term can add to any score in the block. A search adds the bounds up,
+answers every question from its most promising blocks first, and leaves out the blocks whose bound is below the kth
+score found there. Blocks return their own best, so a question costs at most 2 k rows a block. Scores are rounded before
+ranking and ties go to the smaller key. An index may be built for a call, or written and extended batch by batch and
+read back (sources.index): bounds hold for any mean length, and counts of batches add up.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,14 +23,19 @@ from pyspark.sql import Window
 
 from ragloom.config import DEFAULTS, Settings
 from ragloom.functions import text as T
+from ragloom.sources.staging import staged
+
+SIZE = 1024  # chunks of a block of the sparse index
+FIRST = 2  # blocks of a question that are searched before the others
+ROWS, QUESTIONS = 8192, 1024  # of a block of a search
 
 
 class Index(NamedTuple):
-    """The tables of a sparse index; the chunk's key column has one name in all of them."""
+    """The tables of a sparse index."""
 
-    postings: DataFrame  # key, term, tf, dl
-    vocabulary: DataFrame  # term, df, idf
-    chunks: DataFrame  # key, dl: every chunk, those without terms too
+    blocks: DataFrame  # term, block, pos, tfs, most, least: a term's postings in one block, and what bounds their scores
+    terms: DataFrame  # term, df; a term of several batches has several rows
+    chunks: DataFrame  # block, keys, dls: the chunks of every block in the order of their keys
 
 
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
@@ -33,24 +43,51 @@ def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return chunks.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    return chunks.select(key, F.coalesce(F.size(T.tokens(F.col(text))), F.lit(0)).cast("long").alias("dl"))
+def inverse_frequencies(terms: DataFrame, n: Column, epsilon: float = DEFAULTS.bm25_epsilon) -> DataFrame:
+    """(term, df, idf) of (term, df): negative values become epsilon times the vocabulary's mean."""
+    own = terms.groupBy("term").agg(F.sum("df").cast("long").alias("df"))
+    raw = own.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw")).scalar()
+    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def vocabulary(chunks: DataFrame, text: str, epsilon: float = DEFAULTS.bm25_epsilon) -> DataFrame:
-    """(term, df, idf): negative values become epsilon times the vocabulary's mean. One plan, no action."""
-    n = chunks.agg(F.count("*").cast("double")).scalar()
+    """(term, df, idf) of the chunks' terms. One plan, no action."""
     own = chunks.select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = own.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw")).scalar()
-    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * mean).otherwise(F.col("raw")).alias("idf"))
+    return inverse_frequencies(own, chunks.agg(F.count("*").cast("double")).scalar(), epsilon)
+
+
+def counted(chunks: DataFrame, key: str, text: str, batch: int = 0) -> DataFrame:
+    """(key, block, pos, dl, terms, tfs) of every chunk, tokenised once; blocks are runs of SIZE keys of a partition."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            counts = [Counter(t.split()) if t else Counter() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array([c.total() for c in counts], pa.int32()), pa.array([[w.decode() for w in c] for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
+                names=[key, "at", "dl", "terms", "tfs"],
+            )
+
+    at = F.monotonically_increasing_id()
+    own = chunks.select(key, F.lower(text).cast("binary").alias("t")).sortWithinPartitions(key).withColumn("at", at)
+    made = own.mapInArrow(run, f"`{key}` {chunks.schema[key].dataType.simpleString()}, at long, dl int, terms array<string>, tfs array<int>")
+    block = F.lit(batch << 44) + F.shiftleft(F.shiftright("at", 33), 20) + (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / SIZE).cast("long")
+    return made.select(key, block.alias("block"), (F.col("at") % SIZE).cast("int").alias("pos"), "dl", "terms", "tfs")
+
+
+def indexed(rows: DataFrame, key: str) -> Index:
+    """The index of a table of counted() chunks."""
+    pairs = rows.select("block", "pos", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "block", "pos", F.col("p.tfs").alias("tf"), "dl")
+    packed = pairs.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "tf"))).alias("p"), F.max("tf").alias("most"), F.min("dl").alias("least"))
+    blocks = packed.select("term", "block", F.col("p.pos").alias("pos"), F.col("p.tf").alias("tfs"), "most", "least")
+    terms = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    whole = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", F.col(key).alias("k"), "dl"))).alias("c"))
+    return Index(blocks, terms, whole.select("block", F.col("c.k").alias("keys"), F.col("c.dl").alias("dls")))
 
 
-def build(chunks: DataFrame, key: str, text: str, settings: Settings = DEFAULTS) -> Index:
-    """The index of chunks, lazily."""
-    own = chunks.select(key, T.tokens(F.col(text)).alias("__w"), F.size(T.tokens(F.col(text))).cast("long").alias("dl"))
-    entries = own.select(key, "dl", F.explode("__w").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-    return Index(entries, vocabulary(chunks, text, settings.bm25_epsilon), lengths(chunks, key, text))
+def build(chunks: DataFrame, key: str, text: str) -> Index:
+    """The index of chunks for one call; their counts are staged."""
+    return indexed(staged(counted(chunks, key, text), "counted"), key)
 
 
 def index_stats(chunks: DataFrame, strategy: str = "strategy", source: str = "source_id", text: str = "text") -> DataFrame:
@@ -70,52 +107,104 @@ def stats_of(chunks: DataFrame, strategies: list[str], model: str, **columns: st
 
 
 def sparse(questions: DataFrame, chunks: DataFrame, qkey: str, qtext: str, key: str, text: str, k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS) -> DataFrame:
-    """(qkey, key, score, rank): BM25 top-k over chunks, whose index is built within the plan."""
-    return sparse_search(questions, build(chunks, key, text, settings), qkey, qtext, key, k, settings)
+    """(qkey, key, score, rank): BM25 top-k over chunks, whose index is built for this call."""
+    return sparse_search(questions, build(chunks, key, text), qkey, qtext, key, k, settings)
 
 
 def sparse_search(questions: DataFrame, index: Index, qkey: str, qtext: str, key: str, k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS) -> DataFrame:
     """(qkey, key, score, rank): BM25 top-k; questions with fewer matches are filled with zero scores in key order.
 
-    The questions' terms prune the postings before anything is grouped.
+    Questions are answered in blocks of QUESTIONS, whose terms and weights every task holds.
     """
-    asked = questions.select(qkey, F.explode(T.tokens(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count("*").alias("qf"))
-    weights = index.vocabulary.join(asked, "term").select(qkey, "term", (F.col("qf") * F.col("idf")).alias("w"))
-    k1, b = settings.bm25_k1, settings.bm25_b
-    avgdl = F.coalesce(F.nullif(index.chunks.agg(F.avg("dl")).scalar(), F.lit(0.0)), F.lit(1.0))
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    scored = wanted.join(weights, "term").groupBy(qkey, key).agg(F.round(F.sum(part), 6).alias("score"))
-    spare = index.chunks.select(key).orderBy(key).limit(2 * k).agg(F.collect_list(key).alias("__spare"))  # 2 k keys: k at least are not among a question's k best
-    blank = questions.select(qkey, F.explode(spare.scalar()).alias(key))
-    filled = scored.unionByName(blank.withColumn("score", F.lit(0.0))).groupBy(qkey, key).agg(F.max(F.when(F.col("score") != 0, F.col("score"))).alias("s"))
+    total = index.chunks.agg(F.sum(F.size("keys")).cast("double").alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, d: s + d)).alias("l")).first()
+    n, mean = total["n"] or 0.0, (total["l"] or 0) / total["n"] if total["l"] else 1.0
+    asked = questions.select(F.col(qkey).alias("q"), F.explode(T.tokens(F.col(qtext))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qf"))
+    idf = inverse_frequencies(index.terms, F.lit(n), settings.bm25_epsilon)
+    weights = staged(asked.join(idf, "term").select("q", "term", (F.col("qf") * F.col("idf")).alias("w")), "weights")
+    parts = max(1, -(-questions.count() // QUESTIONS))
+    found = None
+    for part in range(parts):
+        own = weights if parts == 1 else weights.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part)
+        made = searched(own, index, qkey, key, questions.schema[qkey].dataType.simpleString(), k, mean, settings)
+        found = made if found is None else found.unionByName(made)
+    found = staged(found, "sparse")
+    best = found.where("score > 0").groupBy(qkey).agg(F.count("*").alias("n"))
+    if questions.select(qkey).distinct().join(best, qkey, "left").where(F.coalesce("n", F.lit(0)) < k).isEmpty():
+        return ranked(found, qkey, key, k)
+    spare = index.chunks.select(F.explode("keys").alias(key)).orderBy(key).limit(2 * k).agg(F.collect_list(key).alias("__spare"))  # 2 k keys: k at least are not among a question's k best
+    blank = questions.select(qkey, F.explode(spare.scalar()).alias(key)).withColumn("score", F.lit(0.0))
+    filled = found.unionByName(blank).groupBy(qkey, key).agg(F.max(F.when(F.col("score") != 0, F.col("score"))).alias("s"))
     return ranked(filled.select(qkey, key, F.coalesce("s", F.lit(0.0)).alias("score")), qkey, key, k)
 
 
+def searched(weights: DataFrame, index: Index, qkey: str, key: str, kind: str, k: int, mean: float, settings: Settings) -> DataFrame:
+    """(qkey, key, score): what blocks that may hold one of a question's k best return. weights: (q, term, w) of one block of questions."""
+    k1, b, spark = settings.bm25_k1, settings.bm25_b, weights.sparkSession
+    held: dict[str, list] = {}
+    numbers: dict = {}
+    for r in weights.collect():  # the terms of QUESTIONS questions
+        held.setdefault(r["term"], []).append((numbers.setdefault(r["q"], len(numbers)), r["w"]))
+    told = spark.sparkContext.broadcast((held, list(numbers)))
+    share = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+    terms = weights.select("term").distinct()
+    bounds = index.blocks.select("term", "block", "most", "least").join(weights, "term")
+    bounds = staged(bounds.groupBy("q", "block").agg((F.sum(F.greatest("w", F.lit(0.0)) * share(F.col("most"), F.col("least"))) + 2e-6).alias("bound")), "bounds")
+    placed = bounds.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "block")))
+    key_kind = index.chunks.schema["keys"].dataType.elementType.simpleString()
+
+    def meet(posted: pa.Table, asking: pa.Table) -> pa.Table:
+        """The 2 k best of every question that asks this block, by rounded score and key; none whose score rounds to 0."""
+        empty = pa.table([pa.array([], asking.schema.field("qs").type.value_type), pa.array([], asking.schema.field("keys").type.value_type), pa.array([], pa.float64())], names=[qkey, key, "score"])
+        if not posted.num_rows or not asking.num_rows:
+            return empty
+        by_term, names = told.value
+        row = asking.slice(0, 1)
+        dls, keys = row.column("dls").combine_chunks()[0].values.to_numpy(), row.column("keys").combine_chunks()[0].values
+        every = row.column("qs").combine_chunks()[0].as_py()
+        mine = {q: j for j, q in enumerate(every)}
+        slots = {j: mine[q] for j, q in enumerate(names) if q in mine}
+        scores = np.zeros((len(every), len(dls)))
+        posted = posted.sort_by("term")
+        lengths = 1 - b + b * dls / mean
+        for term, pos, tfs in zip(posted.column("term").to_pylist(), posted.column("pos").combine_chunks(), posted.column("tfs").combine_chunks()):
+            at, tf = pos.values.to_numpy(), tfs.values.to_numpy()
+            part = tf * (k1 + 1) / (tf + k1 * lengths[at])
+            for j, w in by_term[term]:
+                if j in slots:
+                    scores[slots[j], at] += w * part
+        grid = np.floor(scores * 1e6 + 0.5)
+        qs, at = [], []
+        for j in range(len(every)):
+            some = np.flatnonzero(grid[j])
+            best = some[np.argsort(-grid[j, some], kind="stable")[: 2 * k]]  # positions follow the keys
+            qs.append(np.full(len(best), j)), at.append(best)
+        qs, at = np.concatenate(qs), np.concatenate(at)
+        return pa.table([pc.take(row.column("qs").combine_chunks()[0].values, pa.array(qs, pa.int64())), pc.take(keys, pa.array(at, pa.int64())), pa.array(scores[qs, at])], names=[qkey, key, "score"])
+
+    def answered(pairs: DataFrame) -> DataFrame:
+        asking = pairs.groupBy("block").agg(F.collect_list("q").alias("qs")).join(index.chunks, "block")
+        posted = index.blocks.select("term", "block", "pos", "tfs").join(terms, "term", "left_semi").join(pairs.select("block").distinct(), "block", "left_semi")
+        met = posted.groupBy("block").cogroup(asking.groupBy("block")).applyInArrow(meet, f"`{qkey}` {kind}, `{key}` {key_kind}, score double")
+        return met.withColumn("score", F.round("score", 6))
+
+    first = placed.where(F.col("place") <= FIRST).select("q", "block")
+    rest = placed.where(F.col("place") > FIRST)
+    if rest.isEmpty():
+        return answered(first)
+    met = staged(answered(first), "first")
+    floors = ranked(met, qkey, key, k).where(F.col("rank") == k).select(F.col(qkey).alias("q"), F.col("score").alias("floor"))
+    rest = rest.join(floors, "q", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).select("q", "block")
+    return met.unionByName(answered(rest))
+
+
 def ranked(hits: DataFrame, qkey: str, key: str, k: int, order: list[Column] | None = None) -> DataFrame:
     """(qkey, key, score, rank) of the k best of each question."""
     best = Window.partitionBy(qkey).orderBy(*(order or [F.desc("score"), F.col(key)]))
     return hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select(qkey, key, "score", "rank")
 
 
-ROWS, QUESTIONS = 8192, 1024  # of a block
-
-
-def dense(questions: DataFrame, chunks: DataFrame, qkey: str, qvec: str, key: str, vec: str, k: int = DEFAULTS.top_k) -> DataFrame:
-    """(qkey, key, score, rank): exact cosine top-k of array vectors.
-
-    Both sides are dealt to blocks of about ROWS and QUESTIONS rows; each pair of blocks meets once, in a matrix product
-    that keeps 2 k per question, so no pair of rows is ever written. Null vectors take no part; a zero one scores 0.
-    """
-    asked = questions.select(F.col(qkey).alias("__q"), F.col(qvec).cast("array<double>").alias("__v")).where("__v is not null")
-    own = chunks.select(F.col(key).alias("__k"), F.col(vec).cast("array<double>").alias("__v")).where("__v is not null")
-    blocks = lambda frame, n: max(1, -(-frame.count() // n))
-    na, nb = blocks(asked, QUESTIONS), blocks(own, ROWS)
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = asked.withColumn("__a", deal("__q", na)).withColumn("__b", every(nb))
-    own = own.withColumn("__b", deal("__k", nb)).withColumn("__a", every(na))
-    kinds = [f"`{qkey}` {questions.schema[qkey].dataType.simpleString()}", f"`{key}` {chunks.schema[key].dataType.simpleString()}", "score double"]
+def nearest_of(qkey: str, key: str, k: int):
+    """Makes the function that meets a block of questions (__q, __v) with one of rows (__k, __v): 2 k best of each question."""
 
     def unit(column: pa.ChunkedArray) -> np.ndarray:
         rows = np.array(column.to_pylist(), float).reshape(len(column), -1)
@@ -137,7 +226,26 @@ def dense(questions: DataFrame, chunks: DataFrame, qkey: str, qvec: str, key: st
         rows = [np.concatenate(o) if o else np.empty(0, np.int64) for o in out]
         return pa.table([pc.take(a["__q"], pa.array(rows[0], pa.int64())), pc.take(b["__k"], pa.array(rows[1], pa.int64())), pa.array(rows[2], pa.float64())], names=[qkey, key, "score"])
 
-    met = asked.groupBy("__a", "__b").cogroup(own.groupBy("__a", "__b")).applyInArrow(meet, ", ".join(kinds))
+    return meet
+
+
+def dense(questions: DataFrame, chunks: DataFrame, qkey: str, qvec: str, key: str, vec: str, k: int = DEFAULTS.top_k) -> DataFrame:
+    """(qkey, key, score, rank): exact cosine top-k of array vectors.
+
+    Both sides are dealt to blocks of about ROWS and QUESTIONS rows; each pair of blocks meets once, in a matrix product
+    that keeps 2 k per question, so no pair of rows is ever written. Null vectors take no part; a zero one scores 0.
+    """
+    asked = questions.select(F.col(qkey).alias("__q"), F.col(qvec).cast("array<double>").alias("__v")).where("__v is not null")
+    own = chunks.select(F.col(key).alias("__k"), F.col(vec).cast("array<double>").alias("__v")).where("__v is not null")
+    blocks = lambda frame, n: max(1, -(-frame.count() // n))
+    na, nb = blocks(asked, QUESTIONS), blocks(own, ROWS)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("__a", deal("__q", na)).withColumn("__b", every(nb))
+    own = own.withColumn("__b", deal("__k", nb)).withColumn("__a", every(na))
+    kinds = [f"`{qkey}` {questions.schema[qkey].dataType.simpleString()}", f"`{key}` {chunks.schema[key].dataType.simpleString()}", "score double"]
+
+    met = asked.groupBy("__a", "__b").cogroup(own.groupBy("__a", "__b")).applyInArrow(nearest_of(qkey, key, k), ", ".join(kinds))
     return ranked(met.withColumn("score", F.round("score", 6)), qkey, key, k)
 
 

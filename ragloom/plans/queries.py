@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ragloom.config import METHODS, STRATEGIES, Settings
+from ragloom.config import METHODS, Settings
 from ragloom.functions import providers as P
 from ragloom.functions import text as T
-from ragloom.operators import chunking, cleaning, evaluation, experiment, retrieval, sampling
+from ragloom.operators import chunking, cleaning, evaluation, experiment, retrieval, sampling, sentences
+from ragloom.operators import vectors as V
 from ragloom.sources import index, io
-from ragloom.sources.staging import staged
+from ragloom.sources.staging import new_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,14 +78,15 @@ def q_scan_json(spark, sf_dir):
 MESSY = "concat('Jump to : navigation', chr(10), '## Contents', chr(10), '1 x', chr(10), '## Intro ( edit )', chr(10), text, chr(10), '  See also : other', chr(10), 'end (edit)', chr(10), chr(10), chr(10), chr(10), '## references', chr(10), source, chr(10), 'Categories : ', lang)"
 
 
-def clean_sql(expr: str) -> str:
-    return (
+def clean_sql(expr: str, table: str = "documents", key: str = "doc_id", out: str = "clean") -> str:
+    made = (
         "with m as (select doc_id, " + expr + " as t from documents), a as (select doc_id, regexp_replace(t, '(?im)^(?:Jump to :|For other uses ,|Not to be confused with).*?$', '', 'g') as t from m), "
         "b as (select doc_id, regexp_replace(t, '(?is)## Contents.*?(\\n## )', '\\1', 'g') as t from a), c as (select doc_id, regexp_replace(replace(t, ' ( edit )', ''), '(?i)\\s*\\(\\s*edit\\s*\\)', '', 'g') as t from b), "
         "d as (select doc_id, regexp_replace(t, '(?im)^\\s*(?:Main article|Further information|See also)\\s*:.*?$', '', 'g') as t from c), e as (select doc_id, regexp_replace(t, '(?im)^##\\s*(?:References|External links|See also|Sources|Notes|Bibliography)\\s*$[\\s\\S]*', '') as t from d), "
         "r as (select doc_id, regexp_replace(t, '(?s)Retrieved from `` https://en\\.wikipedia\\.org.*', '') as t from e), "
-        "f as (select doc_id, regexp_replace(t, '(?s)Categories\\s*:.*', '') as t from r) select doc_id, " + strip("regexp_replace(t, '\\n{3,}', concat(chr(10), chr(10)), 'g')") + " as clean from f"
+        "f as (select doc_id, regexp_replace(t, '(?s)Categories\\s*:.*', '') as t from r) select doc_id, " + strip("regexp_replace(t, '\\n{3,}', concat(chr(10), chr(10)), 'g')") + f" as {out} from f"
     )
+    return made.replace("doc_id", key).replace("from documents", f"from {table}")
 
 
 @query(clean_sql(MESSY))
@@ -120,7 +122,26 @@ def q_metadata_maps(spark, sf_dir):
     return own.select("doc_id", T.entry(F.col("m"), "lang").alias("lang"), T.entry(F.col("m"), "source").alias("source"), T.entry(F.col("m"), "topic").alias("topic"), F.size("m").alias("entries"), T.entry(F.col("m"), "even", "no").alias("even"))
 
 
-@query()
+def markdown_sql(html: str) -> str:
+    """Markdown of the pages' tags: a bold run ends with the paragraph that its break is in."""
+    steps = [
+        (r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->|<![^>]*>", " "), (r"[ \t\r\n\f]+", " "), (r'<li> *<a href="([^"]*)"> *([^<]*?) *</a> *</li>', r"{n}* [\2](\1)"),
+        (r"<h1> *", "{n}{n}# "), (r"<b> *", "**"), (r" *<br>", "**{n}{n}"), (r"<[^>]*>", "{n}{n}"),
+    ]
+    out = html
+    for pattern, put in steps:
+        parts = "concat(" + ", chr(10), ".join(f"'{x}'" for x in put.split("{n}")) + ")"
+        out = f"regexp_replace({out}, '{pattern}', {parts}, 'g')"
+    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return strip(f"regexp_replace(regexp_replace({out}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', concat(chr(10), chr(10)), 'g')")
+
+
+def tidy_sql(t: str) -> str:
+    return strip(f"regexp_replace(regexp_replace({t}, ' +', ' ', 'g'), '\\n{{3,}}', concat(chr(10), chr(10)), 'g')")
+
+
+@query("select page_id, " + tidy_sql("document_text") + " as document_text from (" + clean_sql(markdown_sql("html"), "pages", "page_id", "document_text") + ")")
 def q_html_to_markdown(spark, sf_dir):
     return cleaning.process_documents(read(spark, sf_dir, "pages"), "page_id", "html")
 
@@ -315,12 +336,69 @@ def q_index_stats(spark, sf_dir):
     return retrieval.index_stats(read(spark, sf_dir, "documents").withColumnRenamed("lang", "strategy"), "strategy", "source", "text")
 
 
+# ---- trained sentences
+
+ABBREVIATIONS = (
+    r"with w as (select unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as w from documents), b as (select regexp_replace(w, '^[^\p{L}\p{N}.]+|[^\p{L}\p{N}.]+$', '', 'g') as b from w), "
+    r"t as (select regexp_replace(lower(b), '\.$', '') as t, ends_with(b, '.') as dot from b), k as (select case when regexp_matches(t, '^[-+.]*\p{N}[\p{N},.\-]*$') then '##number##' else t end as type, dot from t), "
+    "f as (select * from k where regexp_matches(type, '[\\p{L}\\p{N}#]')), tot as (select count(*)::double as n, count_if(dot)::double as d from f), "
+    "c as (select type, count_if(dot)::bigint as dots, count_if(not dot)::bigint as others from f where type <> '##number##' group by type having count_if(dot) > 0), "
+    "s as (select *, least(d / n, 1 - 1e-9) as p, length(type) - length(replace(type, '.', '')) as inn, (length(type) - (length(type) - length(replace(type, '.', ''))))::double as size from c cross join tot) "
+    "select type, dots, others, -2 * (dots * ln(p) + others * ln(1 - p) - dots * ln(0.99::double) - others * ln(0.01::double)) * exp(-size) * (inn + 1) * pow(greatest(size, 1.0::double), -others) >= 0.3 as short from s"
+)
+
+
+@query(ABBREVIATIONS)
+def q_sentence_abbreviations(spark, sf_dir):
+    """Types that are seen before a period, and whether training takes them for abbreviations."""
+    scores = sentences.abbreviation_scores(sentences.token_pairs(read(spark, sf_dir, "documents"), "text"))
+    return scores.select("type", F.col("dots").cast("long").alias("dots"), F.col("others").cast("long").alias("others"), (F.col("score") >= sentences.ABBREVIATION).alias("short"))
+
+
+@query()
+def q_trained_sentences(spark, sf_dir):
+    """Sentences by the model trained on all documents; a test holds training and splitting against made sentences."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    made = sentences.with_sentences(docs, "text", sentences.train(docs, "text"))
+    return made.select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
+
+
+# ---- sources
+
+
+@query("select doc_id, text, lang, n_chars from documents")
+def q_csv_round_trip(spark, sf_dir):
+    """Documents written as CSV with quotes and line breaks, and read again."""
+    path = new_path(spark, "csv")
+    io.write_csv(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), path)
+    return io.read_csv(spark, path, "doc_id long, text string, lang string, n_chars long")
+
+
+@query("select doc_id, text, lang from documents where doc_id % 7 <> 3")
+def q_scan_jsonl_gzip(spark, sf_dir):
+    """Documents written as gzip JSON lines, one in seven broken, and read again."""
+    path = new_path(spark, "jsonl")
+    docs = read(spark, sf_dir, "documents")
+    line = F.to_json(F.struct("doc_id", "text", "lang"))
+    docs.select(F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("broken "), line)).otherwise(line).alias("value")).write.option("compression", "gzip").text(path)
+    return io.read_jsonl(spark, path, "doc_id long, text string, lang string")
+
+
+@query("select doc_id from documents where doc_id % 7 = 3")
+def q_bad_lines(spark, sf_dir):
+    """The broken lines of the same scan, with the ids that are still legible in them."""
+    path = new_path(spark, "jsonl")
+    line = F.to_json(F.struct("doc_id"))
+    read(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("broken "), line)).otherwise(line).alias("value")).write.option("compression", "gzip").text(path)
+    return io.bad_lines(spark, path, "doc_id long").select(F.regexp_extract("line", r'"doc_id":(\d+)', 1).cast("long").alias("doc_id"))
+
+
 # ---- retrieval
 
 BM25 = (
     f"with dl as (select doc_id, len({TOK.format('text')})::bigint as dl from documents), n as (select count(*)::double as n, avg(dl) as avgdl from dl), "
-    f"po as (select doc_id, term, count(*) as tf from (select doc_id, unnest({TOK.format('text')}) as term from documents) group by all), "
-    "raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from (select term, count(*) as df from po group by term) cross join n), mu as (select avg(raw) as mu from raw), "
+    f"po as materialized (select doc_id, term, count(*) as tf from (select doc_id, unnest({TOK.format('text')}) as term from documents) group by all), "
+    "raw as materialized (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from (select term, count(*) as df from po group by term) cross join n), mu as (select avg(raw) as mu from raw), "
     "idf as (select term, df, case when raw < 0 then 0.25 * mu else raw end as idf from raw cross join mu)"
 )
 SPARSE = (
@@ -371,6 +449,28 @@ def q_retrieve_dense(spark, sf_dir):
     return retrieval.dense(asked, own, "query_id", "qvec", "vec_id", "embedding")
 
 
+@query("select count(*) as questions, true as recall_ok from embeddings where vec_id % 50 = 0")
+def q_vector_index(spark, sf_dir):
+    """The vector index over all embeddings against the exact search: whether its recall is 0.9 or more."""
+    own, asked = vectors(spark, sf_dir)
+    rows = own.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    centres = staged(V.centres_of(rows), "centres")
+    lists = staged(V.assigned(rows, "vec_id", centres), "lists")
+    found = V.search(asked, lists, centres, "query_id", "qvec", "vec_id")
+    exact = retrieval.dense(asked, own, "query_id", "qvec", "vec_id", "embedding")
+    return asked.agg(F.count("*").alias("questions")).crossJoin(V.recall(found, exact, "query_id", "vec_id").select((F.col("recall") >= 0.9).alias("recall_ok")))
+
+
+@query(SPARSE + " select item_id, doc_id, score, rank from sp")
+def q_incremental_index(spark, sf_dir):
+    """The documents indexed in three batches, searched as one index."""
+    path, docs = new_path(spark, "batches"), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(None).cast("string").alias("strategy"))
+    for k in range(3):
+        index.add(docs.where(F.pmod(F.col("chunk_id"), F.lit(3)) == k), path, "whole", k)
+    own, _ = index.read(spark, path, "whole")
+    return retrieval.sparse_search(read(spark, sf_dir, "benchmark"), own, "item_id", "text", "chunk_id").withColumnRenamed("chunk_id", "doc_id")
+
+
 DIM = 16
 HASHED = "select {k}, b, n / sqrt(sum(n * n) over (partition by {k})) as w from (select {k}, ('0x' || substr(md5(term), 1, 8))::bigint % 16 as b, count(*)::double as n from (select {k}, unnest(" + TOK.format("text") + ") as term from {t}) group by all)"
 HYBRID = (
@@ -414,10 +514,10 @@ def q_generate_stub(spark, sf_dir):
     return hits.select("item_id", F.coalesce(F.get(T.sentences(F.col("text")), F.lit(0)), F.lit("")).alias("answer"))
 
 
-@query("select s.strategy, m.method from (select unnest(['heuristic', 'semantic', 'agentic']) as strategy) s, (select unnest(['sparse', 'dense', 'hybrid']) as method) m")
+@query("select item_id, s.strategy, m.method from benchmark, (select unnest(['heuristic', 'semantic', 'agentic']) as strategy) s, (select unnest(['sparse', 'dense', 'hybrid']) as method) m")
 def q_factorial_design(spark, sf_dir):
-    strategies = spark.createDataFrame([(s,) for s in STRATEGIES], "strategy string")
-    return strategies.crossJoin(spark.createDataFrame([(m,) for m in METHODS], "method string"))
+    """Every question under every strategy and method, the rows that the experiment answers."""
+    return experiment.design(read(spark, sf_dir, "benchmark").select("item_id")).withColumnsRenamed({"chunking_strategy": "strategy", "retrieval_method": "method"})
 
 
 UNION = "al3 as (select 'sparse' as method, item_id, doc_id, rank from sp union all select 'dense', item_id, doc_id, rank from hr union all select 'hybrid', item_id, doc_id, rank from hy)"

@@ -6,13 +6,48 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 RAW = "example_id long, question_text string, document_text string, document_url string, document_title string, annotations array<struct<short_answers: array<struct<start_token: int, end_token: int>>>>"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
-    """JSON lines, gzipped or not; blank and malformed lines are dropped. A gzip file is one task, so deal it out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def parsed_lines(spark: SparkSession, path: str, schema: str = RAW, tasks: int | None = None) -> DataFrame:
+    """(file, line, row) of every line that is not blank; row is null where the line is not of that form.
+
+    A gzip file is read by one task; its lines are dealt out to `tasks` tasks (by default those of the session) before
+    they are parsed.
+    """
+    lines = spark.read.text(path)
+    if tasks or any(f.endswith((".gz", ".bz2", ".zst")) for f in lines.inputFiles()):
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file")).repartition(tasks or spark.sparkContext.defaultParallelism)
+    else:
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
+    bad = "__bad"
+    kind = StructType([*_parse(schema).fields, StructField(bad, StringType())])
+    read = F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    own = lines.where(F.trim("value") != "").select("file", F.col("value").alias("line"), read.alias("__r"))
+    fine = F.col("__r").isNotNull() & F.col(f"__r.{bad}").isNull() & F.startswith(F.trim("line"), F.lit("{"))
+    row = F.struct(*[F.col(f"__r.{f.name}").alias(f.name) for f in _parse(schema).fields])
+    return own.select("file", "line", F.when(fine, row).alias("row"))
+
+
+def _parse(schema: str) -> StructType:
+    return StructType.fromDDL(schema)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str = RAW, tasks: int | None = None) -> DataFrame:
+    """JSON lines, gzipped or not, dealt out to tasks; blank and malformed lines are dropped (bad_lines has these)."""
+    return parsed_lines(spark, path, schema, tasks).where("row is not null").select("row.*")
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
+    """(file, line) of the malformed lines that read_jsonl drops."""
+    return parsed_lines(spark, path, schema).where("row is null").select("file", "line")
+
+
+def line_counts(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
+    """(file, n_rows, n_bad) of every file with lines."""
+    return parsed_lines(spark, path, schema).groupBy("file").agg(F.count("row").alias("n_rows"), F.count_if(F.col("row").isNull()).alias("n_bad"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

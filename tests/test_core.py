@@ -136,7 +136,7 @@ def test_streaming_ingest(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs.write.parquet(str(tmp_path / "in"))
     ingest(spark, str(tmp_path / "in"), docs.schema.simpleString()[7:-1].replace(":", " "), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).select("source_id").distinct().count() == docs.where("text <> ''").count()
+    assert index.read_chunks(spark, str(tmp_path / "out"), "heuristic").select("source_id").distinct().count() == docs.where("text <> ''").count()
 
 
 def test_html_text_decodes_quotes(spark):
@@ -325,7 +325,7 @@ def test_markdown_by_hand(spark):
     frame = spark.createDataFrame([(1, page), (2, None), (3, "plain")], "id int, h string")
     got = {r.id: r.markdown for r in cleaning.html_to_markdown(frame, "id", "h").collect()}
     lines = [line.rstrip() for line in got[1].split("\n") if line.strip()]
-    assert lines == ["## Head & more", "A **bold** and *soft* [link](u)none", "* one", "* two", " | H", " | x"]
+    assert lines == ["## Head & more", "A **bold** and *soft* [link](u)none", "* one", "* two", "| H |  |", "| --- | --- |", "| x |  |"]
     assert (got[2], got[3]) == ("", "plain")
     whole = {r.id: r.document_text for r in cleaning.process_documents(spark.createDataFrame([(1, "<p>Jump to : top</p><p>Body ( edit ) text.</p><h2>References</h2><p>gone</p>")], "id int, h string"), "id", "h").collect()}
     assert whole == {1: "Body text."}
