@@ -16,9 +16,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.config import DEFAULTS, Settings
+from ragloom.functions import providers as P
 from ragloom.operators import cleaning, evaluation, experiment, sampling
 from ragloom.sources import io
-from ragloom.sources.staging import shared_dir
+from ragloom.sources.staging import exists, scope, shared_dir
 
 log = logging.getLogger("ragloom")
 CLEANED = "ID string, Question string, DocumentID string, Document_text string, Documentlength int, short_answer string"
@@ -70,14 +71,36 @@ def step4(spark: SparkSession, raw: str, out: str, settings: Settings, providers
 STEPS = {1: step1, 2: step2, 3: step3, 4: step4}
 
 
-def check_environment(spark: SparkSession, raw: str | None, first: int) -> None:
-    """Exit where the shared folder is not set or the first step has no input."""
+#: What a provider is asked before a run, by its name.
+PROBES = {"embedder": ["probe"], "propose": ["Answer with OK."], "arrange": ["Answer with OK."], "generate": ["Answer with OK."], "judge": ["Reply YES."], "metric": ["Reply YES."]}
+
+
+def check_providers(providers: dict) -> None:
+    """Exit where a provider has an unknown name, cannot be made or does not answer one probe."""
+    if unknown := sorted(set(providers) - set(PROBES)):
+        sys.exit(f"unknown providers {unknown}; known are {sorted(PROBES)}")
+    for name, make in providers.items():
+        try:
+            call = make()
+            probes = [P.Message("", p) for p in PROBES[name]] if getattr(call, "messages", False) else PROBES[name]
+            if len(list(call(probes))) != len(probes):
+                raise ValueError("no answer")
+        except Exception as error:  # noqa: BLE001
+            sys.exit(f"provider {name}: {type(error).__name__}: {error}")
+
+
+def check_environment(spark: SparkSession, raw: str | None, first: int, out: str, providers: dict | None = None) -> None:
+    """Exit where the shared folder is not set, a step's input is missing, or a provider does not answer."""
     try:
         shared_dir(spark)
     except ValueError as error:
         sys.exit(str(error))
     if first == 1 and not raw:
         sys.exit("step 1 reads raw examples: name them by --raw")
+    for step, table in ((2, "cleaned"), (3, "index"), (4, "results")):
+        if first == step and not exists(spark, f"{out}/{table}"):
+            sys.exit(f"step {step} reads {out}/{table}, which is not there: run the steps before it")
+    check_providers(providers or {})
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None, settings: Settings = DEFAULTS) -> list[int]:
@@ -99,11 +122,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, setti
         module, _, name = known.providers.partition(":")
         providers = getattr(importlib.import_module(module), name)
     spark = spark or SparkSession.builder.appName("ragloom").getOrCreate()
-    check_environment(spark, known.raw, chosen[0] if chosen else 0)
+    out = known.out.rstrip("/")
+    check_environment(spark, known.raw, chosen[0] if chosen else 0, out, providers)
     for n in chosen:
         log.info("step %d", n)
         try:
-            STEPS[n](spark, known.raw, known.out.rstrip("/"), settings, providers)
+            with scope(spark):
+                STEPS[n](spark, known.raw, out, settings, providers)
         except Exception:
             log.exception("step %d failed", n)
             raise

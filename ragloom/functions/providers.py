@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ragloom.functions import text as T
 from ragloom.sources.staging import staged
 
+log = logging.getLogger("ragloom")
 #: (system, user) of every prompt; places in braces are filled by columns.
 PROMPTS = {
     "propositions": (
@@ -182,7 +184,9 @@ def ask(frame: DataFrame, prompt: Column, make: Callable[[], Batch], out: str =
             fine = (F.col(status) != "ok") | F.coalesce(valid(F.col(out)), F.lit(False))
             made = made.withColumn(status, F.when(fine, F.col(status)).otherwise("failed: form"))
         made = staged(made, "asked")
-        last = turn + 1 >= budget.rounds or made.where(F.col(status) != "ok").isEmpty()
+        counts = made.agg(F.count("*"), F.count_if(F.col(status) != "ok")).first()
+        log.info("%s, round %d: %d rows asked, %d failed", out, turn + 1, *counts)
+        last = turn + 1 >= budget.rounds or not counts[1]
         own = made if last else made.where(F.col(status) == "ok")
         done = own if done is None else done.unionByName(own)
         if last:

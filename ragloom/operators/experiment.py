@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragloom.config import DEFAULTS, METHODS, STRATEGIES, Settings
 from ragloom.functions import providers as P
 from ragloom.operators import chunking, evaluation, retrieval
+from ragloom.operators import vectors as V
 from ragloom.sources import index as store
 from ragloom.sources.staging import new_path, staged
 
@@ -24,10 +25,11 @@ def index_documents(docs: DataFrame, path: str, key: str, text: str, settings: S
         store.write(chunking.chunk(strategy, docs, key, text, **knobs[strategy]), path, strategy, settings, embedder)
 
 
-def all_hits(questions: DataFrame, path: str, strategies: list[str] = STRATEGIES, methods: list[str] = METHODS, settings: Settings = DEFAULTS, embedder=None) -> DataFrame:
+def all_hits(questions: DataFrame, path: str, strategies: list[str] = STRATEGIES, methods: list[str] = METHODS, settings: Settings = DEFAULTS, embedder=None, approximate: bool = False) -> DataFrame:
     """(question_id, chunking_strategy, retrieval_method, chunk_id, score, rank) of the written indexes.
 
     questions: (question_id, question, ...). Each strategy's sparse and dense lists are made once and fused from there.
+    approximate: the dense lists come from the lists of vectors that a question visits, not from all.
     """
     spark, key, qkey, k = questions.sparkSession, store.KEY, "question_id", settings.top_k
     asked = staged(store.vectors(questions, qkey, "question", settings.embedding_dim, embedder).join(questions.select(qkey, "question"), qkey), "questions")
@@ -36,7 +38,7 @@ def all_hits(questions: DataFrame, path: str, strategies: list[str] = STRATEGIES
         index, vectors = store.read(spark, path, strategy)
         lists = {
             "sparse": staged(retrieval.sparse_search(asked, index, qkey, "question", key, k, settings), "sparse"),
-            "dense": staged(retrieval.dense(asked, vectors, qkey, "vector", key, "vector", k), "dense"),
+            "dense": staged(V.search(asked, vectors, store.centres(spark, path, strategy), qkey, "vector", key, k) if approximate else retrieval.dense(asked, vectors, qkey, "vector", key, "vector", k), "dense"),
         }
         lists["hybrid"] = retrieval.hybrid(lists["sparse"], lists["dense"], qkey, key, k, settings.rrf_k)
         for method in methods:

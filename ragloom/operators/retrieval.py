@@ -75,9 +75,10 @@ def counted(chunks: DataFrame, key: str, text: str, batch: int = 0) -> DataFrame
     return made.select(key, block.alias("block"), (F.col("at") % SIZE).cast("int").alias("pos"), "dl", "terms", "tfs")
 
 
-def indexed(rows: DataFrame, key: str) -> Index:
-    """The index of a table of counted() chunks."""
+def indexed(rows: DataFrame, key: str, only: DataFrame | None = None) -> Index:
+    """The index of a table of counted() chunks; only: (term) that blocks are made of, if not all."""
     pairs = rows.select("block", "pos", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "block", "pos", F.col("p.tfs").alias("tf"), "dl")
+    pairs = pairs if only is None else pairs.join(only, "term", "left_semi")
     packed = pairs.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "tf"))).alias("p"), F.max("tf").alias("most"), F.min("dl").alias("least"))
     blocks = packed.select("term", "block", F.col("p.pos").alias("pos"), F.col("p.tf").alias("tfs"), "most", "least")
     terms = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -85,9 +86,10 @@ def indexed(rows: DataFrame, key: str) -> Index:
     return Index(blocks, terms, whole.select("block", F.col("c.k").alias("keys"), F.col("c.dl").alias("dls")))
 
 
-def build(chunks: DataFrame, key: str, text: str) -> Index:
-    """The index of chunks for one call; their counts are staged."""
-    return indexed(staged(counted(chunks, key, text), "counted"), key)
+def build(chunks: DataFrame, key: str, text: str, only: DataFrame | None = None) -> Index:
+    """The index of chunks for one call, in staged tables."""
+    made = indexed(staged(counted(chunks, key, text), "counted"), key, only)
+    return Index(*[staged(table, name) for name, table in made._asdict().items()])
 
 
 def index_stats(chunks: DataFrame, strategy: str = "strategy", source: str = "source_id", text: str = "text") -> DataFrame:
@@ -107,8 +109,9 @@ def stats_of(chunks: DataFrame, strategies: list[str], model: str, **columns: st
 
 
 def sparse(questions: DataFrame, chunks: DataFrame, qkey: str, qtext: str, key: str, text: str, k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS) -> DataFrame:
-    """(qkey, key, score, rank): BM25 top-k over chunks, whose index is built for this call."""
-    return sparse_search(questions, build(chunks, key, text), qkey, qtext, key, k, settings)
+    """(qkey, key, score, rank): BM25 top-k over chunks, whose index is built for this call, of the questions' terms."""
+    asked = questions.select(F.explode(T.tokens(F.col(qtext))).alias("term")).distinct()
+    return sparse_search(questions, build(chunks, key, text, asked), qkey, qtext, key, k, settings)
 
 
 def sparse_search(questions: DataFrame, index: Index, qkey: str, qtext: str, key: str, k: int = DEFAULTS.top_k, settings: Settings = DEFAULTS) -> DataFrame:

@@ -12,9 +12,15 @@ from ragloom.config import DEFAULTS, Settings
 from ragloom.sources.staging import staged
 
 
-def hash_sample(frame: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The n rows whose md5(seed:key) is smallest: a top-n, independent of partitioning."""
-    return frame.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy("h", key).limit(n)
+def _free(frame: DataFrame, out: str) -> None:
+    if out in frame.columns:
+        raise ValueError(f"column {out!r} exists; name another by out")
+
+
+def hash_sample(frame: DataFrame, key: str, n: int, seed: int = 42, out: str = "h") -> DataFrame:
+    """The n rows whose md5(seed:key) is smallest, with it: a top-n, independent of partitioning. frame has no column `out`."""
+    _free(frame, out)
+    return frame.withColumn(out, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).orderBy(out, key).limit(n)
 
 
 def ordinals(frame: DataFrame, order: str, passes: Column | None = None) -> DataFrame:
@@ -54,13 +60,14 @@ def hash_slot(seen: Column, n: int, seed: int = 42) -> Column:
     return F.when(seen <= n, seen - 1).when(draw < n, draw).cast("int")
 
 
-def reservoir_sample(frame: DataFrame, order: str, n: int, seed: int = 42, numbers: DataFrame | None = None, sequential: bool = True) -> DataFrame:
+def reservoir_sample(frame: DataFrame, order: str, n: int, seed: int = 42, numbers: DataFrame | None = None, sequential: bool = False, out: str = "slot") -> DataFrame:
     """The reservoir's rows and their slots; ValueError if there are fewer than n.
 
-    A slot keeps the last row that drew it. With sequential draws, which reproduce a seeded generator, the driver draws
-    one number a row and only the n survivors leave it; otherwise draws are hashes of the rows' numbers and all is
-    distributed. numbers: (order, seen), if not all rows take part.
+    A slot keeps the last row that drew it. Draws are hashes of the rows' numbers, so all is distributed. With sequential
+    draws, which reproduce a seeded generator, the driver draws one number a row and only the n survivors leave it: a
+    loop over all rows, for small inputs. numbers: (order, seen), if not all rows take part. frame has no column `out`.
     """
+    _free(frame, out)
     own = numbers if numbers is not None else ordinals(frame, order).select(order, "seen")
     total = own.count()
     if total < n:
@@ -71,4 +78,4 @@ def reservoir_sample(frame: DataFrame, order: str, n: int, seed: int = 42, numbe
     else:
         drawn = own.withColumn("slot", hash_slot(F.col("seen"), n, seed)).where("slot is not null")
         kept = drawn.groupBy("slot").agg(F.max_by(order, "seen").alias(order))
-    return frame.join(F.broadcast(kept), order)
+    return frame.join(F.broadcast(kept.withColumnRenamed("slot", out)), order)  # n rows

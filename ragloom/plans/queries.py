@@ -198,13 +198,13 @@ def q_sample_hash(spark, sf_dir):
 @query()
 def q_sample_reservoir(spark, sf_dir):
     """Sequential draws of a seeded generator, which SQL cannot express; a test holds them against the plain loop."""
-    return sampling.reservoir_sample(read(spark, sf_dir, "documents"), "doc_id", 100).select("doc_id", "slot")
+    return sampling.reservoir_sample(read(spark, sf_dir, "documents"), "doc_id", 100, sequential=True).select("doc_id", "slot")
 
 
 @query("with n as (select doc_id, row_number() over (order by doc_id) as seen from documents), d as (select *, case when seen <= 100 then seen - 1 else ('0x' || substr(md5('42:' || seen::varchar), 1, 15))::bigint % seen end as slot from n) select slot::int as slot, max_by(doc_id, seen) as doc_id from d where slot < 100 group by slot")
 def q_sample_reservoir_hash(spark, sf_dir):
     """The same reservoir with draws by hash: distributed, no loop on the driver."""
-    return sampling.reservoir_sample(read(spark, sf_dir, "documents"), "doc_id", 100, sequential=False).select("doc_id", "slot")
+    return sampling.reservoir_sample(read(spark, sf_dir, "documents"), "doc_id", 100).select("doc_id", "slot")
 
 
 @query("with n as (select doc_id, row_number() over (order by doc_id) as scanned, length(text) > 200 as ok from documents), m as (select *, sum(ok::int) over (order by doc_id) as seen from n) select doc_id, seen::bigint as seen from m where ok and scanned <= 150 and seen <= 100")

@@ -62,7 +62,7 @@ def test_reservoir_equals_sequential_draw(spark):
             slots.append(seen - 1)
         elif (j := rng.randint(1, seen)) <= 20:
             slots[j - 1] = seen - 1
-    got = sampling.reservoir_sample(spark.range(500).repartition(7), "id", 20).collect()
+    got = sampling.reservoir_sample(spark.range(500).repartition(7), "id", 20, sequential=True).collect()
     assert [r.id for r in sorted(got, key=lambda r: r.slot)] == slots
     with pytest.raises(ValueError):
         sampling.reservoir_sample(spark.range(3), "id", 20)
@@ -126,7 +126,7 @@ def test_providers(spark):
     assert P.safe_json('```json\n{"a": 1}\n```') == {"a": 1} and P.safe_json("x", 5) == 5
     frame = spark.createDataFrame([(" yes ",), ("YES.",), (None,)], "a string")
     assert [r[0] for r in frame.select(P.parse_judgement(frame.a)).collect()] == [True, False, False]
-    got = P.ask(frame, T.normalize_ws(frame.a), lambda: lambda prompts: [str(p).upper() for p in prompts]).collect()
+    got = P.ask(frame, T.normalize_ws(frame.a), lambda: lambda prompts: [str(p).upper() for p in prompts]).where("a = ' yes '").collect()
     assert got[0].answer == "YES" and got[0].status == "ok"
 
 

@@ -200,7 +200,7 @@ def test_trained_sentences(spark):
     got = sentences.with_sentences(frame.limit(20).unionByName(spark.createDataFrame([(-1, None)], "id int, text string")), "text", model).collect()
     assert all(r.sentences == sentences.plain_sentences(r.text, model) for r in got)
     empty = sentences.train(frame.where("false"), "text")
-    assert not empty.abbreviations and sentences.plain_sentences("A b. C d.", empty) == ["A b.", "C d."]
+    assert not empty.abbreviations and sentences.plain_sentences("A bo. C do.", empty) == ["A bo.", "C do."]
 
 
 def test_bad_lines_are_kept_and_gzip_is_dealt_out(spark, tmp_path):
@@ -229,3 +229,33 @@ def test_names_that_clash(spark):
         settings = Settings(chunk_tokens=10, overlap_tokens=2)
         assert chunking.heuristic_chunks(own, key, "text", settings).count() == chunking.heuristic_chunks(own, key, "text", settings, make_count=lambda: lambda s: len(s.split())).count() > 2
         assert chunking.token_windows(own, key, "text", 10, 2).count() > 2
+
+
+def test_environment_is_checked(spark, tmp_path):
+    from ragloom import __main__ as runner
+
+    out = str(tmp_path / "out")
+    with pytest.raises(SystemExit, match="cleaned"):
+        runner.main(["--out", out, "--step", "2"], spark)
+    with pytest.raises(SystemExit, match="unknown"):
+        runner.check_providers({"other": list})
+
+    def broken():
+        raise RuntimeError("no key")
+
+    with pytest.raises(SystemExit, match="no key"):
+        runner.check_providers({"judge": broken})
+    runner.check_providers({"judge": lambda: lambda prompts: ["YES"] * len(prompts), "embedder": lambda: lambda texts: [[1.0]] * len(texts)})
+
+
+def test_sampling_names_that_clash(spark):
+    from ragloom.operators import sampling
+
+    frame = spark.range(30).withColumn("h", F.lit(1)).withColumn("slot", F.lit(2))
+    with pytest.raises(ValueError, match="'h'"):
+        sampling.hash_sample(frame, "id", 3)
+    with pytest.raises(ValueError, match="'slot'"):
+        sampling.reservoir_sample(frame, "id", 3)
+    got = sampling.reservoir_sample(frame, "id", 3, out="place").collect()
+    assert sorted(r.place for r in got) == [0, 1, 2] and {r.slot for r in got} == {2}
+    assert sampling.hash_sample(frame, "id", 3, out="mark").count() == 3
