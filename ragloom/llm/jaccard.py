@@ -65,7 +65,7 @@ def first_places(n: int, percent: int) -> tuple[int, int]:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word, 42)
         return h

@@ -1,7 +1,8 @@
 """Language identification by cross-parsing against suffix automata.
 
-For each language a suffix automaton is built over a bounded sample of labelled text (TRAIN_CHARS characters, excerpts
-of at most SAMPLE_CHARS characters, each from its document's first letter on, in the order of a hash of their ids). A text is parsed greedily into
+For each language, of the LANGUAGES with the most labelled documents, a suffix automaton is built over a bounded sample of
+labelled text (TRAIN_CHARS characters, excerpts of at most SAMPLE_CHARS characters, each from its document's first letter
+on, in the order of a hash of their ids). A text is parsed greedily into
 the longest phrases that occur in the sample; few phrases mean that the sample predicts the text well. Phrase counts
 are normalised to bits per character, phrases x log2(sample length) / text length; the lowest wins, ties go to the
 smaller language name.
@@ -39,6 +40,7 @@ from ragloom.llm import work
 TRAIN_CHARS = 40_000
 SAMPLE_CHARS = 8_192
 SAMPLE_DOCS = 200
+LANGUAGES = 128  # that are learned: those with the most labelled documents
 SPARE = 4  # times TRAIN_CHARS that may reach the driver for a language, since repeated excerpts are left out there
 SEGMENT = 512
 JUDGED, LOOSE = 200, 2.0
@@ -56,8 +58,10 @@ def lettered(text: str | None) -> bool:
 
 
 def training_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
-    """Labelled text by language, at most TRAIN_CHARS characters each: the bounded sample that the models learn from."""
-    own = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("k"), F.xxhash64(key, text).alias("h"), F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS - 1}}}", 0).alias("t"), F.col(lang).alias("lang"))
+    """Labelled text by language, at most TRAIN_CHARS characters each of LANGUAGES: the bounded sample that the models learn from."""
+    told = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(key)))
+    many = F.broadcast(told.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__lang").limit(LANGUAGES))
+    own = told.join(many, told[lang] == many["__lang"], "left_semi").select(F.col(key).alias("k"), F.xxhash64(key, text).alias("h"), F.regexp_extract(text, rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS - 1}}}", 0).alias("t"), F.col(lang).alias("lang"))
     usable = own.where("t <> ''")
     first = Window.partitionBy("lang").orderBy("h", "k")
     chosen = usable.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)

@@ -782,3 +782,13 @@ def test_tables_go_when_results_are_read(spark, docs):
     with work.until_read(spark):
         assert similar.near_duplicates(few).count() == spans.span_report(few).count() == few.count()
     assert set(os.listdir(folder)) == before
+
+
+def test_op6_learns_a_bounded_number_of_languages(spark, monkeypatch):
+    """A dirty lang column: the languages with the most labelled documents are learned, by name where these are as many."""
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    rows = [(k, f"word{k % 5} text of language l{k % 5}", f"l{k % 5}") for k in range(100)] + [(1000 + k, "a stray text", f"x{k}") for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = set(language.training_sample(frame))
+    counts = Counter(r.lang for r in frame.where(~language.held_out(F.col("doc_id"))).collect())
+    assert learned == set(sorted(counts, key=lambda n: (-counts[n], n))[:3])
