@@ -30,7 +30,7 @@ from pyspark.sql import Window
 
 from ragloom.llm import work
 
-ITEMS, BLOCK, PILOT = 1024, 1 << 17, 64
+ITEMS, BLOCK, PILOT = 1024, 1 << 15, 64
 #: Bytes that no term holds become spaces, A-Z become a-z.
 FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 LAST = (1 << 63) - 1
