@@ -27,6 +27,7 @@ from ragloom.sources.staging import staged
 
 SIZE = 1024  # chunks of a block of the sparse index
 FIRST = 2  # blocks of a question that are searched before the others
+FEW = 32  # blocks that are all searched at once: bounds would cost more than they save
 ROWS, QUESTIONS = 8192, 1024  # of a block of a search
 
 
@@ -119,7 +120,7 @@ def sparse_search(questions: DataFrame, index: Index, qkey: str, qtext: str, key
 
     Questions are answered in blocks of QUESTIONS, whose terms and weights every task holds.
     """
-    total = index.chunks.agg(F.sum(F.size("keys")).cast("double").alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, d: s + d)).alias("l")).first()
+    total = index.chunks.agg(F.count("*").alias("blocks"), F.sum(F.size("keys")).cast("double").alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, d: s + d)).alias("l")).first()
     n, mean = total["n"] or 0.0, (total["l"] or 0) / total["n"] if total["l"] else 1.0
     asked = questions.select(F.col(qkey).alias("q"), F.explode(T.tokens(F.col(qtext))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qf"))
     idf = inverse_frequencies(index.terms, F.lit(n), settings.bm25_epsilon)
@@ -128,7 +129,7 @@ def sparse_search(questions: DataFrame, index: Index, qkey: str, qtext: str, key
     found = None
     for part in range(parts):
         own = weights if parts == 1 else weights.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part)
-        made = searched(own, index, qkey, key, questions.schema[qkey].dataType.simpleString(), k, mean, settings)
+        made = searched(own, index, qkey, key, questions.schema[qkey].dataType.simpleString(), k, mean, settings, total["blocks"] <= FEW)
         found = made if found is None else found.unionByName(made)
     found = staged(found, "sparse")
     best = found.where("score > 0").groupBy(qkey).agg(F.count("*").alias("n"))
@@ -140,19 +141,18 @@ def sparse_search(questions: DataFrame, index: Index, qkey: str, qtext: str, key
     return ranked(filled.select(qkey, key, F.coalesce("s", F.lit(0.0)).alias("score")), qkey, key, k)
 
 
-def searched(weights: DataFrame, index: Index, qkey: str, key: str, kind: str, k: int, mean: float, settings: Settings) -> DataFrame:
-    """(qkey, key, score): what blocks that may hold one of a question's k best return. weights: (q, term, w) of one block of questions."""
+def searched(weights: DataFrame, index: Index, qkey: str, key: str, kind: str, k: int, mean: float, settings: Settings, whole: bool = False) -> DataFrame:
+    """(qkey, key, score): what blocks that may hold one of a question's k best return, or all blocks (whole).
+
+    weights: (q, term, w) of one block of questions.
+    """
     k1, b, spark = settings.bm25_k1, settings.bm25_b, weights.sparkSession
     held: dict[str, list] = {}
     numbers: dict = {}
     for r in weights.collect():  # the terms of QUESTIONS questions
         held.setdefault(r["term"], []).append((numbers.setdefault(r["q"], len(numbers)), r["w"]))
     told = spark.sparkContext.broadcast((held, list(numbers)))
-    share = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
     terms = weights.select("term").distinct()
-    bounds = index.blocks.select("term", "block", "most", "least").join(weights, "term")
-    bounds = staged(bounds.groupBy("q", "block").agg((F.sum(F.greatest("w", F.lit(0.0)) * share(F.col("most"), F.col("least"))) + 2e-6).alias("bound")), "bounds")
-    placed = bounds.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "block")))
     key_kind = index.chunks.schema["keys"].dataType.elementType.simpleString()
 
     def meet(posted: pa.Table, asking: pa.Table) -> pa.Table:
@@ -184,12 +184,23 @@ def searched(weights: DataFrame, index: Index, qkey: str, key: str, kind: str, k
         qs, at = np.concatenate(qs), np.concatenate(at)
         return pa.table([pc.take(row.column("qs").combine_chunks()[0].values, pa.array(qs, pa.int64())), pc.take(keys, pa.array(at, pa.int64())), pa.array(scores[qs, at])], names=[qkey, key, "score"])
 
-    def answered(pairs: DataFrame) -> DataFrame:
-        asking = pairs.groupBy("block").agg(F.collect_list("q").alias("qs")).join(index.chunks, "block")
-        posted = index.blocks.select("term", "block", "pos", "tfs").join(terms, "term", "left_semi").join(pairs.select("block").distinct(), "block", "left_semi")
+    def answered(pairs: DataFrame | None) -> DataFrame:
+        """What the blocks return to the questions that ask them: pairs (q, block), or all of both."""
+        posted = index.blocks.select("term", "block", "pos", "tfs").join(terms, "term", "left_semi")
+        if pairs is None:
+            asking = index.chunks.withColumn("qs", weights.agg(F.collect_set("q")).scalar())  # QUESTIONS at most
+        else:
+            asking = pairs.groupBy("block").agg(F.collect_list("q").alias("qs")).join(index.chunks, "block")
+            posted = posted.join(pairs.select("block").distinct(), "block", "left_semi")
         met = posted.groupBy("block").cogroup(asking.groupBy("block")).applyInArrow(meet, f"`{qkey}` {kind}, `{key}` {key_kind}, score double")
         return met.withColumn("score", F.round("score", 6))
 
+    if whole:
+        return answered(None)
+    share = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+    bounds = index.blocks.select("term", "block", "most", "least").join(weights, "term")
+    bounds = staged(bounds.groupBy("q", "block").agg((F.sum(F.greatest("w", F.lit(0.0)) * share(F.col("most"), F.col("least"))) + 2e-6).alias("bound")), "bounds")
+    placed = bounds.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "block")))
     first = placed.where(F.col("place") <= FIRST).select("q", "block")
     rest = placed.where(F.col("place") > FIRST)
     if rest.isEmpty():

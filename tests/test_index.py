@@ -40,6 +40,7 @@ def brute(docs, asked, k=10, k1=1.5, b=0.75, epsilon=0.25):
 def test_sparse_blocks_equal_brute_force(spark, monkeypatch, size):
     """Small blocks, so that most of them are left out by their bounds; ties and empty texts among the chunks."""
     monkeypatch.setattr(retrieval, "SIZE", size)
+    monkeypatch.setattr(retrieval, "FEW", 0)
     rng = np.random.default_rng(4)
     words = np.array([f"t{k}" for k in range(60)])
     docs = [(k, " ".join(words[(rng.zipf(1.4, int(rng.integers(1, 30))) - 1) % 60])) for k in range(150)] + [(200, ""), (201, None), (202, "t1 t2"), (203, "t1 t2")]
@@ -59,6 +60,7 @@ def test_questions_in_several_blocks(spark, monkeypatch):
 def test_bounds_leave_blocks_out(spark, monkeypatch):
     """Blocks return at most 2 k rows a question, and those whose bound is too low are not read."""
     monkeypatch.setattr(retrieval, "SIZE", 10)
+    monkeypatch.setattr(retrieval, "FEW", 0)
     docs = [(k, "rare " * 5 + "x" if k < 20 else f"rare {' '.join(f'w{j}' for j in range(k % 9 + 20))}") for k in range(400)] + [(1000 + k, f"filler{k}") for k in range(500)]
     seen = []
     made = retrieval.searched
