@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from ragloom.config import DEFAULTS, Settings
 from ragloom.functions import providers as P
 from ragloom.functions import text as T
+from ragloom.sources.staging import spread
 
 HEAD, BODY = "\u0001", "\u0002"
 MAX_GROUP = 15
@@ -141,6 +142,7 @@ def heuristic_chunks(frame: DataFrame, key: str, text: str, settings: Settings =
     parts: an array column of sentences, for example of a trained splitter; by default they end at . ! or ?.
     """
     size, overlap = settings.chunk_tokens, settings.overlap_tokens
+    frame = spread(frame.select(key, text) if parts is None else frame, key)
     sentences = F.transform(T.sentences(F.col(text)) if parts is None else parts, lambda s: F.trim(F.translate(s, "\n", " ")))
     if make_count is None:
         words = F.transform(sentences, lambda s: F.filter(F.split(s, " "), lambda w: w != ""))
@@ -174,7 +176,7 @@ def semantic_chunks(frame: DataFrame, key: str, text: str, settings: Settings =
     embedder: makes another embedding.
     """
     size = settings.window_sentences
-    sections = split_headers(frame, key, text).where("body <> ''")
+    sections = split_headers(spread(frame.select(key, text), key), key, text).where("body <> ''")
     own = sections.withColumn("m", merged_short(T.sentences(F.col("body")), settings.min_sentence_chars))
     own = own.withColumn("windows", windowed(F.col("m"), size))
     if embedder is None:
@@ -214,7 +216,7 @@ def agentic_chunks(frame: DataFrame, key: str, text: str, status: Column | None
     one is "Single Topic". Documents whose status is not `ok`, or one of whose answers failed or was not of the asked
     form, become one chunk with the whole text.
     """
-    own = frame.select(key, F.col(text).alias("__t"), (F.lit("ok") if status is None else status).alias("__s"))
+    own = spread(frame, key).select(key, F.col(text).alias("__t"), (F.lit("ok") if status is None else status).alias("__s"))
     sections = macro_split(own.where("__s = 'ok'"), key, "__t")
     if propose is None:
         listed = sections.select(key, "section", P.propositions(F.col("text")).alias("props"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ragloom.config import DEFAULTS, Settings
 from ragloom.functions import text as T
 from ragloom.functions.markdown import markdown
+from ragloom.sources.staging import spread
 
 # The patterns that results must follow, in the order in which they apply.
 NAVIGATION = r"(?dim)^(?:Jump to :|For other uses ,|Not to be confused with).*?$"
@@ -56,7 +57,7 @@ def html_to_markdown(frame: DataFrame, key: str, html: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(h or "") for h in b.column(1).to_pylist()], pa.string())], names=[key, "markdown"])
 
     fixed = F.regexp_replace(F.col(html), CELL_SPAN, '<$1 colspan="$2">')
-    own = frame.select(key, fixed.alias("html"))
+    own = spread(frame.select(key, html), key).select(key, fixed.alias("html"))
     return own.mapInArrow(run, f"{key} {frame.schema[key].dataType.simpleString()}, markdown string")
 
 

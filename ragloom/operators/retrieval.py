@@ -23,7 +23,7 @@ from pyspark.sql import Window
 
 from ragloom.config import DEFAULTS, Settings
 from ragloom.functions import text as T
-from ragloom.sources.staging import staged
+from ragloom.sources.staging import spread, staged
 
 SIZE = 1024  # chunks of a block of the sparse index
 FIRST = 2  # blocks of a question that are searched before the others
@@ -70,10 +70,11 @@ def counted(chunks: DataFrame, key: str, text: str, batch: int = 0) -> DataFrame
             )
 
     at = F.monotonically_increasing_id()
-    own = chunks.select(key, F.lower(text).cast("binary").alias("t")).sortWithinPartitions(key).withColumn("at", at)
+    own = spread(chunks.select(key, text), key, ranges=True).select(key, F.lower(text).cast("binary").alias("t")).sortWithinPartitions(key).withColumn("at", at)
     made = own.mapInArrow(run, f"`{key}` {chunks.schema[key].dataType.simpleString()}, at long, dl int, terms array<string>, tfs array<int>")
-    block = F.lit(batch << 44) + F.shiftleft(F.shiftright("at", 33), 20) + (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / SIZE).cast("long")
-    return made.select(key, block.alias("block"), (F.col("at") % SIZE).cast("int").alias("pos"), "dl", "terms", "tfs")
+    row = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # within the partition
+    block = F.lit(batch << 44) + F.shiftleft(F.shiftright("at", 33), 20) + (row / SIZE).cast("long")
+    return made.select(key, block.alias("block"), (row % SIZE).cast("int").alias("pos"), "dl", "terms", "tfs")
 
 
 def indexed(rows: DataFrame, key: str, only: DataFrame | None = None) -> Index:

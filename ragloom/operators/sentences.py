@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.sources.staging import staged
+from ragloom.sources.staging import spread, staged
 
 MOST = 100_000
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0  # least scores
@@ -52,7 +52,7 @@ def token_pairs(texts: DataFrame, text: str) -> DataFrame:
     """(type, dot, mark, next, up, n): counts of neighbouring tokens. mark: what may end a sentence; up: case of the next, null if none."""
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     both = F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.get(ws, i + 1).alias("n"))))[0]
-    rows = texts.select(F.explode(both).alias("p")).select("p.w", "p.n")
+    rows = spread(texts.select(text)).select(F.explode(both).alias("p")).select("p.w", "p.n")
     mark = F.regexp_extract("w", rf"({ENDING})$", 1)
     first = F.substring(bare(F.col("n")), 1, 1)
     up = F.when(F.rlike(first, F.lit(r"\p{Lu}")), True).when(F.rlike(first, F.lit(r"\p{Ll}")), False)
@@ -170,4 +170,4 @@ def with_sentences(frame: DataFrame, text: str, model: Model, out: str = "senten
             yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, out])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return frame.mapInArrow(run, f"{kept}, `{out}` array<string>")
+    return spread(frame).mapInArrow(run, f"{kept}, `{out}` array<string>")

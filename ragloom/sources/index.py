@@ -15,7 +15,7 @@ from ragloom.config import DEFAULTS, Settings
 from ragloom.functions import providers as P
 from ragloom.operators import retrieval
 from ragloom.operators import vectors as V
-from ragloom.sources.staging import delete, exists, length, scope, staged
+from ragloom.sources.staging import delete, exists, length, scope, spread, staged
 
 KEY = "chunk_id"
 TABLES = ("chunks", "counted", "blocks", "terms", "members", "vectors", "centres")
@@ -59,7 +59,7 @@ def add(chunks: DataFrame, path: str, strategy: str, batch: int, settings: Setti
 
 def vectors(frame: DataFrame, key: str, text: str, dim: int, embedder=None) -> DataFrame:
     """(key, vector) of every text; a failed embedding is null."""
-    own = frame.select(key, F.array(text).alias("__t"))
+    own = spread(frame.select(key, text), key).select(key, F.array(text).alias("__t"))
     made = P.hashed_vectors(own, "__t", dim) if embedder is None else P.embed(own, "__t", embedder)
     return made.select(key, F.get("vectors", F.lit(0)).alias("vector"))
 

@@ -33,6 +33,17 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def spread(frame: DataFrame, *by: str, ranges: bool = False) -> DataFrame:
+    """frame dealt out by columns, or ranges of them, to the session's tasks where it comes from fewer files, which few tasks would read.
+
+    Large inputs have more files than the session has tasks, and stay as they are: no shuffle.
+    """
+    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    if len(frame.inputFiles()) >= tasks:
+        return frame
+    return frame.repartitionByRange(tasks, *by) if ranges else frame.repartition(tasks, *by)
+
+
 def staged(frame: DataFrame, tag: str) -> DataFrame:
     """frame written as Parquet and read again: computed once, and safe from lost executors."""
     path = new_path(frame.sparkSession, tag)
