@@ -74,7 +74,7 @@ def edited_groups(seed):
     return rows
 
 
-@pytest.mark.parametrize("knobs", [{}, {"common": 2}, {"common": 2, "reserve": 0.01, "boundary": 0}, {"boundary": 14, "common": 4, "needed": 0}])
+@pytest.mark.parametrize("knobs", [{}, {"common": 2, "reserve": 0.01, "boundary": 0}, {"boundary": 14, "common": 4, "needed": 0}])
 def test_op11_equals_brute_force(spark, knobs):
     rows = edited_groups(7)
     got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **knobs).collect()
