@@ -43,12 +43,12 @@ def html_to_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^\s+|\s+$", "")
 
 
-def html_to_markdown(frame: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, markdown); html that cannot be parsed comes back unchanged."""
+def html_to_markdown(frame: DataFrame, key: str, html: str, bare: bool = True) -> DataFrame:
+    """(key, markdown); html that cannot be parsed comes back unchanged. bare: as of markdown()."""
 
     def one(source):
         try:
-            return markdown(source)
+            return markdown(source, bare)
         except Exception:  # noqa: BLE001
             return source
 
@@ -61,9 +61,9 @@ def html_to_markdown(frame: DataFrame, key: str, html: str) -> DataFrame:
     return own.mapInArrow(run, f"{key} {frame.schema[key].dataType.simpleString()}, markdown string")
 
 
-def process_documents(frame: DataFrame, key: str, html: str) -> DataFrame:
+def process_documents(frame: DataFrame, key: str, html: str, bare: bool = True) -> DataFrame:
     """Markdown, then cleaning: (key, document_text)."""
-    return html_to_markdown(frame, key, html).select(key, T.normalize_ws(clean_text(F.col("markdown"))).alias("document_text"))
+    return html_to_markdown(frame, key, html, bare).select(key, T.normalize_ws(clean_text(F.col("markdown"))).alias("document_text"))
 
 
 def count_answers(annotations: Column) -> Column:
