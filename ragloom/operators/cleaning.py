@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ragloom.config import DEFAULTS, Settings
 from ragloom.functions import text as T
 from ragloom.functions.markdown import markdown
-from ragloom.sources.staging import spread
+from ragloom.sources.staging import pieces, spread
 
 # The patterns that results must follow, in the order in which they apply.
 NAVIGATION = r"(?dim)^(?:Jump to :|For other uses ,|Not to be confused with).*?$"
@@ -53,7 +53,7 @@ def html_to_markdown(frame: DataFrame, key: str, html: str, bare: bool = True) -
             return source
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(h or "") for h in b.column(1).to_pylist()], pa.string())], names=[key, "markdown"])
 
     fixed = F.regexp_replace(F.col(html), CELL_SPAN, '<$1 colspan="$2">')

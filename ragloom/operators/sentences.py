@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.sources.staging import spread, staged
+from ragloom.sources.staging import pieces, spread, staged
 
 MOST = 100_000
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0  # least scores
@@ -164,7 +164,7 @@ def with_sentences(frame: DataFrame, text: str, model: Model, out: str = "senten
     held = frame.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts):
             texts = part.column(part.schema.get_field_index(text)).to_pylist()
             made = pa.array([plain_sentences(t, held.value) for t in texts], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, out])
