@@ -49,15 +49,25 @@ def type_of(token: Column) -> Column:
 
 
 def token_pairs(texts: DataFrame, text: str) -> DataFrame:
-    """(type, dot, mark, next, up, n): counts of neighbouring tokens. mark: what may end a sentence; up: case of the next, null if none."""
+    """(type, dot, mark, next, up, n): counts of neighbouring tokens. mark: what may end a sentence; up: case of the next, null if none.
+
+    Neighbours are counted as they are written, so that each different pair is taken apart once.
+    """
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     both = F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.get(ws, i + 1).alias("n"))))[0]
-    rows = spread(texts.select(text)).select(F.explode(both).alias("p")).select("p.w", "p.n")
+    rows = spread(texts.select(text)).select(F.explode(both).alias("p")).groupBy(F.col("p.w").alias("w"), F.col("p.n").alias("n")).agg(F.count("*").alias("c"))
     mark = F.regexp_extract("w", rf"({ENDING})$", 1)
     first = F.substring(bare(F.col("n")), 1, 1)
     up = F.when(F.rlike(first, F.lit(r"\p{Lu}")), True).when(F.rlike(first, F.lit(r"\p{Ll}")), False)
-    own = rows.select(type_of(F.col("w")).alias("type"), F.endswith(bare(F.col("w")), F.lit(".")).alias("dot"), F.substring(mark, 1, 1).alias("mark"), type_of(F.col("n")).alias("next"), up.alias("up"))
-    return own.where(F.rlike("type", F.lit(r"[\p{L}\p{N}#]"))).groupBy("type", "dot", "mark", "next", "up").agg(F.count("*").alias("n"))
+    own = rows.select(type_of(F.col("w")).alias("type"), F.endswith(bare(F.col("w")), F.lit(".")).alias("dot"), F.substring(mark, 1, 1).alias("mark"), type_of(F.col("n")).alias("next"), up.alias("up"), "c")
+    return own.where(F.rlike("type", F.lit(r"[\p{L}\p{N}#]"))).groupBy("type", "dot", "mark", "next", "up").agg(F.sum("c").alias("n"))
+
+
+def token_counts(texts: DataFrame, text: str) -> DataFrame:
+    """(type, dot, n): counts of tokens without their neighbours, all that abbreviation_scores asks for; a staged table."""
+    words = spread(texts.select(text)).select(F.explode(F.split(F.col(text), r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("c"))
+    own = words.select(type_of(F.col("w")).alias("type"), F.endswith(bare(F.col("w")), F.lit(".")).alias("dot"), "c")
+    return staged(own.where(F.rlike("type", F.lit(r"[\p{L}\p{N}#]"))).groupBy("type", "dot").agg(F.sum("c").alias("n")), "tokens")
 
 
 def likelihood(a: Column, b: Column, ab: Column, n: Column) -> Column:

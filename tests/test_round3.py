@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ragloom.functions import providers as P
 from ragloom.functions.markdown import markdown
 from ragloom.llm import ann
-from ragloom.operators import retrieval, vectors
+from ragloom.operators import retrieval, sentences, vectors
 from ragloom.plans import queries as core
 
 
@@ -49,3 +49,14 @@ def test_python_steps_hold_few_rows_of_a_large_batch(spark, monkeypatch):
     for run, columns in zip(ran, given, strict=True):
         out = list(run(iter([pa.RecordBatch.from_arrays(columns, names=["id", "v", "at"][: len(columns)])])))
         assert max(b.num_rows for b in out) <= 256 and [k for b in out for k in b.column(0).to_pylist()] == list(range(n))
+
+
+def test_sentence_abbreviations_reads_texts_once(spark, tmp_path):
+    """Tokens are counted once, as a table that the scores and both totals read; the counts are those of token_pairs."""
+    texts = ["Dr. No saw 3.5 of it, etc. (Mr. X.) No, 7. He", "He said etc. again. dr. who", "... --", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = core.q_sentence_abbreviations(spark, str(tmp_path))
+    assert not [f for f in made.inputFiles() if "documents.parquet" in f]
+    want = sentences.abbreviation_scores(sentences.token_pairs(spark.read.parquet(f"{tmp_path}/documents.parquet"), "text"))
+    got = {(r.type, r.dots, r.others) for r in made.collect()}
+    assert got == {(r.type, r.dots, r.others) for r in want.collect()} and {("dr", 2, 0), ("etc", 2, 0)} <= got
