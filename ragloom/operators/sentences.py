@@ -3,8 +3,8 @@
 The statistics are those of unsupervised multilingual boundary detection (Kiss and Strunk, 2006): a type that is nearly
 always followed by a period, and is short, is an abbreviation; a period after one ends a sentence only if what follows
 looks like a beginning. Training counts neighbouring tokens of all texts once, in one aggregation, and everything else is
-derived from those counts. The model keeps at most MOST entries of a kind, the most frequent, so that every task can hold
-it; with a smaller vocabulary nothing is left out.
+derived from those counts. Nothing that was learned is left out: every task holds a model of at most MOST entries of a kind;
+a larger one stays in tables, with which the places where texts may be cut are joined.
 
 A text is cut after . ! or ?, and closing quotes or brackets, before white space. Null and blank texts have no sentences.
 """
@@ -38,6 +38,15 @@ class Model(NamedTuple):
     places: dict[str, int]  # of types that follow a period which may not end a sentence
 
 
+class Tables(NamedTuple):
+    """A model that tasks need not hold: a staged table of each kind."""
+
+    abbreviations: DataFrame  # (type)
+    collocations: DataFrame  # (type, next)
+    starters: DataFrame  # (type)
+    places: DataFrame  # (type, places)
+
+
 def bare(token: Column) -> Column:
     return F.regexp_replace(token, EDGES, "")
 
@@ -91,16 +100,16 @@ def abbreviation_scores(pairs: DataFrame) -> DataFrame:
     return own.select("type", "dots", "others", score.alias("score"))
 
 
-def train(texts: DataFrame, text: str, most: int = MOST) -> Model:
-    """The model of all texts."""
+def train(texts: DataFrame, text: str, most: int = MOST) -> Model | Tables:
+    """The whole model of all texts; as tables if it has more than `most` entries of a kind."""
     pairs = staged(token_pairs(texts, text), "pairs")
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
-    taken = lambda frame, by, *cols: [tuple(r) for r in frame.orderBy(F.desc(by), *cols).limit(most).select(*cols).collect()]
     scores = abbreviation_scores(pairs).where(F.col("score") >= ABBREVIATION)
-    short = staged(scores.orderBy(F.desc("dots"), "type").limit(most).select("type"), "abbreviations")
+    short = staged(scores.select("type"), "abbreviations")
     known = short.withColumn("abbreviation", F.lit(True))
+    known = F.broadcast(known) if short.count() <= most else known
     initial = F.rlike("type", F.lit(r"^\p{L}$"))
-    told = pairs.join(F.broadcast(known), "type", "left").withColumn("open", F.coalesce("abbreviation", F.lit(False)) | initial | (F.col("type") == NUMBER))  # `most` rows at most
+    told = pairs.join(known, "type", "left").withColumn("open", F.coalesce("abbreviation", F.lit(False)) | initial | (F.col("type") == NUMBER))
     ends = (F.col("mark") != "") & ~(F.col("open") & (F.col("mark") == "."))
     by_type = pairs.groupBy("type").agg(F.sum("n").alias("c"))
     after = told.where(ends & F.col("next").isNotNull()).groupBy(F.col("next").alias("type")).agg(F.sum("n").alias("ab"))
@@ -110,13 +119,18 @@ def train(texts: DataFrame, text: str, most: int = MOST) -> Model:
     joined = joined.join(by_type.withColumnRenamed("c", "a"), "type").join(by_type.select(F.col("type").alias("next"), F.col("c").alias("b")), "next")
     collocations = joined.where(F.rlike("next", F.lit(r"^\p{L}"))).where((likelihood(F.col("a"), F.col("b"), F.col("ab"), total) >= COLLOCATION) & (total * F.col("ab") > F.col("a") * F.col("b")) & (F.col("ab") > 1))
     where = F.when(ends, F.when(F.col("up"), UP_BEGIN).otherwise(LOW_BEGIN)).when(F.col("mark") == "", F.when(F.col("up"), UP_WITHIN).otherwise(LOW_WITHIN))
-    seen = told.where(F.col("up").isNotNull()).select(F.col("next").alias("type"), where.alias("place"), "n").where("place is not null").groupBy("type").agg(F.bit_or("place").alias("places"), F.sum("n").alias("n"))
+    seen = told.where(F.col("up").isNotNull()).select(F.col("next").alias("type"), where.alias("place"), "n").where("place is not null").groupBy("type").agg(F.bit_or("place").alias("places"))
     wanted = told.where(F.col("open") & (F.col("mark") == ".")).select(F.col("next").alias("type")).distinct()
     places = seen.join(wanted, "type", "left_semi")
-    return Model(frozenset(r["type"] for r in short.collect()), frozenset(taken(collocations, "ab", "type", "next")), frozenset(t for (t,) in taken(starters, "ab", "type")), dict(taken(places, "n", "type", "places")))
+    made = Tables(short, staged(collocations.select("type", "next"), "collocations"), staged(starters.select("type"), "starters"), staged(places, "places"))
+    if max(table.count() for table in made) > most:
+        return made
+    rows = [[tuple(r) for r in table.collect()] for table in made]  # `most` of a kind at most
+    return Model(frozenset(t for (t,) in rows[0]), frozenset(rows[1]), frozenset(t for (t,) in rows[2]), dict(rows[3]))
 
 
 _EDGES, _DIGITS, _CANDIDATE = regex.compile(EDGES), regex.compile(DIGITS), regex.compile(rf"{ENDING}[ \t\n\x0b\f\r]+")
+_TOKEN = regex.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def plain_type(token: str) -> str:
@@ -125,15 +139,23 @@ def plain_type(token: str) -> str:
     return NUMBER if _DIGITS.match(own) else own
 
 
+def told_apart(before: str, after: str) -> tuple[str, str, str]:
+    """(own, following, first): all that a decision asks of two neighbours, their types and the first character of the second."""
+    return plain_type(before), plain_type(after), _EDGES.sub("", after)[:1]
+
+
 def ends_here(before: str, after: str, model: Model) -> bool:
     """Whether the period of the token `before` ends a sentence that `after` follows."""
-    own, following = plain_type(before), plain_type(after)
-    first = _EDGES.sub("", after)[:1]
+    own, following, first = told_apart(before, after)
     short = own in model.abbreviations or own.rsplit("-", 1)[-1] in model.abbreviations
+    return decided(own, first, short, (own, following) in model.collocations, following in model.starters, model.places.get(following, 0))
+
+
+def decided(own: str, first: str, short: bool, joined: bool, starter: bool, places: int) -> bool:
+    """The same from what the model knows of both: own is an abbreviation, both are a collocation, the second starts sentences."""
     initial, number, dots = len(own) == 1 and own.isalpha(), own == NUMBER, not regex.search(r"[\p{L}\p{N}]", own) and own != NUMBER
-    if (own, following) in model.collocations:
+    if joined:
         return False
-    places = model.places.get(following, 0)
     begins = None  # whether `after` looks like a beginning
     if not first or not (first.isalpha() or first.isdigit()):
         begins = False
@@ -142,7 +164,7 @@ def ends_here(before: str, after: str, model: Model) -> bool:
     elif first.islower() and (places & (UP_BEGIN | UP_WITHIN) or not places & LOW_BEGIN):
         begins = False
     if (short or dots) and not initial:
-        return begins is True or (first.isupper() and following in model.starters)
+        return begins is True or (first.isupper() and starter)
     if initial or number:
         if begins is False:
             return False
@@ -151,33 +173,79 @@ def ends_here(before: str, after: str, model: Model) -> bool:
     return True
 
 
-def plain_sentences(text: str | None, model: Model) -> list[str]:
-    """The sentences of one text."""
-    out, start = [], 0
-    for m in _CANDIDATE.finditer(text or ""):
+def stops(text: str) -> Iterator[tuple[int, str | None, str | None]]:
+    """(end, before, after) of each place where text may be cut; no neighbours where a mark other than a period cuts it anyway."""
+    low = 0
+    for m in _CANDIDATE.finditer(text):
         if m.end() == len(text):
             break
         if m.group()[0] == ".":
-            left = max(text.rfind(c, start, m.start()) for c in " \t\n\x0b\f\r") + 1
-            before = text[max(left, start) : m.start() + 1]
-            after = (text[m.end() : m.end() + 200].split(None, 1) or [""])[0]
-            if not ends_here(before, after, model):
-                continue
-        out.append(text[start : m.end()])
-        start = m.end()
-    out.append((text or "")[start:])
-    return [s for s in (p.strip() for p in out) if s]
-
-
-def with_sentences(frame: DataFrame, text: str, model: Model, out: str = "sentences") -> DataFrame:
+            left = max(text.rfind(c, low, m.start()) for c in " \t\n\x0b\f\r") + 1
+            yield m.end(), text[max(left, low) : m.start() + 1], _TOKEN.match(text, m.end()).group()
+        else:
+            yield m.end(), None, None
+        low = m.end()
+
+
+def cut(text: str, ends: list[int]) -> list[str]:
+    return [s for a, b in zip([0, *ends], [*ends, len(text)]) if (s := text[a:b].strip())]
+
+
+def plain_sentences(text: str | None, model: Model) -> list[str]:
+    """The sentences of one text."""
+    text = text or ""
+    return cut(text, [end for end, before, after in stops(text) if before is None or ends_here(before, after, model)])
+
+
+def held_stops(texts: DataFrame, row: str, text: str, model: Tables) -> DataFrame:
+    """(row, __held): the ends of stops that do not end a sentence. Each different pair of neighbours is decided once, by joins with the model."""
+    neighbours = ["own", "following", "first"]
+
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(parts):
+            ids = part.column(part.schema.get_field_index(row)).to_pylist()
+            made = [(k, end, *told_apart(before, after)) for k, t in zip(ids, part.column(part.schema.get_field_index(text)).to_pylist()) for end, before, after in stops(t or "") if before is not None]
+            kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([m[j] for m in made], kind) for j, kind in enumerate(kinds)], names=[row, "end", *neighbours])
+
+    def held(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(parts):
+            asked = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("own", "first", "short", "joined", "starter", "places")]
+            mine = pa.array([not decided(*values) for values in zip(*asked)], pa.bool_())
+            yield part.select(neighbours).filter(mine)
+
+    every = staged(texts.select(row, text).mapInArrow(found, f"`{row}` long, end long, own string, following string, first string"), "stops")
+    marked = lambda table, name, **keys: table.withColumnsRenamed(keys).withColumn(name, F.lit(True))
+    asked = every.select(*neighbours).distinct().withColumn("tail", F.substring_index("own", "-", -1))
+    asked = asked.join(marked(model.abbreviations, "whole", type="own"), "own", "left").join(marked(model.abbreviations, "last", type="tail"), "tail", "left")
+    asked = asked.join(marked(model.collocations, "both", type="own", next="following"), ["own", "following"], "left").join(marked(model.starters, "starts", type="following"), "following", "left")
+    asked = asked.join(model.places.withColumnRenamed("type", "following"), "following", "left")
+    known = lambda *names: F.coalesce(*names, F.lit(False))
+    asked = asked.select(*neighbours, known("whole", "last").alias("short"), known("both").alias("joined"), known("starts").alias("starter"), F.coalesce("places", F.lit(0)).cast("int").alias("places"))
+    return every.join(asked.mapInArrow(held, "own string, following string, first string"), neighbours, "left_semi").groupBy(row).agg(F.collect_list("end").alias("__held"))
+
+
+def with_sentences(frame: DataFrame, text: str, model: Model | Tables, out: str = "sentences") -> DataFrame:
     """frame with the array of every text's sentences."""
-    held = frame.sparkSession.sparkContext.broadcast(model)
+    own, whole = frame.schema, isinstance(model, Model)
+    held = frame.sparkSession.sparkContext.broadcast(model) if whole else None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(parts):
             texts = part.column(part.schema.get_field_index(text)).to_pylist()
-            made = pa.array([plain_sentences(t, held.value) for t in texts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, out])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return spread(frame).mapInArrow(run, f"{kept}, `{out}` array<string>")
+            if whole:
+                made = [plain_sentences(t, held.value) for t in texts]
+            else:
+                left = [set(ends or []) for ends in part.column(part.schema.get_field_index("__held")).to_pylist()]
+                made = [cut(t or "", [end for end, _, _ in stops(t or "") if end not in ends]) for t, ends in zip(texts, left)]
+            part = part.select(names)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(pa.string()))], names=[*names, out])
+
+    names = own.names
+    if whole:
+        rows = spread(frame)
+    else:
+        texts = staged(spread(frame).withColumn("__row", F.monotonically_increasing_id()), "texts")
+        rows = texts.join(held_stops(texts, "__row", text, model), "__row", "left")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
+    return rows.mapInArrow(run, f"{kept}, `{out}` array<string>")

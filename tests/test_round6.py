@@ -3,8 +3,9 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from ragloom.operators import experiment
+from ragloom.operators import experiment, sentences
 from ragloom.plans import queries as core
+from tests.test_providers import corpus
 
 
 def test_factorial_results_cross_strategies_with_methods(spark, tmp_path):
@@ -36,3 +37,23 @@ def test_results_keep_failed_rows(spark):
     asked = spark.createDataFrame([("1", "", "red sky", "red sky")], "question_id string, document_id string, question string, short_answer string")
     rows = experiment.results(docs, asked, generate=broken).select("generated_answer", F.size("retrieved_chunks").alias("n"), "tokens.total_tokens").collect()
     assert [tuple(r) for r in rows] == [(experiment.FAILED, 0, 0)] * 9
+
+
+def test_a_model_of_any_size_is_whole(spark):
+    """With more entries of a kind than a task may hold, none is left out: sentences are those of the model held in memory."""
+    texts = [t + f" Kon {k % 7} zeta-Inc. Bar no. {k} Foo \"a.\" Baz." for k, t in enumerate(corpus())]
+    texts += ["Bar got Acme Inc. " + "B" * 300 + ". Mar far", "Dr. Miller... J. Smith.  ", "", " . ", None, "Stone inc. x Bar? Yes! no. 1 e.g. Lat"]
+    frame = spark.createDataFrame([(k, t, k % 3) for k, t in enumerate(texts)], "id int, text string, __x int").repartition(3)
+    small, large = sentences.train(frame, "text"), sentences.train(frame, "text", most=2)
+    assert isinstance(small, sentences.Model) and isinstance(large, sentences.Tables)
+    assert {r.type for r in large.abbreviations.collect()} == small.abbreviations and {tuple(r) for r in large.collocations.collect()} == small.collocations
+    assert {r.type for r in large.starters.collect()} == small.starters and {r.type: r.places for r in large.places.collect()} == small.places
+    want = sentences.with_sentences(frame, "text", small)
+    got = sentences.with_sentences(frame, "text", large)
+    assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect()) and len(small.abbreviations) > 2
+    assert all(r.sentences == sentences.plain_sentences(r.text, small) for r in got.collect())
+
+
+def test_a_long_token_after_a_period_is_judged_whole():
+    model = sentences.Model(frozenset({"inc"}), frozenset(), frozenset({"b" * 300}), {})
+    assert sentences.plain_sentences("Acme Inc. " + "B" * 300 + " far", model) == ["Acme Inc.", "B" * 300 + " far"]
