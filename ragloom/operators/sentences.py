@@ -2,8 +2,8 @@
 
 The statistics are those of unsupervised multilingual boundary detection (Kiss and Strunk, 2006): a type that is nearly
 always followed by a period, and is short, is an abbreviation; a period after one ends a sentence only if what follows
-looks like a beginning. Training counts neighbouring tokens of all texts once, in one aggregation, and everything else is
-derived from those counts. Nothing that was learned is left out: every task holds a model of at most MOST entries of a kind;
+looks like a beginning. Training counts tokens and their neighbours of all texts once, in one aggregation, and everything
+else is derived from those counts. Nothing that was learned is left out: every task holds a model of at most MOST entries of a kind;
 a larger one stays in tables, with which the places where texts may be cut are joined.
 
 A text is cut after . ! or ?, and closing quotes or brackets, before white space. Null and blank texts have no sentences.
@@ -11,6 +11,7 @@ A text is cut after . ! or ?, and closing quotes or brackets, before white space
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from ragloom.sources.staging import pieces, spread, staged
 
 MOST = 100_000
+COUNTED = 200_000  # counts that a task holds before it gives them on
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0  # least scores
 NUMBER = "##number##"
 #: Places a type was seen in: capital first at a sentence's beginning and within, small first at the beginning and within.
@@ -65,20 +67,69 @@ def token_pairs(texts: DataFrame, text: str) -> DataFrame:
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     both = F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.get(ws, i + 1).alias("n"))))[0]
     rows = spread(texts.select(text)).select(F.explode(both).alias("p")).groupBy(F.col("p.w").alias("w"), F.col("p.n").alias("n")).agg(F.count("*").alias("c"))
+    return typed(rows, F.rlike("type", F.lit(r"[\p{L}\p{N}#]")))
+
+
+def typed(rows: DataFrame, kept: Column) -> DataFrame:
+    """token_pairs of (w, n, c), counts of neighbours as written: the rows of the condition `kept` on w and type."""
     mark = F.regexp_extract("w", rf"({ENDING})$", 1)
     first = F.substring(bare(F.col("n")), 1, 1)
     up = F.when(F.rlike(first, F.lit(r"\p{Lu}")), True).when(F.rlike(first, F.lit(r"\p{Ll}")), False)
-    own = rows.select(type_of(F.col("w")).alias("type"), F.endswith(bare(F.col("w")), F.lit(".")).alias("dot"), F.substring(mark, 1, 1).alias("mark"), type_of(F.col("n")).alias("next"), up.alias("up"), "c")
-    return own.where(F.rlike("type", F.lit(r"[\p{L}\p{N}#]"))).groupBy("type", "dot", "mark", "next", "up").agg(F.sum("c").alias("n"))
+    own = rows.select("w", type_of(F.col("w")).alias("type"), F.endswith(bare(F.col("w")), F.lit(".")).alias("dot"), F.substring(mark, 1, 1).alias("mark"), type_of(F.col("n")).alias("next"), up.alias("up"), "c")
+    return own.where(kept).groupBy("type", "dot", "mark", "next", "up").agg(F.sum("c").alias("n"))
 
 
 def token_counts(texts: DataFrame, text: str) -> DataFrame:
     """(type, dot, n): counts of tokens without their neighbours, all that abbreviation_scores asks for; a staged table."""
     words = spread(texts.select(text)).select(F.explode(F.split(F.col(text), r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("c"))
+    return typed_alone(words)
+
+
+def typed_alone(words: DataFrame) -> DataFrame:
+    """token_counts of (w, c), counts of tokens as written."""
     own = words.select(type_of(F.col("w")).alias("type"), F.endswith(bare(F.col("w")), F.lit(".")).alias("dot"), "c")
     return staged(own.where(F.rlike("type", F.lit(r"[\p{L}\p{N}#]"))).groupBy("type", "dot").agg(F.sum("c").alias("n")), "tokens")
 
 
+class Kinds(dict):
+    """What training asks of a token before its neighbour: all where a period may end a sentence there, else the mark or nothing; null without a letter or digit."""
+
+    def __missing__(self, w: str) -> str | None:
+        mark = _MARK.search(w)
+        if mark and mark.group()[0] == ".":
+            own = w
+        else:
+            own = (mark.group()[0] if mark else "") if _REAL.search(plain_type(w)) else None
+        return self.setdefault(w, own)
+
+
+def counted(texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(tokens, pairs): token_counts, and token_pairs with a neighbour, where all types that no period follows are one."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, pairs, kinds = Counter(), Counter(), Kinds()
+
+        def given() -> pa.RecordBatch:
+            rows = [(w, None, c) for w, c in own.items()] + [(w, n, c) for (w, n), c in pairs.items() if w is not None]
+            for held in (own, pairs, kinds):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["w", "n", "c"])
+
+        for part in pieces(parts):
+            for t in part.column(0).to_pylist():
+                words = _TOKEN.findall(t or "")
+                own.update(words)
+                pairs.update(zip([kinds[w] for w in words[:-1]], words[1:]))
+                if len(own) + len(pairs) > COUNTED:
+                    yield given()
+        yield given()
+
+    rows = spread(texts.select(text)).mapInArrow(run, "w string, n string, c long").groupBy("w", "n").agg(F.sum("c").alias("c"))
+    rows = staged(rows, "counted")
+    kept = F.col("w").isin("", "!", "?") | F.rlike("type", F.lit(r"[\p{L}\p{N}#]"))
+    return typed_alone(rows.where("n is null").select("w", "c")), staged(typed(rows.where("n is not null"), kept), "pairs")
+
+
 def likelihood(a: Column, b: Column, ab: Column, n: Column) -> Column:
     """Dunning's ratio: how far ab joint cases among a exceed what b among n foretells."""
     p, p1, p2 = b / n, ab / a, (b - ab) / F.greatest(n - a, F.lit(1))
@@ -102,16 +153,16 @@ def abbreviation_scores(pairs: DataFrame) -> DataFrame:
 
 def train(texts: DataFrame, text: str, most: int = MOST) -> Model | Tables:
     """The whole model of all texts; as tables if it has more than `most` entries of a kind."""
-    pairs = staged(token_pairs(texts, text), "pairs")
-    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
-    scores = abbreviation_scores(pairs).where(F.col("score") >= ABBREVIATION)
+    tokens, pairs = counted(texts, text)
+    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    scores = abbreviation_scores(tokens).where(F.col("score") >= ABBREVIATION)
     short = staged(scores.select("type"), "abbreviations")
     known = short.withColumn("abbreviation", F.lit(True))
     known = F.broadcast(known) if short.count() <= most else known
     initial = F.rlike("type", F.lit(r"^\p{L}$"))
     told = pairs.join(known, "type", "left").withColumn("open", F.coalesce("abbreviation", F.lit(False)) | initial | (F.col("type") == NUMBER))
     ends = (F.col("mark") != "") & ~(F.col("open") & (F.col("mark") == "."))
-    by_type = pairs.groupBy("type").agg(F.sum("n").alias("c"))
+    by_type = tokens.groupBy("type").agg(F.sum("n").alias("c"))
     after = told.where(ends & F.col("next").isNotNull()).groupBy(F.col("next").alias("type")).agg(F.sum("n").alias("ab"))
     breaks = told.where(ends & F.col("next").isNotNull()).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
     starters = after.join(by_type, "type").where(F.rlike("type", F.lit(r"^\p{L}"))).where((likelihood(breaks, F.col("c"), F.col("ab"), total) >= STARTER) & (total * F.col("ab") > breaks * F.col("c")))
@@ -130,7 +181,7 @@ def train(texts: DataFrame, text: str, most: int = MOST) -> Model | Tables:
 
 
 _EDGES, _DIGITS, _CANDIDATE = regex.compile(EDGES), regex.compile(DIGITS), regex.compile(rf"{ENDING}[ \t\n\x0b\f\r]+")
-_TOKEN = regex.compile(r"[^ \t\n\x0b\f\r]+")
+_TOKEN, _MARK, _REAL = regex.compile(r"[^ \t\n\x0b\f\r]+"), regex.compile(rf"{ENDING}\Z"), regex.compile(r"[\p{L}\p{N}#]")
 
 
 def plain_type(token: str) -> str:

@@ -57,3 +57,16 @@ def test_a_model_of_any_size_is_whole(spark):
 def test_a_long_token_after_a_period_is_judged_whole():
     model = sentences.Model(frozenset({"inc"}), frozenset(), frozenset({"b" * 300}), {})
     assert sentences.plain_sentences("Acme Inc. " + "B" * 300 + " far", model) == ["Acme Inc.", "B" * 300 + " far"]
+
+
+def test_training_counts_few_pairs(spark, monkeypatch):
+    """Neighbours that no period parts are counted by the second alone, in parts of any size; sums are those of all pairs."""
+    monkeypatch.setattr(sentences, "COUNTED", 5)
+    frame = spark.createDataFrame([(t,) for t in [*corpus(30), None, "", "a - B ... c! D? ..#.. e 3.5. F \"x.\" Y"]], "text string")
+    tokens, pairs = sentences.counted(frame, "text")
+    every = sentences.token_pairs(frame, "text").where("next is not null")
+    got = {tuple(r) for r in pairs.where("mark = '.'").collect()}
+    assert got == {tuple(r) for r in every.where("mark = '.'").collect()} and got
+    ways = lambda rows: {tuple(r) for r in rows.where("mark <> '.'").groupBy("mark", "next", "up").agg(F.sum("n")).collect()}
+    assert ways(pairs) == ways(every) and pairs.where("mark <> '.'").select("type").distinct().count() == 1
+    assert {tuple(r) for r in tokens.collect()} == {tuple(r) for r in sentences.token_counts(frame, "text").collect()}
